@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from graincart.llm.common import table
+from graincart.llm.minhash import near_duplicates
 from graincart.llm.mixing import mix
 
 
@@ -12,8 +13,13 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 QUERIES = {
     "op6_mixing": op6_mixing,
+    "op9_minhash_dedup": op9_minhash_dedup,
 }
 
 SQL: dict[str, str] = {}
