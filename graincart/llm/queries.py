@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from graincart.llm.common import table
 from graincart.llm.minhash import near_duplicates
 from graincart.llm.mixing import mix
+from graincart.llm.secrets import secret_digests
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,7 +18,12 @@ def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op2_secrets": op2_secrets,
     "op6_mixing": op6_mixing,
     "op9_minhash_dedup": op9_minhash_dedup,
 }
