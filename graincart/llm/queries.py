@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from graincart.llm.common import table
+from graincart.llm.decontamination import contamination_digests
 from graincart.llm.minhash import near_duplicates
 from graincart.llm.mixing import mix
 from graincart.llm.secrets import secret_digests
@@ -22,8 +23,13 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digests(table(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination_digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op2_secrets": op2_secrets,
+    "op3_decontamination": op3_decontamination,
     "op6_mixing": op6_mixing,
     "op9_minhash_dedup": op9_minhash_dedup,
 }
