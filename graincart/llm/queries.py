@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from graincart.llm.common import table
+from graincart.llm.langid import language_digests
 from graincart.llm.decontamination import contamination_digests
 from graincart.llm.minhash import near_duplicates
 from graincart.llm.mixing import mix
@@ -27,7 +28,12 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_secrets": op2_secrets,
     "op3_decontamination": op3_decontamination,
     "op6_mixing": op6_mixing,
