@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from graincart.llm.common import table
 from graincart.llm.langid import language_digests
 from graincart.llm.decontamination import contamination_digests
+from graincart.llm.media import media_digests
 from graincart.llm.minhash import near_duplicates
 from graincart.llm.mixing import mix
 from graincart.llm.secrets import secret_digests
@@ -32,11 +33,16 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_digests(table(spark, sf_dir, "documents"))
 
 
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_secrets": op2_secrets,
     "op3_decontamination": op3_decontamination,
     "op6_mixing": op6_mixing,
+    "op8_media": op8_media,
     "op9_minhash_dedup": op9_minhash_dedup,
 }
 
