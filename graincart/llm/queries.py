@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from graincart.llm.common import table
+from graincart.llm.html import extract
 from graincart.llm.langid import language_digests
 from graincart.llm.decontamination import contamination_digests
 from graincart.llm.media import media_digests
@@ -37,6 +38,10 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(table(spark, sf_dir, "documents"))
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_secrets": op2_secrets,
@@ -44,6 +49,7 @@ QUERIES = {
     "op6_mixing": op6_mixing,
     "op8_media": op8_media,
     "op9_minhash_dedup": op9_minhash_dedup,
+    "op10_html_extraction": op10_html_extraction,
 }
 
 SQL: dict[str, str] = {}
