@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from graincart.llm.common import table
 from graincart.llm.html import extract
+from graincart.llm.licenses import license_digests
 from graincart.llm.langid import language_digests
 from graincart.llm.decontamination import contamination_digests
 from graincart.llm.media import media_digests
@@ -42,10 +43,15 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_secrets": op2_secrets,
     "op3_decontamination": op3_decontamination,
+    "op4_license_scan": op4_license_scan,
     "op6_mixing": op6_mixing,
     "op8_media": op8_media,
     "op9_minhash_dedup": op9_minhash_dedup,
