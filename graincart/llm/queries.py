@@ -12,6 +12,7 @@ from graincart.llm.decontamination import contamination_digests
 from graincart.llm.media import media_digests
 from graincart.llm.minhash import near_duplicates
 from graincart.llm.mixing import mix
+from graincart.llm.quality import quality_digests
 from graincart.llm.secrets import secret_digests
 
 
@@ -47,11 +48,16 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_digests(table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_secrets": op2_secrets,
     "op3_decontamination": op3_decontamination,
     "op4_license_scan": op4_license_scan,
+    "op5_quality": op5_quality,
     "op6_mixing": op6_mixing,
     "op8_media": op8_media,
     "op9_minhash_dedup": op9_minhash_dedup,
