@@ -2,15 +2,17 @@
 
 A document's set holds the hashes of its five-word shingles, and its sketch the ``k`` smallest of
 them. Documents with equal sets form a class, and only classes are compared. Inverted lists of
-retained values generate the candidates: two sets at the threshold share at least ``overlap`` of
-``k`` retained values but for a chance below 1e-8, so they also meet in the list of one of the
-``k - overlap + 1`` values that are the rarest of each sketch, and only these are listed. That keeps
-passages that many documents share out of the lists.
-
-Lists are not expanded into pairs. First each class is compared with the smallest class of the list
-that it shares most values with. Then, within each list, only classes outside the list's most
-common component are compared with the classes of other components. Sketches of a union filter
-the pairs; the full sets decide.
+retained values generate the candidates. Two sets at the threshold share so many of their retained
+values, but for a chance below 1e-8, that they also meet in the list of one of the rarest values of
+each sketch (as many as may be missing, and one), and only these are listed. That keeps passages
+that many documents share out of the lists.
+
+The first lists hold small sketches of all classes. Classes that meet there are listed again: sets
+up to ``WHOLE`` values by all their values, where the bound is certain, the others by larger
+sketches. Lists are not expanded into pairs. First each class is compared with the smallest class
+of the lists. Then, within each list, only classes outside the list's most common component are
+compared with the classes of other components, at the first value that the two have in common, and
+only if the sizes and the values passed by allow the threshold. The full sets decide.
 """
 
 from __future__ import annotations
@@ -29,7 +31,8 @@ from graincart.llm.components import components
 from graincart.llm.hashing import shingle_set, spaced_words
 
 SHINGLE = 5
-RETAINED = 48
+RETAINED, RETAINED_AGAIN = 48, 96
+WHOLE = 240
 CHANCE = 1e-8
 
 
@@ -56,69 +59,80 @@ def _sketch(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        found = [shingle_set(spaced_words(text), SHINGLE).tobytes() for text in batch["text"]]
-        out = pd.DataFrame({"node": batch["node"], "shingles": found})
-        yield out[[xxhash.xxh3_128_hexdigest(x) == name for x, name in zip(found, batch["name"], strict=True)]]
-
-
-def _confirm(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        keep = []
-        for x, y in zip(batch["set_a"], batch["set_b"], strict=True):
-            one, two = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            small, large = (one, two) if len(one) < len(two) else (two, one)
-            at = np.searchsorted(large, small)
-            at[at == len(large)] = 0
-            both = int((large[at] == small).sum())
-            keep.append(100 * both >= percent * (len(one) + len(two) - both))
-        yield batch.loc[keep, ["a", "b"]]
-
-
-def _links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int, share: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose full sets are similar enough."""
-    side = lambda c: classes.select(F.col("node").alias(c), F.col("sketch").alias(f"sketch_{c}"))
-    met = pairs.join(side("a"), "a").join(side("b"), "b")
-    union = F.slice(F.array_sort(F.array_union("sketch_a", "sketch_b")), 1, k)
-    common = F.size(F.array_intersect(union, F.array_intersect("sketch_a", "sketch_b")))
-    met = materialize(met.where(common >= share * F.size(union)).select("a", "b").distinct())
-    nodes = met.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    needed = materialize(classes.select("node", "name").join(nodes, "node", "left_semi"))
-    texts = docs.select(_id().alias("node"), "text").join(broadcast_if_small(needed), "node")
-    sets = materialize(texts.select("node", "name", "text").mapInPandas(_sets, "node long, shingles binary"))
-    side = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"set_{c}"))
-    full = met.join(side("b"), "b").join(side("a"), "a").select("a", "b", "set_a", "set_b")
-    return full.mapInPandas(lambda batches: _confirm(batches, percent), "a long, b long").distinct()
+        found = [shingle_set(spaced_words(text), SHINGLE) for text in batch["text"]]
+        out = pd.DataFrame({"node": batch["node"], "n": [len(x) for x in found], "shingles": [x.view(np.int64) for x in found]})
+        yield out[[xxhash.xxh3_128_hexdigest(x.tobytes()) == name for x, name in zip(found, batch["name"], strict=True)]]
 
 
 def _id() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
 
 
-def _candidates_by_hub(listed: DataFrame, percent: int) -> DataFrame:
-    """For each node the smallest node of a list, that of most lists if there are several."""
-    hubs = listed.groupBy("value").agg(F.min(F.struct("node", "n")).alias("hub"))
-    near = listed.join(hubs, "value").where("node <> hub.node").where(_sizes("n", "hub.n", percent))
-    counts = near.groupBy("node", F.col("hub.node").alias("hub")).agg(F.count("*").alias("lists"))
-    best = counts.groupBy("node").agg(F.max_by("hub", F.struct("lists", -F.col("hub"))).alias("hub"))
-    return best.select(F.col("hub").alias("a"), F.col("node").alias("b"))
+def _rarest(sets: DataFrame, need: Column) -> DataFrame:
+    """(node, n, values, passed): the values by which a node of ``sets`` (node, n, values) is listed.
+
+    They are the rarest, one more than may be missing if ``need`` of the values are shared. Values
+    that no other node has come first, cannot meet and are only counted, in ``passed``.
+    """
+    each = sets.select("node", F.explode("values").alias("value"))
+    shared = each.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
+    met = each.join(shared, "value").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("met"))
+    sized = sets.select("node", "n", F.size("values").alias("held"), F.ceil(need).cast("int").alias("need"))
+    out = met.join(sized, "node").withColumn("passed", F.col("held") - F.size("met"))
+    listed = F.slice("met", 1, F.greatest(F.col("held") - F.col("need") + 1 - F.col("passed"), F.lit(0)))
+    return out.select("node", "n", "passed", F.transform(listed, lambda x: x["value"]).alias("values")).where("size(values) > 0")
+
+
+def _met_in_lists(lists: DataFrame) -> DataFrame:
+    """The entries of lists with two nodes or more: (value, at) and the columns of ``lists``."""
+    entries = lists.select("*", F.posexplode("values").alias("at", "value"))
+    ends = entries.groupBy("value").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
+    return entries.join(ends, "value")
 
 
 def _sizes(n: str, m: str, percent: int) -> Column:
     return 100 * F.least(F.col(n), F.col(m)) >= percent * F.greatest(F.col(n), F.col(m))
 
 
-def _candidates_across(listed: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """The pairs of a list whose nodes are in different components, as far as their sizes can match."""
-    marked = listed.join(parts.withColumnRenamed("component", "part"), "node", "left")
-    marked = materialize(marked.withColumn("part", F.coalesce("part", "node")))
-    main = marked.groupBy("value", "part").agg(F.count("*").alias("nodes")).groupBy("value").agg(F.count("*").alias("parts"), F.max_by("part", F.struct("nodes", "part")).alias("main"))
-    mixed = marked.join(main.where("parts > 1"), "value")
-    mixed = materialize(mixed)
-    others = mixed.where("part <> main").select("value", F.col("node").alias("x"), F.col("part").alias("part_x"), F.col("n").alias("n_x"))
-    # a pair of two others is met from both sides, and counted once
-    open_ = (F.col("part") != F.col("part_x")) & ((F.col("part") == F.col("main")) | (F.col("node") < F.col("x")))
-    pairs = others.join(mixed, "value").where(open_).where(_sizes("n", "n_x", percent))
-    return pairs.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
+def _by_hub(entries: DataFrame, percent: int) -> DataFrame:
+    """For each node the smallest node of a list, that of most lists if there are several."""
+    hubs = entries.groupBy("mode", "value").agg(F.min(F.struct("node", F.col("n").alias("m"))).alias("hub"))
+    near = entries.select("mode", "value", "node", "n").join(hubs, ["mode", "value"]).select("node", "n", "hub.m", F.col("hub.node").alias("hub"))
+    near = near.where("node <> hub").where(_sizes("n", "m", percent))
+    counts = near.groupBy("node", "hub").agg(F.count("*").alias("lists"))
+    best = counts.groupBy("node").agg(F.max_by("hub", F.struct("lists", -F.col("hub"))).alias("hub"))
+    return best.select(F.col("hub").alias("a"), F.col("node").alias("b"))
+
+
+def _across(entries: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """The pairs of nodes of a list that are in different components and can reach the threshold."""
+    marked = entries.select("mode", "value", "node").join(parts.withColumnRenamed("component", "part"), "node", "left")
+    marked = marked.withColumn("part", F.coalesce("part", "node"))
+    main = marked.groupBy("mode", "value", "part").agg(F.count("*").alias("nodes")).groupBy("mode", "value")
+    main = main.agg(F.count("*").alias("parts"), F.max_by("part", F.struct("nodes", "part")).alias("main")).where("parts > 1").drop("parts")
+    # a set listed whole cannot share the values that it has passed by
+    most = F.when(F.col("mode") == 0, F.col("n") - F.col("passed") - F.col("at")).otherwise(F.col("n"))
+    full = entries.select("mode", "value", "node", "n", "values", most.alias("most"))
+    full = full.join(marked.select("mode", "value", "node", "part"), ["mode", "value", "node"]).join(main, ["mode", "value"])
+    full = materialize(full)
+    other = full.where("part <> main").drop("main")
+    other = other.select("mode", "value", *[F.col(c).alias(f"{c}_x") for c in ("node", "n", "values", "most", "part")])
+    # a pair of two others is met from both sides, and counts once
+    once = (F.col("part") != F.col("part_x")) & ((F.col("part") == F.col("main")) | (F.col("node") < F.col("node_x")))
+    both = F.least("most", "most_x")
+    reach = 100 * both >= percent * (F.col("n") + F.col("n_x") - both)
+    first = F.element_at(F.array_intersect("values", "values_x"), 1) == F.col("value")
+    pairs = full.join(other, ["mode", "value"]).where(once & _sizes("n", "n_x", percent) & reach & first)
+    return pairs.select(F.least("node", "node_x").alias("a"), F.greatest("node", "node_x").alias("b")).distinct()
+
+
+def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose full sets are similar enough."""
+    side = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"set_{c}"))
+    full = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b")
+    both = F.size(F.array_intersect("set_a", "set_b"))
+    similar = 100 * both >= percent * (F.size("set_a") + F.size("set_b") - both)
+    return materialize(full.where(similar).select("a", "b").distinct())
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, k: int = RETAINED) -> DataFrame:
@@ -129,33 +143,35 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = RETAINED) -> Da
     are their own component. A text of fewer than five words has its whole sequence as its one
     shingle. component_id is the smallest doc_id of the component; rows without doc_id take part,
     but their component_id is null if no row of the component has one, and then, as for any row
-    without doc_id, kept says whether component_id is null too. Repeated rows share their result.
-    An empty table gives an empty result; other columns of ``docs`` are ignored.
+    without doc_id, kept says whether component_id is null too. Repeated rows share their result,
+    and rows that share a doc_id share their component. An empty table gives an empty result; other
+    columns of ``docs`` are ignored.
     """
-    share = least_share(k, percent / 100)
+    threshold = percent / 100
     rows = docs.select("doc_id", _id().alias("id"), "text").mapInPandas(
         lambda batches: _sketch(batches, k), "doc_id long, id long, n_shingles long, name string, sketch array<long>"
     )
     rows = materialize(rows)
-    classes = materialize(rows.where("n_shingles > 0").groupBy("name").agg(F.min("id").alias("node"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
-    values = classes.select("node", "n", F.explode("sketch").alias("value"))
-    shared = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
-    listed = values.join(shared, "value")
-    # of each sketch the rarest values; values that no other sketch has come first and are not listed
-    kept = listed.groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("values"))
-    held = F.least("n", F.lit(k))
-    least = held - F.ceil(share * held) + 1 - (held - F.size("values"))
-    kept = kept.where(least > 0).select("node", "n", F.explode(F.slice("values", 1, least.cast("int"))).alias("v"))
-    listed = materialize(kept.select("node", "n", F.col("v.value").alias("value")))
-
-    first = materialize(_links(_candidates_by_hub(listed, percent), docs, classes, k, percent, share))
-    parts = components(first)
-    second = materialize(_links(_candidates_across(listed, parts, percent), docs, classes, k, percent, share))
+    classes = rows.where("n_shingles > 0").groupBy("name").agg(F.min("id").alias("node"), F.first("n_shingles").alias("n"), F.first("sketch").alias("values"))
+    classes = materialize(classes)
+    held = least_share(k, threshold) * F.least("n", F.lit(k))
+    near = _met_in_lists(materialize(_rarest(classes, held)))
+    near = materialize(classes.select("node", "name").join(near.select("node").distinct(), "node", "left_semi"))
+
+    texts = docs.select(_id().alias("node"), "text").join(broadcast_if_small(near), "node")
+    sets = materialize(texts.select("node", "name", "text").mapInPandas(_sets, "node long, n long, shingles array<long>"))
+    whole = materialize(_rarest(sets.where(F.col("n") <= WHOLE).select("node", "n", F.col("shingles").alias("values")), threshold * F.col("n")))
+    again = sets.where(F.col("n") > threshold * WHOLE).select("node", "n", F.slice("shingles", 1, RETAINED_AGAIN).alias("values"))
+    again = materialize(_rarest(again, least_share(RETAINED_AGAIN, threshold) * F.size("values")))
+    entries = _met_in_lists(whole).withColumn("mode", F.lit(0)).unionByName(_met_in_lists(again).withColumn("mode", F.lit(1)))
+    entries = materialize(entries)
+
+    first = _links(_by_hub(entries, percent), sets, percent)
+    second = _links(_across(entries, components(first), percent), sets, percent)
     parts = components(first.union(second))
 
     nodes = classes.select("name", "node").join(parts, "node", "left").select("name", F.coalesce("component", "node").alias("part"))
-    rows = rows.select("doc_id", "n_shingles", "name").join(nodes, "name", "left")
-    rows = materialize(rows)
+    rows = materialize(rows.select("doc_id", "n_shingles", "name").join(nodes, "name", "left"))
     smallest = rows.where("part is not null").groupBy("part").agg(F.min("doc_id").alias("component_id"))
     out = rows.join(smallest, "part", "left")
     own = F.when(F.col("part").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
