@@ -12,6 +12,7 @@ from graincart.llm.decontamination import contamination_digests
 from graincart.llm.media import media_digests
 from graincart.llm.minhash import near_duplicates
 from graincart.llm.mixing import mix
+from graincart.llm.pii import personal_data_digests
 from graincart.llm.quality import quality_digests
 from graincart.llm.secrets import secret_digests
 
@@ -52,6 +53,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_secrets": op2_secrets,
@@ -59,6 +64,7 @@ QUERIES = {
     "op4_license_scan": op4_license_scan,
     "op5_quality": op5_quality,
     "op6_mixing": op6_mixing,
+    "op7_pii": op7_pii,
     "op8_media": op8_media,
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_html_extraction": op10_html_extraction,
