@@ -1,25 +1,98 @@
-"""The corpus pipeline: each stage is one of the corpus operators."""
+"""The corpus pipeline: language, near copies, benchmark passages, secrets, mix.
+
+Every stage takes (spark, docs, sf_dir) and returns a table with the columns of its ``docs``; the
+last one returns the mix. Other columns than doc_id, text, lang, source and n_chars pass through
+the first four stages untouched, whatever their names are.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from graincart.llm.common import table
+from graincart.llm.common import broadcast_if_small, materialize, table
+from graincart.llm.decontamination import contamination
+from graincart.llm.langid import identify, learn
+from graincart.llm.minhash import near_duplicates
 from graincart.llm.mixing import mix
+from graincart.llm.secrets import redact_secrets
+
+#: The similarity of near copies in per cent.
+SIMILAR = 80
+
+
+def _with_rest(docs: DataFrame, work: Callable[[DataFrame, tuple[str, ...]], DataFrame]) -> DataFrame:
+    """``work`` on doc_id, text and the other columns under names that clash with nothing."""
+    rest = {c: f"_rest{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    out = work(docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(x) for c, x in rest.items()]), tuple(rest.values()))
+    return out.select(*[F.col(rest[c]).alias(c) if c in rest else F.col(c) for c in docs.columns])
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents whose language is certain; null texts and texts without letters go.
+
+    The model learns from the rows of ``docs`` itself; without any labelled row all go.
+    """
+    model = learn(docs)
+    return _with_rest(docs, lambda d, rest: identify(d, model, ("text", *rest)).where("accepted"))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest doc_id.
+
+    A row without doc_id goes by a hash of its text; of rows that repeat a doc_id one stays.
+    Texts without words are copies of nothing and stay.
+    """
+    named = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
+    found = near_duplicates(docs.select(named.alias("doc_id"), "text"), percent=SIMILAR)
+    kept = materialize(found.where("kept").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows")))
+    if kept.where("_rows > 1").limit(1).count():
+        once = lambda d: d.dropDuplicates(["_id"])
+    else:
+        once = lambda d: d
+
+    def work(d: DataFrame, rest: tuple[str, ...]) -> DataFrame:
+        return once(d.withColumn("_id", named).join(broadcast_if_small(kept.select("_id")), "_id", "left_semi"))
+
+    return _with_rest(docs, work)
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that repeat no window of words of a benchmark item; null texts stay."""
+    items = table(spark, sf_dir, "benchmark")
+    return _with_rest(docs, lambda d, rest: contamination(d, items, carry=("text", *rest)).where("not contaminated"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with a mark in the place of each secret; n_chars follows a text that changed."""
+    size = docs.schema["n_chars"].dataType
+    out = _with_rest(docs.select("*", F.length("text").alias("_before")), lambda d, rest: redact_secrets(d))
+    new = F.when(F.length("text") != F.col("_before"), F.length("text").cast(size)).otherwise(F.col("n_chars"))
+    return out.withColumn("n_chars", new).select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The words that each document gives to the mix; the columns of the mix come first."""
+    """The documents with their sizes, their sources' targets and the words that the mix takes."""
     out = mix(docs, carry=("text", "lang", "n_chars"))
     return out.select("doc_id", "text", "lang", "source", "n_chars", "size", "source_size", "target", "taken")
 
 
-STAGES = [("mixing", mixing)]
+STAGES = [
+    ("language", language),
+    ("near_copies", near_copies),
+    ("benchmark_passages", benchmark_passages),
+    ("secrets", secrets),
+    ("mixing", mixing),
+]
+#: SQL has no trained language model: tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after another; each result is written and read again."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -118,7 +118,7 @@ def secret_digests(docs: DataFrame) -> DataFrame:
 
 
 def redact_secrets(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every span of a secret replaced by ``mark`` and n_chars counted anew where that changed.
+    """``docs`` with every span of a secret replaced by ``mark``.
 
     Overlapping spans are replaced as one. Texts without secrets, null texts and all other columns
     stay as they are.
@@ -133,8 +133,4 @@ def redact_secrets(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         return F.struct(F.greatest(state["at"], span["end"]).alias("at"), new.alias("text"))
 
     clean = F.aggregate("found", start, step, lambda s: F.concat(s["text"], F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
-    hit = F.size("found") > 0
-    out = found.withColumn("_clean", F.when(hit, clean).otherwise(F.col("text")))
-    chars = {"n_chars": F.when(F.size("found") > 0, F.length("_clean").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in rest else {}
-    out = out.withColumns(chars | {"text": F.col("_clean")}) if chars else out.withColumn("text", F.col("_clean"))
-    return out.select(*docs.columns)
+    return found.withColumn("text", F.when(F.size("found") > 0, clean).otherwise(F.col("text"))).select(*docs.columns)
