@@ -20,20 +20,22 @@ def tokens(text: Column) -> Column:
 
 def ngrams(words: Column, low: int, high: int) -> Column:
     """Runs of ``low`` to ``high`` words, joined by a space; an array of words gives an array of strings."""
-    some = []
-    for n in range(low, high + 1):
+
+    def of(n: int) -> Column:
         at = F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1)))
-        some.append(F.when(F.size(words) >= n, F.transform(at, lambda i, n=n: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>")))
-    return F.concat(*some)
+        runs = F.transform(at, lambda i: F.array_join(F.slice(words, i, n), " "))
+        return F.when(F.size(words) >= n, runs).otherwise(F.array().cast("array<string>"))
+
+    return F.concat(*[of(n) for n in range(low, high + 1)])
 
 
 def option_slug(option: Column) -> Column:
     """The column suffix of an answer option."""
-    return F.concat(F.lit("p_"), F.lower(F.trim(F.lit("_"), F.regexp_replace(option, "[^A-Za-z0-9]+", "_"))))
+    return F.concat(F.lit("p_"), F.lower(F.trim(F.regexp_replace(option, "[^A-Za-z0-9]+", "_"), F.lit("_"))))
 
 
 def snake_name(name: Column) -> Column:
-    return F.lower(F.trim(F.lit("_"), F.regexp_replace(name, "[^A-Za-z0-9]+", "_")))
+    return F.lower(F.trim(F.regexp_replace(name, "[^A-Za-z0-9]+", "_"), F.lit("_")))
 
 
 def family_of(column: Column) -> Column:

@@ -54,7 +54,7 @@ def one_hot(df: DataFrame, column: str, categories: list[str]) -> DataFrame:
 
 
 def epoch_seconds(column: Column) -> Column:
-    return F.unix_micros(column) / 1e6
+    return F.unix_micros(column.cast("timestamp")) / 1e6
 
 
 def tfidf(df: DataFrame, key: str, text: str, is_train: Column, terms: int = 2000, least: int = 1) -> DataFrame:

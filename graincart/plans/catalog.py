@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from graincart.plans import evaluation, fidelity, labels, models, profiles, texts, training  # noqa: F401  they register themselves
+from graincart.plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
