@@ -7,12 +7,10 @@ the first four stages untouched, whatever their names are.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graincart.llm.common import broadcast_if_small, materialize, table
+from graincart.llm.common import broadcast_if_small, materialize, table, with_rest
 from graincart.llm.decontamination import contamination
 from graincart.llm.langid import identify, learn
 from graincart.llm.minhash import near_duplicates
@@ -23,20 +21,13 @@ from graincart.llm.secrets import redact_secrets
 SIMILAR = 80
 
 
-def _with_rest(docs: DataFrame, work: Callable[[DataFrame, tuple[str, ...]], DataFrame]) -> DataFrame:
-    """``work`` on doc_id, text and the other columns under names that clash with nothing."""
-    rest = {c: f"_rest{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
-    out = work(docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(x) for c, x in rest.items()]), tuple(rest.values()))
-    return out.select(*[F.col(rest[c]).alias(c) if c in rest else F.col(c) for c in docs.columns])
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents whose language is certain; null texts and texts without letters go.
 
     The model learns from the rows of ``docs`` itself; without any labelled row all go.
     """
     model = learn(docs)
-    return _with_rest(docs, lambda d, rest: identify(d, model, ("text", *rest)).where("accepted"))
+    return with_rest(docs, lambda d, rest: identify(d, model, ("text", *rest)).where("accepted"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,20 +47,20 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     def work(d: DataFrame, rest: tuple[str, ...]) -> DataFrame:
         return once(d.withColumn("_id", named).join(broadcast_if_small(kept.select("_id")), "_id", "left_semi"))
 
-    return _with_rest(docs, work)
+    return with_rest(docs, work)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that repeat no window of words of a benchmark item; null texts stay."""
     items = table(spark, sf_dir, "benchmark")
-    return _with_rest(docs, lambda d, rest: contamination(d, items, carry=("text", *rest)).where("not contaminated"))
+    return with_rest(docs, lambda d, rest: contamination(d, items, carry=("text", *rest)).where("not contaminated"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with a mark in the place of each secret; n_chars follows a text that changed."""
     size = docs.schema["n_chars"].dataType
-    out = _with_rest(docs.select("*", F.length("text").alias("_before")), lambda d, rest: redact_secrets(d))
-    new = F.when(F.length("text") != F.col("_before"), F.length("text").cast(size)).otherwise(F.col("n_chars"))
+    out = redact_secrets(docs.select("*", F.length("text").alias("_chars_before_redaction")))
+    new = F.when(F.length("text") != F.col("_chars_before_redaction"), F.length("text").cast(size)).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", new).select(*docs.columns)
 
 

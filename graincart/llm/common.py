@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that a broadcast table may have; larger tables are joined by a shuffle.
 BROADCAST_ROWS = 300_000
+_own_dirs: dict[str, str] = {}
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -25,9 +27,10 @@ def shared_dir(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if not master.startswith("local") or master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    folder = "file://" + tempfile.mkdtemp(prefix="graincart-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _own_dirs:
+        _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="graincart-")
+    return _own_dirs[app]
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -56,3 +59,10 @@ def held_out(doc_id: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def with_rest(docs: DataFrame, work: Callable[[DataFrame, tuple[str, ...]], DataFrame]) -> DataFrame:
+    """``work`` on doc_id, text and the other columns under names that clash with nothing."""
+    rest = {c: f"_rest{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    out = work(docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(x) for c, x in rest.items()]), tuple(rest.values()))
+    return out.select(*[F.col(rest[c]).alias(c) if c in rest else F.col(c) for c in docs.columns])

@@ -53,7 +53,8 @@ def pieces(html: str) -> list[Piece]:
         raw = unescape(raw)
         n = len(raw.split())
         if asides:
-            place = "aside"
+            # what is left out anyway must not cut a region in two
+            place, n = ("aside-main" if mains else "aside"), min(n, 4)
         else:
             place = ("link" if links else "head" if heads else "text") + ("-main" if mains else "-beside" if one_main else "")
         out.append((place, n, raw, block))
@@ -154,6 +155,7 @@ def labelled_pages() -> list[tuple[str, int, int]]:
         f"<h1>{line(7)}</h1>" + "".join(f"<p>{line(n)} <a href='/x'>{line(2)}</a> {line(9)}</p>" for n in (25, 8, 40, 60)),
         f"<h2>{line(4)}</h2><p>{line(35)}</p><ul><li>{line(9)}</li><li>{line(11)}</li></ul><h2>{line(4)}</h2><p>{line(45)}</p><blockquote>{line(20)}</blockquote>",
         f"<p>{line(3)}</p>",
+        f"<h1>{line(5)}</h1><p>{line(40)}</p><div class='ad'>{line(9)}</div><p>{line(30)}</p>",
     ]
     heads = [
         f"<nav><ul>{links(6)}</ul></nav><div class='ad'>{line(12)}</div>",
@@ -188,7 +190,7 @@ def main_text(html: str | None, weights: dict[str, float]) -> str:
             best, span = total, (start, i + 1)
     blocks: dict[int, list[str]] = {}
     for kind, _, raw, block in found[span[0] : span[1]]:
-        if raw and kind != "aside":
+        if raw and not kind.startswith("aside"):
             blocks.setdefault(block, []).append(raw)
     lines = [" ".join("".join(x).split()) for x in blocks.values()]
     return "\n".join(x for x in lines if x)

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graincart.llm.common import broadcast_if_small, lower_ascii, materialize
+from graincart.llm.common import broadcast_if_small, lower_ascii, materialize, with_rest
 from graincart.llm.trigrams import trigram_query
 
 
@@ -123,8 +123,6 @@ def redact_secrets(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     Overlapping spans are replaced as one. Texts without secrets, null texts and all other columns
     stay as they are.
     """
-    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    found = find_secrets(docs, rest)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
 
     def step(state: Column, span: Column) -> Column:
@@ -133,4 +131,5 @@ def redact_secrets(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         return F.struct(F.greatest(state["at"], span["end"]).alias("at"), new.alias("text"))
 
     clean = F.aggregate("found", start, step, lambda s: F.concat(s["text"], F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
-    return found.withColumn("text", F.when(F.size("found") > 0, clean).otherwise(F.col("text"))).select(*docs.columns)
+    new = F.when(F.size("found") > 0, clean).otherwise(F.col("text"))
+    return with_rest(docs, lambda d, rest: find_secrets(d, rest).withColumn("text", new))
