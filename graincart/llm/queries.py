@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from graincart.llm import oracle
 from graincart.llm.common import table
 from graincart.llm.html import extract
 from graincart.llm.licenses import license_digests
@@ -70,4 +71,9 @@ QUERIES = {
     "op10_html_extraction": op10_html_extraction,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_secrets": oracle.secrets_sql(),
+    "op3_decontamination": oracle.CONTAMINATION,
+    "op6_mixing": oracle.MIX,
+    "op9_minhash_dedup": oracle.NEAR,
+}
