@@ -57,6 +57,13 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
+def in_pandas(df: DataFrame, run: Callable, key: str, schema: str) -> DataFrame:
+    """``df`` through ``run`` by mapInPandas; whole numbers in ``key`` pass as text, as pandas would turn those beside a null into floats."""
+    kind = df.schema[key].dataType
+    out = df.withColumn(key, F.col(key).cast("string")).mapInPandas(run, f"`{key}` string, {schema}")
+    return out.withColumn(key, F.col(key).cast(kind))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

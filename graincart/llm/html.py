@@ -19,6 +19,8 @@ from html import unescape
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from graincart.llm.common import in_pandas
+
 # Elements by what they do.
 RAW = {"script", "style", "noscript", "template", "svg", "iframe", "object", "math", "canvas", "audio", "video", "title", "head"}
 ASIDE = {"nav", "footer", "aside", "form", "button", "select", "textarea", "dialog", "menu"}
@@ -212,5 +214,4 @@ def extract(pages: DataFrame, weights: dict[str, float] | None = None) -> DataFr
             out["n_chars"] = out["text"].map(len).astype("int64")
             yield out
 
-    kinds = {f.name: f.dataType.simpleString() for f in pages.schema}
-    return pages.select("page_id", "url", "html").mapInPandas(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
+    return in_pandas(pages.select("page_id", "url", "html"), run, "page_id", "url string, text string, n_chars long")

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from graincart.llm.common import in_pandas
 from graincart.llm.jpeg import decode, pack, to_rgb, unpack
 
 UNIT = 192
@@ -69,4 +70,4 @@ def media_digests(docs: DataFrame) -> DataFrame:
             yield pd.concat([batch[["doc_id"]], pd.DataFrame(rows, columns=names, index=batch.index)], axis=1)
 
     kinds = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {kinds}")
+    return in_pandas(docs.select("doc_id", "text"), run, "doc_id", kinds)

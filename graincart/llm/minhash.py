@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graincart.llm.common import broadcast_if_small, materialize
+from graincart.llm.common import broadcast_if_small, in_pandas, materialize
 from graincart.llm.components import components
 from graincart.llm.hashing import shingle_set, spaced_words
 
@@ -148,10 +148,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = RETAINED) -> Da
     columns of ``docs`` are ignored.
     """
     threshold = percent / 100
-    rows = docs.select("doc_id", _id().alias("id"), "text").mapInPandas(
-        lambda batches: _sketch(batches, k), "doc_id long, id long, n_shingles long, name string, sketch array<long>"
-    )
-    rows = materialize(rows)
+    rows = docs.select("doc_id", _id().alias("id"), "text")
+    rows = materialize(in_pandas(rows, lambda batches: _sketch(batches, k), "doc_id", "id long, n_shingles long, name string, sketch array<long>"))
     classes = rows.where("n_shingles > 0").groupBy("name").agg(F.min("id").alias("node"), F.first("n_shingles").alias("n"), F.first("sketch").alias("values"))
     classes = materialize(classes)
     held = least_share(k, threshold) * F.least("n", F.lit(k))

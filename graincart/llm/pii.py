@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graincart.llm.common import materialize
+from graincart.llm.common import in_pandas, materialize
 
 #: Kinds in the order in which they are listed; the first four are the base.
 KINDS = ("email", "ip", "card", "phone", "ssn", "iban", "mac", "person")
@@ -213,9 +213,7 @@ def _propose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def propose(docs: DataFrame) -> tuple[DataFrame, Model]:
     """doc_id and proposed spans of each row of ``docs``, and the model fitted on all of them."""
-    kind_of_id = docs.schema["doc_id"].dataType.simpleString()
-    found = docs.select("doc_id", "text").mapInPandas(_propose, f"doc_id {kind_of_id}, spans {_SPANS}")
-    found = materialize(found)
+    found = materialize(in_pandas(docs.select("doc_id", "text"), _propose, "doc_id", f"spans {_SPANS}"))
     # there are at most 3 ** LABELERS * len(KINDS) * 8 codes, whatever the number of documents
     counts = found.select(F.explode("spans.code").alias("code")).groupBy("code").count().collect()
     return found, fit({r["code"]: r["count"] for r in counts})
@@ -233,7 +231,6 @@ def find_personal_data(docs: DataFrame, least: float = 0.5) -> DataFrame:
     read whole. An empty table gives an empty result. Only doc_id and text are read.
     """
     found, model = propose(docs)
-    kind_of_id = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -245,13 +242,12 @@ def find_personal_data(docs: DataFrame, least: float = 0.5) -> DataFrame:
             ]
             yield pd.DataFrame(out, columns=["doc_id", "start", "end", "kind", "chance"])
 
-    return found.mapInPandas(run, f"doc_id {kind_of_id}, start int, end int, kind string, chance double")
+    return in_pandas(found, run, "doc_id", "start int, end int, kind string, chance double")
 
 
 def personal_data_digests(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """doc_id, counts of the base kinds, base_sha256 and spans for each row of ``docs``; see ``find_personal_data``."""
     found, model = propose(docs)
-    kind_of_id = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -265,4 +261,4 @@ def personal_data_digests(docs: DataFrame, least: float = 0.5) -> DataFrame:
             yield pd.concat([batch[["doc_id"]], pd.DataFrame(rows, columns=names, index=batch.index)], axis=1)
 
     counts = ", ".join(f"n_{k} long" for k in KINDS[:BASE])
-    return found.mapInPandas(run, f"doc_id {kind_of_id}, {counts}, base_sha256 string, spans string")
+    return in_pandas(found, run, "doc_id", f"{counts}, base_sha256 string, spans string")

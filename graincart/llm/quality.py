@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graincart.llm.common import broadcast_if_small, held_out
+from graincart.llm.common import broadcast_if_small, held_out, in_pandas
 
 BUCKETS = 1 << 14
 BINS = 16
@@ -146,8 +146,9 @@ def score_quality(docs: DataFrame, model: Model, carry: tuple[str, ...] = ()) ->
             out["score"] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             yield out
 
-    fields = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in ("doc_id", *carry))
-    return docs.select("doc_id", "text", F.col("n_chars").cast("double").alias("n_chars"), *[c for c in carry if c not in ("text", "n_chars")]).mapInPandas(run, f"{fields}score double")
+    fields = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in carry)
+    rows = docs.select("doc_id", "text", F.col("n_chars").cast("double").alias("n_chars"), *[c for c in carry if c not in ("text", "n_chars")])
+    return in_pandas(rows, run, "doc_id", f"{fields}score double")
 
 
 def quality_digests(docs: DataFrame, labels: DataFrame) -> DataFrame:
