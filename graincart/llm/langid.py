@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graincart.llm.common import held_out
+from graincart.llm.common import held_out, in_pandas
 
 UNKNOWN = "und"
 BUCKETS = 1 << 17
@@ -101,11 +101,19 @@ def fit(texts: list[str], langs: list[str], settings: Settings = Settings(), see
     if not names:
         return Model([], np.zeros((BUCKETS, 1), np.float32), np.zeros(BUCKETS, bool), np.zeros(1))
     rng = np.random.default_rng(seed)
-    rows = [(subwords(t), names.index(y)) for t, y in zip(texts, langs, strict=True)]
-    rows = [r for r in rows if len(r[0])]
-    order = rng.permutation(len(rows))
-    held = {int(i) for i in order[: len(rows) // 5]} if len(rows) >= 50 else set()
-    train = [rows[i] for i in order if int(i) not in held]
+    # of a training text only some thousand subwords are kept, of the others all, and neither as wide numbers
+    train, check, seen = [], [], np.zeros(BUCKETS, bool)
+    for i, (t, y) in enumerate(zip(texts, langs, strict=True)):
+        ids = subwords(t).astype(np.int32)
+        if not len(ids):
+            continue
+        if i % 5 == 0 and len(texts) >= 50:
+            check.append((ids, names.index(y)))
+            continue
+        seen[ids] = True
+        train.append((rng.choice(ids, 5 * settings.subwords) if len(ids) > 5 * settings.subwords else ids, names.index(y)))
+    if not train:
+        return fit([], [], settings)
     embed = rng.normal(0, 0.01, (BUCKETS, settings.dim)).astype(np.float32)
     soft = rng.normal(0, 0.1, (settings.dim, len(names))).astype(np.float32)
     bias = np.zeros(len(names), np.float32)
@@ -123,11 +131,8 @@ def fit(texts: list[str], langs: list[str], settings: Settings = Settings(), see
             bias -= 0.0005 * rate * wrong
             embed[ids] -= (rate / len(ids)) * back
             step += 1
-    seen = np.zeros(BUCKETS, bool)
-    for ids, _ in train:
-        seen[ids] = True
     logits = (embed @ soft).astype(np.float32)
-    check = [rows[i] for i in sorted(held)] or train
+    check = check or train
     raw = np.array([logits[ids].mean(axis=0) + bias for ids, _ in check])
     truth = np.array([y for _, y in check])
     loss = lambda t: -np.log(_softmax(raw / t)[np.arange(len(truth)), truth] + 1e-9).mean()
@@ -181,8 +186,8 @@ def identify(docs: DataFrame, model: Model, carry: tuple[str, ...] = ()) -> Data
             yield out
 
     kept = docs.select("doc_id", "text", *[c for c in carry if c != "text"])
-    fields = ", ".join(f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in ("doc_id", *carry))
-    return kept.mapInPandas(run, f"{fields}, lang_pred string, score double, accepted boolean")
+    fields = "".join(f"`{c}` {kept.schema[c].dataType.simpleString()}, " for c in carry)
+    return in_pandas(kept, run, "doc_id", f"{fields}lang_pred string, score double, accepted boolean")
 
 
 def language_digests(docs: DataFrame) -> DataFrame:
