@@ -19,9 +19,8 @@ from pyspark.sql import functions as F
 
 from graincart.llm.common import broadcast_if_small, lower_ascii, materialize
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same before A-Z are made lower case.
-ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between words; the second before A-Z are made lower case.
+BETWEEN, BETWEEN_ANY = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 10
 GRAM = 5
 #: A fingerprint is a hash above, and the place of its k-gram in the lowest bits.
@@ -29,7 +28,7 @@ PLACE_BITS = 28
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(lower_ascii(text), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(lower_ascii(text), BETWEEN), "")
 
 
 def _grams(listed: Column, k: int, w: int) -> Column:
@@ -115,7 +114,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
     hits = hits.withColumn("new", new).groupBy("key").agg(F.sum("new").alias("n_hit"), F.collect_set("item_id").alias("items"))
     hits = broadcast_if_small(materialize(hits))
 
-    rows = docs.select("doc_id", *carry, F.coalesce(F.regexp_count("text", F.lit(ANY_WORD)), F.lit(0)).cast("long").alias("n_words"), key)
+    rows = docs.select("doc_id", *carry, F.coalesce(F.size(F.array_remove(F.split("text", BETWEEN_ANY), "")), F.lit(0)).cast("long").alias("n_words"), key)
     rows = rows.join(hits, "key", "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     nothing = F.array().cast(f"array<{benchmark.schema['item_id'].dataType.simpleString()}>")
