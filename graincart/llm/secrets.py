@@ -31,6 +31,13 @@ class Rule:
     any_case: bool = False
 
 
+#: A private key in PEM form: banner, headers of an encrypted key, and all up to the END line. Without
+#: one it goes to the last long line of base64 (also quoted, indented or with breaks written \n), and
+#: a short line below that stands alone. No group repeats, so that Java needs no stack for long texts.
+_PEM_HEAD = r"""-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:[\x20\t\r\n\\>#"]*n?Proc-Type:[^-]*DEK-Info:[\x20A-Za-z0-9,-]*)?"""
+_PEM_END = r"[^-]*-----END [A-Z ]{0,20}PRIVATE KEY-----"
+_PEM_OPEN = r"""(?:[A-Za-z0-9+/=\x20\t\r\n\\>#"]*[A-Za-z0-9+/=]{40,})?(?:(?:\r?\n|\\n)[\x20\t]*[A-Za-z0-9+/]+={0,2}(?:\r|(?m:$)))?"""
+
 #: The rules, in the order in which kinds are listed.
 RULES = (
     Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
@@ -41,7 +48,7 @@ RULES = (
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("stripe", r"[sr]k_live_[A-Za-z0-9]{16,250}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,900}\.eyJ[A-Za-z0-9_-]{10,900}\.[A-Za-z0-9_-]{10,900}"),
-    Rule("pem", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
+    Rule("pem", f"{_PEM_HEAD}(?:{_PEM_END}|{_PEM_OPEN})"),
 )
 BASE = ("assign", "access", "hex")
 

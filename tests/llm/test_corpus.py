@@ -94,6 +94,21 @@ def test_secrets_against_regex(spark):
     assert got[2] == 'é🎉 [SECRET]" x' and got[0] is None and got[9] == texts[9]
 
 
+def test_private_keys_go_whole(spark):
+    lines = [hashlib.sha512(bytes([i])).hexdigest().upper()[:60] + "+/aZ" for i in range(26)] + ["Ab3="]
+    key, head = "\n".join(lines), "-----BEGIN RSA PRIVATE KEY-----"
+    end, sealed = "-----END RSA PRIVATE KEY-----", "\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123AB\n"
+    texts = [
+        f"a {head}\n{key}\n{end} b", f"a {head}{sealed}\n{key}\n{end} b", f"a {head}\n{key}\nOpen end, b", f"a {head}{sealed}\n{key}", f"a {head}\n{key}\n{end[:15]}",
+        f'a {{"k": "{head}\\n' + "\\n".join(lines) + f'\\n{end}\\n"}} b', f"a {head}\r\n" + "\r\n".join(lines) + "\r\nb", f"a\n  {head}\n  " + "\n  ".join(lines) + "\nb: c", f"The {head} line begins a key.",
+        f"{head}\n{key}\n{end} and {head}\n{key}\n{end} b", f"{head}\n" + (key + "\n") * 4000,
+    ]
+    got = {r["doc_id"]: r["text"] for r in secrets.redact_secrets(docs_of(spark, texts)).collect()}
+    assert not any(x in got[i] for i in range(len(texts)) for x in lines)
+    assert got[0] == got[1] == "a [SECRET] b" and got[2] == "a [SECRET]\nOpen end, b" and got[3] == "a [SECRET]" and got[7] == "a\n  [SECRET]\nb: c"
+    assert got[5] == 'a {"k": "[SECRET]\\n"} b' and got[8] == "The [SECRET] line begins a key." and got[9] == "[SECRET] and [SECRET] b"
+
+
 def test_trigram_queries():
     for _, pattern, *_ in BASE_RULES[:2]:
         query = trigram_query(pattern.pattern)
