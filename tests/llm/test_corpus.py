@@ -109,6 +109,14 @@ def test_private_keys_go_whole(spark):
     assert got[5] == 'a {"k": "[SECRET]\\n"} b' and got[8] == "The [SECRET] line begins a key." and got[9] == "[SECRET] and [SECRET] b"
 
 
+def test_long_tokens_go_whole(spark):
+    long = "aB3x" * 100
+    tokens = ["eyJ" + "hb3Q" * 750 + ".eyJ" + "x_-9" * 750 + "." + "sIg0" * 750, "eyJ" + "h" * 20000 + ".eyJ" + "p" * 20000 + "." + "s" * 20000, "ghp_" + long, "xoxb-" + long, "sk_live_" + long]
+    out = {r["doc_id"]: r["spans"] for r in secrets.secret_digests(docs_of(spark, [f"é {t} b" for t in tokens])).collect()}
+    kinds = ["jwt", "jwt", "github", "slack", "stripe"]
+    assert [out[i] for i in range(len(tokens))] == [f"{k}:2:{2 + len(t)}" for k, t in zip(kinds, tokens, strict=True)]
+
+
 def test_trigram_queries():
     for _, pattern, *_ in BASE_RULES[:2]:
         query = trigram_query(pattern.pattern)
