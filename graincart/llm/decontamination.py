@@ -73,11 +73,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
     A document word is hit if it stands in an occurrence of ``window`` consecutive words of an
     item, or of a whole item of fewer words. Null texts and texts without words have no hits, and
     items without words are never found; an empty benchmark hits nothing. Repeated rows of
-    ``docs`` have equal results; items that repeat an item_id count once in ``items``. An empty
+    ``docs`` have equal results; items that repeat an item_id count once in ``items``, and all items
+    without an id as one, which stands there as a null: n_items counts it, items_sha256 has no name
+    for it. An empty
     table gives an empty result. Other columns of either table are ignored.
     """
     key = F.md5("text").alias("key")
-    items = materialize(benchmark.where("text is not null and item_id is not null").select("item_id", words(F.col("text")).alias("item_words")).where("size(item_words) > 0").distinct())
+    items = materialize(benchmark.where("text is not null").select("item_id", words(F.col("text")).alias("item_words")).where("size(item_words) > 0").distinct())
     items = items.withColumn("item", F.xxhash64("item_id", "item_words"))
     short = sorted(r[0] for r in items.where(F.size("item_words") < window).select(F.size("item_words")).distinct().limit(window).collect())
     # of equal texts each is looked at: to find them first would move all texts
@@ -111,7 +113,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
     # spans of a text that overlap count their words once
     before = Window.partitionBy("key").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     new = F.greatest(F.col("end") - F.greatest("start", F.coalesce(F.max("end").over(before), F.lit(0))), F.lit(0))
-    hits = hits.withColumn("new", new).groupBy("key").agg(F.sum("new").alias("n_hit"), F.collect_set("item_id").alias("items"))
+    hits = hits.withColumn("new", new).groupBy("key").agg(F.sum("new").alias("n_hit"), F.transform(F.collect_set(F.struct("item_id")), lambda x: x["item_id"]).alias("items"))
     hits = broadcast_if_small(materialize(hits))
 
     rows = docs.select("doc_id", *carry, F.coalesce(F.size(F.array_remove(F.split("text", BETWEEN_ANY), "")), F.lit(0)).cast("long").alias("n_words"), key)

@@ -149,6 +149,26 @@ def test_contamination_against_brute_force(spark):
     assert contamination(docs_of(spark, texts), spark.createDataFrame([], "item_id long, text string")).where("contaminated").count() == 0
 
 
+def test_contamination_by_items_without_id(spark):
+    import duckdb
+
+    from graincart.llm import oracle
+
+    words = PROSE.split()
+    items = [(1, PROSE), (None, PROSE), (None, "one two three"), (None, "four five"), (2, "four five"), (None, None)]
+    texts = [PROSE, " ".join(words[3:15]), "zero one two three", "one two three four five", "six", None]
+    out = contamination_digests(docs_of(spark, texts), spark.createDataFrame(items, "item_id long, text string"))
+    con = duckdb.connect()
+    for name, ids, rows in (("documents", "doc_id", list(enumerate(texts))), ("benchmark", "item_id", items)):
+        con.execute(f"CREATE TABLE {name} ({ids} BIGINT, text VARCHAR)")
+        con.executemany(f"INSERT INTO {name} VALUES (?, ?)", rows)
+    found = con.execute(oracle.CONTAMINATION)
+    names = [x[0] for x in found.description]
+    assert sorted(tuple(r[c] for c in names) for r in out.collect()) == sorted(found.fetchall())
+    hit = {r["doc_id"]: (r["n_hit"], r["n_items"]) for r in out.collect()}
+    assert hit[2] == (3, 1) and hit[3] == (5, 2)
+
+
 def test_licenses(spark):
     texts = ["cc by nc cc-by-nc under the MIT license", licenses.NOTICES[0].text.replace("merge", "fuse"), "Released under the GPL", None, "This work is licensed under the GNU General Public License, version 3."]
     out = {r["doc_id"]: r for r in licenses.license_digests(docs_of(spark, texts)).collect()}
