@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ALONE = "_all"
+#: Numbers that near copies meet by cells of; the others are only compared. Rows of a cell for each key.
+GRID, CELL_ROWS = 3, 2000
 
 
 def _running(column: str) -> Column:
@@ -47,26 +49,63 @@ def correlation_drift(df: DataFrame, columns: list[str], is_sample: Column) -> D
     return df.agg((F.greatest(*gaps) if len(gaps) > 1 else gaps[0]).alias("drift"))
 
 
-def near_copies(made: DataFrame, sample: DataFrame, key: list[str], numeric: list[str], categorical: list[str], threshold: float, cap: int = 200) -> DataFrame:
-    """The first ``cap`` rows of ``made`` that lie within ``threshold`` of one of the first ``cap`` rows of ``sample``.
+def near_copies(made: DataFrame, sample: DataFrame, key: list[str], numeric: list[str], categorical: list[str], threshold: float, cap: int | None = None) -> DataFrame:
+    """The rows of ``made`` that lie within ``threshold`` of a row of ``sample``, with the least distance.
 
     The distance is the largest over the columns: numbers scaled by the sample's range, categories
-    0 or 1; both missing is 0, one missing is 1. The cap is the operator's own definition, and it
-    bounds the broadcast side.
+    0 or 1; both missing is 0, one missing is 1. With ``cap`` only the first rows of each side by
+    ``key`` count, as in the reference's report.
+
+    Equal rows of a side are compared once. Below a threshold of 1, rows meet by their categories,
+    missing values and cells of the threshold's width on the first numbers; a cell with many rows is
+    dealt over several keys.
     """
-    left = made.orderBy(*key).limit(cap)
-    right = sample.orderBy(*key).limit(cap)
-    ends = right.agg(*[f for c in numeric for f in ((F.max(c) - F.min(c)).alias(f"r_{c}"),)])
-    right = right.select(*[F.col(c).alias(f"s_{c}") for c in (*numeric, *categorical)]).crossJoin(F.broadcast(ends))
+    if cap is not None:
+        made, sample = made.orderBy(*key).limit(cap), sample.orderBy(*key).limit(cap)
+    columns = [*numeric, *categorical]
+    ends = sample.agg(F.lit(1).alias("one"), *[f for c in numeric for f in (F.min(c).cast("double").alias(f"m_{c}"), (F.max(c) - F.min(c)).cast("double").alias(f"r_{c}"))])
+    row = F.struct(*columns).alias("row")
+    meets = F.struct(*_meeting(numeric, categorical, threshold)).alias("meets")
+    left = made.select(row).distinct().select("row", "row.*").crossJoin(F.broadcast(ends)).select("row", *[f"r_{c}" for c in numeric], *columns, meets)
+    right = sample.select(row).distinct().select("row", "row.*").crossJoin(F.broadcast(ends)).select(*[F.col(c).alias(f"s_{c}") for c in columns], meets)
+    for i in range(min(len(numeric), GRID) if threshold < 1 else 0):
+        # a row of the sample stands in its own cell and in both beside it
+        cell = F.col(f"meets.cell{i}")
+        near = F.when(cell.isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.array(cell - 1, cell, cell + 1))
+        right = right.withColumn("_cell", F.explode(near))
+        right = right.withColumn("meets", F.col("meets").withField(f"cell{i}", F.col("_cell"))).drop("_cell")
+    count = lambda d, n: d.groupBy("meets").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias(n))
+    parts_of = count(left, "n_left").join(count(right, "n_right"), "meets")
+    left = _dealt(left.join(parts_of, "meets"), columns, "left", "right")
+    right = _dealt(right.join(parts_of, "meets"), [f"s_{c}" for c in columns], "right", "left")
     parts = []
     for c in numeric:
-        scale = F.when(F.col(f"r_{c}") == 0, 1.0).otherwise(F.col(f"r_{c}"))
-        parts.append(_missing(c, F.abs(F.col(c) - F.col(f"s_{c}")) / scale))
+        parts.append(_missing(c, F.abs(F.col(c) - F.col(f"s_{c}")).cast("double") / _scale(c)))
     for c in categorical:
         parts.append(_missing(c, F.when(F.col(c) == F.col(f"s_{c}"), 0.0).otherwise(1.0)))
     gap = F.greatest(*parts) if len(parts) > 1 else parts[0]
-    best = left.crossJoin(F.broadcast(right)).groupBy(*key).agg(F.min(gap).alias("distance"))
-    return best.where(F.col("distance") <= threshold)
+    best = left.join(right, ["meets", "left", "right"]).select("row", gap.alias("distance")).where(F.col("distance") <= threshold)
+    best = best.groupBy("row").agg(F.min("distance").alias("distance"))
+    return made.select(*[F.col(k).alias(f"k_{i}") for i, k in enumerate(key)], row).join(best, "row").groupBy(*[F.col(f"k_{i}").alias(k) for i, k in enumerate(key)]).agg(F.min("distance").alias("distance"))
+
+
+def _dealt(df: DataFrame, columns: list[str], own: str, other: str) -> DataFrame:
+    """Each row in one of its side's parts of a cell, once for each part of the other side."""
+    parts = F.sequence(F.lit(0).cast("long"), F.col(f"n_{other}").cast("long") - 1)
+    return df.withColumn(own, F.pmod(F.xxhash64(*columns), F.col(f"n_{own}").cast("long"))).withColumn(other, F.explode(parts)).drop("n_left", "n_right")
+
+
+def _scale(c: str) -> Column:
+    return F.when(F.col(f"r_{c}") == 0, 1.0).otherwise(F.col(f"r_{c}"))
+
+
+def _meeting(numeric: list[str], categorical: list[str], threshold: float) -> list[Column]:
+    """What is equal, or a cell beside, in any two rows within ``threshold``; nothing from 1 on."""
+    if threshold >= 1:
+        return [F.lit(0).alias("all")]
+    # a little wider than the threshold, so that rounding moves no pair further than a cell
+    cells = [F.floor((F.col(c).cast("double") - F.col(f"m_{c}")) / (_scale(c) * max(threshold, 1e-9) * 1.001)).alias(f"cell{i}") for i, c in enumerate(numeric[:GRID])]
+    return [F.lit(0).alias("all"), *cells, *[F.col(c).isNull().alias(f"none{i}") for i, c in enumerate(numeric[GRID:])], *[F.col(c).alias(f"same{i}") for i, c in enumerate(categorical)]]
 
 
 def _missing(c: str, distance: Column) -> Column:

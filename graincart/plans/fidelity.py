@@ -87,13 +87,21 @@ SELECT {_KEYS}, round(distance, 6) AS distance FROM d WHERE distance <= 0.05"""
 @query("fid_near", _NEAR)
 def fid_near(spark, sf_dir):
     df = table(spark, sf_dir, "lineitem")
-    out = fidelity.near_copies(df.where("l_returnflag = 'N'"), df.where("l_returnflag = 'R'"), KEY, ["l_quantity", "l_discount"], ["l_linestatus"], 0.05)
+    out = fidelity.near_copies(df.where("l_returnflag = 'N'"), df.where("l_returnflag = 'R'"), KEY, ["l_quantity", "l_discount"], ["l_linestatus"], 0.05, cap=200)
     return out.select(*KEY, F.round("distance", 6).alias("distance"))
 
 
 query("jn_near", _NEAR)(fid_near)
 
 
+@query("fid_near_all", _NEAR.replace(" LIMIT 200", ""))
+def fid_near_all(spark, sf_dir):
+    """``fid_near`` without the cap that its SQL has: all rows of both sides."""
+    df = table(spark, sf_dir, "lineitem")
+    out = fidelity.near_copies(df.where("l_returnflag = 'N'"), df.where("l_returnflag = 'R'"), KEY, ["l_quantity", "l_discount"], ["l_linestatus"], 0.05)
+    return out.select(*KEY, F.round("distance", 6).alias("distance"))
+
+
 @query("agg_balance", "SELECT v AS value, w AS wanted, (SELECT avg(CASE WHEN l_returnflag = v THEN 1.0 ELSE 0.0 END) FROM lineitem) AS actual FROM (VALUES ('A', 0.25), ('N', 0.5), ('R', 0.25)) t(v, w)".replace("0.25)", "CAST(0.25 AS DOUBLE))").replace("0.5)", "CAST(0.5 AS DOUBLE))"))
 def agg_balance(spark, sf_dir):
     return fidelity.balance(table(spark, sf_dir, "lineitem"), "l_returnflag", {"A": 0.25, "N": 0.5, "R": 0.25})

@@ -55,3 +55,27 @@ def test_labelling_resumes(spark, tmp_path):
     run()
     out = spark.read.parquet(folder("out"))
     assert sorted(r["__row_id__"] for r in out.collect()) == list(range(6)) and out.where("size <> 8").count() == 0
+
+
+@pytest.mark.parametrize("threshold", [0.0, 0.04, 1.0])
+def test_near_copies_of_all_rows(spark, threshold, monkeypatch):
+    import random
+
+    from graincart.operators import fidelity
+
+    monkeypatch.setattr(fidelity, "CELL_ROWS", 7)
+    rng = random.Random(5)
+    number = lambda: rng.choice([None, 0.0, round(rng.uniform(-3, 3), 2), float(rng.randint(-2, 2))])
+    rows = lambda n: [(i, number(), number(), rng.choice(["a", "b", None])) for i in range(n)]
+    made, sample = rows(400), rows(450)
+    ends = [(lambda v: max(v) - min(v))([r[c] for r in sample if r[c] is not None]) for c in (1, 2)]
+
+    def distance(a, b):
+        one = lambda x, y, gap: 0.0 if x is None and y is None else 1.0 if x is None or y is None else gap()
+        return max(*(one(a[c], b[c], lambda c=c: abs(a[c] - b[c]) / ends[c - 1]) for c in (1, 2)), one(a[3], b[3], lambda: float(a[3] != b[3])))
+
+    wanted = {a[0]: min(distance(a, b) for b in sample) for a in made}
+    schema = "id long, x double, y double, c string"
+    out = fidelity.near_copies(spark.createDataFrame(made, schema), spark.createDataFrame(sample, schema), ["id"], ["x", "y"], ["c"], threshold)
+    got = {r["id"]: r["distance"] for r in out.collect()}
+    assert got == {i: d for i, d in wanted.items() if d <= threshold} and max(got) >= 200
