@@ -28,6 +28,13 @@ MAIN = {"article", "main"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 ASIDE_NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "footer", "gdpr", "header", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "overlay", "pager", "pagination", "popup", "promo", "promotion", "related", "replies", "respond", "search", "share", "sharing", "sidebar", "skip", "social", "sponsor", "sponsored", "subscribe", "teaser", "toolbar", "topbar", "widget", "widgets", "complementary", "contentinfo", "alert", "alertdialog"}
+#: Names of what is no main text however much of it there is; the others may be those of a wrapper.
+NEVER_MAIN = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "comment", "comments", "complementary", "consent", "contentinfo", "cookie", "cookies", "disqus", "footer", "gdpr", "popup", "promo", "promotion", "related", "replies", "respond", "sponsor", "sponsored", "teaser"}
+#: What a class says about the page rather than about its element, and what may stand behind a name.
+ABOUT_PAGE = {"has", "hide", "is", "no", "not", "show", "with", "without"}
+BEHIND = {"area", "bar", "block", "body", "bottom", "box", "buttons", "container", "form", "inner", "item", "items", "left", "link", "links", "list", "post", "posts", "primary", "right", "secondary", "section", "slot", "top", "wrap", "wrapper"}
+#: Words of a text container that may be the main one.
+LARGE = 40
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*'){0,400})>")
 _LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>?")
@@ -38,22 +45,57 @@ _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|d
 Piece = tuple[str, int, str, int]
 
 
+def aside_names(attributes: str) -> set[str]:
+    """The ASIDE_NAMES that a whole class, id or role is, that it ends in, or that it begins with before a word of BEHIND."""
+    out = set()
+    for m in _NAMES.finditer(attributes):
+        for name in (m.group(1) or m.group(2) or m.group(3) or "").lower().split():
+            parts = [x for x in _WORD.findall(name) if not x.isdigit()]
+            if not parts or parts[0] in ABOUT_PAGE:
+                continue
+            if parts[-1] in ASIDE_NAMES or any(x in ASIDE_NAMES and y in BEHIND for x, y in zip(parts, parts[1:], strict=False)):
+                out.update(parts)
+    return out & ASIDE_NAMES
+
+
 def pieces(html: str) -> list[Piece]:
-    """(class, words, text, block) of the tags and texts of a page; a tag has no words and no text."""
+    """(class, words, text, block) of the tags and texts of a page; a tag has no words and no text.
+
+    A form, or an element that is an aside by a name a wrapper may have, is none if no article or
+    main stands outside and it holds more than half of the page's words: they count half. An
+    article or main within it ends its effect.
+    """
+    found, wrappers = _pieces(html, frozenset())
+    return _pieces(html, wrappers)[0] if wrappers else found
+
+
+def _pieces(html: str, wrappers: frozenset[int]) -> tuple[list[Piece], frozenset[int]]:
+    """The pieces if the elements that begin at ``wrappers`` are no asides, and which elements should be."""
     out: list[Piece] = []
-    stack: list[tuple[str, bool, bool]] = []
+    stack: list[tuple[str, int, int, int]] = []
+    halves = free_mains = all_words = 0
+    # of each open aside where it begins, or -1 if it is never main; words and articles of those that may be main
+    open_at: list[int] = []
+    held, inner_mains = Counter(), set()
     block, at, size = 0, 0, len(html)
     asides = mains = links = heads = 0
     one_main = bool(re.search(r"<(?:article|main)[\s>]", html, re.IGNORECASE))
     lower = None
 
     def text(raw: str) -> None:
+        nonlocal all_words
         if not raw or raw.isspace():
             if raw and out and out[-1][3] == block and out[-1][2]:
                 out.append(("space", 0, " ", block))
             return
         raw = unescape(raw)
         n = len(raw.split())
+        if not links and -1 not in open_at:
+            all_words += n
+            for i in open_at:
+                held[i] += n
+        if halves and not mains:
+            n = max(n // 2, 1)
         if asides:
             # what is left out anyway must not cut a region in two
             place, n = ("aside-main" if mains else "aside"), min(n, 4)
@@ -102,7 +144,9 @@ def pieces(html: str) -> list[Piece]:
             if any(x[0] == name for x in stack):
                 while stack:
                     gone = stack.pop()
-                    asides, mains = asides - gone[1], mains - gone[2]
+                    asides, mains, halves = asides - gone[1], mains - gone[2], halves - gone[3]
+                    if gone[1] > 0:
+                        open_at.pop()
                     if gone[0] == name:
                         break
                     links -= gone[0] == "a"
@@ -114,10 +158,16 @@ def pieces(html: str) -> list[Piece]:
             stack.pop()
         if rest.endswith("/"):
             continue
+        may, half = name == "form", False
         aside = name in ASIDE or name in ("head", "title") or (name == "header" and not mains)
         if rest and not aside and name not in ("body", "html") and name not in MAIN:
-            words = {w for m in _NAMES.finditer(rest) for w in _WORD.findall((m.group(1) or m.group(2) or m.group(3) or "").lower())}
-            aside = bool(words & ASIDE_NAMES) and not (mains and words & ASIDE_NAMES <= {"header"}) or bool(_HIDDEN.search(rest))
+            words, hidden = aside_names(rest), bool(_HIDDEN.search(rest))
+            aside = bool(words) and not (mains and words <= {"header"}) or hidden
+            may = not hidden and not words & NEVER_MAIN
+        if name == "form" and _HIDDEN.search(rest):
+            may = False
+        if aside and may and start in wrappers:
+            aside, half = False, True
         # what may stay open must not swallow the rest of the page
         if name in INLINE and name != "a" or name == "p" and not aside:
             if not aside:
@@ -129,9 +179,17 @@ def pieces(html: str) -> list[Piece]:
         if len(name) == 2 and name[0] == "h" and name[1].isdigit():
             heads += 1
         main = name in MAIN
-        stack.append((name, aside, main))
-        asides, mains = asides + aside, mains + main
-    return out
+        if main and -1 not in open_at and not aside_names(rest):
+            free_mains += not open_at
+            inner_mains.update(open_at)
+        if aside:
+            open_at.append(start if may else -1)
+        stack.append((name, int(aside), int(main), int(half)))
+        asides, mains, halves = asides + aside, mains + main, halves + half
+    if wrappers or free_mains:
+        return out, wrappers
+    large = {i for i, n in held.items() if n >= LARGE and 2 * n > all_words}
+    return out, frozenset(inner_mains or large)
 
 
 def weights_from(labelled: Iterable[tuple[str, int, int]]) -> dict[str, float]:

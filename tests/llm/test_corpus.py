@@ -307,6 +307,22 @@ def test_html():
     assert read('<header>Site name</header><div id="content"><h1>Big</h1><p>text with several words in it</p></div><div class="sidebar">side words</div>') == "Big\ntext with several words in it"
 
 
+def test_html_wrappers():
+    weights = html.weights_from(html.labelled_pages())
+    read = lambda page: html.main_text(page, weights)
+    body = f"<h1>Big title</h1><p>{PROSE}</p><p>{PROSE}</p>"
+    wanted = f"Big title\n{PROSE}\n{PROSE}"
+    nav, foot = '<nav><a href="/">Home</a></nav>', f'<div class="comments"><p>{PROSE} {PROSE} {PROSE}</p></div><footer>us</footer>'
+    for wrap in ("content has-sidebar", "no-sidebar", "with-comments", "elementor-widget-text-editor", "sidebar", "page-header"):
+        assert read(f'{nav}<div class="{wrap}">{body}</div>{foot}') == wanted, wrap
+        assert read(f'{nav}<div class="{wrap}"><article>{body}</article></div>{foot}') == wanted, wrap
+    assert read(f"<form id=aspnet>{nav}{body}{foot}</form>") == read(f"<form id=aspnet>{nav}<main>{body}</main>{foot}</form>") == wanted
+    for name in ("sidebar", "widget-area", "related-posts", "ad-slot-2", "comment-list", "site-footer"):
+        assert read(f'{nav}<article>{body}</article><div class="{name}"><article><p>{PROSE}</p></article></div>') == wanted, name
+        assert read(f'{nav}<div>{body}</div><div class="{name}"><p>side words here</p></div>') == wanted, name
+    assert read(f'<div hidden>{body}</div>') == read("<form><p>Log in</p></form>") == ""
+
+
 def test_pipeline_and_queries(spark):
     import __spark_entry__
     import corpus_pipeline
