@@ -4,14 +4,21 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-
-#: Rows that a broadcast table may have; larger tables are joined by a shuffle.
-BROADCAST_ROWS = 300_000
+from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
+
+#: Bytes that a broadcast table may have; larger tables are joined by a shuffle.
+BROADCAST_BYTES = 24_000_000
+#: A key is hot if it has more than this share of all rows, and more than so many rows.
+HOT_SHARE, HOT_ROWS = 1 / 2000, 1000
+#: Rows and bytes of a batch that goes to a Python task.
+BATCH_ROWS, BATCH_BYTES = 2000, "16m"
 _own_dirs: dict[str, str] = {}
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -35,16 +42,74 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once into the shared folder and read it back: it cuts the lineage, and a lost
-    executor costs no recomputation of what is before."""
+    executor costs no recomputation of what is before. ``discard`` deletes it again."""
     path = f"{shared_dir(df.sparkSession)}/graincart-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if its counted rows are at most ``rows``; else unchanged, so that
-    the join shuffles. ``df`` should be narrow and cheap to count (a materialized table)."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def view_of(out: DataFrame, table_: DataFrame) -> DataFrame:
+    """``out``, a selection from the materialized ``table_``, as the one to discard."""
+    if table_ in _paths:
+        _paths[out] = _paths.pop(table_)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables once all that was read from them is written."""
+    for table_ in tables:
+        path = _paths.pop(table_, None)
+        if path:
+            spark = table_.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _bytes(value: Column, kind: DataType) -> Column:
+    """About how many bytes a value takes."""
+    if isinstance(kind, StringType | BinaryType):
+        size = F.octet_length(value)
+    elif isinstance(kind, ArrayType):
+        inner = kind.elementType
+        fixed = not isinstance(inner, StringType | BinaryType | ArrayType | MapType | StructType)
+        size = F.size(value) * 8 if fixed else F.aggregate(value, F.lit(0).cast("long"), lambda total, x: total + _bytes(x, inner))
+    elif isinstance(kind, StructType):
+        size = sum((_bytes(value[f.name], f.dataType) for f in kind.fields), F.lit(0))
+    else:
+        return F.lit(8).cast("long")
+    return F.coalesce(size.cast("long"), F.lit(0)) + 16
+
+
+def broadcast_if_small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if the bytes of its values are at most ``most``; else unchanged, so
+    that the join shuffles. ``df`` should be cheap to read (a materialized table)."""
+    each = sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(16))
+    size = df.agg(F.sum(each)).first()[0] or 0
+    return F.broadcast(df) if size <= most else df
+
+
+def hot_rows(total: int) -> float:
+    """The number of rows beyond which a key is hot, of ``total`` rows; there are at most 1 / HOT_SHARE such keys."""
+    return max(total * HOT_SHARE, HOT_ROWS)
+
+
+def join_spread(left: DataFrame, right: DataFrame, key: str, counts: DataFrame, total: int, how: str = "inner") -> DataFrame:
+    """Join by ``key`` without all rows of a hot key in one task.
+
+    ``counts`` (``key``, rows) tells how many of the ``total`` rows of ``left`` each key has. Hot
+    keys, at most 1 / HOT_SHARE of them, are split into parts of hot_rows(total) rows, and their
+    rows in ``right`` are repeated for each part.
+    """
+    most = hot_rows(total)
+    hot = F.broadcast(counts.where(F.col("rows") > most).select(key, F.ceil(F.col("rows") / most).cast("int").alias("_parts")))
+    parts = F.coalesce("_parts", F.lit(1))
+    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), parts).cast("int").alias("_part")
+    left = left.join(hot, key, "left").select(*[F.col(f"`{c}`") for c in left.columns], spread)
+    right = right.join(hot, key, "left").select(*[F.col(f"`{c}`") for c in right.columns], F.explode(F.sequence(F.lit(0), parts - 1)).alias("_part"))
+    # a sorted merge at every size: a table that grows with the data must not be broadcast while it is small
+    return left.join(right.hint("merge"), [key, "_part"], how).drop("_part")
 
 
 def lower_ascii(text: Column) -> Column:
@@ -57,8 +122,17 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the batches of this session's Python tasks, unless somebody has set them lower."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(rows)) > BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def in_pandas(df: DataFrame, run: Callable, key: str, schema: str) -> DataFrame:
     """``df`` through ``run`` by mapInPandas; whole numbers in ``key`` pass as text, as pandas would turn those beside a null into floats."""
+    small_batches(df.sparkSession)
     kind = df.schema[key].dataType
     out = df.withColumn(key, F.col(key).cast("string")).mapInPandas(run, f"`{key}` string, {schema}")
     return out.withColumn(key, F.col(key).cast(kind))

@@ -2,17 +2,18 @@
 
 A document's set holds the hashes of its five-word shingles, and its sketch the ``k`` smallest of
 them. Documents with equal sets form a class, and only classes are compared. Inverted lists of
-retained values generate the candidates. Two sets at the threshold share so many of their retained
-values, but for a chance below 1e-8, that they also meet in the list of one of the rarest values of
-each sketch (as many as may be missing, and one), and only these are listed. That keeps passages
-that many documents share out of the lists.
-
-The first lists hold small sketches of all classes. Classes that meet there are listed again: sets
-up to ``WHOLE`` values by all their values, where the bound is certain, the others by larger
-sketches. Lists are not expanded into pairs. First each class is compared with the smallest class
-of the lists. Then, within each list, only classes outside the list's most common component are
-compared with the classes of other components, at the first value that the two have in common, and
-only if the sizes and the values passed by allow the threshold. The full sets decide.
+retained values generate overlaps: two sets at the threshold share so many retained values, but for
+a chance below 1e-8, that they also meet in the list of one of the rarest values of each sketch (as
+many as may be missing, and one), and only these are listed. That keeps passages that many
+documents share out of the lists.
+
+Small sketches of all classes tell which classes meet any other at all; these get larger sketches,
+which are listed again and give the pairs. Lists are not expanded into all pairs: first each class is
+compared with the smallest class of the lists, then only classes outside a list's most common
+component with the classes of other components there, and only if their sizes and what is left of
+their lists allow the threshold. Of each pair the ``k`` smallest values of the union of both sketches
+estimate the similarity; pairs whose estimate is too low by chance but for 1e-8 go, and the full sets
+decide about the others.
 """
 
 from __future__ import annotations
@@ -26,14 +27,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graincart.llm.common import broadcast_if_small, in_pandas, materialize
+from graincart.llm.common import broadcast_if_small, discard, in_pandas, join_spread, materialize, small_batches
 from graincart.llm.components import components
 from graincart.llm.hashing import shingle_set, spaced_words
 
 SHINGLE = 5
-RETAINED, RETAINED_AGAIN = 48, 96
-WHOLE = 240
+#: Values in the small sketches of all classes, and in those of classes that meet others.
+RETAINED, RETAINED_AGAIN = 48, 256
 CHANCE = 1e-8
+#: Hashes that a Python task holds before it hands rows on.
+HELD = 500_000
 
 
 def least_share(k: int, threshold: float, chance: float = CHANCE) -> float:
@@ -46,48 +49,61 @@ def least_share(k: int, threshold: float, chance: float = CHANCE) -> float:
     return low
 
 
-def _sketch(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        n, names, sketches = [], [], []
-        for text in batch["text"]:
-            found = shingle_set(spaced_words(text), SHINGLE)
-            n.append(len(found))
-            names.append(xxhash.xxh3_128_hexdigest(found.tobytes()) if len(found) else None)
-            sketches.append(found[:k].view(np.int64))
-        yield pd.DataFrame({"doc_id": batch["doc_id"].array, "id": batch["id"], "n_shingles": n, "name": names, "sketch": sketches})
+def _set(text: str | None) -> tuple[np.ndarray, str | None]:
+    """The sorted set of a text and its name."""
+    found = np.sort(shingle_set(spaced_words(text), SHINGLE).view(np.int64))
+    return found, xxhash.xxh3_128_hexdigest(found.tobytes()) if len(found) else None
 
 
-def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _sketch(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        found = [shingle_set(spaced_words(text), SHINGLE) for text in batch["text"]]
-        out = pd.DataFrame({"node": batch["node"], "n": [len(x) for x in found], "shingles": [x.view(np.int64) for x in found]})
-        yield out[[xxhash.xxh3_128_hexdigest(x.tobytes()) == name for x, name in zip(found, batch["name"], strict=True)]]
-
-
-def _id() -> Column:
-    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
+        sets = ((len(found), name, found[:k].copy()) for found, name in map(_set, batch["text"]))
+        yield pd.concat([batch.drop(columns="text"), pd.DataFrame(sets, columns=["n_shingles", "name", "sketch"], index=batch.index)], axis=1)
 
 
-def _rarest(sets: DataFrame, need: Column) -> DataFrame:
-    """(node, n, values, passed): the values by which a node of ``sets`` (node, n, values) is listed.
-
-    They are the rarest, one more than may be missing if ``need`` of the values are shared. Values
-    that no other node has come first, cannot meet and are only counted, in ``passed``.
+def _sets(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
+    """Sketch and rest of the sets that have the name which is wanted of their row."""
+    names = ["node", "n", "sketch", "rest"]
+    for batch in batches:
+        out, held = [], 0
+        for node, wanted, text in zip(batch["node"], batch["name"], batch["text"], strict=True):
+            found, name = _set(text)
+            if name == wanted:
+                out.append((node, len(found), found[:k], found[k:] if len(found) > k else None))
+                held += len(found)
+            if held > HELD:
+                yield pd.DataFrame(out, columns=names)
+                out, held = [], 0
+        yield pd.DataFrame(out, columns=names)
+
+
+def _rarest(sets: DataFrame, total: int) -> DataFrame:
+    """(node, n, need, left, value): the values by which a node of ``sets`` (node, n, need, values) is listed.
+
+    They are the rarest, one more than may be missing if ``need`` of the values are shared; ``left``
+    is how many values come from there on. Values that no other node has come first, cannot meet
+    and are only counted. ``total`` bounds the number of values of all nodes.
     """
     each = sets.select("node", F.explode("values").alias("value"))
-    shared = each.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
-    met = each.join(shared, "value").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("met"))
-    sized = sets.select("node", "n", F.size("values").alias("held"), F.ceil(need).cast("int").alias("need"))
-    out = met.join(sized, "node").withColumn("passed", F.col("held") - F.size("met"))
-    listed = F.slice("met", 1, F.greatest(F.col("held") - F.col("need") + 1 - F.col("passed"), F.lit(0)))
-    return out.select("node", "n", "passed", F.transform(listed, lambda x: x["value"]).alias("values")).where("size(values) > 0")
-
-
-def _met_in_lists(lists: DataFrame) -> DataFrame:
-    """The entries of lists with two nodes or more: (value, at) and the columns of ``lists``."""
-    entries = lists.select("*", F.posexplode("values").alias("at", "value"))
-    ends = entries.groupBy("value").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
-    return entries.join(ends, "value")
+    shared = materialize(each.groupBy("value").agg(F.count("*").alias("rows")).where("rows > 1"))
+    met = join_spread(each, shared.withColumnRenamed("rows", "df"), "value", shared, total)
+    met = met.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("met"))
+    sized = sets.select("node", "n", "need", F.size("values").alias("held"))
+    out = met.hint("merge").join(sized, "node").withColumn("alone", F.col("held") - F.size("met"))
+    listed = F.slice("met", 1, F.greatest(F.col("held") - F.col("need") + 1 - F.col("alone"), F.lit(0)))
+    out = out.select("node", "n", "need", F.size("met").alias("meets"), F.posexplode(listed).alias("at", "entry"))
+    out = materialize(out.select("node", "n", "need", (F.col("meets") - F.col("at")).alias("left"), F.col("entry.value").alias("value")))
+    discard(shared)
+    return out
+
+
+def _with_least(lists: DataFrame, total: int) -> DataFrame:
+    """The entries of lists with two nodes or more, with the smallest node of the list (lo) and its size."""
+    ends = lists.groupBy("value").agg(F.min(F.struct("node", F.col("n").alias("m"))).alias("lo"), F.max("node").alias("hi"), F.count("*").alias("rows"))
+    ends = materialize(ends.where("lo.node < hi").select("value", F.col("lo.node").alias("lo"), F.col("lo.m").alias("m"), "rows"))
+    out = materialize(join_spread(lists, ends.drop("rows"), "value", ends.select("value", "rows"), total).select("value", "node", "n", "need", "left", "lo", "m"))
+    discard(ends)
+    return out
 
 
 def _sizes(n: str, m: str, percent: int) -> Column:
@@ -96,82 +112,155 @@ def _sizes(n: str, m: str, percent: int) -> Column:
 
 def _by_hub(entries: DataFrame, percent: int) -> DataFrame:
     """For each node the smallest node of a list, that of most lists if there are several."""
-    hubs = entries.groupBy("mode", "value").agg(F.min(F.struct("node", F.col("n").alias("m"))).alias("hub"))
-    near = entries.select("mode", "value", "node", "n").join(hubs, ["mode", "value"]).select("node", "n", "hub.m", F.col("hub.node").alias("hub"))
-    near = near.where("node <> hub").where(_sizes("n", "m", percent))
-    counts = near.groupBy("node", "hub").agg(F.count("*").alias("lists"))
-    best = counts.groupBy("node").agg(F.max_by("hub", F.struct("lists", -F.col("hub"))).alias("hub"))
-    return best.select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    near = entries.where("node <> lo").where(_sizes("n", "m", percent))
+    counts = near.groupBy("node", "lo").agg(F.count("*").alias("lists"))
+    best = counts.groupBy("node").agg(F.max(F.struct("lists", -F.col("lo"))).alias("best"))
+    return materialize(best.select((-F.col("best")["col2"]).alias("a"), F.col("node").alias("b")))
 
 
-def _across(entries: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+def _across(entries: DataFrame, parts: DataFrame, percent: int, k: int, total: int) -> DataFrame:
     """The pairs of nodes of a list that are in different components and can reach the threshold."""
-    marked = entries.select("mode", "value", "node").join(parts.withColumnRenamed("component", "part"), "node", "left")
-    marked = marked.withColumn("part", F.coalesce("part", "node"))
-    main = marked.groupBy("mode", "value", "part").agg(F.count("*").alias("nodes")).groupBy("mode", "value")
-    main = main.agg(F.count("*").alias("parts"), F.max_by("part", F.struct("nodes", "part")).alias("main")).where("parts > 1").drop("parts")
-    # a set listed whole cannot share the values that it has passed by
-    most = F.when(F.col("mode") == 0, F.col("n") - F.col("passed") - F.col("at")).otherwise(F.col("n"))
-    full = entries.select("mode", "value", "node", "n", "values", most.alias("most"))
-    full = full.join(marked.select("mode", "value", "node", "part"), ["mode", "value", "node"]).join(main, ["mode", "value"])
-    full = materialize(full)
-    other = full.where("part <> main").drop("main")
-    other = other.select("mode", "value", *[F.col(c).alias(f"{c}_x") for c in ("node", "n", "values", "most", "part")])
+    marked = entries.drop("lo", "m").join(parts.withColumnRenamed("component", "part").hint("merge"), "node", "left")
+    marked = materialize(marked.withColumn("part", F.coalesce("part", "node")))
+    main = marked.groupBy("value", "part").agg(F.count("*").alias("nodes"))
+    main = main.groupBy("value").agg(F.count("*").alias("parts"), F.max(F.struct("nodes", "part")).alias("main"), F.sum("nodes").alias("rows")).where("parts > 1")
+    main = materialize(main.select("value", F.col("main.part").alias("main"), "rows"))
+    full = materialize(join_spread(marked, main.drop("rows"), "value", main.select("value", "rows"), total))
+    discard(marked)
+    other = full.where("part <> main").select("value", *[F.col(c).alias(f"{c}_x") for c in ("node", "n", "need", "left", "part")])
     # a pair of two others is met from both sides, and counts once
     once = (F.col("part") != F.col("part_x")) & ((F.col("part") == F.col("main")) | (F.col("node") < F.col("node_x")))
-    both = F.least("most", "most_x")
-    reach = 100 * both >= percent * (F.col("n") + F.col("n_x") - both)
-    first = F.element_at(F.array_intersect("values", "values_x"), 1) == F.col("value")
-    pairs = full.join(other, ["mode", "value"]).where(once & _sizes("n", "n_x", percent) & reach & first)
-    return pairs.select(F.least("node", "node_x").alias("a"), F.greatest("node", "node_x").alias("b")).distinct()
-
-
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    # no more can be shared than is left of either list, at the first value that the two share
+    both = F.least("left", "left_x")
+    reach = (both >= F.greatest("need", "need_x")) & ((F.greatest("n", "n_x") > k) | (100 * both >= percent * (F.col("n") + F.col("n_x") - both)))
+    pairs = join_spread(full, other, "value", main.select("value", "rows"), full.count()).where(once & _sizes("n", "n_x", percent))
+    # what is left at the first common value decides, and that is the most
+    pairs = pairs.groupBy(F.least("node", "node_x").alias("a"), F.greatest("node", "node_x").alias("b")).agg(F.max(reach).alias("reach"))
+    pairs = materialize(pairs.where("reach").select("a", "b"))
+    discard(full, main)
+    return pairs
+
+
+def _links(pairs: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFrame:
     """The pairs (a, b) of nodes whose full sets are similar enough."""
-    side = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"set_{c}"))
-    full = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b")
-    both = F.size(F.array_intersect("set_a", "set_b"))
-    similar = 100 * both >= percent * (F.size("set_a") + F.size("set_b") - both)
-    return materialize(full.where(similar).select("a", "b").distinct())
+    total = pairs.count()
+    often = materialize(pairs.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("rows")))
+
+    def beside(left: DataFrame, kept: list[Column]) -> DataFrame:
+        side = lambda c: sets.select(F.col("node").alias(c), F.struct("n", *kept).alias(f"of_{c}"))
+        # b once for each pair, a perhaps in very many
+        out = left.join(side("b").hint("merge"), "b")
+        return join_spread(out, side("a"), "a", often.withColumnRenamed("node", "a"), total)
+
+    x, y = F.col("of_a.sketch"), F.col("of_b.sketch")
+    both = F.size(F.array_intersect(x, y))
+    whole = F.greatest("of_a.n", "of_b.n") <= k
+    union = F.slice(F.array_sort(F.array_union(x, y)), 1, k)
+    estimate = F.size(F.array_intersect(union, F.array_intersect(x, y))) / F.size(union)
+    exact = lambda shared: 100 * shared >= percent * (F.col("of_a.n") + F.col("of_b.n") - shared)
+    may = F.when(whole, exact(both)).otherwise(estimate >= least_share(k, percent / 100))
+    close = materialize(beside(pairs, [F.col("sketch")]).where(may).select("a", "b", whole.alias("whole")))
+    # sketches of small sets are the sets, so that their estimate is exact; of others the rest is read too
+    full = lambda c: F.concat(F.col(f"of_{c}.sketch"), F.coalesce(F.col(f"of_{c}.rest"), F.array().cast("array<long>")))
+    again = beside(close.where("not whole").select("a", "b"), [F.col("sketch"), F.col("rest")]).where(exact(F.size(F.array_intersect(full("a"), full("b")))))
+    out = materialize(close.where("whole").select("a", "b").union(again.select("a", "b")))
+    discard(pairs, often, close)
+    return out
+
+
+def _classes(rows: DataFrame) -> DataFrame:
+    """name, id, node, first_id, copies, n and values for each distinct set.
+
+    The node is the smallest id, or where two classes have the same a hash of the name.
+    """
+    met = rows.where("n_shingles > 0").groupBy("name")
+    found = met.agg(F.min("id").alias("id"), F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("sketch").alias("values"))
+    found = materialize(found.withColumn("node", F.col("id")))
+    twice = found.groupBy("id").agg(F.count("*").alias("classes")).where("classes > 1").select("id", F.lit(True).alias("twice"))
+    if not twice.limit(1).count():
+        return found
+    twice = materialize(twice)
+    named = found.drop("node").join(broadcast_if_small(twice), "id", "left")
+    out = materialize(named.withColumn("node", F.when(F.col("twice"), F.xxhash64("name")).otherwise(F.col("id"))).drop("twice"))
+    discard(found, twice)
+    return out
+
+
+def _full_sets(docs: DataFrame, near: DataFrame, k: int) -> DataFrame:
+    """(node, n, sketch, rest) of the classes in ``near`` (id, name, node), one row each."""
+    texts = docs.select("id", "text").join(broadcast_if_small(near), "id").select("node", "name", "text")
+    sets = materialize(texts.mapInPandas(lambda batches: _sets(batches, k), "node long, n long, sketch array<long>, rest array<long>"))
+    if not sets.groupBy("node").count().where("count > 1").limit(1).count():
+        return sets
+    once = materialize(sets.groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("rest").alias("rest")))
+    discard(sets)
+    return once
+
+
+def _linked(docs: DataFrame, classes: DataFrame, percent: int, k: int, k_again: int) -> DataFrame:
+    """(node, component) of the classes that are linked with another."""
+    threshold = percent / 100
+    need = F.ceil(least_share(k, threshold) * F.least("n", F.lit(k))).cast("int")
+    lists = _rarest(classes.select("node", "n", need.alias("need"), "values"), classes.count() * k)
+    met = _with_least(lists, lists.count())
+    near = materialize(classes.select("id", "name", "node").join(met.select("node").distinct().hint("merge"), "node", "left_semi"))
+    discard(lists, met)
+    sets = _full_sets(docs, near, k_again)
+    discard(near)
+
+    # a set so small that all its partners are whole must share its part of the threshold itself
+    least = F.when(100 * F.col("n") <= percent * k_again, percent * F.col("n") / 100).otherwise(least_share(k_again, threshold) * F.size("sketch"))
+    lists = _rarest(sets.select("node", "n", F.ceil(least).cast("int").alias("need"), F.col("sketch").alias("values")), sets.count() * k_again)
+    total = lists.count()
+    entries = _with_least(lists, total)
+    discard(lists)
+    first = _links(_by_hub(entries, percent), sets, percent, k_again)
+    parts = components(first)
+    second = _links(_across(entries, parts, percent, k_again, total), sets, percent, k_again)
+    discard(parts, entries, sets)
+    parts = components(first.union(second))
+    discard(first, second)
+    return parts
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, k: int = RETAINED) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for each row of ``docs`` (doc_id, text).
+def near_duplicates(docs: DataFrame, percent: int = 85, carry: tuple[str, ...] = (), k: int = RETAINED, k_again: int = RETAINED_AGAIN) -> DataFrame:
+    """doc_id, the columns of ``carry``, n_shingles, component_id, kept and group for each row of ``docs`` (doc_id, text).
 
     Documents are linked if 100 * intersection >= percent * union of their sets of five-word
     shingles. Null texts and texts without words have an empty set, are linked with nothing and
     are their own component. A text of fewer than five words has its whole sequence as its one
     shingle. component_id is the smallest doc_id of the component; rows without doc_id take part,
     but their component_id is null if no row of the component has one, and then, as for any row
-    without doc_id, kept says whether component_id is null too. Repeated rows share their result,
-    and rows that share a doc_id share their component. An empty table gives an empty result; other
-    columns of ``docs`` are ignored.
+    without doc_id, kept says whether component_id is null too. Repeated rows share their result.
+    Rows of different texts that share a doc_id are documents of their own, linked only if their
+    texts are; ``group`` is one number for each component, and null for an empty set. Texts of any
+    length are compared whole. An empty table gives an empty result; other columns of ``docs`` are
+    ignored.
     """
-    threshold = percent / 100
-    rows = docs.select("doc_id", _id().alias("id"), "text")
-    rows = materialize(in_pandas(rows, lambda batches: _sketch(batches, k), "doc_id", "id long, n_shingles long, name string, sketch array<long>"))
-    classes = rows.where("n_shingles > 0").groupBy("name").agg(F.min("id").alias("node"), F.first("n_shingles").alias("n"), F.first("sketch").alias("values"))
-    classes = materialize(classes)
-    held = least_share(k, threshold) * F.least("n", F.lit(k))
-    near = _met_in_lists(materialize(_rarest(classes, held)))
-    near = materialize(classes.select("node", "name").join(near.select("node").distinct(), "node", "left_semi"))
-
-    texts = docs.select(_id().alias("node"), "text").join(broadcast_if_small(near), "node")
-    sets = materialize(texts.select("node", "name", "text").mapInPandas(_sets, "node long, n long, shingles array<long>"))
-    whole = materialize(_rarest(sets.where(F.col("n") <= WHOLE).select("node", "n", F.col("shingles").alias("values")), threshold * F.col("n")))
-    again = sets.where(F.col("n") > threshold * WHOLE).select("node", "n", F.slice("shingles", 1, RETAINED_AGAIN).alias("values"))
-    again = materialize(_rarest(again, least_share(RETAINED_AGAIN, threshold) * F.size("values")))
-    entries = _met_in_lists(whole).withColumn("mode", F.lit(0)).unionByName(_met_in_lists(again).withColumn("mode", F.lit(1)))
-    entries = materialize(entries)
-
-    first = _links(_by_hub(entries, percent), sets, percent)
-    second = _links(_across(entries, components(first), percent), sets, percent)
-    parts = components(first.union(second))
-
-    nodes = classes.select("name", "node").join(parts, "node", "left").select("name", F.coalesce("component", "node").alias("part"))
-    rows = materialize(rows.select("doc_id", "n_shingles", "name").join(nodes, "name", "left"))
-    smallest = rows.where("part is not null").groupBy("part").agg(F.min("doc_id").alias("component_id"))
-    out = rows.join(smallest, "part", "left")
-    own = F.when(F.col("part").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    out = out.withColumn("component_id", own)
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    small_batches(docs.sparkSession)
+    named = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("id"), "text", *carry)
+    extra = "".join(f"`{c}` {named.schema[c].dataType.simpleString()}, " for c in carry)
+    rows = in_pandas(named, lambda batches: _sketch(batches, k), "doc_id", f"id long, {extra}n_shingles long, name string, sketch array<long>")
+    rows = materialize(rows)
+    classes = _classes(rows)
+    parts = _linked(named, classes, percent, k, k_again)
+    roots = parts.select(F.col("component").alias("node"), "component").distinct()
+
+    # classes that have copies or links; the name of a component is its smallest node, which is the smallest doc_id but where ids are null or repeated
+    found = materialize(classes.select("name", "id", "node", "first_id", "copies").join(parts.union(roots).hint("merge"), "node", "left").where("copies > 1 or component is not null or node <> id"))
+    found = found.withColumn("part", F.coalesce("component", "node"))
+    least = found.groupBy("part").agg(F.min("first_id").alias("component_id")).where("not part <=> component_id").withColumn("other", F.lit(True))
+    least = materialize(least)
+    joined = found.join(broadcast_if_small(least), "part", "left").withColumn("component_id", F.when(F.col("other"), F.col("component_id")).otherwise(F.col("part")))
+    joined = materialize(joined.select("name", F.col("part").alias("_part_of"), "component_id", F.col("copies").alias("rows")))
+    discard(found, least, parts)
+
+    # a name that meets nothing for rows of empty sets, as all nulls would go to one task
+    key = F.coalesce("name", F.xxhash64("id", "doc_id").cast("string"))
+    rows = rows.select("doc_id", "id", *carry, "n_shingles", key.alias("name"))
+    out = join_spread(rows, joined.drop("rows"), "name", joined.select("name", "rows"), rows.count(), "left")
+    linked = F.col("_part_of").isNotNull()
+    own = F.when(linked, F.col("component_id")).otherwise(F.col("doc_id")).cast(docs.schema["doc_id"].dataType)
+    group = F.when(linked, F.col("_part_of")).when(F.col("n_shingles") > 0, F.col("id"))
+    out = out.select("doc_id", *carry, "n_shingles", own.alias("component_id"), group.alias("group"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", *carry, "n_shingles", "component_id", "kept", "group")
