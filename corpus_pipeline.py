@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graincart.llm.common import broadcast_if_small, materialize, table, with_rest
+from graincart.llm.common import broadcast_if_small, discard, materialize, table, with_rest
 from graincart.llm.decontamination import contamination
 from graincart.llm.langid import identify, learn
 from graincart.llm.minhash import near_duplicates
@@ -31,21 +31,25 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id.
+    """Of each group of near copies the document with the smallest doc_id; ties go by a hash of the text.
 
-    A row without doc_id goes by a hash of its text; of rows that repeat a doc_id one stays.
-    Texts without words are copies of nothing and stay.
+    A row without doc_id goes by a hash of its text. Rows equal in doc_id and text are one
+    document; rows of different texts that share a doc_id are documents of their own. Texts without
+    words are copies of nothing and stay.
     """
     named = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
-    found = near_duplicates(docs.select(named.alias("doc_id"), "text"), percent=SIMILAR)
-    kept = materialize(found.where("kept").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows")))
-    if kept.where("_rows > 1").limit(1).count():
-        once = lambda d: d.dropDuplicates(["_id"])
-    else:
-        once = lambda d: d
+    known = docs.select(named.alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    found = materialize(near_duplicates(known, percent=SIMILAR, carry=("text_hash",)).where("group is not null"))
+    first = found.groupBy("group").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.count("*").alias("rows")).where("rows > 1")
+    gone = found.join(first, "group").where("doc_id <> first.doc_id or text_hash <> first.text_hash")
+    gone = materialize(gone.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text")).distinct())
+    twice = found.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count()
+    discard(found)
 
     def work(d: DataFrame, rest: tuple[str, ...]) -> DataFrame:
-        return once(d.withColumn("_id", named).join(broadcast_if_small(kept.select("_id")), "_id", "left_semi"))
+        d = d.withColumn("_id", named).withColumn("_text", F.xxhash64("text"))
+        d = d.join(broadcast_if_small(gone), ["_id", "_text"], "left_anti")
+        return d.dropDuplicates(["_id", "_text"]) if twice else d
 
     return with_rest(docs, work)
 
