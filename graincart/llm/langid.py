@@ -3,7 +3,7 @@
 A text is the mean of the embeddings of its subwords, the runs of 2 to 4 characters of its words
 with a mark at each end of a word, hashed into buckets. A softmax layer on the mean names the
 language. Both are trained by stochastic gradient descent in numpy on a bounded sample of labelled
-rows; the model is small and goes to the tasks with the function that uses it. A part of the sample
+rows, each text as the shares of its subwords; the model is small and is broadcast to the tasks. A part of the sample
 calibrates the softmax temperature and the two bounds below which a prediction is rejected: its
 score, and the share of its subwords that training has seen.
 """
@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graincart.llm.common import held_out, in_pandas
+from graincart.llm.common import held_out, in_pandas, small_batches
 
 UNKNOWN = "und"
 BUCKETS = 1 << 17
@@ -29,14 +29,13 @@ _letters: np.ndarray | None = None
 
 @dataclass(frozen=True)
 class Settings:
-    """``rows`` labelled rows of a language at most, each of ``chars`` characters at most, are learned from."""
+    """About ``rows`` labelled rows of each language are learned from, and ``total`` of all languages, whole texts each."""
 
     rows: int = 1200
-    chars: int = 20_000
+    total: int = 40_000
     dim: int = 8
     epochs: int = 4
-    subwords: int = 400
-    rate: float = 20.0
+    rate: float = 0.05
     rejected: float = 0.001
 
 
@@ -95,50 +94,47 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def fit(texts: list[str], langs: list[str], settings: Settings = Settings(), seed: int = 7) -> Model:
-    """A model of the languages in ``langs``; without rows, one that names nothing."""
-    names = sorted(set(langs))
+def shares(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct buckets of the subwords of a whole text, and their shares of all its subwords."""
+    ids, counts = np.unique(subwords(text), return_counts=True)
+    return ids.astype(np.int32), (counts / max(counts.sum(), 1)).astype(np.float32)
+
+
+def fit(rows: list[tuple[np.ndarray, np.ndarray, str]], settings: Settings = Settings(), seed: int = 7) -> Model:
+    """A model from (buckets, shares, language) of texts; without rows, one that names nothing."""
+    rows = [r for r in rows if len(r[0])]
+    names = sorted({r[2] for r in rows})
     if not names:
         return Model([], np.zeros((BUCKETS, 1), np.float32), np.zeros(BUCKETS, bool), np.zeros(1))
     rng = np.random.default_rng(seed)
-    # of a training text only some thousand subwords are kept, of the others all, and neither as wide numbers
-    train, check, seen = [], [], np.zeros(BUCKETS, bool)
-    for i, (t, y) in enumerate(zip(texts, langs, strict=True)):
-        ids = subwords(t).astype(np.int32)
-        if not len(ids):
-            continue
-        if i % 5 == 0 and len(texts) >= 50:
-            check.append((ids, names.index(y)))
-            continue
-        seen[ids] = True
-        train.append((rng.choice(ids, 5 * settings.subwords) if len(ids) > 5 * settings.subwords else ids, names.index(y)))
-    if not train:
-        return fit([], [], settings)
+    train = [r for i, r in enumerate(rows) if i % 5 or len(rows) < 50]
+    check = [r for i, r in enumerate(rows) if not i % 5 and len(rows) >= 50] or train
+    place, seen = {x: i for i, x in enumerate(names)}, np.zeros(BUCKETS, bool)
     embed = rng.normal(0, 0.01, (BUCKETS, settings.dim)).astype(np.float32)
     soft = rng.normal(0, 0.1, (settings.dim, len(names))).astype(np.float32)
     bias = np.zeros(len(names), np.float32)
-    steps, step = settings.epochs * max(len(train), 1), 0
+    steps, step = settings.epochs * len(train), 0
     for _ in range(settings.epochs):
         for i in rng.permutation(len(train)):
-            ids, y = train[i]
-            ids = np.unique(ids if len(ids) <= settings.subwords else rng.choice(ids, settings.subwords, replace=False))
-            mean = embed[ids].mean(axis=0)
+            ids, share, y = train[i]
+            seen[ids] = True
+            mean = share @ embed[ids]
             wrong = _softmax(mean @ soft + bias)
-            wrong[y] -= 1
+            wrong[place[y]] -= 1
             rate = settings.rate * (1 - step / steps)
             back = soft @ wrong
-            soft -= 0.02 * rate * np.outer(mean, wrong)
-            bias -= 0.0005 * rate * wrong
-            embed[ids] -= (rate / len(ids)) * back
+            soft -= 8 * rate * np.outer(mean, wrong)
+            bias -= 0.2 * rate * wrong
+            # a step moves the mean by the same length, whether a text has few subwords or many
+            embed[ids] -= np.outer(rate * share / (share @ share), back)
             step += 1
     logits = (embed @ soft).astype(np.float32)
-    check = check or train
-    raw = np.array([logits[ids].mean(axis=0) + bias for ids, _ in check])
-    truth = np.array([y for _, y in check])
+    raw = np.array([share @ logits[ids] + bias for ids, share, _ in check], dtype=np.float64)
+    truth = np.array([place[y] for _, _, y in check])
     loss = lambda t: -np.log(_softmax(raw / t)[np.arange(len(truth)), truth] + 1e-9).mean()
     temperature = min(np.geomspace(0.05, 5, 40), key=loss)
     scores = _softmax(raw / temperature).max(axis=1)
-    known = np.array([seen[ids].mean() for ids, _ in check])
+    known = np.array([share @ seen[ids] for ids, share, _ in check])
     low = lambda x: float(np.quantile(x, settings.rejected))
     return Model(names, logits, seen, bias, float(temperature), min(0.5, low(scores)), 0.9 * low(known))
 
@@ -154,18 +150,33 @@ def predict(model: Model, text: str | None) -> tuple[str, float, bool]:
     return model.names[best], float(chances[best]), bool(stands)
 
 
+def _train_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        found = [shares(t) for t in batch["text"]]
+        out = batch.drop(columns="text")
+        out["ids"], out["shares"] = [x.tobytes() for x, _ in found], [y.tobytes() for _, y in found]
+        yield out
+
+
 def learn(docs: DataFrame, settings: Settings = Settings()) -> Model:
-    """Fit on rows of ``docs`` (doc_id, text, lang) that are not held out: a sample by a hash of the id."""
-    usable = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    usable = usable.where(F.length("text") <= settings.chars).select("doc_id", "text", "lang")
-    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(500).collect()}
+    """Fit on rows of ``docs`` (doc_id, text, lang) that are not held out: a sample by a hash of id and text.
+
+    All languages are learned, from about as many rows of each; texts are read whole, in tasks. Rows
+    without doc_id are not learned from. Ties of the hash go by lang and the text's own hash.
+    """
+    usable = docs.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
     if not counts:
-        return fit([], [], settings)
-    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, settings.rows / n)))])
-    draw = F.crc32(F.concat(F.lit("langid-"), F.col("doc_id").cast("string"))) / 2.0**32
-    rows = usable.where(draw < F.element_at(share, F.col("lang"))).limit(2 * settings.rows * len(counts))
-    rows = sorted((r["doc_id"], r["lang"], r["text"]) for r in rows.collect() if r["doc_id"] is not None)
-    return fit([r[2] for r in rows], [r[1] for r in rows], settings)
+        return fit([], settings)
+    each = min(settings.rows, settings.total // len(counts))
+    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, each / n)))])
+    draw = F.crc32(F.concat(F.lit("langid-"), F.col("doc_id").cast("string"))) / 2.0**32 / F.element_at(share, F.col("lang"))
+    rows = usable.select(draw.alias("draw"), F.xxhash64("text").alias("tie"), "lang", "text").where("draw < 1")
+    small_batches(docs.sparkSession)
+    rows = rows.mapInPandas(_train_rows, "draw double, tie long, lang string, ids binary, shares binary")
+    # the sample has that many rows but for chance; the bound holds rows that repeat one id
+    rows = rows.orderBy("draw", "lang", "tie").limit(2 * each * len(counts) + 1000).toPandas()
+    return fit([(np.frombuffer(r.ids, np.int32), np.frombuffer(r.shares, np.float32), r.lang) for r in rows.itertuples()], settings)
 
 
 def identify(docs: DataFrame, model: Model, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -191,5 +202,9 @@ def identify(docs: DataFrame, model: Model, carry: tuple[str, ...] = ()) -> Data
 
 
 def language_digests(docs: DataFrame) -> DataFrame:
+    """doc_id, held_out, lang_pred, score and accepted of each row of ``docs``; see ``learn`` and ``identify``.
+
+    A row without doc_id is not held out. Of languages with equal scores the first by name is named.
+    """
     found = identify(docs, learn(docs))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "accepted")
