@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graincart.llm.common import broadcast_if_small, held_out, in_pandas
+from graincart.llm.common import held_out, in_pandas, small_batches
 
 BUCKETS = 1 << 14
 BINS = 16
@@ -28,10 +28,9 @@ SIZE = BUCKETS + (STATS + 2) * BINS
 
 @dataclass(frozen=True)
 class Settings:
-    """At most ``rows`` labelled rows are learned from, each of ``chars`` characters at most."""
+    """About ``rows`` labelled rows are learned from, whole texts each."""
 
     rows: int = 6000
-    chars: int = 20_000
     dim: int = 4
     epochs: int = 4
     rate: float = 0.08
@@ -91,19 +90,18 @@ def margin(model: Model, ids: np.ndarray, values: np.ndarray) -> float:
     return float(model.bias + model.linear[ids] @ values + pairs)
 
 
-def fit(rows: list[tuple[str | None, float | None, int]], settings: Settings = Settings(), seed: int = 11) -> Model:
-    """A model of label 1 from (text, n_chars, label); without rows, one that scores 0.5."""
+def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], settings: Settings = Settings(), seed: int = 11) -> Model:
+    """A model of label 1 from (indexes, values, label); without rows, one that scores 0.5."""
     rng = np.random.default_rng(seed)
     linear, pairs = np.zeros(SIZE), rng.normal(0, 0.02, (SIZE, settings.dim))
     if not rows:
         return Model(0.0, linear, pairs * 0)
     share = np.clip(np.mean([y for _, _, y in rows]), 0.01, 0.99)
     bias = float(np.log(share / (1 - share)))
-    data = [(*features(t, n), y) for t, n, y in rows]
     sum_linear, sum_pairs = np.full(SIZE, 0.1), np.full((SIZE, settings.dim), 0.1)
     for _ in range(settings.epochs):
-        for i in rng.permutation(len(data)):
-            ids, x, y = data[i]
+        for i in rng.permutation(len(rows)):
+            ids, x, y = rows[i]
             parts = pairs[ids] * x[:, None]
             total = parts.sum(axis=0)
             z = bias + linear[ids] @ x + 0.5 * ((total**2).sum() - (parts**2).sum())
@@ -118,16 +116,33 @@ def fit(rows: list[tuple[str | None, float | None, int]], settings: Settings = S
     return Model(float(bias), linear, pairs)
 
 
+def _train_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        found = [features(t, n) for t, n in zip(batch["text"], batch["n_chars"], strict=True)]
+        out = batch[["draw", "tie", "quality"]].copy()
+        out["ids"], out["values"] = [x.astype(np.int32).tobytes() for x, _ in found], [y.astype(np.float32).tobytes() for _, y in found]
+        yield out
+
+
 def learn(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
-    """Fit on labelled rows of ``docs`` that are not held out, a sample by a hash of the id."""
+    """Fit on labelled rows of ``docs`` that are not held out, a sample by a hash of the id.
+
+    Labels without doc_id or quality say nothing; of labels that repeat an id each counts. Texts are
+    read whole, in tasks. Ties of the hash go by the text's own hash and the label.
+    """
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     total = known.count()
     draw = F.crc32(F.concat(F.lit("quality-"), F.col("doc_id").cast("string"))) / 2.0**32
-    known = known.where(draw < settings.rows / max(total, 1)).select("doc_id", "quality").limit(2 * settings.rows)
-    rows = docs.where(F.length("text") <= settings.chars).select("doc_id", "text", "n_chars")
-    rows = rows.join(broadcast_if_small(known), "doc_id").limit(4 * settings.rows).collect()
-    rows = sorted((r["doc_id"], r["text"], r["n_chars"], int(r["quality"] == 1)) for r in rows)
-    return fit([r[1:] for r in rows], settings)
+    label = (F.col("quality") == 1).cast("int")
+    # some rows of a table of labels by a hash of their ids: of ids that repeat the first so many
+    known = known.select("doc_id", draw.alias("draw"), label.alias("quality")).where(F.col("draw") < settings.rows / max(total, 1))
+    known = known.orderBy("draw", "doc_id", "quality").limit(2 * settings.rows)
+    rows = docs.select("doc_id", "text", F.col("n_chars").cast("double").alias("n_chars")).join(F.broadcast(known), "doc_id")
+    small_batches(docs.sparkSession)
+    rows = rows.select("draw", F.xxhash64("text").alias("tie"), "quality", "text", "n_chars")
+    rows = rows.mapInPandas(_train_rows, "draw double, tie long, quality int, ids binary, values binary")
+    rows = rows.orderBy("draw", "tie", "quality").limit(4 * settings.rows).toPandas()
+    return fit([(np.frombuffer(r.ids, np.int32), np.frombuffer(r.values, np.float32).astype(float), r.quality) for r in rows.itertuples()], settings)
 
 
 def score_quality(docs: DataFrame, model: Model, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -152,5 +167,9 @@ def score_quality(docs: DataFrame, model: Model, carry: tuple[str, ...] = ()) ->
 
 
 def quality_digests(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score and predicted of each row of ``docs``; see ``learn`` and ``score_quality``.
+
+    A row without doc_id is not held out. Texts of any length are scored whole; other columns are ignored.
+    """
     scored = score_quality(docs, learn(docs, labels))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
