@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import hashlib
-import zlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from graincart.llm.common import in_pandas
 from graincart.llm.jpeg import decode, pack, to_rgb, unpack
 
 UNIT = 192
+#: Bytes that a Python task holds before it hands rows on.
+HELD = 8_000_000
 
 
 def payload_of(text: str | None) -> bytes:
@@ -45,29 +46,40 @@ def decode_images(df: DataFrame, column: str = "media", carry: tuple[str, ...] =
     return df.select(*carry, column).mapInPandas(run, f"{fields}height int, width int, rgb binary")
 
 
-def media_digests(docs: DataFrame) -> DataFrame:
-    """Digests of each text of ``docs`` stored as a progressive JPEG file, read back and turned to RGB.
+def store_media(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, media, payload, height, width and rgb: each text of ``docs`` stored as a progressive JPEG file.
 
-    A null text counts as empty; its payload is 192 spaces. Equal texts, so repeated rows too, have
-    equal results. Texts of any length are stored whole. An empty table gives an empty result.
-    Only doc_id and text are read.
+    payload is what comes back from the stored bytes, and rgb the tensor of height x width x 3 samples
+    that they decode to, row by row. A null text counts as empty; its payload is 192 spaces. Equal
+    texts, so repeated rows too, have equal results. Texts of any length are stored whole. An empty
+    table gives an empty result. Only doc_id and text are read.
     """
+    names = ["doc_id", "n_bytes", "media", "payload", "height", "width", "rgb"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for text in batch["text"]:
-                payload = payload_of(text)
-                stored = pack(payload)
+            rows, held = [], 0
+            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+                stored = pack(payload_of(text))
                 image = decode(stored)
-                back = unpack(image)
                 rgb = to_rgb(image)
-                sums = rgb.reshape(-1, 3).sum(axis=0, dtype="int64")
-                feature = f"{image.width}x{image.height}:" + ",".join(map(str, sums.tolist()))
                 size = len(text.encode("utf-8", "surrogatepass")) if text else 0
-                rows.append((size, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature))
-            names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-            yield pd.concat([batch[["doc_id"]], pd.DataFrame(rows, columns=names, index=batch.index)], axis=1)
+                rows.append((doc_id, size, stored, unpack(image), rgb.shape[0], rgb.shape[1], rgb.tobytes()))
+                held += len(stored) + rgb.nbytes
+                if held > HELD:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, held = [], 0
+            yield pd.DataFrame(rows, columns=names)
+
+    return in_pandas(docs.select("doc_id", "text"), run, "doc_id", "n_bytes long, media binary, payload binary, height int, width int, rgb binary")
 
-    kinds = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return in_pandas(docs.select("doc_id", "text"), run, "doc_id", kinds)
+
+def media_digests(docs: DataFrame) -> DataFrame:
+    """Digests of what ``store_media`` gives for each row of ``docs``; the feature is the size of the image and a sum of its samples."""
+    out = store_media(docs)
+    feature = F.concat_ws(":", F.concat_ws("x", "width", "height"), F.lower(F.hex(F.crc32("rgb"))))
+    return out.select(
+        "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(payload, -16)")).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"),
+    )
