@@ -3,9 +3,11 @@
 A page is a row of pieces: tags, and stretches of text between them. A piece has a score, a tag
 mostly below zero and a stretch of text its number of words times the weight of the place where it
 stands (plain text, a link, a heading; within an article, or outside where a page has one; within
-navigation, adverts, comments and the like). The weights are the log odds of standing in the main
-region, counted on labelled pages. One scan over the pieces finds the contiguous region with the
-largest sum. Text of that region that stands in an advert, a form or a comment is left out.
+navigation, an advert, comments and the like, by name). The weights are the log odds of being main
+text, counted on labelled pages. One scan over the pieces finds the contiguous region with the
+largest sum. What stands in the same element beside it and scores above zero belongs to it too, and
+text of the region in a place that scores below zero, as adverts, forms and comments do, is left
+out.
 """
 
 from __future__ import annotations
@@ -35,14 +37,33 @@ ABOUT_PAGE = {"has", "hide", "is", "no", "not", "show", "with", "without"}
 BEHIND = {"area", "bar", "block", "body", "bottom", "box", "buttons", "container", "form", "inner", "item", "items", "left", "link", "links", "list", "post", "posts", "primary", "right", "secondary", "section", "slot", "top", "wrap", "wrapper"}
 #: Words of a text container that may be the main one.
 LARGE = 40
+ASIDE_NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "footer", "gdpr", "header", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "overlay", "pager", "pagination", "popup", "promo", "promotion", "related", "replies", "respond", "search", "share", "sharing", "sidebar", "skip", "social", "sponsor", "sponsored", "subscribe", "teaser", "toolbar", "topbar", "widget", "widgets", "complementary", "contentinfo", "alert", "alertdialog"}
+#: Names of what is no main text however much of it there is; the others may be those of a wrapper.
+NEVER_MAIN = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "comment", "comments", "complementary", "consent", "contentinfo", "cookie", "cookies", "disqus", "footer", "gdpr", "popup", "promo", "promotion", "related", "replies", "respond", "sponsor", "sponsored", "teaser"}
+#: What a class says about the page rather than about its element, and what may stand behind a name.
+ABOUT_PAGE = {"has", "hide", "is", "no", "not", "show", "with", "without"}
+BEHIND = {"area", "bar", "block", "body", "bottom", "box", "buttons", "container", "form", "inner", "item", "items", "left", "link", "links", "list", "post", "posts", "primary", "right", "secondary", "section", "slot", "top", "wrap", "wrapper"}
+#: Words of a text container that may be the main one.
+LARGE = 40
 
-_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*'){0,400})>")
-_LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>?")
+_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_STOP = re.compile("[\"'>]")
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _WORD = re.compile(r"[a-z0-9]+")
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.IGNORECASE)
 
-Piece = tuple[str, int, str, int]
+Piece = tuple[str, int, str, int, int]
+
+
+def _tag_end(html: str, at: int) -> int:
+    """The place of the > that ends the tag; where a quote never closes, that of the next one; -1 if there is none."""
+    stop = _STOP.search(html, at)
+    while stop and stop.group() != ">":
+        close = html.find(stop.group(), stop.end())
+        if close < 0:
+            return html.find(">", at)
+        stop = _STOP.search(html, close + 1)
+    return stop.start() if stop else html.find(">", at)
 
 
 def aside_names(attributes: str) -> set[str]:
@@ -59,11 +80,11 @@ def aside_names(attributes: str) -> set[str]:
 
 
 def pieces(html: str) -> list[Piece]:
-    """(class, words, text, block) of the tags and texts of a page; a tag has no words and no text.
+    """(class, words, text, block, element) of the tags and texts of a page; a tag has no words and no text.
 
-    A form, or an element that is an aside by a name a wrapper may have, is none if no article or
-    main stands outside and it holds more than half of the page's words: they count half. An
-    article or main within it ends its effect.
+    A form, an element that is an aside by a name a wrapper may have, or one whose tag is not always
+    closed, is none if no article or main stands outside and it holds more than half of the page's
+    words: they count half. An article or main within it ends its effect.
     """
     found, wrappers = _pieces(html, frozenset())
     return _pieces(html, wrappers)[0] if wrappers else found
@@ -73,20 +94,22 @@ def _pieces(html: str, wrappers: frozenset[int]) -> tuple[list[Piece], frozenset
     """The pieces if the elements that begin at ``wrappers`` are no asides, and which elements should be."""
     out: list[Piece] = []
     stack: list[tuple[str, int, int, int]] = []
+    places: list[tuple[str, int]] = [("", -1)]
     halves = free_mains = all_words = 0
     # of each open aside where it begins, or -1 if it is never main; words and articles of those that may be main
     open_at: list[int] = []
     held, inner_mains = Counter(), set()
     block, at, size = 0, 0, len(html)
     asides = mains = links = heads = 0
-    one_main = bool(re.search(r"<(?:article|main)[\s>]", html, re.IGNORECASE))
-    lower = None
+    lower = html.lower()
+    one_main = bool(re.search(r"<(?:article|main)[\s>]", lower))
+    loose = {x for x in (*ASIDE, "header") if len(re.findall(rf"<{x}[\s>]", lower)) > lower.count(f"</{x}")}
 
     def text(raw: str) -> None:
         nonlocal all_words
         if not raw or raw.isspace():
             if raw and out and out[-1][3] == block and out[-1][2]:
-                out.append(("space", 0, " ", block))
+                out.append(("space", 0, " ", block, -1))
             return
         raw = unescape(raw)
         n = len(raw.split())
@@ -97,11 +120,11 @@ def _pieces(html: str, wrappers: frozenset[int]) -> tuple[list[Piece], frozenset
         if halves and not mains:
             n = max(n // 2, 1)
         if asides:
-            # what is left out anyway must not cut a region in two
-            place, n = ("aside-main" if mains else "aside"), min(n, 4)
+            # what is left out anyway counts as one tag, or it would cut a region in two
+            place, n = f"aside:{next(x for x, _ in reversed(places) if x)}", 0
         else:
             place = ("link" if links else "head" if heads else "text") + ("-main" if mains else "-beside" if one_main else "")
-        out.append((place, n, raw, block))
+        out.append((place, n, raw, block, places[-1][1]))
 
     while at < size:
         start = html.find("<", at)
@@ -118,15 +141,15 @@ def _pieces(html: str, wrappers: frozenset[int]) -> tuple[list[Piece], frozenset
             end = html.find(">", start)
             at = size if end < 0 else end + 1
             continue
-        tag = _TAG.match(html, start) or _LOOSE_TAG.match(html, start)
+        tag = _TAG.match(html, start)
         if tag is None:
             text("<")
             at = start + 1
             continue
-        at = tag.end()
-        closes, name, rest = bool(tag.group(1)), tag.group(2).lower(), tag.group(3)
+        end = _tag_end(html, tag.end())
+        at = end + 1 if end >= 0 else size
+        closes, name, rest = bool(tag.group(1)), tag.group(2).lower(), html[tag.end() : at - 1 if end >= 0 else size]
         if name in RAW and not closes and not rest.endswith("/") and name not in ("head", "title"):
-            lower = html.lower() if lower is None else lower
             end = lower.find(f"</{name}", at)
             if end < 0:
                 break
@@ -135,15 +158,16 @@ def _pieces(html: str, wrappers: frozenset[int]) -> tuple[list[Piece], frozenset
         if name not in INLINE:
             block += 1
         kind = f"/{name}" if closes else name
-        out.append((f"<{kind}" if name not in INLINE else "<inline", 0, "", block))
+        out.append((f"<{kind}" if name not in INLINE else "<inline", 0, "", block, -1))
         if name in VOID:
             if name == "br":
-                out.append(("space", 0, " ", block))
+                out.append(("space", 0, " ", block, -1))
             continue
         if closes:
             if any(x[0] == name for x in stack):
                 while stack:
                     gone = stack.pop()
+                    places.pop()
                     asides, mains, halves = asides - gone[1], mains - gone[2], halves - gone[3]
                     if gone[1] > 0:
                         open_at.pop()
@@ -155,16 +179,20 @@ def _pieces(html: str, wrappers: frozenset[int]) -> tuple[list[Piece], frozenset
                 heads -= len(name) == 2 and name[0] == "h" and name[1].isdigit()
             continue
         if name == "p" and stack and stack[-1][0] == "p":
-            stack.pop()
+            gone = stack.pop()
+            places.pop()
+            asides, mains, halves = asides - gone[1], mains - gone[2], halves - gone[3]
+            if gone[1] > 0:
+                open_at.pop()
         if rest.endswith("/"):
             continue
-        may, half = name == "form", False
+        may, half, words = name == "form" or name in loose, False, set()
         aside = name in ASIDE or name in ("head", "title") or (name == "header" and not mains)
         if rest and not aside and name not in ("body", "html") and name not in MAIN:
             words, hidden = aside_names(rest), bool(_HIDDEN.search(rest))
             aside = bool(words) and not (mains and words <= {"header"}) or hidden
             may = not hidden and not words & NEVER_MAIN
-        if name == "form" and _HIDDEN.search(rest):
+        if may and _HIDDEN.search(rest):
             may = False
         if aside and may and start in wrappers:
             aside, half = False, True
@@ -185,6 +213,9 @@ def _pieces(html: str, wrappers: frozenset[int]) -> tuple[list[Piece], frozenset
         if aside:
             open_at.append(start if may else -1)
         stack.append((name, int(aside), int(main), int(half)))
+        outer = places[-1][1]
+        inner = name in INLINE or len(name) == 2 and name[0] == "h" and name[1].isdigit()
+        places.append((min(words) if aside and words else name if aside else "", outer if inner else -1 if name in ("html", "body") else start))
         asides, mains, halves = asides + aside, mains + main, halves + half
     if wrappers or free_mains:
         return out, wrappers
@@ -192,13 +223,21 @@ def _pieces(html: str, wrappers: frozenset[int]) -> tuple[list[Piece], frozenset
     return out, frozenset(inner_mains or large)
 
 
-def weights_from(labelled: Iterable[tuple[str, int, int]]) -> dict[str, float]:
-    """Log odds of each class of pieces, from (html, start, end of its main region) of labelled pages."""
+def weights_from(labelled: Iterable[str]) -> dict[str, float]:
+    """Log odds of each class of pieces to be main text, from labelled pages.
+
+    Words of the main text are written ``main`` there and all others ``other``. A text counts by
+    its words; a tag counts as main text if main text stands on both sides of it.
+    """
     inside, outside = Counter(), Counter()
-    for html, start, end in labelled:
-        before, within = len(pieces(html[:start])), len(pieces(html[:end]))
-        for i, (kind, words, _, _) in enumerate(pieces(html)):
-            (inside if before <= i < within else outside)[kind] += words or 1
+    for html in labelled:
+        found = pieces(html)
+        mains = [i for i, x in enumerate(found) if "main" in x[2]]
+        for i, (kind, words, raw, _, _) in enumerate(found):
+            is_main = "main" in raw if raw.strip() else bool(mains) and mains[0] < i < mains[-1]
+            (inside if is_main else outside)[kind] += words or 1
+            if kind.startswith("aside:"):
+                (inside if is_main else outside)["aside"] += 1
     total_in, total_out = sum(inside.values()), sum(outside.values())
     weigh = lambda k: math.log((inside[k] + 0.5) / (total_in + 1)) - math.log((outside[k] + 0.5) / (total_out + 1))
     found = {k: weigh(k) for k in inside.keys() | outside.keys()}
@@ -206,51 +245,74 @@ def weights_from(labelled: Iterable[tuple[str, int, int]]) -> dict[str, float]:
     return {k: (min(w, -0.1) / 2 if k[0] == "<" else w) for k, w in found.items() if k != "space"}
 
 
-def labelled_pages() -> list[tuple[str, int, int]]:
-    """Pages of common layouts with the place of their main region; the words stand for any words."""
-    line = lambda n, w="word": " ".join([w] * n)
-    links = lambda n: "".join(f'<li><a href="/{i}">{line(2)}</a></li>' for i in range(n))
+def labelled_pages() -> list[str]:
+    """Pages of common layouts whose main text is known; the words stand for any words."""
+    line = lambda n, w="main": " ".join([w] * n)
+    other = lambda n: line(n, "other")
+    links = lambda n: "".join(f'<li><a href="/{i}">{other(2)}</a></li>' for i in range(n))
     bodies = [
         "".join(f"<p>{line(n)}</p>" for n in (30, 55, 12)),
         f"<h1>{line(7)}</h1>" + "".join(f"<p>{line(n)} <a href='/x'>{line(2)}</a> {line(9)}</p>" for n in (25, 8, 40, 60)),
         f"<h2>{line(4)}</h2><p>{line(35)}</p><ul><li>{line(9)}</li><li>{line(11)}</li></ul><h2>{line(4)}</h2><p>{line(45)}</p><blockquote>{line(20)}</blockquote>",
         f"<p>{line(3)}</p>",
-        f"<h1>{line(5)}</h1><p>{line(40)}</p><div class='ad'>{line(9)}</div><p>{line(30)}</p>",
+        f"<h1>{line(5)}</h1><p>{line(40)}</p><div class='ad'>{other(9)}</div><p>{line(30)}</p><div class='share'><a href='/s'>{other(1)}</a></div>",
+        f"<h1>{line(6)}</h1><p>{line(28)}</p><table><tr><th>{line(1)}</th><th>{line(2)}</th></tr><tr><td>{line(3)}</td><td>{line(4)}</td></tr></table><pre>{line(12)}</pre><p>{line(22)}</p>",
+        f"<h1>{line(8)}</h1><figure><img src='x'><figcaption>{line(6)}</figcaption></figure><p>{line(50)}</p><form class='newsletter'><p>{other(8)}</p><input></form><p>{line(33)}</p>",
+        f"<div><p>{line(26)}</p></div><div><p>{line(31)}</p><div class='related'><ul>{links(3)}</ul></div></div><div><p>{line(18)}</p></div>",
     ]
     heads = [
-        f"<nav><ul>{links(6)}</ul></nav><div class='ad'>{line(12)}</div>",
-        f"<header><a href='/'>{line(2)}</a><ul>{links(8)}</ul></header><div class='cookie-notice'>{line(20)}</div>",
-        f"<div><a href='/'>{line(1)}</a> <a href='/b'>{line(1)}</a> <a href='/c'>{line(1)}</a></div><form><input><button>{line(1)}</button></form>",
+        f"<nav><ul>{links(6)}</ul></nav><div class='ad'>{other(12)}</div>",
+        f"<header><a href='/'>{other(2)}</a><ul>{links(8)}</ul></header><div class='cookie-notice'>{other(20)}</div>",
+        f"<div><a href='/'>{other(1)}</a> <a href='/b'>{other(1)}</a> <a href='/c'>{other(1)}</a></div><form><input><button>{other(1)}</button></form>",
+        f"<div id='masthead' class='site-header'><h1><a href='/'>{other(3)}</a></h1><p>{other(6)}</p></div><div class='breadcrumb'><a href='/'>{other(1)}</a> / <a href='/b'>{other(1)}</a></div>",
     ]
     ends = [
-        f"<footer>&copy; {line(8)}</footer>",
-        f"<div class='comments'><h3>{line(2)}</h3><p>{line(15)}</p><p>{line(30)}</p></div><footer>{line(6)}<ul>{links(4)}</ul></footer>",
-        f"<aside><h3>{line(2)}</h3><ul>{links(5)}</ul><p>{line(10)}</p></aside><div><a href='/p'>{line(2)}</a> &middot; {line(3)}</div>",
+        f"<footer>&copy; {other(8)}</footer>",
+        f"<div class='comments'><h3>{other(2)}</h3><p>{other(15)}</p><p>{other(30)}</p></div><footer>{other(6)}<ul>{links(4)}</ul></footer>",
+        f"<aside><h3>{other(2)}</h3><ul>{links(5)}</ul><p>{other(10)}</p></aside><div><a href='/p'>{other(2)}</a> &middot; {other(3)}</div>",
+        f"<div class='sidebar'><div class='widget'><h3>{other(1)}</h3><ul>{links(7)}</ul></div><div class='widget'><p>{other(14)}</p></div></div><div id='footer'><p>{other(11)}</p></div>",
     ]
-    wraps = [("<article>", "</article>"), ("<main>", "</main>"), ("<div>", "</div>"), ("<div class='content'><div>", "</div></div>")]
+    wraps = [("<article>", "</article>"), ("<main>", "</main>"), ("<div>", "</div>"), ("<div class='content has-sidebar'><div>", "</div></div>")]
     out = []
     for i, body in enumerate(bodies):
         for j, (head, end) in enumerate((h, e) for h in heads for e in ends):
-            left, right = wraps[(i + j) % len(wraps)]
-            start = f"<html><head><title>{line(6)}</title><script>x</script></head><body>{head}{left}"
-            out.append((f"{start}{body}{right}{end}</body></html>", len(start), len(start) + len(body)))
+            left, right = wraps[(i + j + j // 4) % len(wraps)]
+            page = f"{head}{left}{body}{right}{end}"
+            page = f"<form id='page'>{page}</form>" if (i + j) % 11 == 5 else page
+            out.append(f"<html><head><title>{other(6)}</title><script>x</script></head><body>{page}</body></html>")
     return out
 
 
-def main_text(html: str | None, weights: dict[str, float]) -> str:
-    """The blocks of the best region, joined by newlines; empty if no region has a positive score."""
-    found = pieces(html) if html else []
+def _weight(weights: dict[str, float], kind: str) -> float:
+    return weights.get(kind, weights.get("aside", -1.0) if kind.startswith("aside:") else -0.1 if kind[0] == "<" else 0.0)
+
+
+def best_region(found: list[Piece], weights: dict[str, float]) -> tuple[int, int]:
+    """Where the contiguous pieces with the largest sum begin and end; of equal sums the first region. (0, 0) if none is above zero."""
     best, span, total, start = 0.0, (0, 0), 0.0, 0
-    for i, (kind, words, _, _) in enumerate(found):
-        weight = weights.get(kind, -0.1 if kind[0] == "<" else 0.0)
-        total += weight * (words if words else 1)
+    for i, (kind, words, *_) in enumerate(found):
+        total += _weight(weights, kind) * (words if words else 1)
         if total <= 0:
             total, start = 0.0, i + 1
         elif total > best:
             best, span = total, (start, i + 1)
+    # the element that holds most words of the region may hold more text, as behind a long list of links
+    held = Counter()
+    for _, words, _, _, element in found[slice(*span)]:
+        held[element] += words
+    home = max(held, key=held.get, default=-1)
+    if home >= 0:
+        more = [i for i, x in enumerate(found) if x[4] == home and x[1] and _weight(weights, x[0]) > 0]
+        span = (min(span[0], *more), max(span[1], more[-1] + 1)) if more else span
+    return span
+
+
+def main_text(html: str | None, weights: dict[str, float]) -> str:
+    """The blocks of the best region, joined by newlines; empty if no region has a positive score."""
+    found = pieces(html) if html else []
     blocks: dict[int, list[str]] = {}
-    for kind, _, raw, block in found[span[0] : span[1]]:
-        if raw and not kind.startswith("aside"):
+    for kind, _, raw, block, _ in found[slice(*best_region(found, weights))]:
+        if raw and not (kind.startswith("aside:") and _weight(weights, kind) < 0):
             blocks.setdefault(block, []).append(raw)
     lines = [" ".join("".join(x).split()) for x in blocks.values()]
     return "\n".join(x for x in lines if x)
@@ -260,8 +322,8 @@ def extract(pages: DataFrame, weights: dict[str, float] | None = None) -> DataFr
     """page_id, url, text and n_chars of each row of ``pages`` (page_id, url, html).
 
     A null or empty page, or one without main text, has the text '' of 0 characters. Repeated rows
-    have equal results, and pages of any length are read whole. An empty table gives an empty
-    result. Other columns are ignored.
+    have equal results, and pages of any length are read whole. Of regions that tie the first one
+    stands. An empty table gives an empty result. Other columns, whatever their names, are ignored.
     """
     weights = weights_from(labelled_pages()) if weights is None else weights
 
