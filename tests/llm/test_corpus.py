@@ -37,6 +37,7 @@ RUNS = {
     "media": lambda d: media.media_digests(d),
     "minhash": lambda d: minhash.near_duplicates(d),
     "quality": lambda d: quality.quality_digests(d, d.sparkSession.createDataFrame([(4, 1, 0), (6, 0, 0)], "doc_id long, quality int, toxic int")),
+    "html": lambda d: html.extract(d.withColumnRenamed("doc_id", "page_id").withColumnRenamed("text", "html").withColumn("url", F.lit("u"))).withColumnRenamed("page_id", "doc_id"),
     "contamination": lambda d: contamination_digests(d, d.sparkSession.createDataFrame([(1, PROSE), (2, None), (3, "")], "item_id long, text string")),
 }
 
@@ -323,6 +324,31 @@ def test_html_wrappers():
     assert read(f'<div hidden>{body}</div>') == read("<form><p>Log in</p></form>") == ""
 
 
+def test_html_on_labelled_pages():
+    weights = html.weights_from(html.labelled_pages())
+    good = wanted = got = 0
+    for page in html.labelled_pages():
+        words = html.main_text(page, weights).split()
+        good, got = good + words.count("main"), got + len(words)
+        wanted += len(re.findall(r"\bmain\b", re.sub("<[^>]*>", " ", page)))
+    assert good > 0.99 * wanted and good > 0.99 * got
+
+
+def test_html_keeps_articles_in_odd_places():
+    weights = html.weights_from(html.labelled_pages())
+    read = lambda page: html.main_text(page, weights)
+    body, wanted = f"<h1>Big title</h1><p>{PROSE}</p><p>{PROSE}</p>", f"Big title\n{PROSE}\n{PROSE}"
+    nav, foot = '<nav><a href="/">Home</a></nav>', "<footer>us</footer>"
+    for left in ('<div class="post has-sidebar">', '<div class="entry comments-open">', '<section class="social-policy">', "<header>", "<header><article>", "<nav><div>"):
+        assert read(f"{left}{nav}{body}{foot}") == wanted, left
+    many = " ".join(f'd{i}="a>b"' for i in range(300))
+    assert read(f'{nav}<article>{body}<div class="ad" {many}>buy now this thing</div></article>') == wanted
+    rows = "".join(f'<tr><td><a href="/{i}">Link {i}</a></td></tr>' for i in range(60))
+    assert read(f"{nav}<div><p>{PROSE}</p><table>{rows}</table>{body}</div>{foot}").count(PROSE) == 3
+    advert = f'<div class="advert"><p>{PROSE}</p>{" buy" * 300}</div>'
+    assert read(f"{nav}<div><h1>Big title</h1><p>{PROSE}</p>{advert}<p>{PROSE}</p></div>{foot}") == wanted
+
+
 def test_pipeline_and_queries(spark):
     import __spark_entry__
     import corpus_pipeline
