@@ -125,18 +125,21 @@ def _across(entries: DataFrame, parts: DataFrame, percent: int, k: int, total: i
     main = marked.groupBy("value", "part").agg(F.count("*").alias("nodes"))
     main = main.groupBy("value").agg(F.count("*").alias("parts"), F.max(F.struct("nodes", "part")).alias("main"), F.sum("nodes").alias("rows")).where("parts > 1")
     main = materialize(main.select("value", F.col("main.part").alias("main"), "rows"))
-    full = materialize(join_spread(marked, main.drop("rows"), "value", main.select("value", "rows"), total))
+    full = join_spread(marked, main.drop("rows"), "value", main.select("value", "rows"), total)
+    # what a node is listed by before, so that a pair is met only at the first value that the two share
+    listed = entries.groupBy("node").agg(F.collect_list(F.struct("left", "value")).alias("listed"))
+    earlier = F.transform(F.filter("listed", lambda x: x["left"] > F.col("left")), lambda x: x["value"])
+    full = materialize(full.join(listed.hint("merge"), "node").withColumn("earlier", earlier).drop("listed"))
     discard(marked)
-    other = full.where("part <> main").select("value", *[F.col(c).alias(f"{c}_x") for c in ("node", "n", "need", "left", "part")])
+    other = full.where("part <> main").select("value", *[F.col(c).alias(f"{c}_x") for c in ("node", "n", "need", "left", "part", "earlier")])
     # a pair of two others is met from both sides, and counts once
     once = (F.col("part") != F.col("part_x")) & ((F.col("part") == F.col("main")) | (F.col("node") < F.col("node_x")))
-    # no more can be shared than is left of either list, at the first value that the two share
+    # no more can be shared than is left of either list at the first value that the two share
     both = F.least("left", "left_x")
     reach = (both >= F.greatest("need", "need_x")) & ((F.greatest("n", "n_x") > k) | (100 * both >= percent * (F.col("n") + F.col("n_x") - both)))
-    pairs = join_spread(full, other, "value", main.select("value", "rows"), full.count()).where(once & _sizes("n", "n_x", percent))
-    # what is left at the first common value decides, and that is the most
-    pairs = pairs.groupBy(F.least("node", "node_x").alias("a"), F.greatest("node", "node_x").alias("b")).agg(F.max(reach).alias("reach"))
-    pairs = materialize(pairs.where("reach").select("a", "b"))
+    first = ~F.arrays_overlap("earlier", "earlier_x")
+    pairs = join_spread(full, other, "value", main.select("value", "rows"), full.count()).where(once & _sizes("n", "n_x", percent) & reach & first)
+    pairs = materialize(pairs.select(F.least("node", "node_x").alias("a"), F.greatest("node", "node_x").alias("b")).distinct())
     discard(full, main)
     return pairs
 
