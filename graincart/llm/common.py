@@ -117,6 +117,11 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def text_key(doc_id: Column, text: Column) -> Column:
+    """A digest that equal texts share; null and empty texts, which may be very many, each have their own, that no text has."""
+    return F.when(F.length(text) > 0, F.md5(text)).otherwise(F.concat(F.lit("-"), F.coalesce(doc_id.cast("string"), F.uuid())))
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the fifth of the documents that no classifier learns from; a null id is never held out."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graincart.llm.common import broadcast_if_small, lower_ascii, materialize
+from graincart.llm.common import broadcast_if_small, lower_ascii, materialize, text_key
 
 #: What stands between words; the second before A-Z are made lower case.
 BETWEEN, BETWEEN_ANY = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -116,7 +116,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
     hits = hits.withColumn("new", new).groupBy("key").agg(F.sum("new").alias("n_hit"), F.transform(F.collect_set(F.struct("item_id")), lambda x: x["item_id"]).alias("items"))
     hits = broadcast_if_small(materialize(hits))
 
-    rows = docs.select("doc_id", *carry, F.coalesce(F.size(F.array_remove(F.split("text", BETWEEN_ANY), "")), F.lit(0)).cast("long").alias("n_words"), key)
+    rows = docs.select("doc_id", *carry, F.coalesce(F.size(F.array_remove(F.split("text", BETWEEN_ANY), "")), F.lit(0)).cast("long").alias("n_words"), text_key(F.col("doc_id"), F.col("text")).alias("key"))
     rows = rows.join(hits, "key", "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     nothing = F.array().cast(f"array<{benchmark.schema['item_id'].dataType.simpleString()}>")
@@ -124,6 +124,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
 
 
 def contamination_digests(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated for each row of ``docs``; see ``contamination``."""
     found = contamination(docs, benchmark)
     names = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), "contaminated")

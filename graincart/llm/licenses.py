@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graincart.llm.common import broadcast_if_small, materialize
+from graincart.llm.common import broadcast_if_small, materialize, small_batches, text_key
 from graincart.llm.hashing import plain_words, rolling, word_hashes
 
 GRAM = 3
@@ -48,6 +48,14 @@ NOTICES = (
     Template("gpl-2", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
     Template("gpl-3", "This work is licensed under the GNU General Public License, version 3."),
     Template("gpl-2", "This work is licensed under the GNU General Public License, version 2."),
+    Template("lgpl-3", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    Template("lgpl-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    Template("agpl-3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    Template("bsd", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    Template("bsl-1", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software"),
+    Template("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely"),
+    Template("epl-2", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0"),
+    Template("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     Template("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     Template("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
     Template("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
@@ -97,7 +105,9 @@ def _verified(batches: Iterator[pd.DataFrame], templates: tuple[Template, ...],
 def license_spans(docs: DataFrame, templates: tuple[Template, ...] = PHRASES + NOTICES) -> DataFrame:
     """(key, template, start, end, score): verified spans of words of each text; key is the text's md5.
 
-    Null texts have no spans, and equal texts share theirs. Any number of spans of one text is kept.
+    Null texts have no spans, and equal texts share theirs. Any number of spans of one text is kept,
+    and texts of any length are read whole. Of notices of different labels that overlap the one with
+    the best score stands; of equal scores the one that starts first. Other columns are ignored.
     """
     spark = docs.sparkSession
     words = [plain_words(t.text) for t in templates]
@@ -105,6 +115,7 @@ def license_spans(docs: DataFrame, templates: tuple[Template, ...] = PHRASES + N
     # the table of template places is fixed by the list of templates: some hundred rows
     places = F.broadcast(spark.createDataFrame(places, "template int, place int, gram long"))
     texts = docs.where("text is not null").select(F.md5("text").alias("key"), "text")
+    small_batches(spark)
     grams = texts.mapInPandas(_grams, "key string, grams array<long>").select("key", F.posexplode("grams").alias("at", "gram"))
     votes = grams.join(places, "gram").select("key", "template", (F.col("at") - F.col("place")).alias("diagonal"), "place")
     votes = votes.groupBy("key", "template", "diagonal").agg(F.count_distinct("place").alias("votes"))
@@ -145,7 +156,7 @@ def license_digests(docs: DataFrame, templates: tuple[Template, ...] = PHRASES +
     )
     found = broadcast_if_small(materialize(found))
     words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long")
-    rows = docs.select("doc_id", words.alias("n_words"), F.md5("text").alias("key")).join(found, "key", "left")
+    rows = docs.select("doc_id", words.alias("n_words"), text_key(F.col("doc_id"), F.col("text")).alias("key")).join(found, "key", "left")
     joined = lambda c: F.coalesce(F.array_join(F.array_sort(c), ","), F.lit("")).alias(c)
     n_base = F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base")
     score = F.least(F.coalesce("score", F.lit(0.0)), F.lit(1.0)).alias("score")

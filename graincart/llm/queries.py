@@ -19,42 +19,52 @@ from graincart.llm.secrets import secret_digests
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
     return language_digests(table(spark, sf_dir, "documents"))
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets in every document."""
     return secret_digests(table(spark, sf_dir, "documents"))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of every document that stand in a benchmark item."""
     return contamination_digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licenses that every document names."""
     return license_digests(table(spark, sf_dir, "documents"))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score of every document."""
     return quality_digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of every document that the mix takes."""
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The personal data in every document."""
     return personal_data_digests(table(spark, sf_dir, "documents"))
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document stored as a progressive JPEG file and read back."""
     return media_digests(table(spark, sf_dir, "documents"))
 
 
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near copies of every document, at a similarity of 0.85."""
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
     return extract(table(spark, sf_dir, "pages"))
 
 

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graincart.llm.common import broadcast_if_small, lower_ascii, materialize, with_rest
+from graincart.llm.common import broadcast_if_small, lower_ascii, materialize, text_key, with_rest
 from graincart.llm.trigrams import trigram_query
 
 
@@ -53,16 +53,12 @@ RULES = (
 BASE = ("assign", "access", "hex")
 
 
-def _text_key(text: Column) -> Column:
-    return F.md5(text)
-
-
 def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(text_key, rules): the texts that hold the mandatory trigrams of a rule, and which rules."""
     spark = docs.sparkSession
     terms = [(r.kind, i, t, len(alt)) for r in rules for i, alt in enumerate(trigram_query(r.pattern)) for t in sorted(alt)]
     held = [F.when(F.contains(F.col("folded"), F.lit(t)), F.lit(t)) for t in sorted({t for _, _, t, _ in terms})]
-    texts = docs.select(_text_key(F.col("text")).alias("text_key"), lower_ascii(F.col("text")).alias("folded")).where("text_key is not null")
+    texts = docs.where("text <> ''").select(F.md5("text").alias("text_key"), lower_ascii(F.col("text")).alias("folded"))
     postings = texts.select("text_key", F.explode(F.array_compact(F.array(*held))).alias("trigram"))
     # the queries are a fixed table of a few dozen rows
     queries = F.broadcast(spark.createDataFrame(terms, "rule string, alternative int, trigram string, trigrams int"))
@@ -101,7 +97,7 @@ def find_secrets(docs: DataFrame, carry: tuple[str, ...] = (), rules: tuple[Rule
     """
     wanted = materialize(candidates(docs, rules))
     wanted = broadcast_if_small(wanted)
-    rows = docs.select("doc_id", "text", *carry).withColumn("_key", _text_key(F.col("text")))
+    rows = docs.select("doc_id", "text", *carry).withColumn("_key", text_key(F.col("doc_id"), F.col("text")))
     rows = rows.join(wanted.select(F.col("text_key").alias("_key"), F.col("rules").alias("_rules")), "_key", "left")
     empty = F.array().cast("array<struct<start:int,place:int,end:int,kind:string>>")
     each = []
@@ -118,6 +114,7 @@ def spans_text(found: Column) -> Column:
 
 
 def secret_digests(docs: DataFrame) -> DataFrame:
+    """doc_id, counts of the base kinds, base_sha256 and spans for each row of ``docs``; see ``find_secrets``."""
     found = find_secrets(docs)
     of = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long")
     base = spans_text(F.filter("found", lambda x: x["place"] < len(BASE)))
