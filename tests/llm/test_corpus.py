@@ -178,6 +178,56 @@ def test_licenses(spark):
     assert out[2]["labels"] == "" and out[3]["n_words"] == 0 and out[4]["labels"] == "gpl-3"
 
 
+def test_license_bases_against_brute_force(spark):
+    rng = np.random.default_rng(5)
+    pool = "under the mit license apache version 2 cc by nc x MIT, CC-BY-NC é".split()
+    texts = [" ".join(rng.choice(pool, int(rng.integers(0, 60)))) for _ in range(150)] + ["cc by nc " * 5000, "under the MIT license; Apache License, Version 2"]
+    phrases = {t.label: t.text.split() for t in licenses.PHRASES}
+    for r in licenses.license_digests(docs_of(spark, texts)).collect():
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), texts[r["doc_id"]]))
+        places = [(i, label) for label, p in phrases.items() for i in range(len(words)) if words[i : i + len(p)] == p]
+        starts, labels = [i for i, _ in places], sorted({x for _, x in places})
+        wanted = (len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(labels))
+        assert tuple(r[c] for c in ("n_words", "n_base", "first_word", "last_word", "base_labels")) == wanted
+        assert set(labels) <= set(r["labels"].split(",")) or not labels
+
+
+def test_language_against_plain_loops():
+    odd = [0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F]
+
+    def slow(text):
+        out = []
+        for word in re.findall(r"[^\W\d_]+", text.lower()):
+            marks = [0, *map(ord, word), 0]
+            for n in langid.ORDERS:
+                for i in range(len(marks) - n + 1):
+                    h = n
+                    for j, c in enumerate(marks[i : i + n]):
+                        h = (h ^ c) * odd[j] % 2**32
+                        h ^= h >> 15
+                    out.append(h % langid.BUCKETS)
+        return sorted(out)
+
+    texts = ["Hello, wörld! 12 a", " ünder  das\tHaus. ", "x", "a1b"]
+    for t in texts:
+        assert sorted(langid.subwords(t).tolist()) == slow(t)
+    model = langid.fit([(*langid.shares(t), "xy"[i % 2]) for i, t in enumerate(texts * 20)])
+    for t in texts + ["hello house " * 3000]:
+        raw = np.array([model.logits[b].astype(float) for b in slow(t)]).mean(axis=0) + model.bias
+        chances = np.exp(raw / model.temperature - (raw / model.temperature).max())
+        chances /= chances.sum()
+        name, score, _ = langid.predict(model, t)
+        assert score == pytest.approx(chances.max(), abs=1e-6) and name == "xy"[int(chances.argmax())]
+
+
+def test_language_learns_every_language_and_long_texts(spark):
+    names = [f"l{i:03d}" for i in range(600)]
+    rows = [(i, f"{chr(0x4E00 + i % 600) * 3} " * 4, names[i % 600], "s", 0) for i in range(3000)]
+    rows += [(5000 + i, "palavra longa " * 4000, "zz", "s", 0) for i in range(10)]
+    model = langid.learn(spark.createDataFrame(rows, DOCS))
+    assert model.names == [*names, "zz"]
+
+
 def test_quality_learns(spark):
     rng = np.random.default_rng(1)
     make = lambda good: " ".join(rng.choice(["river", "stone", "cloud", "meadow"], 40)) + ("." if good else "")
@@ -349,6 +399,25 @@ def test_html_keeps_articles_in_odd_places():
     assert read(f"{nav}<div><h1>Big title</h1><p>{PROSE}</p>{advert}<p>{PROSE}</p></div>{foot}") == wanted
 
 
+def test_stages_on_odd_tables(spark):
+    import corpus_pipeline
+
+    folder = "/root/testdata/sf0.001"
+    empty = spark.createDataFrame([], DOCS)
+    long = " ".join(f"wort{i}" for i in range(30000))
+    rows = [(1, PROSE, "en", "a", 9), (1, PROSE, "en", "a", 9), (1, long, "en", None, 9), (2, long + " x", "en", "a", 9), (3, None, "en", "a", 0), (None, PROSE, None, "a", 0), (4, "", "en", "a", 0)]
+    odd = spark.createDataFrame(rows, DOCS).select("*", *[F.lit(7).alias(c) for c in ("_id", "_text", "group", "key", "found", "_rest0", "size")])
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, folder).count() == 0, name
+        out = stage(spark, odd, folder)
+        kept = sorted((r["doc_id"] or 0, (r["text"] or "")[:9]) for r in out.collect())
+        if name == "near_copies":
+            # equal rows are one document, and rows that share an id but no text are two; a null id goes by its hash
+            assert len(kept) == 4 and (1, long[:9]) in kept and (3, "") in kept and (4, "") in kept and not any(i == 2 for i, _ in kept)
+        elif name in ("benchmark_passages", "secrets", "mixing"):
+            assert len(kept) == len(rows)
+
+
 def test_pipeline_and_queries(spark):
     import __spark_entry__
     import corpus_pipeline
