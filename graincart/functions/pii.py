@@ -2,26 +2,34 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from graincart.functions.text import masked
+
+MARK = "[REDACTED]"
+
 
 @dataclass(frozen=True)
 class Detector:
+    """A pattern; if ``digits`` is given, a span needs so many digits and their check digit."""
+
     name: str
     pattern: str
     digits: tuple[int, int] | None = None
 
 
-#: The detectors in the order in which they are applied.
+_BYTE = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+#: The detectors in the order in which they are applied. Guards keep versions and longer numbers out.
 DETECTORS = (
-    Detector("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
-    Detector("phone", r"(?<![\d.-])(?:\+?1[ .-]?)?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-]?)\d{3}[ .-]?\d{4}(?![\d])"),
-    Detector("ssn", r"(?<!\d)(?!000|666|9\d\d)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?!\d)"),
-    Detector("credit_card", r"(?<![\d])\d(?:[ -]?\d){12,18}(?![\d])", (13, 19)),
-    Detector("ip", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.])"),
+    Detector("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"),
+    Detector("phone", r"(?<![\d.])(?:\+1[\s.-]?|1[ -])?(?:\(?[2-9]\d{2}\)?[\s.-]\d{3}[\s.-]\d{4}|[2-9]\d{9})(?![\d.])"),
+    Detector("ssn", r"(?<!\d)(?!000|666|9\d\d)\d{3}-\d{2}-\d{4}(?!\d)"),
+    Detector("credit_card", r"(?<![\d.])(?:\d[ -]?){12,18}\d(?![\d.])", (13, 19)),
+    Detector("ip", rf"(?<![\d.]){_BYTE}\.{_BYTE}\.{_BYTE}\.{_BYTE}(?![\d.])"),
 )
 BY_NAME = {d.name: d for d in DETECTORS}
 
@@ -36,20 +44,48 @@ def luhn(text: Column) -> Column:
     return (F.length(digits) >= 2) & F.coalesce(F.call_function("luhn_check", digits), F.lit(False))
 
 
+def _confirmed(span: Column, detector: Detector) -> Column:
+    if detector.digits is None:
+        return F.lit(True)
+    size = F.length(digits_of(span))
+    return size.between(*detector.digits) & luhn(span)
+
+
 def matches(text: Column, detector: Detector) -> Column:
-    """array<string> of the spans that the detector confirms."""
+    """array<string> of the spans that the detector confirms; none in a null."""
     found = F.coalesce(F.regexp_extract_all(text, F.lit(detector.pattern), F.lit(0)), F.array().cast("array<string>"))
-    return F.filter(found, luhn) if detector.digits else found
+    return F.filter(found, lambda x: _confirmed(x, detector)) if detector.digits else found
+
+
+def _rewritten(text: Column, detector: Detector, new) -> Column:
+    """``text`` with ``new(span)`` for each confirmed span."""
+    pieces = F.split(text, detector.pattern, -1)
+    found = F.regexp_extract_all(text, F.lit(detector.pattern), F.lit(0))
+    joined = F.zip_with(pieces, found, lambda a, b: F.concat(a, F.when(b.isNull(), "").when(_confirmed(b, detector), new(b)).otherwise(b)))
+    return F.array_join(joined, "")
 
 
-def redacted(text: Column, detectors: tuple[Detector, ...] = DETECTORS, mark: str = "[REDACTED]") -> Column:
+def with_masked_spans(text: Column, detector: Detector) -> Column:
+    """``text`` with each of the detector's spans masked."""
+    return _rewritten(text, detector, masked)
+
+
+def _marker(detector: Detector, mark: str) -> Callable[[Column], Column]:
+    return lambda text: _rewritten(text, detector, lambda _: F.lit(mark))
+
+
+def redacted(text: Column, detectors: tuple[Detector, ...] = DETECTORS, mark: str = MARK) -> Column:
     """``text`` with the spans of each detector replaced, one detector after another on what is left."""
     for d in detectors:
         if d.digits:
-            pieces = F.split(text, d.pattern, -1)
-            found = F.regexp_extract_all(text, F.lit(d.pattern), F.lit(0))
-            joined = F.zip_with(pieces, found, lambda a, b: F.concat(a, F.when(b.isNull(), "").when(luhn(b), mark).otherwise(b)))
-            text = F.array_join(joined, "")
+            # bound to a name, as it is used twice: what is before would be evaluated again
+            text = F.transform(F.array(text), _marker(d, mark))[0]
         else:
             text = F.regexp_replace(text, d.pattern, mark)
     return text
+
+
+def marks_added(before: Column, after: Column, mark: str = MARK) -> Column:
+    """How many spans ``redacted`` has replaced."""
+    held = lambda x: F.length(x) - F.length(F.replace(x, F.lit(mark), F.lit("")))
+    return F.coalesce(((held(after) - held(before)) / len(mark)).cast("long"), F.lit(0).cast("long"))

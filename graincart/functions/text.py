@@ -42,15 +42,37 @@ def family_of(column: Column) -> Column:
     return F.substring_index(column, "__", 1)
 
 
+def short_number(number: Column) -> Column:
+    """A double in six significant digits without trailing zeros, in powers of ten below 1e-4 and from 1e6 on.
+
+    What lies halfway in the shortest decimal form is rounded up.
+    """
+    size = F.when(number == 0, 0.0).otherwise(F.abs(number))
+    # the exponent after rounding to six digits
+    digits = F.format_string("%.5e", size)
+    exponent = F.substring_index(digits, "e", -1).cast("int")
+    trimmed = lambda s: F.when(F.contains(s, F.lit(".")), F.regexp_replace(s, r"\.?0*$", "")).otherwise(s)
+    # of the digits as they are rounded, the point moved to its place
+    plain = F.regexp_replace(F.substring_index(digits, "e", 1), r"\.", "")
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), plain)
+    large = F.concat(F.substring(plain, F.lit(1), exponent + 1), F.lit("."), F.substring(plain, exponent + 2, F.lit(6)))
+    power_form = F.concat(trimmed(F.substring_index(digits, "e", 1)), F.when(exponent < 0, "e-").otherwise("e+"), F.lpad(F.abs(exponent).cast("string"), 2, "0"))
+    text = F.when((exponent < -4) | (exponent >= 6), power_form).otherwise(trimmed(F.when(exponent < 0, small).otherwise(large)))
+    return F.concat(F.when(number < 0, "-").otherwise(""), text)
+
+
 def value_key(column: Column, kind: str) -> Column:
-    """A string that names a value of one of the kinds bool, integer and text; nulls are ``missing``."""
+    """A string that names a value of one of the kinds bool, integer, number and text; nulls and NaN are ``missing``."""
     if kind == "bool":
         key = F.concat(F.lit("bool:"), F.when(column, "True").otherwise("False"))
     elif kind == "integer":
         key = F.concat(F.lit("int:"), column.cast("long").cast("string"))
+    elif kind == "number":
+        number = column.cast("double")
+        key = F.when(~F.isnan(number), F.concat(F.lit("num:"), short_number(number)))
     else:
         key = F.concat(F.lit("str:"), column.cast("string"))
-    return F.when(column.isNull(), F.lit("missing")).otherwise(key)
+    return F.coalesce(key, F.lit("missing"))
 
 
 def readable_key(key: Column) -> Column:
@@ -58,9 +80,12 @@ def readable_key(key: Column) -> Column:
 
 
 def masked(value: Column) -> Column:
-    """The first character and stars; an address keeps its top-level domain."""
+    """The first character and stars; an address keeps the last part of its domain, if that has a dot."""
     stars = F.concat(F.substring(value, 1, 1), F.lit("***"))
-    return F.when(F.contains(value, F.lit("@")) & F.contains(value, F.lit(".")), F.concat(stars, F.lit("."), F.substring_index(value, ".", -1))).otherwise(stars)
+    domain = F.substring_index(value, "@", -1)
+    last = F.substring_index(domain, ".", -1)
+    named = F.contains(value, F.lit("@")) & F.contains(domain, F.lit(".")) & (last != "")
+    return F.when(named, F.concat(stars, F.lit("."), last)).otherwise(stars)
 
 
 def hash_draw(text: Column) -> Column:

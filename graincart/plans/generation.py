@@ -50,9 +50,12 @@ def fn_json(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
 
 
-@query("fn_redact_secret", "SELECT c_custkey, 'api_key=[REDACTED], name: ' || c_name AS note FROM customer")
+@query("fn_redact_secret", r"""SELECT c_custkey, CASE WHEN c_custkey > 99999 THEN '[REDACTED] name: ' WHEN c_custkey % 2 = 0 THEN '[REDACTED] name: ' ELSE 'token=k' || c_custkey % 100 || ' name: ' END || c_name || ' [REDACTED] Authorization: [REDACTED]' AS note FROM customer""")
 def fn_redact_secret(spark, sf_dir):
-    note = F.concat(F.lit("api_key=k"), F.col("c_custkey").cast("string"), F.lit(", name: "), "c_name")
+    note = F.concat(
+        F.when((F.col("c_custkey") > 99999) | (F.col("c_custkey") % 2 == 0), F.concat(F.lit("api_key=k000"), F.col("c_custkey").cast("string"), F.lit(",")))
+        .otherwise(F.concat(F.lit("token=k"), (F.col("c_custkey") % 100).cast("string"))), F.lit(" name: "), "c_name",
+        F.lit(" sk-Abc_123-"), F.col("c_custkey").cast("string"), F.lit(" Authorization: bearer abc.def-ghi_jkl"))
     return table(spark, sf_dir, "customer").select("c_custkey", cards.without_secrets(note).alias("note"))
 
 

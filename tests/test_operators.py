@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from graincart.functions import pii, text
-from graincart.operators import checks, fidelity, labeling, metrics, prep, profile, synth
+from graincart.operators import cards, checks, fidelity, labeling, metrics, prep, profile, synth
+from graincart.operators import pii as scans
 from graincart.sources import readers
 from graincart.sources.versions import Store
 
@@ -59,9 +60,65 @@ def test_detectors(spark, name, value, found):
     assert r["n"] == found
 
 
+def test_detectors_against_python(spark):
+    import random
+    import re
+
+    rng, chars = random.Random(4), "0123456789012345678.-- ()+@ab\t"
+    made = ["".join(rng.choice(chars) for _ in range(60)) for _ in range(1500)]
+    made += ["+1 212-555-0187,(212) 555-0187 2125550187", "v-212-555-0187 212.555.0187.9 212 5550187", "a@b.c1 a@b a@x--y.z_", "01.02.03.04 1.2.3.4,5.6.7.8", "123-00-4567 666-12-3456", "1.4111111111111111 x4111-1111-1111-1111"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(made)], "i int, t string")
+    found = rows.select("i", *[pii.matches(F.col("t"), d).alias(d.name) for d in pii.DETECTORS]).collect()
+    for r in found:
+        for d in pii.DETECTORS:
+            spans = [m.group() for m in re.finditer(d.pattern, made[r["i"]], re.ASCII)]
+            if d.digits:
+                good = lambda x: 13 <= len(x) <= 19 and sum(sum(divmod(2 * int(c), 10)) if k % 2 else int(c) for k, c in enumerate(reversed(x))) % 10 == 0
+                spans = [x for x in spans if good(re.sub("[^0-9]", "", x))]
+            assert r[d.name] == spans, (d.name, made[r["i"]])
+
+
+@pytest.mark.parametrize(
+    ("value", "wanted"),
+    [("jane.doe@example.com", "j***.com"), ("jane.doe@localhost", "j***"), ("212-555-0187", "2***"), ("a@b.", "a***"), ("", "***"), (None, None), ("a@b@c.org", "a***.org")],
+)
+def test_masks_leak_nothing(spark, value, wanted):
+    assert spark.createDataFrame([(value,)], "t string").select(text.masked(F.col("t")).alias("m")).first()["m"] == wanted
+
+
+def test_short_numbers(spark):
+    numbers = [0.0, 2.5, -2.5, 1e-5, 123456.0, 1234567.0, 999999.5, 0.0001234567, 100.0, 1e20, -1.5e-7, 0.1 + 0.2, 1e5, 3.0]
+    out = spark.createDataFrame([(x,) for x in numbers], "x double").select("x", text.value_key(F.col("x"), "number").alias("k")).collect()
+    assert [r["k"] for r in out] == [f"num:{x:.6g}" for x in numbers]
+    keys = spark.createDataFrame([(float("nan"),), (None,)], "x double").select(text.value_key(F.col("x"), "number").alias("k")).collect()
+    assert [r["k"] for r in keys] == ["missing", "missing"]
+
+
+def test_credentials_do_not_reach_cards(spark):
+    texts = ["Authorization: Bearer abcdefghijkl.mnop", "key sk-or-v1-abcdefgh1 end", "password = hunter22", "token: abc", "fine"]
+    out = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", cards.without_secrets(F.col("t")).alias("t")).orderBy("i").collect()
+    assert [r["t"] for r in out] == ["Authorization: [REDACTED]", "key [REDACTED] end", "[REDACTED]", "token: abc", "fine"]
+    nested = cards.without_secret_values({"api-key": 1, "a": ["x sk-abcdefghij", {"credentials": "z"}], "n": 3})
+    assert nested == {"api-key": "[REDACTED]", "a": ["x [REDACTED]", {"credentials": "[REDACTED]"}], "n": 3}
+
+
+def test_findings(spark):
+    rows = [(1, "mail jane@x.org or bob@y.com", "ok", 5), (2, "no", "call 212-555-0187", 6), (3, None, "bob@y.com", 7)]
+    df = spark.createDataFrame(rows, "id int, note string, other string, age int").withColumn("__provenance__", F.lit("a@b.com"))
+    out = {(r["column"], r["detector"]): r for r in scans.findings(df, "id").collect()}
+    assert set(out) == {("note", "email"), ("other", "phone"), ("other", "email")}
+    first = out["note", "email"]
+    assert (first["spans"], first["rows_with"], first["example_cells"], first["row_examples"]) == (2, 1, ["mail j***.org or b***.com"], [1])
+    assert scans.findings(df.limit(0), "id").count() == 0
+    best = {r["column"]: r["primary"] for r in scans.primary_detectors(scans.counts(df)).collect()}
+    assert best == {"note": "email", "other": "email"}
+
+
 def test_redaction(spark):
-    r = spark.createDataFrame([("a@b.com 4111 1111 1111 1111 x 4111 1111 1111 1112",)], "t string").select(pii.redacted(F.col("t")).alias("t")).first()
-    assert r["t"] == "[REDACTED] [REDACTED] x 4111 1111 1111 1112"
+    df = spark.createDataFrame([("a@b.com 4111 1111 1111 1111 x 4111 1111 1111 1112",), ("[REDACTED] 1.2.3.4",), (None,)], "t string")
+    out = scans.mask_columns(df, ["t"]).collect()
+    assert [r["t"] for r in out] == ["[REDACTED] [REDACTED] x 4111 1111 1111 1112", "[REDACTED] [REDACTED]", None]
+    assert [r["t__replaced"] for r in out] == [2, 1, 0]
 
 
 def test_fidelity(spark):
