@@ -50,7 +50,7 @@ def short_number(number: Column) -> Column:
     size = F.when(number == 0, 0.0).otherwise(F.abs(number))
     # the exponent after rounding to six digits
     digits = F.format_string("%.5e", size)
-    exponent = F.substring_index(digits, "e", -1).cast("int")
+    exponent = F.substring_index(digits, "e", -1).try_cast("int")
     trimmed = lambda s: F.when(F.contains(s, F.lit(".")), F.regexp_replace(s, r"\.?0*$", "")).otherwise(s)
     # of the digits as they are rounded, the point moved to its place
     plain = F.regexp_replace(F.substring_index(digits, "e", 1), r"\.", "")

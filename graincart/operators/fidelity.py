@@ -5,23 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ALONE = "_all"
+from graincart.functions import tests_of_fit
+from graincart.operators.running import running_sums
+
 #: Numbers that near copies meet by cells of; the others are only compared. Rows of a cell for each key.
 GRID, CELL_ROWS = 3, 2000
 
 
-def _running(column: str) -> Column:
-    return F.sum(column).over(Window.partitionBy(F.lit(0)).orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
-
-
-def ks_statistic(df: DataFrame, column: str, is_sample: Column) -> DataFrame:
-    """The largest distance of the two empirical distributions; rows are summed by value before anything is ordered."""
+def cumulative_counts(df: DataFrame, column: str, is_sample: Column) -> DataFrame:
+    """(x, a, b, ca, cb): rows of the sample and of the made side at each value of a number, and up to it. Nulls are left out."""
     x = df.select(F.col(column).cast("double").alias("x"), is_sample.cast("long").alias("s")).where("x is not null")
     counts = x.groupBy("x").agg(F.sum("s").alias("a"), F.sum(1 - F.col("s")).alias("b"))
-    run = counts.select(_running("a").alias("ca"), _running("b").alias("cb"))
-    totals = counts.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
-    gap = F.abs(F.col("ca") / F.col("na") - F.col("cb") / F.col("nb"))
-    return run.crossJoin(F.broadcast(totals)).agg(F.max(gap).alias("statistic"))
+    return running_sums(counts, "x", {"ca": "a", "cb": "b"})
+
+
+def ks_statistic(df: DataFrame, column: str, is_sample: Column, exact_up_to: int = tests_of_fit.EXACT) -> DataFrame:
+    """statistic and p_value: the largest distance of the two empirical distributions, and its chance.
+
+    Rows are summed by value before anything is ordered. Both are null if a side has no row.
+    """
+    run = cumulative_counts(df, column, is_sample)
+    totals = run.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
+    gap = F.abs(F.try_divide("ca", "na") - F.try_divide("cb", "nb"))
+    one = run.crossJoin(F.broadcast(totals)).agg(F.max(gap).alias("statistic"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+    chance = F.udf(lambda d, n, m: tests_of_fit.kolmogorov_smirnov(d, n or 0, m or 0, exact_up_to), "double")  # one row
+    return one.select("statistic", chance("statistic", "na", "nb").alias("p_value"))
 
 
 def aligned_counts(df: DataFrame, column: str, is_sample: Column) -> DataFrame:
@@ -31,12 +39,69 @@ def aligned_counts(df: DataFrame, column: str, is_sample: Column) -> DataFrame:
 
 
 def chi_square(df: DataFrame, column: str, is_sample: Column) -> DataFrame:
-    """Goodness of fit of the made counts to the sample's shares; expected counts are 0.5 at least, then rescaled."""
+    """statistic, dof and p_value of the made counts against the sample's shares; expected counts are 0.5 at least, then rescaled."""
     counts = aligned_counts(df, column, is_sample)
-    w = Window.partitionBy(F.lit(0))
-    counts = counts.withColumn("total", F.sum("made").over(w)).withColumn("e", F.greatest(F.col("sample") / F.sum("sample").over(w) * F.col("total"), F.lit(0.5)))
-    counts = counts.withColumn("e", F.col("e") * F.col("total") / F.sum("e").over(w))
-    return counts.agg(F.sum((F.col("made") - F.col("e")) ** 2 / F.col("e")).alias("statistic"), (F.count("*") - 1).alias("dof"))
+    sums = F.broadcast(counts.agg(F.sum("sample").alias("all_sample"), F.sum("made").alias("total")))
+    counts = counts.crossJoin(sums).withColumn("e", F.greatest(F.try_divide("sample", "all_sample") * F.col("total"), F.lit(0.5)))
+    counts = counts.crossJoin(F.broadcast(counts.agg(F.sum("e").alias("all_e")))).withColumn("e", F.col("e") * F.col("total") / F.col("all_e"))
+    one = counts.agg(F.sum((F.col("made") - F.col("e")) ** 2 / F.col("e")).alias("statistic"), (F.count("*") - 1).alias("dof"))
+    chance = F.udf(tests_of_fit.chi_square_tail, "double")  # one row
+    return one.withColumn("p_value", chance("statistic", "dof"))
+
+
+def distributions(df: DataFrame, numeric: list[str], categorical: list[str], is_sample: Column, bins: int = 20, most: int = 12) -> DataFrame:
+    """(column, chart, sample_side, label, value): histograms over edges that both sides share, and shares of categories.
+
+    A bin's label is its number, its value the count of rows; the last bin holds the largest value. Of
+    the categories of a side the ``most`` common ones stand, those that tie by name, and the others
+    are summed as ``other``. Missing categories are the category None; missing numbers are left out.
+    """
+    parts = []
+    if numeric:
+        ends = df.agg(*[f for i, c in enumerate(numeric) for f in (F.min(F.col(c).cast("double")).alias(f"lo{i}"), F.max(F.col(c).cast("double")).alias(f"hi{i}"))])
+        each = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x"), F.col(f"lo{i}").alias("lo"), F.col(f"hi{i}").alias("hi")) for i, c in enumerate(numeric)])
+        cells = df.withColumn("_side", is_sample).crossJoin(F.broadcast(ends)).select("_side", F.explode(each).alias("r")).select("_side", "r.*").where("x is not null")
+        width = F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo")).otherwise(1.0)
+        bin_of = F.least(F.floor((F.col("x") - F.col("lo")) / width * bins), F.lit(bins - 1)).cast("string")
+        counts = cells.groupBy("column", F.lit("histogram").alias("chart"), F.col("_side").alias("sample_side"), bin_of.alias("label"))
+        parts.append(counts.agg(F.count("*").cast("double").alias("value")))
+    if categorical:
+        each = F.array(*[F.struct(F.lit(c).alias("column"), F.coalesce(F.col(c).cast("string"), F.lit("None")).alias("v")) for c in categorical])
+        counts = df.select(is_sample.alias("sample_side"), F.explode(each).alias("r")).groupBy("r.column", "sample_side", "r.v").agg(F.count("*").alias("n"))
+        side = Window.partitionBy("column", "sample_side")
+        ranked = counts.withColumn("k", F.row_number().over(side.orderBy(F.desc("n"), "v"))).withColumn("all", F.sum("n").over(side))
+        label = F.when(F.col("k") <= most, F.col("v")).otherwise("other")
+        shares = ranked.groupBy("column", F.lit("bar").alias("chart"), "sample_side", label.alias("label")).agg((F.sum("n") / F.max("all")).alias("value"))
+        parts.append(shares)
+    return parts[0].union(parts[1]) if len(parts) == 2 else parts[0]
+
+
+#: What makes a report warn.
+LOW_P, DRIFT, DROPPED, NEAR = 0.01, 0.2, 0.1, 0.05
+
+
+def report(df: DataFrame, is_sample: Column, numeric: list[str], categorical: list[str], key: list[str], wanted: dict[str, dict[str, float]] | None = None, dropped: int = 0, asked: int | None = None, from_profile: bool = False) -> dict:
+    """How well the made rows of ``df`` stand for its sample: tests, drift, duplicates, near copies, balance and warnings."""
+    made, columns = df.where(~is_sample), [*numeric, *categorical]
+    n = made.count()
+    twice = n - made.select(*columns).distinct().count() if columns else 0
+    asked = n if asked is None else asked
+    near = near_copies(made, df.where(is_sample), key, numeric, categorical, NEAR).count() if columns else 0
+    out = {
+        "ks_tests": {c: ks_statistic(df, c, is_sample).first().asDict() for c in numeric},
+        "chi2_tests": {c: chi_square(df, c, is_sample).first().asDict() for c in categorical},
+        "correlation_drift": round(correlation_drift(df, numeric, is_sample).first()["drift"] or 0.0, 4),
+        "exact_duplicates": {"count": twice, "fraction": round(twice / max(n, 1), 4)},
+        "near_copies": {"count": near, "threshold": NEAR, "scanned": n},
+        "dropped_rows": dropped,
+        "dropped_ratio": round(dropped / max(asked, 1), 4),
+        "balance": {c: {r["value"]: {"requested": r["wanted"], "actual": r["actual"]} for r in balance(made, c, shares).collect()} for c, shares in (wanted or {}).items()},
+        "derived_profile": from_profile,
+        "made_rows": n,
+    }
+    moved = any((t["p_value"] if t["p_value"] is not None else 1.0) < LOW_P for t in [*out["ks_tests"].values(), *out["chi2_tests"].values()])
+    told = (("near_copies", near > 0), ("dropped_rows_high", out["dropped_ratio"] > DROPPED), ("derived_profile", from_profile), ("fidelity_drift", moved or out["correlation_drift"] > DRIFT))
+    return out | {"warnings": [name for name, holds in told if holds]}
 
 
 def correlation_drift(df: DataFrame, columns: list[str], is_sample: Column) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graincart.operators.running import running_sums
+
 
 def confusion(df: DataFrame, truth: str, pred: str) -> DataFrame:
     """(truth, pred, n, share of the truth, support) over the full grid of labels."""
@@ -61,9 +63,8 @@ def regression(df: DataFrame, truth: str, pred: str) -> DataFrame:
 
 def _cumulated(df: DataFrame, truth: Column, score: str) -> DataFrame:
     by = df.groupBy(F.col(score).alias("score")).agg(F.count_if(truth).alias("p"), F.count_if(~truth).alias("q"))
-    w = Window.partitionBy(F.lit(0))
-    up = w.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    return by.select("score", "p", "q", F.sum("p").over(up).alias("tp"), F.sum("q").over(up).alias("fp"), F.sum("p").over(w).alias("np"), F.sum("q").over(w).alias("nq"))
+    totals = by.agg(F.sum("p").alias("np"), F.sum("q").alias("nq"))
+    return running_sums(by, "score", {"tp": "p", "fp": "q"}, descending=True).crossJoin(F.broadcast(totals))
 
 
 def roc_points(df: DataFrame, truth: Column, score: str) -> DataFrame:

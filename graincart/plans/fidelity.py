@@ -20,30 +20,42 @@ def _is_sample():
 
 
 _KS = f"""WITH c AS (SELECT l_extendedprice AS x, count(*) FILTER (l_returnflag = 'R') AS a, count(*) FILTER (l_returnflag = 'N') AS b FROM ({_SIDES}) GROUP BY 1),
-r AS (SELECT sum(a) OVER (ORDER BY x) AS ca, sum(b) OVER (ORDER BY x) AS cb, sum(a) OVER () AS na, sum(b) OVER () AS nb FROM c) SELECT max(abs(ca / na - cb / nb)) AS statistic FROM r"""
+r AS (SELECT sum(a) OVER (ORDER BY x) AS ca, sum(b) OVER (ORDER BY x) AS cb, sum(a) OVER () AS na, sum(b) OVER () AS nb FROM c), t AS (SELECT max(abs(ca / na - cb / nb)) AS statistic, max(na * nb / (na + nb)) AS n FROM r)
+SELECT statistic, round(least(1, greatest(0, 2 * list_sum(list_transform(range(1, 101), lambda k: (CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp(-2 * k * k * n * statistic * statistic))))), 9) AS p_value FROM t"""
 
 
 @query("fid_ks", _KS)
 def fid_ks(spark, sf_dir):
-    return fidelity.ks_statistic(_sides(spark, sf_dir), "l_extendedprice", _is_sample())
+    # the SQL has the limit distribution at every size
+    out = fidelity.ks_statistic(_sides(spark, sf_dir), "l_extendedprice", _is_sample(), exact_up_to=0)
+    return out.select("statistic", F.round("p_value", 9).alias("p_value"))
 
 
 @query("win_ecdf", f"""WITH c AS (SELECT l_quantity AS x, count(*) FILTER (l_returnflag = 'R') AS a, count(*) FILTER (l_returnflag = 'N') AS b FROM ({_SIDES}) GROUP BY 1)
 SELECT x, CAST(sum(a) OVER (ORDER BY x) AS BIGINT) AS ca, CAST(sum(b) OVER (ORDER BY x) AS BIGINT) AS cb FROM c""")
 def win_ecdf(spark, sf_dir):
-    from pyspark.sql import Window
-
-    c = _sides(spark, sf_dir).groupBy(F.col("l_quantity").alias("x")).agg(F.count_if(_is_sample()).alias("a"), F.count_if(~_is_sample()).alias("b"))
-    w = Window.partitionBy(F.lit(0)).orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    return c.select("x", F.sum("a").over(w).alias("ca"), F.sum("b").over(w).alias("cb"))
+    return fidelity.cumulative_counts(_sides(spark, sf_dir), "l_quantity", _is_sample()).select("x", "ca", "cb")
 
 
 @query("fid_chi2", f"""WITH c AS (SELECT l_linenumber AS v, count(*) FILTER (l_returnflag = 'R') AS s, count(*) FILTER (l_returnflag = 'N') AS g FROM ({_SIDES}) GROUP BY 1),
-e AS (SELECT g, sum(g) OVER () AS t, greatest(s / sum(s) OVER () * sum(g) OVER (), 0.5) AS e FROM c), f AS (SELECT g, e * t / sum(e) OVER () AS e FROM e)
-SELECT round(sum((g - e) * (g - e) / e), 6) AS statistic, count(*) - 1 AS dof FROM f""")
+e AS (SELECT g, sum(g) OVER () AS t, greatest(s / sum(s) OVER () * sum(g) OVER (), 0.5) AS e FROM c), f AS (SELECT g, e * t / sum(e) OVER () AS e FROM e),
+x AS (SELECT sum((g - e) * (g - e) / e) AS s, count(*) - 1 AS dof FROM f)
+SELECT round(s, 6) AS statistic, dof, round(exp(-s / 2) * (1 + s / 2 + s * s / 8), 9) AS p_value FROM x""")
 def fid_chi2(spark, sf_dir):
     out = fidelity.chi_square(_sides(spark, sf_dir), "l_linenumber", _is_sample())
-    return out.select(F.round("statistic", 6).alias("statistic"), "dof")
+    # 6 degrees of freedom, for which the tail has a closed form
+    return out.select(F.round("statistic", 6).alias("statistic"), "dof", F.round("p_value", 9).alias("p_value"))
+
+
+_DIST = f"""WITH x AS (SELECT l_returnflag = 'R' AS sample_side, CAST(l_extendedprice AS DOUBLE) AS v, CAST(l_linenumber AS VARCHAR) AS c FROM ({_SIDES})), e AS (SELECT min(v) AS lo, max(v) AS hi FROM x),
+r AS (SELECT sample_side, c, count(*) AS n, row_number() OVER (PARTITION BY sample_side ORDER BY count(*) DESC, c) AS k FROM x GROUP BY 1, 2)
+SELECT 'l_extendedprice' AS "column", 'histogram' AS chart, sample_side, CAST(CAST(least(floor((v - lo) / (hi - lo) * 20), 19) AS BIGINT) AS VARCHAR) AS label, CAST(count(*) AS DOUBLE) AS value FROM x, e GROUP BY ALL
+UNION ALL SELECT 'l_linenumber', 'bar', sample_side, CASE WHEN k <= 4 THEN c ELSE 'other' END, sum(n) / max((SELECT count(*) FROM x y WHERE y.sample_side = r.sample_side)) FROM r GROUP BY ALL"""
+
+
+@query("fid_dist", _DIST)
+def fid_dist(spark, sf_dir):
+    return fidelity.distributions(_sides(spark, sf_dir), ["l_extendedprice"], ["l_linenumber"], _is_sample(), most=4)
 
 
 _PAIRS = [("l_quantity", "l_extendedprice"), ("l_quantity", "l_discount"), ("l_extendedprice", "l_discount")]
