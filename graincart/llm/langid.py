@@ -10,6 +10,7 @@ score, and the share of its subwords that training has seen.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -94,10 +95,25 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def shares(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct buckets of the subwords of a whole text, and their shares of all its subwords."""
+def counted(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct buckets of the subwords of a whole text, and how often each comes."""
     ids, counts = np.unique(subwords(text), return_counts=True)
-    return ids.astype(np.int32), (counts / max(counts.sum(), 1)).astype(np.float32)
+    return ids.astype(np.int32), counts.astype(np.int32)
+
+
+def shares(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets with their shares of all subwords of the text."""
+    return ids, (counts / max(counts.sum(), 1)).astype(np.float32)
+
+
+def packed(ids: np.ndarray, counts: np.ndarray) -> bytes:
+    """Both arrays as few bytes: steps between sorted buckets and counts are small."""
+    return zlib.compress(np.concatenate([np.diff(ids, prepend=np.int32(0)), counts]).astype(np.int32).tobytes(), 1)
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    steps, counts = np.split(np.frombuffer(zlib.decompress(data), np.int32), 2)
+    return np.cumsum(steps, dtype=np.int32), counts
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray, str]], settings: Settings = Settings(), seed: int = 7) -> Model:
@@ -152,10 +168,7 @@ def predict(model: Model, text: str | None) -> tuple[str, float, bool]:
 
 def _train_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        found = [shares(t) for t in batch["text"]]
-        out = batch.drop(columns="text")
-        out["ids"], out["shares"] = [x.tobytes() for x, _ in found], [y.tobytes() for _, y in found]
-        yield out
+        yield batch.drop(columns="text").assign(subwords=[packed(*counted(t)) for t in batch["text"]])
 
 
 def learn(docs: DataFrame, settings: Settings = Settings()) -> Model:
@@ -173,10 +186,10 @@ def learn(docs: DataFrame, settings: Settings = Settings()) -> Model:
     draw = F.crc32(F.concat(F.lit("langid-"), F.col("doc_id").cast("string"))) / 2.0**32 / F.element_at(share, F.col("lang"))
     rows = usable.select(draw.alias("draw"), F.xxhash64("text").alias("tie"), "lang", "text").where("draw < 1")
     small_batches(docs.sparkSession)
-    rows = rows.mapInPandas(_train_rows, "draw double, tie long, lang string, ids binary, shares binary")
+    rows = rows.mapInPandas(_train_rows, "draw double, tie long, lang string, subwords binary")
     # the sample has that many rows but for chance; the bound holds rows that repeat one id
     rows = rows.orderBy("draw", "lang", "tie").limit(2 * each * len(counts) + 1000).toPandas()
-    return fit([(np.frombuffer(r.ids, np.int32), np.frombuffer(r.shares, np.float32), r.lang) for r in rows.itertuples()], settings)
+    return fit([(*shares(*unpacked(r.subwords)), r.lang) for r in rows.itertuples()], settings)
 
 
 def identify(docs: DataFrame, model: Model, carry: tuple[str, ...] = ()) -> DataFrame:
