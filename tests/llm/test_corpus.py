@@ -211,7 +211,7 @@ def test_language_against_plain_loops():
     texts = ["Hello, wörld! 12 a", " ünder  das\tHaus. ", "x", "a1b"]
     for t in texts:
         assert sorted(langid.subwords(t).tolist()) == slow(t)
-    model = langid.fit([(*langid.shares(t), "xy"[i % 2]) for i, t in enumerate(texts * 20)])
+    model = langid.fit([(*langid.shares(*langid.unpacked(langid.packed(*langid.counted(t)))), "xy"[i % 2]) for i, t in enumerate(texts * 20)])
     for t in texts + ["hello house " * 3000]:
         raw = np.array([model.logits[b].astype(float) for b in slow(t)]).mean(axis=0) + model.bias
         chances = np.exp(raw / model.temperature - (raw / model.temperature).max())
