@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graincart.llm.common import broadcast_if_small, discard, materialize, table, with_rest
+from graincart.llm.common import broadcast_if_small, discard, join_spread, materialize, table, with_rest
 from graincart.llm.decontamination import contamination
 from graincart.llm.langid import identify, learn
 from graincart.llm.minhash import near_duplicates
@@ -41,10 +41,11 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     known = docs.select(named.alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     found = materialize(near_duplicates(known, percent=SIMILAR, carry=("text_hash",)).where("group is not null"))
     first = found.groupBy("group").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.count("*").alias("rows")).where("rows > 1")
-    gone = found.join(first, "group").where("doc_id <> first.doc_id or text_hash <> first.text_hash")
+    first = materialize(first)
+    gone = join_spread(found, first.drop("rows"), "group", first.select("group", "rows"), found.count()).where("doc_id <> first.doc_id or text_hash <> first.text_hash")
     gone = materialize(gone.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text")).distinct())
     twice = found.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count()
-    discard(found)
+    discard(found, first)
 
     def work(d: DataFrame, rest: tuple[str, ...]) -> DataFrame:
         d = d.withColumn("_id", named).withColumn("_text", F.xxhash64("text"))
