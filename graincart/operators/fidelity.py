@@ -45,7 +45,7 @@ def chi_square(df: DataFrame, column: str, is_sample: Column) -> DataFrame:
     counts = counts.crossJoin(sums).withColumn("e", F.greatest(F.try_divide("sample", "all_sample") * F.col("total"), F.lit(0.5)))
     counts = counts.crossJoin(F.broadcast(counts.agg(F.sum("e").alias("all_e")))).withColumn("e", F.col("e") * F.col("total") / F.col("all_e"))
     one = counts.agg(F.sum((F.col("made") - F.col("e")) ** 2 / F.col("e")).alias("statistic"), (F.count("*") - 1).alias("dof"))
-    chance = F.udf(tests_of_fit.chi_square_tail, "double")  # one row
+    chance = F.udf(lambda x, dof: tests_of_fit.chi_square_tail(x, dof or 0), "double")  # one row
     return one.withColumn("p_value", chance("statistic", "dof"))
 
 

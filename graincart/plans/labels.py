@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graincart.operators import checks, labeling
+from graincart.operators import checks, labeling, review
 from graincart.plans.registry import query, table
 
 _DRAW = "concat('0x', substr(sha256({}), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616.0"
@@ -145,3 +145,72 @@ def jn_parent(spark, sf_dir):
     r = table(spark, sf_dir, "region")
     p = r.select((F.col("r_regionkey") + 1).alias("r_regionkey"), F.col("r_name").alias("parent"))
     return r.join(p, "r_regionkey", "left").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"), "parent")
+
+
+def _families(spark, sf_dir):
+    """``documents`` with a choice and a score of an evaluator, and its provenance."""
+    i = F.col("doc_id")
+    df = table(spark, sf_dir, "documents").select(i.alias("__row_id__"), F.when(i % 2 == 0, "pos").otherwise("neg").alias("tone"), F.lit(0.8).alias("tone__confidence"))
+    row = F.col("__row_id__")
+    df = df.withColumn("tone__p_pos", F.when(row % 2 == 0, 0.8).otherwise(0.2)).withColumn("tone__p_neg", F.when(row % 2 == 0, 0.2).otherwise(0.8))
+    df = df.withColumn("rate", (row % 5 + 1).cast("double")).withColumn("rate__probabilities", F.concat(F.lit('{"'), (row % 5 + 1).cast("string"), F.lit('":0.9}')))
+    return df.withColumn("__provenance__", F.lit('{"row_origin":"uploaded","label_origins":{"tone":{"origin":"evaluator","confidence":0.8},"rate":{"origin":"evaluator"}}}'))
+
+
+_KINDS = {"tone": "choice", "rate": "score"}
+
+
+def _decisions(df):
+    """Of each thirteen rows one is accepted, one gets another choice, one another score, and one is excluded beside an override."""
+    said = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(f).alias("family"), F.lit(a).alias("action"), F.lit(v).cast("string").alias("value"), F.lit(n).cast("string").alias("note")) for r, f, a, v, n in (
+        (0, "tone", "accept", None, "ok"), (1, "tone", "override", "pos", None), (2, "rate", "override", "2.5", None), (3, "rate", "override", "4", None), (4, "tone", "override", "neg", None), (4, "rate", "exclude", None, None))])
+    return df.select(F.col("__row_id__").alias("row"), F.explode(said).alias("d")).where("row % 13 = d.r").select("row", "d.family", "d.action", "d.value", "d.note")
+
+
+@query("rev_apply_all", """SELECT i AS "row", CASE WHEN m = 1 THEN 'pos' WHEN i % 2 = 0 THEN 'pos' ELSE 'neg' END AS tone, CASE WHEN m = 1 THEN 1.0 ELSE 0.8 END AS sure,
+CASE WHEN m = 1 THEN 1.0 WHEN i % 2 = 0 THEN 0.8 ELSE 0.2 END AS p_pos, CASE WHEN m = 1 THEN 0.0 WHEN i % 2 = 0 THEN 0.2 ELSE 0.8 END AS p_neg,
+CAST(CASE m WHEN 2 THEN 2.5 WHEN 3 THEN 4 ELSE i % 5 + 1 END AS DOUBLE) AS rate, CASE m WHEN 2 THEN '{"2.5":1.0}' WHEN 3 THEN '{"4":1.0}' ELSE '{"' || i % 5 + 1 || '":0.9}' END AS probabilities,
+m = 4 AS excluded, CASE WHEN m IN (0, 1, 2, 3) THEN 'human_reviewed' ELSE 'evaluator' END AS bucket FROM (SELECT doc_id AS i, doc_id % 13 AS m FROM documents)""".replace("i % 5 + 1 ||", "(i % 5 + 1) ||").replace("CASE WHEN m = 1 THEN 1.0 ELSE 0.8 END AS sure", "CAST(CASE WHEN m = 1 THEN 1.0 ELSE 0.8 END AS DOUBLE) AS sure").replace("CASE WHEN m = 1 THEN 1.0 WHEN i % 2 = 0 THEN 0.8 ELSE 0.2 END", "CAST(CASE WHEN m = 1 THEN 1.0 WHEN i % 2 = 0 THEN 0.8 ELSE 0.2 END AS DOUBLE)").replace("CASE WHEN m = 1 THEN 0.0 WHEN i % 2 = 0 THEN 0.2 ELSE 0.8 END", "CAST(CASE WHEN m = 1 THEN 0.0 WHEN i % 2 = 0 THEN 0.2 ELSE 0.8 END AS DOUBLE)"))
+def rev_apply_all(spark, sf_dir):
+    df = _families(spark, sf_dir)
+    out = review.apply_decisions(df, _decisions(df), _KINDS)
+    return out.select(F.col("__row_id__").alias("row"), "tone", F.col("tone__confidence").alias("sure"), F.col("tone__p_pos").alias("p_pos"), F.col("tone__p_neg").alias("p_neg"), "rate", F.col("rate__probabilities").alias("probabilities"), F.col("__excluded__").alias("excluded"), labeling.origin_bucket(F.col("__provenance__")).alias("bucket"))
+
+
+@query("rev_validate", """SELECT doc_id AS "row", CASE doc_id % 7 WHEN 1 THEN '' WHEN 5 THEN 'rate' WHEN 3 THEN 'mood' ELSE 'tone' END AS family, CASE doc_id % 7 WHEN 0 THEN 'unknown action' WHEN 1 THEN 'no family' WHEN 2 THEN 'no new answer' WHEN 3 THEN 'unknown family' ELSE 'not a number' END AS problem
+FROM documents WHERE doc_id % 7 IN (0, 1, 2, 3, 5)""")
+def rev_validate(spark, sf_dir):
+    row, rest = F.col("doc_id"), F.col("doc_id") % 7
+    family = F.when(rest == 1, "").when(rest == 5, "rate").when(rest == 3, "mood").otherwise("tone")
+    action = F.when(rest == 0, "delete").when(rest.isin(1, 3), "accept").when(rest == 4, "exclude").otherwise("override")
+    value = F.when(rest == 2, " ").otherwise("good")
+    return review.invalid_decisions(table(spark, sf_dir, "documents").select(row.alias("row"), family.alias("family"), action.alias("action"), value.alias("value")), _KINDS)
+
+
+@query("rev_check", f"{_QUEUE} SELECT 'unreviewed_labels' AS kind, 'warning' AS severity, 'documents' AS subject, count(DISTINCT i) AS \"rows\" FROM q WHERE c IS NULL OR c < 0.6 HAVING count(*) > 0")
+def rev_check(spark, sf_dir):
+    return review.unreviewed_check(rev_queue(spark, sf_dir), "documents")
+
+
+@query("lab_apply", f"""WITH p AS (SELECT doc_id AS i, {_P} AS p FROM documents) SELECT i AS "row", CASE WHEN i % 7 <> 0 AND i % 3 <> 0 THEN p >= 0.5 END AS spam, CASE WHEN i % 7 <> 0 AND i % 3 <> 0 THEN 2 * abs(p - 0.5) END AS confidence,
+CASE WHEN i % 2 = 0 THEN 'human_reviewed' WHEN i % 7 <> 0 AND i % 3 <> 0 THEN 'evaluator' ELSE 'synthetic' END AS bucket FROM p""")
+def lab_apply(spark, sf_dir):
+    a = labeling.binary_answer(_state(), "spam")
+    docs = table(spark, sf_dir, "documents")
+    key = F.col("doc_id").alias("__row_id__")
+    # every third row was not asked, every seventh failed, and half of the rows have another family that was reviewed
+    answers = docs.where("doc_id % 3 <> 0").select(key, a["answer"].alias("spam"), a["confidence"].alias("spam__confidence"), (F.col("doc_id") % 7 == 0).alias("failed"))
+    old = F.when(F.col("doc_id") % 2 == 0, '{"row_origin":"synthetic","label_origins":{"tone":{"origin":"human_reviewed"}}}').otherwise('{"row_origin":"synthetic"}')
+    out = review.apply_answers(docs.select(key, old.alias("__provenance__")), answers, ["spam"])
+    return out.select(F.col("__row_id__").alias("row"), "spam", F.col("spam__confidence").alias("confidence"), labeling.origin_bucket(F.col("__provenance__")).alias("bucket"))
+
+
+@query("smp_val")
+def smp_val(spark, sf_dir):
+    df = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("__row_id__"), "lang")
+    return review.validation_rows(df, "lang", 0.2).groupBy("lang", "validation").agg(F.count("*").alias("n"))
+
+
+@query("fr_positive", "SELECT max(lang) AS positive FROM documents")
+def fr_positive(spark, sf_dir):
+    return review.positive_class(table(spark, sf_dir, "documents"), "lang")

@@ -155,6 +155,6 @@ def agg_pii(spark, sf_dir):
     return found.select("column", "detector", "spans", "rows_with", F.concat_ws(",", F.transform("row_examples", lambda x: x.cast("string"))).alias("first_rows"))
 
 
-@query("agg_pii_sum", _CELLS + " SELECT \"column\", CAST(sum(spans) AS BIGINT) AS spans, count(*) AS detectors, arg_max(detector, spans) AS \"primary\" FROM a GROUP BY 1")
+@query("agg_pii_sum", _CELLS + " SELECT \"column\", CAST(sum(spans) AS BIGINT) AS spans, count(*) AS detectors, arg_max(detector, spans * 10 - list_position(['email', 'phone', 'ssn', 'credit_card', 'ip'], detector)) AS \"primary\" FROM a GROUP BY 1")
 def agg_pii_sum(spark, sf_dir):
     return scans.primary_detectors(scans.counts(table(spark, sf_dir, "documents"), ["text"]))

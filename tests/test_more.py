@@ -79,3 +79,52 @@ def test_near_copies_of_all_rows(spark, threshold, monkeypatch):
     out = fidelity.near_copies(spark.createDataFrame(made, schema), spark.createDataFrame(sample, schema), ["id"], ["x", "y"], ["c"], threshold)
     got = {r["id"]: r["distance"] for r in out.collect()}
     assert got == {i: d for i, d in wanted.items() if d <= threshold} and max(got) >= 200
+
+
+def test_ks_chances_are_exact():
+    from itertools import combinations
+
+    from graincart.functions import tests_of_fit as fit
+
+    for n, m in ((3, 4), (5, 5), (2, 6)):
+        gaps = []
+        for first in combinations(range(n + m), n):
+            a = b = 0
+            most = 0.0
+            for i in range(n + m):
+                a, b = a + (i in first), b + (i not in first)
+                most = max(most, abs(a / n - b / m))
+            gaps.append(most)
+        for d in sorted(set(gaps)):
+            assert fit.kolmogorov_smirnov(d, n, m) == pytest.approx(sum(g >= d - 1e-12 for g in gaps) / len(gaps), abs=1e-12)
+    assert fit.kolmogorov_smirnov(0.1, 9000, 9000, 0) == pytest.approx(fit.kolmogorov_smirnov(0.1, 900, 900), abs=1e-3)
+    assert fit.kolmogorov_smirnov(None, 3, 4) is None
+    # fixed values of tables: the 5 % and 1 % points
+    for x, dof, p in ((3.841459, 1, 0.05), (6.634897, 1, 0.01), (18.307038, 10, 0.05), (10.0, 2, 0.006737947), (124.342113, 100, 0.05)):
+        assert fit.chi_square_tail(x, dof) == pytest.approx(p, rel=1e-5)
+
+
+def test_running_sums_need_no_single_task(spark):
+    import random
+
+    from graincart.operators.running import running_sums
+
+    rng = random.Random(3)
+    values = {rng.gauss(0, 5): rng.randrange(9) for _ in range(3000)}
+    df = spark.createDataFrame([*values.items(), (None, 4)], "x double, n int")
+    for down in (False, True):
+        out = {r["x"]: r["upto"] for r in running_sums(df, "x", {"upto": "n"}, down).collect()}
+        total = 0 if down else 4
+        for x in sorted(values, reverse=down):
+            total += values[x]
+            assert out[x] == total
+    assert running_sums(df.limit(0), "x", {"upto": "n"}).count() == 0
+
+
+def test_validation_rows(spark):
+    from graincart.operators.review import seed_of, validation_rows
+
+    df = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(2000)] + [(9999, "lone")], "__row_id__ long, y string")
+    shares = {r["y"]: r["s"] for r in validation_rows(df, "y", 0.2).groupBy("y").agg(F.avg(F.col("validation").cast("int")).alias("s")).collect()}
+    assert abs(shares["a"] - 0.2) < 0.05 and abs(shares["b"] - 0.2) < 0.05 and shares["lone"] == 0
+    assert seed_of({"a": 1, "b": 2}) == seed_of({"b": 2, "a": 1}) != seed_of({"a": 1})
