@@ -119,6 +119,19 @@ def group_regression(df: DataFrame, group: str, truth: str, pred: str) -> DataFr
     return df.groupBy(F.col(group).alias("group")).agg(F.count("*").alias("n"), F.avg(F.abs(r)).alias("mae"), F.sqrt(F.avg(r * r)).alias("rmse"), F.avg(r).alias("mean_error"))
 
 
+def group_report(df: DataFrame, group: str, scores: DataFrame, least: int = 1) -> DataFrame:
+    """``scores`` (group, n, metrics) of every group of the whole table, with its ``rows`` and the ``reason`` why it has none.
+
+    Groups of fewer than ``least`` held-out rows are not measured.
+    """
+    everyone = df.groupBy(F.col(group).alias("_of")).agg(F.count("*").alias("rows"))
+    out = everyone.join(scores, F.col("_of").eqNullSafe(F.col("group")), "left")
+    n = F.coalesce("n", F.lit(0).cast("long"))
+    reason = F.when(n == 0, "no held-out rows").when(n < least, f"fewer than {least} held-out rows")
+    told = [F.when(reason.isNull(), F.col(c)).alias(c) for c in scores.columns if c not in ("group", "n")]
+    return out.select(F.col("_of").alias("group"), "rows", n.alias("n"), reason.alias("reason"), *told)
+
+
 def gaps(groups: DataFrame, metrics: list[str], threshold: float = 0.1) -> DataFrame:
     """(metric, gap, lowest, highest, exceeds): the range of each metric over the groups that have it, names break ties."""
     rows = groups.select("group", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in metrics])).alias("r")).select("group", "r.*").where("value is not null")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -14,6 +15,8 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graincart.operators.running import places
+
 LABEL, FEATURES, PREDICTION = "_label", "_features", "prediction"
 
 
@@ -121,14 +124,25 @@ def predict(model: PipelineModel, df: DataFrame, inputs: list[str]) -> DataFrame
     return out.withColumn("predicted", named).drop(FEATURES, PREDICTION, "probability", "rawPrediction")
 
 
-def tune(df: DataFrame, name: str, task: str, inputs: list[str], grid: dict[str, list], evaluator, folds: int = 3, seed: int = 0):
-    """Cross-validated fit over a grid of the last stage's parameters, on rows that have ``_label``."""
-    flow = pipeline(name, task, inputs, df.count())
+def tune(df: DataFrame, name: str, task: str, inputs: list[str], grid: dict[str, list], evaluator, key: list[str], folds: int = 3, seed: int = 0):
+    """Cross-validated fit over a grid of the last stage's parameters, on rows that have ``_label``.
+
+    Each class is dealt evenly to the folds. Raises ValueError if there are fewer than two rows for
+    each fold, or if no setting gives a finite score.
+    """
+    rows = df.count()
+    if rows < 2 * folds:
+        raise ValueError(f"{rows} rows are too few for {folds} folds")
+    flow = pipeline(name, task, inputs, rows)
     last = flow.getStages()[-1]
     build = ParamGridBuilder()
     for k, values in grid.items():
         build = build.addGrid(last.getParam(k), values)
-    return CrossValidator(estimator=flow, estimatorParamMaps=build.build(), evaluator=evaluator, numFolds=folds, seed=seed).fit(df)
+    dealt = places(df, f"fold-{seed}", key, [LABEL] if task == "classification" else None).withColumn("_fold", (F.col("_at") % folds).cast("int")).drop("_at")
+    found = CrossValidator(estimator=flow, estimatorParamMaps=build.build(), evaluator=evaluator, numFolds=folds, foldCol="_fold", seed=seed).fit(dealt)
+    if not any(math.isfinite(x) for x in found.avgMetrics):
+        raise ValueError("no setting has a finite score")
+    return found
 
 
 def permutation_importance(df: DataFrame, score: Callable[[DataFrame], float], columns: list[str], key: str, repeats: int = 3) -> dict[str, float]:
@@ -137,9 +151,8 @@ def permutation_importance(df: DataFrame, score: Callable[[DataFrame], float], c
     for c in columns:
         drops = []
         for r in range(repeats):
-            place = lambda salt: F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.xxhash64(F.lit(salt), F.col(key)), key))
-            values = df.select(place(f"{c}{r}a").alias("_at"), F.col(c).alias("_new"))
-            moved = df.withColumn("_at", place(f"{c}{r}b")).join(values, "_at").withColumn(c, F.col("_new")).drop("_at", "_new")
+            values = places(df.select(key, c), f"{c}{r}a", [key]).select("_at", F.col(c).alias("_new"))
+            moved = places(df, f"{c}{r}b", [key]).join(values, "_at").withColumn(c, F.col("_new")).drop("_at", "_new")
             drops.append(base - score(moved))
         out[c] = sum(drops) / len(drops)
     return out

@@ -29,3 +29,20 @@ def running_sums(df: DataFrame, x: str, sums: dict[str, str], descending: bool =
     within = Window.partitionBy("_range").orderBy(order(x)).rowsBetween(Window.unboundedPreceding, 0)
     out = dealt.join(F.broadcast(each), "_range")
     return out.select(*df.columns, *[(F.sum(c).over(within) + F.col(f"_{n}")).alias(n) for n, c in sums.items()])
+
+
+def places(df: DataFrame, salt: str, key: list[str], within: list[str] | None = None, each: int = 100_000) -> DataFrame:
+    """``df`` with ``_at``: 0, 1, ... in an order that hashes of ``salt`` and ``key`` give, for each value of ``within``.
+
+    Rows are ordered within bins of about ``each`` rows only; the bins' counts tell where each bin
+    begins. Rows with equal keys have places of their own, in any order.
+    """
+    bins = df.count() // each + 1
+    group = F.to_json(F.struct(*within)) if within else F.lit("")
+    draw = F.xxhash64(F.lit(salt), *[F.col(c) for c in key])
+    rows = df.withColumn("_group", group).withColumn("_draw", draw).withColumn("_bin", F.pmod("_draw", F.lit(bins)))
+    sizes = rows.groupBy("_group", "_bin").agg(F.count("*").alias("_n"))
+    begins = sizes.select("_group", "_bin", (F.sum("_n").over(Window.partitionBy("_group").orderBy("_bin")) - F.col("_n")).alias("_begin"))
+    order = Window.partitionBy("_group", "_bin").orderBy("_draw", *key)
+    out = rows.join(begins, ["_group", "_bin"]).withColumn("_at", F.col("_begin") + F.row_number().over(order) - 1)
+    return out.select(*df.columns, "_at")

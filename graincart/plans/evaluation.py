@@ -102,6 +102,13 @@ def fr_gap(spark, sf_dir):
 query("win_gaps")(fr_gap)
 
 
+@query("fr_report", f"{_GROUPS.replace('FROM z', 'FROM z WHERE doc_id % 25 = 0')}, d AS (SELECT lang AS l, count(*) AS rows FROM documents GROUP BY 1), r AS (SELECT l, rows, coalesce(n, 0) AS n, accuracy, tpr FROM d LEFT JOIN g ON l IS NOT DISTINCT FROM \"group\") SELECT l AS \"group\", rows, n, CASE WHEN n = 0 THEN 'no held-out rows' WHEN n < 10 THEN 'fewer than 10 held-out rows' END AS reason, CASE WHEN n >= 10 THEN accuracy END AS accuracy, CASE WHEN n >= 10 THEN tpr END AS tpr FROM r")
+def fr_report(spark, sf_dir):
+    held_out = predictions(spark, sf_dir).where("doc_id % 25 = 0")
+    scores = metrics.group_classification(held_out, "lang", F.col("y"), F.col("h")).select("group", "n", "accuracy", "tpr")
+    return metrics.group_report(table(spark, sf_dir, "documents"), "lang", scores, 10)
+
+
 @query("agg_fair_reg", "SELECT l_returnflag AS \"group\", count(*) AS n, round(avg(abs(1500 * l_quantity - l_extendedprice)), 4) AS mae, round(sqrt(avg((1500 * l_quantity - l_extendedprice) ^ 2)), 4) AS rmse, round(avg(1500 * l_quantity - l_extendedprice), 4) AS mean_error FROM lineitem GROUP BY 1")
 def agg_fair_reg(spark, sf_dir):
     df = table(spark, sf_dir, "lineitem").select("l_returnflag", F.col("l_extendedprice").alias("y"), (1500 * F.col("l_quantity")).alias("h"))

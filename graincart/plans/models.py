@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graincart.operators import metrics, models
+from graincart.operators import metrics, models, training
 from graincart.plans.registry import query, table
 from graincart.plans.training import split_labels
 
@@ -69,3 +69,55 @@ def mdl_linear(spark, sf_dir):
     df = table(spark, sf_dir, "lineitem").withColumn("split", F.lit("train"))
     model = models.fit(df, "linear_regression", "regression", ["l_quantity"], "l_extendedprice").stages[-1]
     return spark.createDataFrame([(round(float(model.coefficients[0]), 3), round(float(model.intercept), 2))], "slope double, intercept double")
+
+
+def _setup(spark, sf_dir):
+    """Labelled documents, of which some lack the target and some wait for review."""
+    rows = _rows(spark, sf_dir).drop("split").withColumn("quality", F.when(F.col("doc_id") % 7 != 0, F.col("quality")))
+    return training.setup(rows, "quality", ["doc_id"], unreviewed=F.col("doc_id") % 11 == 0)
+
+
+@query(
+    "trn_setup",
+    """WITH r AS (SELECT doc_id, CASE WHEN doc_id % 7 <> 0 THEN quality END AS c FROM labels JOIN documents USING (doc_id)),
+k AS (SELECT c, count(*) AS n FROM r WHERE c IS NOT NULL AND doc_id % 11 <> 0 GROUP BY 1),
+t AS (SELECT n, CASE WHEN n > 1 THEN greatest(1, least(round_even(n * CAST(0.2 AS DOUBLE), 0), n - 1)) ELSE 0 END AS held FROM k)
+SELECT 'classification' AS task, (SELECT count(*) FROM r) AS given, (SELECT count(*) FROM r WHERE c IS NULL) AS without_target, (SELECT count(*) FROM r WHERE c IS NOT NULL AND doc_id % 11 = 0) AS unreviewed,
+CAST(sum(n) AS BIGINT) AS rows, CAST(sum(n) - sum(held) AS BIGINT) AS train, CAST(sum(held) AS BIGINT) AS test, count(*) AS classes FROM t""",
+)
+def trn_setup(spark, sf_dir):
+    s = _setup(spark, sf_dir)
+    columns = ", ".join(f"{c} long" for c in s.counts)
+    return spark.createDataFrame([(s.task, *s.counts.values())], f"task string, {columns}")
+
+
+@query("mdl_run")
+def mdl_run(spark, sf_dir):
+    """Two models by their held-out accuracy, and one that does not do the task."""
+    return training.run(_setup(spark, sf_dir), ["logistic_regression", "naive_bayes", "linear_regression"])
+
+
+def _item_spec(spark, sf_dir):
+    columns = {"l_quantity": "number", "l_returnflag": "categorical", "l_extendedprice": "number"}
+    items = table(spark, sf_dir, "lineitem").withColumn("l_quantity", F.when(F.col("l_linenumber") != 2, F.col("l_quantity")))
+    spec, _ = training.fit_spec(items.where("l_orderkey % 4 <> 0"), columns)
+    return training.Spec.from_json(spec.to_json())
+
+
+_ITEMS = "WITH i AS (SELECT CASE WHEN l_linenumber <> 2 THEN l_quantity END AS q, l_extendedprice AS p, l_returnflag AS f FROM lineitem WHERE l_orderkey % 4 <> 0)"
+
+
+@query("pre_names", f"{_ITEMS} SELECT 'l_quantity' AS name, 'l_quantity' AS source FROM i UNION SELECT 'l_extendedprice', 'l_extendedprice' FROM i UNION SELECT 'l_returnflag=' || coalesce(f, '__missing__'), 'l_returnflag' FROM i")
+def pre_names(spark, sf_dir):
+    return spark.createDataFrame(_item_spec(spark, sf_dir).sources, "name string, source string")
+
+
+@query(
+    "pre_spec",
+    f"""{_ITEMS}, m AS (SELECT 'l_quantity' AS c, CAST(q AS DOUBLE) AS x, (SELECT median(CAST(q AS DOUBLE)) FROM i) AS mid FROM i UNION ALL SELECT 'l_extendedprice', CAST(p AS DOUBLE), (SELECT median(CAST(p AS DOUBLE)) FROM i) FROM i)
+SELECT c AS "column", round(mid, 6) AS median, round(avg(coalesce(x, mid)), 6) AS mean, round(stddev_pop(coalesce(x, mid)), 6) AS std FROM m GROUP BY c, mid""",
+)
+def pre_spec(spark, sf_dir):
+    """Fitted numbers of a specification that was written as JSON and read back."""
+    rows = [(f.column, round(f.median, 6), round(f.mean, 6), round(f.std, 6)) for f in _item_spec(spark, sf_dir).features if f.kind == "number"]
+    return spark.createDataFrame(rows, "column string, median double, mean double, std double")

@@ -34,8 +34,29 @@ class Store:
             found = self.spark.read.schema(_SCHEMA).parquet(f"{self.root}/versions")
         except AnalysisException:
             found = self.spark.createDataFrame([], _SCHEMA)
+        found = found.join(self._deleted(), "version_id", "left_anti").select(*found.columns)
         return (found.where(F.col("project") == project) if project else found).orderBy("project", "number")
 
+    def _deleted(self) -> DataFrame:
+        try:
+            return self.spark.read.schema("version_id string").parquet(f"{self.root}/deleted")
+        except AnalysisException:
+            return self.spark.createDataFrame([], "version_id string")
+
+    def delete(self, project: str) -> int:
+        """Delete a project's versions and their rows; how many there were.
+
+        The entries are marked before any row goes, so that an interrupted deletion leaves no
+        version without its rows.
+        """
+        gone = [r["version_id"] for r in self.versions(project).select("version_id").collect()]
+        if gone:
+            self.spark.createDataFrame([(v,) for v in gone], "version_id string").write.mode("append").parquet(f"{self.root}/deleted")
+        for version_id in gone:
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/data/{version_id}")
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        return len(gone)
+
     def create(self, project: str, df: DataFrame, parent_id: str | None = None, origin: str = "uploaded", seed: int | None = None, meta: dict | None = None) -> str:
         """Write ``df`` as the next version of ``project`` and return its id.
 
