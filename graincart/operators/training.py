@@ -7,10 +7,12 @@ from collections.abc import Iterable
 from dataclasses import asdict, dataclass
 
 from pyspark.errors import AnalysisException
+from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graincart.operators import metrics, models, prep
+from graincart.operators.cards import without_secret_values
 from graincart.operators.profile import kinds
 from graincart.operators.schema import features
 
@@ -230,3 +232,54 @@ def same_split(rows: DataFrame, told: DataFrame, key: Iterable[str]) -> bool:
     """Whether ``rows`` have the split whose digest was ``told``."""
     a, b = ({tuple(r) for r in d.select("split", "rows", "digest").collect()} for d in (split_digest(rows, key), told))
     return a == b
+
+
+def fairness_run(s: Setup, name: str, whole: DataFrame, group: str, least: int = 1, threshold: float = 0.1, options: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """Report of all groups of ``whole`` by a model's held-out rows, and the gaps between measured groups.
+
+    ``whole`` has the key and ``group``, which need not be a feature. The positive class is the last
+    one by name. For a regression the gap of the mean absolute error is also given relative to that
+    of all rows (``relative``), and this is what is held against ``threshold``.
+    """
+    spec, _ = fit_spec(s.rows.where("split = 'train'"), s.features)
+    rows = spec.encoded(s.rows, [*s.key, s.target, "split"])
+    model = models.fit(rows, name, s.task, spec.inputs, s.target, **(options or {}))
+    scored = models.predict(model, rows.where("split = 'test'"), spec.inputs).select(*s.key, F.col(s.target).alias("_truth"), F.col("predicted").alias("_told"))
+    scored = scored.join(whole.select(*s.key, F.col(group).alias("_of")), [*s.key])
+    if s.task == "classification":
+        positive = s.rows.agg(F.max(F.col(s.target).cast("string"))).first()[0]
+        scores = metrics.group_classification(scored, "_of", F.col("_truth").cast("string") == positive, F.col("_told") == positive)
+        report = metrics.group_report(whole, group, scores, least)
+        return report, metrics.gaps(report, ["accuracy", "selection_rate", "tpr", "fpr"], threshold)
+    report = metrics.group_report(whole, group, metrics.group_regression(scored, "_of", "_truth", "_told"), least)
+    error = scored.agg(F.avg(F.abs(F.col("_truth").cast("double") - F.col("_told")))).first()[0]
+    found = metrics.gaps(report, ["mae"], threshold).withColumn("relative", F.try_divide("gap", F.lit(error)))
+    return report, found.withColumn("exceeds", F.coalesce(F.col("relative") > threshold, F.lit(False)))
+
+
+def fairness_checks(gaps: DataFrame, subject: str, group: str, was_feature: bool = False) -> DataFrame:
+    """(kind, severity, subject): a warning for each gap that exceeds, and a note if the group was a feature."""
+    warned = gaps.where("exceeds").select(F.concat(F.lit("fairness_"), "metric").alias("kind"), F.lit("warning").alias("severity"), F.lit(subject).alias("subject"))
+    if not was_feature:
+        return warned
+    note = gaps.sparkSession.createDataFrame([(f"feature_{group}", "info", subject)], "kind string, severity string, subject string")
+    return warned.unionByName(note)
+
+
+def write_bundle(path: str, s: Setup, spec: Spec, model: PipelineModel, card: str, meta: dict | None = None) -> None:
+    """A fitted model with all that predictions need, in a folder that Spark can write: model, features, inputs, metadata and card."""
+    model.write().overwrite().save(f"{path}/model")
+    told = {
+        "features.json": spec.to_json(),
+        "input_schema.json": s.rows.select(*[f.column for f in spec.features]).schema.json(),
+        "metadata.json": json.dumps(without_secret_values({"task": s.task, "target": s.target, "counts": s.counts} | (meta or {})), sort_keys=True, default=str),
+        "model_card.md": card,
+    }
+    spark = s.rows.sparkSession
+    spark.createDataFrame([*told.items()], "name string, content string").coalesce(1).write.mode("overwrite").parquet(f"{path}/files")
+
+
+def read_bundle(spark: SparkSession, path: str) -> tuple[PipelineModel, Spec, dict[str, str]]:
+    """Model, features and files of a bundle."""
+    files = {r["name"]: r["content"] for r in spark.read.parquet(f"{path}/files").collect()}
+    return PipelineModel.load(f"{path}/model"), Spec.from_json(files["features.json"]), files

@@ -89,3 +89,34 @@ def test_groups_without_rows_have_reasons(spark):
     scores = spark.createDataFrame([("a", 2, 0.5), (None, 1, 1.0)], "group string, n long, accuracy double")
     found = {r["group"]: tuple(r)[1:] for r in metrics.group_report(df, "g", scores, 2).collect()}
     assert found == {"a": (2, 2, None, 0.5), "b": (1, 0, "no held-out rows", None), None: (1, 1, "fewer than 2 held-out rows", None)}
+
+
+def test_fairness_run_and_checks(spark, rows):
+    whole = rows.withColumn("g", F.when(F.col("id") < 50, "a").when(F.col("id") < 59, "b").otherwise("c"))
+    s = training.setup(rows, "y", ["id"], excluded=("flag",))
+    report, gaps = training.fairness_run(s, "naive_bayes", whole, "g")
+    found = {r["group"]: r for r in report.collect()}
+    assert {g: r["rows"] for g, r in found.items()} == {"a": 50, "b": 9, "c": 1} and sum(r["n"] for r in found.values()) == s.counts["test"]
+    assert all(r["accuracy"] == 1.0 if r["n"] else r["reason"] for r in found.values())
+    assert {r["metric"]: r["exceeds"] for r in gaps.collect()}["accuracy"] is False
+    told = spark.createDataFrame([("tpr", True), ("fpr", False)], "metric string, exceeds boolean")
+    assert {tuple(r) for r in training.fairness_checks(told, "m", "g", True).collect()} == {("fairness_tpr", "warning", "m"), ("feature_g", "info", "m")}
+
+
+def test_fairness_of_regressions(spark, rows):
+    made = rows.select("id", "x", (F.col("x") * 100 + F.when(F.col("id") % 3 == 0, 40).otherwise(0)).alias("t"), (F.col("id") % 3).cast("string").alias("g"))
+    s = training.setup(made.drop("g"), "t", ["id"])
+    _, gaps = training.fairness_run(s, "linear_regression", made, "g")
+    r = gaps.first()
+    assert s.task == "regression" and r["highest"] == "0" and r["relative"] > 0.1 and r["exceeds"]
+
+
+def test_bundles(spark, rows, tmp_path):
+    s = training.setup(rows, "y", ["id"])
+    spec, _ = training.fit_spec(s.rows.where("split = 'train'"), s.features)
+    model = models.fit(spec.encoded(s.rows, ["y", "split"]), "naive_bayes", "classification", spec.inputs, "y")
+    training.write_bundle(str(tmp_path), s, spec, model, "# card", {"api_key": "abc"})
+    again, same, files = training.read_bundle(spark, str(tmp_path))
+    assert same == spec and files["model_card.md"] == "# card" and '"abc"' not in files["metadata.json"]
+    told = models.predict(again, same.encoded(rows.where("y is not null"), ["y"]), same.inputs)
+    assert told.where("y <> predicted").count() == 0
