@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graincart.operators.running import running_sums
+
 #: A class below this share, and a single feature above this score, are worth a warning.
 SMALL_CLASS, LEAK = 0.1, 0.95
+#: Classes that a single feature is held against.
+MOST_CLASSES = 50
 
 
 def class_balance(df: DataFrame, column: str) -> DataFrame:
@@ -34,33 +38,49 @@ def overlap(df: DataFrame, columns: list[str], split: str = "split") -> DataFram
     return out.select("count", F.try_divide("count", "tests").alias("fraction"), (F.col("count") > 0).alias("warn"))
 
 
+def _labelled(df: DataFrame, feature: str, target: str, order: list[str]) -> tuple[DataFrame, dict[str, int]]:
+    """Rows (x, y, order) with both values, and the rows of each class, of at most one class more than may be."""
+    rows = df.where(F.col(feature).isNotNull() & F.col(target).isNotNull()).select(F.col(feature).cast("double").alias("x"), F.col(target).cast("string").alias("y"), *order)
+    return rows, {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).limit(MOST_CLASSES + 1).collect()}
+
+
+def _by_value(rows: DataFrame, classes: list[str]) -> DataFrame:
+    """A row for each x, with how many rows of class i are there (_at) and up to there (_left)."""
+    counts = rows.groupBy("x").agg(*[F.count_if(F.col("y") == c).alias(f"_at{i}") for i, c in enumerate(classes)])
+    return running_sums(counts, "x", {f"_left{i}": f"_at{i}" for i in range(len(classes))})
+
+
+def _best(cuts: DataFrame, sizes: dict[str, int]) -> DataFrame:
+    """The best accuracy if the rows left of a cut (_left) get one class and the others another."""
+    left = F.array_max(F.array(*[F.col(f"_left{i}") for i in range(len(sizes))]))
+    right = F.array_max(F.array(*[F.lit(n) - F.col(f"_left{i}") for i, n in enumerate(sizes.values())]))
+    return cuts.agg((F.greatest(F.max(left + right), F.lit(max(sizes.values()))) / F.lit(sum(sizes.values()))).alias("score"))
+
+
+def _unmeasured(df: DataFrame, sizes: dict[str, int]) -> DataFrame | None:
+    return None if 0 < len(sizes) <= MOST_CLASSES else df.sparkSession.createDataFrame([(None,)], "score double")
+
+
 def stump_accuracy(df: DataFrame, feature: str, target: str, order: list[str]) -> DataFrame:
     """The best accuracy of one threshold on ``feature``; a cut may fall between equal values, in the order of ``order``.
 
-    The order of equal values needs every row in its place, so that each class is one ordered
-    window. ``stump_accuracy_by_value`` is the form for large tables.
+    Rows are counted by value, values are summed by ranges, and only rows of one value are ordered.
+    The score is null without rows or above MOST_CLASSES classes.
     """
-    rows = df.where(F.col(feature).isNotNull() & F.col(target).isNotNull()).select(F.col(feature).cast("double").alias("x"), F.col(target).cast("string").alias("y"), *order)
-    sides = rows.groupBy("y").agg(F.count("*").alias("total"))
-    grid = rows.crossJoin(F.broadcast(sides.select(F.col("y").alias("c"), "total")))
-    w = Window.partitionBy("c").orderBy("x", *order).rowsBetween(Window.unboundedPreceding, 0)
-    hits = grid.withColumn("left", F.sum((F.col("y") == F.col("c")).cast("long")).over(w))
-    best = hits.groupBy("x", *order).agg((F.max("left") + F.max(F.col("total") - F.col("left"))).alias("hits"))
-    ends = sides.agg(F.max("total").alias("most"), F.sum("total").alias("n"))
-    return best.agg(F.max("hits").alias("hits")).crossJoin(F.broadcast(ends)).select((F.greatest("hits", "most") / F.col("n")).alias("score"))
+    rows, sizes = _labelled(df, feature, target, order)
+    empty = _unmeasured(df, sizes)
+    if empty is not None:
+        return empty
+    w = Window.partitionBy("x").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = [(F.col(f"_left{i}") - F.col(f"_at{i}") + F.count_if(F.col("y") == c).over(w)).alias(f"_left{i}") for i, c in enumerate(sizes)]
+    return _best(rows.join(_by_value(rows, [*sizes]), "x").select(*inside), sizes)
 
 
 def stump_accuracy_by_value(df: DataFrame, feature: str, target: str) -> DataFrame:
-    """As ``stump_accuracy``, with cuts between different values only: rows are summed by value before anything is ordered."""
-    rows = df.where(F.col(feature).isNotNull() & F.col(target).isNotNull()).groupBy(F.col(feature).cast("double").alias("x"), F.col(target).cast("string").alias("y")).agg(F.count("*").alias("n"))
-    sides = rows.groupBy("y").agg(F.sum("n").alias("total"))
-    xs = rows.select("x").distinct()
-    grid = xs.crossJoin(F.broadcast(sides.select("y", "total"))).join(rows, ["x", "y"], "left")
-    w = Window.partitionBy("y").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    hits = grid.withColumn("left", F.sum(F.coalesce("n", F.lit(0))).over(w))
-    best = hits.groupBy("x").agg((F.max("left") + F.max(F.col("total") - F.col("left"))).alias("hits"))
-    ends = sides.agg(F.max("total").alias("most"), F.sum("total").alias("n"))
-    return best.agg(F.max("hits").alias("hits")).crossJoin(F.broadcast(ends)).select((F.greatest("hits", "most") / F.col("n")).alias("score"))
+    """As ``stump_accuracy``, with cuts between different values only, so that no rows are ordered."""
+    rows, sizes = _labelled(df, feature, target, [])
+    empty = _unmeasured(df, sizes)
+    return _best(_by_value(rows, [*sizes]), sizes) if empty is None else empty
 
 
 def linear_leak(df: DataFrame, feature: str, target: str, least: float = LEAK) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.sql import functions as F
 
-from graincart.operators import metrics, models, training
+from graincart.operators import checks, metrics, models, training
 from graincart.operators.running import places
 from graincart.sources.versions import Store
 
@@ -120,3 +120,15 @@ def test_bundles(spark, rows, tmp_path):
     assert same == spec and files["model_card.md"] == "# card" and '"abc"' not in files["metadata.json"]
     told = models.predict(again, same.encoded(rows.where("y is not null"), ["y"]), same.inputs)
     assert told.where("y <> predicted").count() == 0
+
+
+def test_stumps_equal_a_loop(spark):
+    made = [(i, float(v), y) for i, (v, y) in enumerate(zip([3, 1, 1, 2, 2, 2, 3, 5, 5, 1], "aabbacbbca", strict=True))] + [(98, None, "a"), (99, 1.0, None)]
+    df = spark.createDataFrame(made, "id long, v double, y string")
+    labels = [y for _, _, y in sorted((v, i, y) for i, v, y in made if v is not None and y)]
+    most = lambda ys: max(map(ys.count, set(ys)), default=0)
+    assert checks.stump_accuracy(df, "v", "y", ["id"]).first()[0] == max(most(labels[:k]) + most(labels[k:]) for k in range(11)) / 10
+    ends = [k for k in range(11) if k in (0, 3, 6, 8, 10)]
+    assert checks.stump_accuracy_by_value(df, "v", "y").first()[0] == max(most(labels[:k]) + most(labels[k:]) for k in ends) / 10
+    assert checks.stump_accuracy(df.limit(0), "v", "y", ["id"]).first()[0] is None
+    assert checks.stump_accuracy_by_value(spark.range(60).selectExpr("double(id) AS v", "id AS y"), "v", "y").first()[0] is None
