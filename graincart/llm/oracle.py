@@ -62,3 +62,22 @@ l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 r AS (SELECT a AS x, a AS y FROM l UNION SELECT r.x, l.b FROM r JOIN l ON r.y = l.a),
 m AS (SELECT x, min(y) AS m FROM r GROUP BY 1)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.m, d.doc_id) AS component_id, d.doc_id = coalesce(m.m, d.doc_id) AS kept FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.x = d.doc_id"""
+
+#: crc32 bit by bit over the digits of a conv_id (its polynomial is a fixed value), the rebuilt conversations, and all prefixes as texts.
+TRIE = r"""WITH RECURSIVE t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS i, chr(1) || coalesce(role, '') || chr(2) || coalesce(text, '') AS x,
+  len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words FROM conversations WHERE conv_id IS NOT NULL),
+c0 AS (SELECT conv_id, CAST(conv_id AS VARCHAR) AS s, count(*) AS n FROM t GROUP BY 1, 2),
+r AS (SELECT conv_id, s, n, 0 AS k, CAST(4294967295 AS BIGINT) AS v FROM c0 UNION ALL
+  SELECT conv_id, s, n, k + 1, CASE WHEN k % 9 = 0 THEN xor(v, CAST(ascii(s[k // 9 + 1]) AS BIGINT)) WHEN v % 2 = 1 THEN xor(v >> 1, CAST(3988292384 AS BIGINT)) ELSE v >> 1 END FROM r WHERE k < 9 * length(s)),
+c AS (SELECT conv_id, n, xor(v, CAST(4294967295 AS BIGINT)) % 4 AS h FROM r WHERE k = 9 * length(s)),
+b AS (SELECT c.conv_id, c.h, least(c.h, coalesce(f.n, 0)) AS b, greatest(c.n - c.h, 0) + least(c.h, coalesce(f.n, 0)) AS size FROM c LEFT JOIN c f ON f.conv_id = c.conv_id - c.conv_id % 20),
+u AS (SELECT b.conv_id, i - h + b AS d, x, words FROM b JOIN t USING (conv_id) WHERE i > h UNION ALL SELECT b.conv_id, i, x, words FROM b JOIN t ON t.conv_id = b.conv_id - b.conv_id % 20 WHERE i <= b),
+p AS (SELECT conv_id, d, words, sha256(string_agg(x, '') OVER w) AS k, coalesce(sha256(string_agg(x, '') OVER (PARTITION BY conv_id ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), '') AS up FROM u WINDOW w AS (PARTITION BY conv_id ORDER BY d)
+  UNION ALL SELECT conv_id, 0, 0, '', NULL FROM b),
+e AS (SELECT p.*, size = d AS last FROM p JOIN b USING (conv_id)),
+g AS (SELECT d, k, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (last), '')) AS ends_sha256 FROM e GROUP BY 1, 2),
+n AS (SELECT d - 1 AS d, up AS k, count(*) AS n_children FROM g WHERE d > 0 GROUP BY 1, 2),
+m AS (SELECT g.*, coalesce(n_children, 0) AS n_children FROM g LEFT JOIN n USING (d, k)),
+a AS (SELECT DISTINCT x.d, x.k, y.d AS d2, y.k AS k2 FROM p x JOIN p y ON x.conv_id = y.conv_id AND y.d >= x.d),
+s AS (SELECT a.d, a.k, count(*) FILTER (m.n_children = 0) AS n_leaves, CAST(sum((m.n_convs - 1) * m.words) AS BIGINT) AS saved_tokens FROM a JOIN m ON m.d = d2 AND m.k = k2 GROUP BY 1, 2)
+SELECT m.conv_id, CAST(m.d AS BIGINT) AS depth, f.conv_id AS parent_conv_id, m.n_convs, m.n_children, n_leaves, saved_tokens, m.ends_sha256 FROM m JOIN s ON s.d = m.d AND s.k = m.k LEFT JOIN m f ON f.d = m.d - 1 AND f.k = m.up"""

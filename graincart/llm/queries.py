@@ -16,6 +16,9 @@ from graincart.llm.mixing import mix
 from graincart.llm.pii import personal_data_digests
 from graincart.llm.quality import quality_digests
 from graincart.llm.secrets import secret_digests
+from graincart.llm.toxicity import toxicity_digests
+from graincart.llm.trie import prefix_trie
+from graincart.llm.whitening import whiten
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +71,21 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the prefix trie of all conversations."""
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score of every document, and its nearest labelled examples."""
+    return toxicity_digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding whitened."""
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_secrets": op2_secrets,
@@ -79,6 +97,9 @@ QUERIES = {
     "op8_media": op8_media,
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_html_extraction": op10_html_extraction,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_toxicity": op12_toxicity,
+    "op13_whitening": op13_whitening,
 }
 
 SQL: dict[str, str] = {
@@ -86,4 +107,5 @@ SQL: dict[str, str] = {
     "op3_decontamination": oracle.CONTAMINATION,
     "op6_mixing": oracle.MIX,
     "op9_minhash_dedup": oracle.NEAR,
+    "op11_prefix_trie": oracle.TRIE,
 }
