@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graincart.operators.profile import correlation
 from graincart.operators.running import running_sums
 
 #: A class below this share, and a single feature above this score, are worth a warning.
@@ -85,10 +88,51 @@ def stump_accuracy_by_value(df: DataFrame, feature: str, target: str) -> DataFra
 
 def linear_leak(df: DataFrame, feature: str, target: str, least: float = LEAK) -> DataFrame:
     """The squared correlation of a feature with a numeric target, and whether it is too good."""
-    r = F.corr(F.col(feature).cast("double"), F.col(target).cast("double"))
+    r = correlation(F.col(feature), F.col(target))
     return df.agg((r * r).alias("score")).select("score", F.coalesce(F.col("score") >= least, F.lit(False)).alias("warn"))
 
 
+def leaks(df: DataFrame, features: dict[str, tuple[str, Column]], target: str, task: str, least: float = LEAK) -> DataFrame:
+    """(feature, column, metric, score, warn): how well each feature tells the target on its own.
+
+    ``features`` gives for each name the column it comes from and its number. A class is told by
+    the best single threshold (``stump_accuracy``), a number by the squared correlation
+    (``r_squared``, 0 if either side does not vary). All features are measured in one pass: rows are
+    summed by feature and value, and the sums run within each feature. Rows without target, or
+    without the feature, do not count; a feature without any rows has no score. Above MOST_CLASSES
+    classes nothing is measured.
+    """
+    known = df.where(F.col(target).isNotNull())
+    if task == "regression":
+        y = F.col(target).cast("double")
+        told = known.agg(*[F.struct(F.lit(n).alias("feature"), F.lit(c).alias("column"), correlation(x, y).alias("r"), F.count(x).alias("n")).alias(f"s{i}") for i, (n, (c, x)) in enumerate(features.items())])
+        rows = told.select(F.explode(F.array(*[F.col(f"s{i}") for i in range(len(features))])).alias("s")).select("s.*")
+        score = F.when(F.col("n") > 0, F.coalesce(F.nanvl(F.col("r") * F.col("r"), F.lit(0.0)), F.lit(0.0)))
+        rows = rows.select("feature", "column", F.lit("r_squared").alias("metric"), score.alias("score"))
+    else:
+        classes = [r[0] for r in known.select(F.col(target).cast("string")).distinct().limit(MOST_CLASSES + 1).collect()]
+        each = F.array(*[F.struct(F.lit(n).alias("feature"), F.lit(c).alias("column"), x.cast("double").alias("x")) for n, (c, x) in features.items()])
+        if len(classes) > MOST_CLASSES:
+            known, classes = known.limit(0), classes[:1]
+        of = known.select(F.col(target).cast("string").alias("y"), F.explode(each).alias("f")).select("y", "f.*").where("x is not null")
+        counts = of.groupBy("feature", "column", "x").agg(*[F.count_if(F.col("y") == c).alias(f"at{i}") for i, c in enumerate(classes)], F.count_if(F.lit(False)).alias("none"))
+        sums = {f"left{i}": f"at{i}" for i in range(len(classes))} or {"left": "none"}
+        run = running_sums(counts, "x", sums, by=("feature", "column"), totals=True)
+        most = lambda values: F.greatest(*values) if len(values) > 1 else values[0]
+        left, right, whole = most([F.col(n) for n in sums]), most([F.col(f"total_{n}") - F.col(n) for n in sums]), [F.col(f"total_{n}") for n in sums]
+        best = F.greatest(F.max(left + right), F.max(most(whole))) / F.max(sum(whole[1:], whole[0]))
+        rows = run.groupBy("feature", "column").agg(F.lit("stump_accuracy").alias("metric"), best.alias("score"))
+    return rows.withColumn("warn", F.coalesce(F.col("score") >= least, F.lit(False)))
+
+
+def finding(kind: str, subject: str, raised: bool, severity: str, message: str, details: dict) -> tuple:
+    """A row of ``FINDINGS``; what is not raised has neither severity nor message."""
+    return kind, subject, raised, severity if raised else None, message if raised else "", json.dumps(details, sort_keys=True, default=str)
+
+
+FINDINGS = "kind string, subject string, raised boolean, severity string, message string, details string"
+
+
 def with_acknowledgement(checks: DataFrame, acks: DataFrame) -> DataFrame:
     """Checks with the note of their acknowledgement, if there is one."""
     return checks.join(acks.select("check_id", "note"), "check_id", "left").withColumn("acknowledged", F.col("note").isNotNull())

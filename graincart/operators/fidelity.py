@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graincart.functions import tests_of_fit
+from graincart.operators.profile import correlation
 from graincart.operators.running import running_sums
 
 #: Numbers that near copies meet by cells of; the others are only compared. Rows of a cell for each key.
@@ -110,7 +111,7 @@ def correlation_drift(df: DataFrame, columns: list[str], is_sample: Column) -> D
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     if not pairs:
         return df.limit(0).agg(F.lit(0.0).alias("drift"))
-    gaps = [F.abs(F.corr(x(a, is_sample), x(b, is_sample)) - F.corr(x(a, ~is_sample), x(b, ~is_sample))) for a, b in pairs]
+    gaps = [F.abs(correlation(x(a, is_sample), x(b, is_sample)) - correlation(x(a, ~is_sample), x(b, ~is_sample))) for a, b in pairs]
     return df.agg((F.greatest(*gaps) if len(gaps) > 1 else gaps[0]).alias("drift"))
 
 

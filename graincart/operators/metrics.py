@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graincart.operators.quantiles import quantiles
 from graincart.operators.running import running_sums
 
 
@@ -49,48 +50,84 @@ def classification(df: DataFrame, truth: str, pred: str) -> DataFrame:
 
 
 def regression(df: DataFrame, truth: str, pred: str) -> DataFrame:
+    """One row: errors, their median, explained variance, determination and mean residual (truth less prediction)."""
     y, r = F.col(truth).cast("double"), F.col(truth).cast("double") - F.col(pred).cast("double")
-    return df.agg(
+    middle = quantiles(df, {"r": F.abs(r)}, [0.5]).select(F.get("values", F.lit(0)).alias("median_ae"))
+    out = df.agg(
         F.avg(F.abs(r)).alias("mae"),
         F.sqrt(F.avg(r * r)).alias("rmse"),
-        F.percentile(F.abs(r), F.lit(0.5)).alias("median_ae"),
         (1 - F.var_pop(r) / F.var_pop(y)).alias("explained_variance"),
         F.max(F.abs(r)).alias("max_error"),
         (1 - F.avg(r * r) / F.var_pop(y)).alias("r2"),
         F.avg(r).alias("residual_mean"),
     )
+    # one row each
+    return out.join(F.broadcast(middle), F.lit(True), "left").select("mae", "rmse", "median_ae", "explained_variance", "max_error", "r2", "residual_mean")
 
 
-def _cumulated(df: DataFrame, truth: Column, score: str) -> DataFrame:
-    by = df.groupBy(F.col(score).alias("score")).agg(F.count_if(truth).alias("p"), F.count_if(~truth).alias("q"))
-    totals = by.agg(F.sum("p").alias("np"), F.sum("q").alias("nq"))
-    return running_sums(by, "score", {"tp": "p", "fp": "q"}, descending=True).crossJoin(F.broadcast(totals))
+def _cumulated(df: DataFrame, truth: Column, score: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each score of a group, from high to low: positives and others there (p, q), up to there (tp, fp) and in all (np, nq)."""
+    each = df.groupBy(*by, F.col(score).alias("score")).agg(F.count_if(truth).alias("p"), F.count_if(~truth).alias("q"))
+    run = running_sums(each, "score", {"tp": "p", "fp": "q"}, descending=True, by=by, totals=True)
+    return run.withColumnsRenamed({"total_tp": "np", "total_fp": "nq"})
 
 
-def roc_points(df: DataFrame, truth: Column, score: str) -> DataFrame:
-    """(fpr, tpr) for each distinct score from high to low, from (0, 0) to (1, 1)."""
-    c = _cumulated(df, truth, score).where("np > 0 and nq > 0")
-    points = c.select((F.col("fp") / F.col("nq")).alias("fpr"), (F.col("tp") / F.col("np")).alias("tpr"))
-    ends = df.sparkSession.createDataFrame([(0.0, 0.0), (1.0, 1.0)], "fpr double, tpr double")
-    return points.union(ends).distinct()
+def _and_ends(points: DataFrame, groups: DataFrame, by: tuple[str, ...], names: tuple[str, str], ends: list[tuple[float, float]]) -> DataFrame:
+    """``points`` and the fixed ends of each group's curve; of a single curve always."""
+    add = F.explode(F.array(*[F.struct(F.lit(x).alias(names[0]), F.lit(y).alias(names[1])) for x, y in ends])).alias("e")
+    of = groups.select(*by).distinct() if by else points.sparkSession.range(1)
+    return points.union(of.select(*by, add).select(*by, *[f"e.{n}" for n in names]))
+
+
+def roc_points(df: DataFrame, truth: Column, score: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, fpr, tpr) for each distinct score from high to low, from (0, 0) to (1, 1)."""
+    c = _cumulated(df, truth, score, by)
+    points = c.where("np > 0 and nq > 0").select(*by, (F.col("fp") / F.col("nq")).alias("fpr"), (F.col("tp") / F.col("np")).alias("tpr"))
+    return _and_ends(points, c, by, ("fpr", "tpr"), [(0.0, 0.0), (1.0, 1.0)]).distinct()
+
+
+def _area(by_score: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """The area under the ROC curve by trapezoids, null if one class is missing, and average precision, null without positives."""
+    area = F.sum(F.col("q") * (2 * F.col("tp") - F.col("p"))) / (2.0 * F.nullif(F.max("np") * F.max("nq"), F.lit(0)))
+    precise = F.sum(F.when(F.col("np") > 0, F.col("p") / F.col("np") * (F.col("tp") / (F.col("tp") + F.col("fp")))))
+    return by_score.groupBy(*by).agg(area.alias("auc"), precise.alias("average_precision"), F.max("np").alias("positives"), F.max("nq").alias("others"))
 
 
 def roc_auc(df: DataFrame, truth: Column, score: str) -> DataFrame:
     """One row: the area by trapezoids, null if one class is missing."""
-    c = _cumulated(df, truth, score)
-    return c.agg((F.sum(F.col("q") * (2 * F.col("tp") - F.col("p"))) / (2.0 * F.nullif(F.max("np") * F.max("nq"), F.lit(0)))).alias("auc"))
+    return _area(_cumulated(df, truth, score), ()).select("auc")
 
 
-def pr_points(df: DataFrame, truth: Column, score: str) -> DataFrame:
-    """(recall, precision) for each distinct score, and the end (1, 0)."""
-    c = _cumulated(df, truth, score).where("np > 0")
-    points = c.select((F.col("tp") / F.col("np")).alias("recall"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"))
-    return points.union(df.sparkSession.createDataFrame([(1.0, 0.0)], "recall double, precision double"))
+def pr_points(df: DataFrame, truth: Column, score: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, recall, precision) for each distinct score, and the end (1, 0)."""
+    c = _cumulated(df, truth, score, by)
+    points = c.where("np > 0").select(*by, (F.col("tp") / F.col("np")).alias("recall"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"))
+    return _and_ends(points, c, by, ("recall", "precision"), [(1.0, 0.0)])
 
 
 def average_precision(df: DataFrame, truth: Column, score: str) -> DataFrame:
-    c = _cumulated(df, truth, score)
-    return c.agg(F.sum(F.when(F.col("np") > 0, F.col("p") / F.col("np") * (F.col("tp") / (F.col("tp") + F.col("fp"))))).alias("average_precision"))
+    return _area(_cumulated(df, truth, score), ()).select("average_precision")
+
+
+def against_rest(df: DataFrame, truth: str, scores: dict[str, Column]) -> DataFrame:
+    """(class, truth, score): each row once for each class of ``scores`` (class: its score), truth saying whether the row is of it."""
+    each = F.array(*[F.struct(F.lit(c).alias("class"), F.coalesce(F.col(truth).cast("string") == c, F.lit(False)).alias("truth"), s.cast("double").alias("score")) for c, s in scores.items()])
+    return df.select(F.explode(each).alias("r")).select("r.*").where("score is not null")
+
+
+def one_vs_rest(df: DataFrame, truth: str, scores: dict[str, Column]) -> DataFrame:
+    """(class, auc, average_precision, positives, others) of each class against all others, from one pass over the rows.
+
+    Rows are summed by class and score before anything is ordered. A class that no row has, or all
+    rows have, has no auc. Rows whose truth is null are of no class.
+    """
+    return _area(_cumulated(against_rest(df, truth, scores), F.col("truth"), "score", ("class",)), ("class",))
+
+
+def macro(each: DataFrame) -> DataFrame:
+    """One row: the means of auc and average_precision over the classes of ``one_vs_rest``, null if a class has none."""
+    mean = lambda c: F.when(F.count(c) == F.count("*"), F.avg(c)).alias(f"{c}_macro")
+    return each.agg(F.count("*").alias("classes"), mean("auc"), mean("average_precision"))
 
 
 def leaderboard(df: DataFrame, metric: str, higher_is_better: bool = True) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graincart.functions.text import tokens
+from graincart.operators.quantiles import medians
 
 
 def held_out_count(n: Column, share: float) -> Column:
@@ -40,11 +41,11 @@ def split(df: DataFrame, key: list[str], share: float, seed: int, stratum: str |
 def imputed_and_scaled(df: DataFrame, column: str, is_train: Column) -> DataFrame:
     """``df`` with ``<column>_scaled``: the training median for what is missing, then z-scores with the training mean and population deviation."""
     x = F.col(column).cast("double")
-    fit = df.agg(F.coalesce(F.percentile(F.when(is_train, x), F.lit(0.5)), F.lit(0.0)).alias("_median"))
-    filled = df.crossJoin(F.broadcast(fit)).withColumn("_x", F.coalesce(x, F.col("_median")))
+    middle = medians(df, {column: F.when(is_train, x)}).get(column, 0.0)
+    filled = df.withColumn("_x", F.coalesce(x, F.lit(middle)))
     scale = filled.agg(F.avg(F.when(is_train, F.col("_x"))).alias("_mean"), F.stddev_pop(F.when(is_train, F.col("_x"))).alias("_std"))
     scaled = (F.col("_x") - F.col("_mean")) / F.when(F.col("_std") == 0, 1.0).otherwise(F.col("_std"))
-    return filled.crossJoin(F.broadcast(scale)).withColumn(f"{column}_scaled", scaled).drop("_median", "_x", "_mean", "_std")
+    return filled.crossJoin(F.broadcast(scale)).withColumn(f"{column}_scaled", scaled).drop("_x", "_mean", "_std")
 
 
 def one_hot(df: DataFrame, column: str, categories: list[str]) -> DataFrame:

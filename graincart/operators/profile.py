@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graincart.operators.quantiles import quantiles
+
 QUANTILES = (0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0)
 
 
@@ -24,10 +26,11 @@ def numeric_profile(df: DataFrame, columns: list[str]) -> DataFrame:
             F.max(x).alias(f"{c}.max"),
             F.avg(x).alias(f"{c}.mean"),
             F.when(F.count(x) > 1, F.stddev_samp(x)).when(F.count(x) == 1, 0.0).alias(f"{c}.std"),
-            F.percentile(x, F.array(*map(F.lit, QUANTILES))).alias(f"{c}.quantiles"),
         ]
-    out = _long_form(df, df.agg(*aggs), columns, ["missing_rate", "min", "max", "mean", "std", "quantiles"])
-    cuts = [F.get("quantiles", F.lit(i)).alias(f"q{round(q * 100)}") for i, q in enumerate(QUANTILES)]
+    out = _long_form(df, df.agg(*aggs), columns, ["missing_rate", "min", "max", "mean", "std"])
+    # a row for each column
+    out = out.join(F.broadcast(quantiles(df, {c: F.col(c) for c in columns}, QUANTILES)), "column", "left")
+    cuts = [F.get("values", F.lit(i)).alias(f"q{round(q * 100)}") for i, q in enumerate(QUANTILES)]
     return out.select("column", "missing_rate", "min", "max", "mean", "std", *cuts)
 
 
@@ -61,11 +64,18 @@ def frequencies(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson's correlation over the rows in which both are there; null if one of them does not vary."""
+    both = x.isNotNull() & y.isNotNull()
+    x, y = F.when(both, x.cast("double")), F.when(both, y.cast("double"))
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     """(a, b, corr) of all pairs, over the rows in which both are there; undefined pairs are left out."""
     pairs = [(a, b) for a in columns for b in columns]
     distinct = {tuple(sorted(p)) for p in pairs}
-    one = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}.{b}") for a, b in sorted(distinct)])
+    one = df.agg(*[correlation(F.col(a), F.col(b)).alias(f"{a}.{b}") for a, b in sorted(distinct)])
     cell = lambda a, b: F.col(f"`{'.'.join(sorted((a, b)))}`")
     rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), cell(a, b).alias("corr")) for a, b in pairs])
     return one.select(F.explode(rows).alias("r")).select("r.*").where(F.col("corr").isNotNull() & ~F.isnan("corr"))

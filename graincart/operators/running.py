@@ -5,30 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges that the values are dealt over.
-RANGES = 200
+from graincart import tables
 
+def running_sums(df: DataFrame, x: str, sums: dict[str, str], descending: bool = False, by: tuple[str, ...] = (), totals: bool = False) -> DataFrame:
+    """``df`` (one row for each value of the number ``x``, within each group of ``by``) with ``sums`` (new name: column) up to and with each row.
 
-def running_sums(df: DataFrame, x: str, sums: dict[str, str], descending: bool = False) -> DataFrame:
-    """``df`` (one row for each value of the number ``x``) with ``sums`` (new name: column) up to and with each row.
-
-    The values are cut into RANGES ranges by approximate quantiles, which only decide how even the
-    ranges are. Each range is summed; the sums of the ranges before it, a table of RANGES rows, are
-    added to the prefix sums within the range. Values that are equal must be one row. Nulls in
-    ``x`` come first, or last if descending. An empty table gives an empty result.
+    The rows are dealt over ranges of (by, x) by a sorted shuffle and written once, with their
+    range. Each range of a group is summed; the sums of the ranges before it, a table of at most
+    as many rows as there are ranges and groups, are added to the prefix sums within the range. Values
+    that are equal must be one row of a group. Nulls in ``x`` come first, or last if descending; nulls
+    in ``by`` are a group. With ``totals`` the sum of a whole group comes too, as total_<name>. An
+    empty table gives an empty result.
     """
-    cuts = df.select(F.percentile_approx(F.col(x).cast("double"), [i / RANGES for i in range(1, RANGES)], 2000).alias("cuts")).first()["cuts"] or []
-    cuts = sorted({c for c in cuts if c == c})
-    at = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(x).cast("double"))) if cuts else F.lit(0)
-    dealt = df.withColumn("_range", F.coalesce(at, F.lit(-1)))
     order = F.desc if descending else F.asc
-    each = dealt.groupBy("_range").agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
-    before = Window.partitionBy(F.lit(0)).orderBy(order("_range")).rowsBetween(Window.unboundedPreceding, -1)
-    # a row for each range
-    each = each.select("_range", *[F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_{n}") for n in sums])
-    within = Window.partitionBy("_range").orderBy(order(x)).rowsBetween(Window.unboundedPreceding, 0)
-    out = dealt.join(F.broadcast(each), "_range")
-    return out.select(*df.columns, *[(F.sum(c).over(within) + F.col(f"_{n}")).alias(n) for n, c in sums.items()])
+    group = F.struct(*by) if by else F.struct(F.lit(0).alias("_all"))
+    dealt = tables.written(df.repartitionByRange(*by, order(x)).withColumn("_group", group).withColumn("_range", F.spark_partition_id()))
+    each = dealt.groupBy("_group", "_range").agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
+    before = Window.partitionBy("_group").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    whole = [F.sum(f"_{n}").over(Window.partitionBy("_group")).alias(f"total_{n}") for n in sums] if totals else []
+    each = each.select("_group", "_range", *[F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_{n}") for n in sums], *whole)
+    within = Window.partitionBy("_group", "_range").orderBy(order(x)).rowsBetween(Window.unboundedPreceding, 0)
+    out = dealt.join(tables.small(each), ["_group", "_range"])
+    told = [F.col(f"total_{n}") for n in sums] if totals else []
+    return out.select(*df.columns, *[(F.sum(c).over(within) + F.col(f"_{n}")).alias(n) for n, c in sums.items()], *told)
 
 
 def places(df: DataFrame, salt: str, key: list[str], within: list[str] | None = None, each: int = 100_000) -> DataFrame:

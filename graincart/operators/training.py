@@ -11,9 +11,10 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graincart.operators import metrics, models, prep
+from graincart.operators import checks, metrics, models, prep
 from graincart.operators.cards import without_secret_values
 from graincart.operators.profile import kinds
+from graincart.operators.quantiles import medians
 from graincart.operators.schema import features
 
 FORMAT = 1
@@ -144,7 +145,7 @@ class Spec:
 def fit_spec(train: DataFrame, columns: dict[str, str]) -> tuple[Spec, dict[str, str]]:
     """Features of ``columns`` (name: kind) as the training rows have them, and why a column gives none.
 
-    Medians come from one aggregation, means and deviations of the filled values from a second;
+    Medians are selected exactly for all columns at once, means and deviations of the filled values from a aggregation;
     categories are counted before they are read. Numbers that are not finite count as missing. Text
     gives terms by ``prep.tfidf``, not here; columns with over MOST_CATEGORIES categories give none.
     """
@@ -152,10 +153,11 @@ def fit_spec(train: DataFrame, columns: dict[str, str]) -> tuple[Spec, dict[str,
     numbers = [Feature(c, k) for c, k in columns.items() if k in ("integer", "number", "datetime")]
     categories: dict[str, list[str]] = {c: [] for c, k in columns.items() if k == "categorical"}
     if numbers:
-        medians = train.agg(*[F.percentile(_finite(f), 0.5).alias(f"m{i}") for i, f in enumerate(numbers)]).first()
-        filled = [(F.coalesce(_finite(f), F.lit(m or 0.0))) for f, m in zip(numbers, medians, strict=True)]
+        told = medians(train, {f.column: _finite(f) for f in numbers})
+        middles = [told.get(f.column, 0.0) for f in numbers]
+        filled = [F.coalesce(_finite(f), F.lit(m)) for f, m in zip(numbers, middles, strict=True)]
         facts = train.agg(*[F.struct(F.avg(x), F.stddev_pop(x)).alias(f"s{i}") for i, x in enumerate(filled)]).first()
-        numbers = [Feature(f.column, f.kind, m or 0.0, s[0] or 0.0, s[1] or 1.0) for f, m, s in zip(numbers, medians, facts, strict=True)]
+        numbers = [Feature(f.column, f.kind, m, s[0] or 0.0, s[1] or 1.0) for f, m, s in zip(numbers, middles, facts, strict=True)]
     if categories:
         pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), _category(c).alias("value")) for c in categories]))
         values = train.select(pairs.alias("p")).select("p.*").distinct()
@@ -173,6 +175,39 @@ def fit_spec(train: DataFrame, columns: dict[str, str]) -> tuple[Spec, dict[str,
     return Spec(tuple(fitted[c] for c in columns if c in fitted)), reasons
 
 
+def leak_list(s: Setup, spec: Spec | None = None, least: float = checks.LEAK) -> DataFrame:
+    """``checks.leaks`` of the encoded training rows: a category or a term is reported under the column it comes from."""
+    train = s.rows.where("split = 'train'")
+    spec = spec or fit_spec(train, s.features)[0]
+    rows = spec.encoded(train, [s.target])
+    return checks.leaks(rows, {name: (column, F.col(x)) for x, (name, column) in zip(spec.inputs, spec.sources, strict=True)}, s.target, s.task, least)
+
+
+def findings(s: Setup, spec: Spec | None = None) -> DataFrame:
+    """(kind, subject, raised, severity, message, details as JSON): the checks of a setup, each told whether it is raised or not.
+
+    class_imbalance, train_test_duplicates (rows equal in all features and target),
+    target_leakage, unreviewed_labels and label_sibling_exclusion.
+    """
+    spark, out = s.rows.sparkSession, []
+    if s.task == "classification":
+        told = checks.imbalance(s.rows, s.target).first()
+        share = told["min_fraction"]
+        out.append(checks.finding("class_imbalance", s.target, bool(told["warn"]), "warning", f"the smallest class of {s.target} has {share:.0%} of the rows", {"min_fraction": share, "threshold": checks.SMALL_CLASS}))
+    else:
+        out.append(checks.finding("class_imbalance", s.target, False, "warning", "", {"reason": "not a classification"}))
+    twice = checks.overlap(s.rows, [*s.features, s.target]).first().asDict()
+    out.append(checks.finding("train_test_duplicates", s.target, bool(twice["warn"]), "warning", f"{twice['count']} training rows are equal to held-out rows", {"count": twice["count"], "fraction": twice["fraction"]}))
+    leaked = [r.asDict() for r in leak_list(s, spec).where("warn").orderBy(F.desc("score"), "feature").limit(100).collect()]
+    names = ", ".join(sorted({r["column"] for r in leaked}))
+    out.append(checks.finding("target_leakage", s.target, bool(leaked), "warning", f"{names} tell {s.target} on their own", {"suspects": leaked, "threshold": checks.LEAK}))
+    left_out = s.counts.get("unreviewed", 0)
+    out.append(checks.finding("unreviewed_labels", s.target, left_out > 0, "info", f"{left_out} rows whose label waits for review are left out", {"excluded_rows": left_out}))
+    near = sorted(c for c, why in s.reasons.items() if why == "target_sibling")
+    out.append(checks.finding("label_sibling_exclusion", s.target, bool(near), "info", f"{', '.join(near)} belong to the label {s.target} and are no features", {"excluded": near}))
+    return spark.createDataFrame(out, checks.FINDINGS)
+
+
 def run(s: Setup, names: Iterable[str], path: str | None = None, options: dict[str, dict] | None = None) -> DataFrame:
     """(model, status, error, metrics, rank, standing): models of a setup, ranked by the held-out rows.
 

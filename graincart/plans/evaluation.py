@@ -64,6 +64,33 @@ def ev_pr(spark, sf_dir):
     return metrics.average_precision(predictions(spark, sf_dir), F.col("y"), "s").select(F.round("average_precision", 9).alias("average_precision"))
 
 
+_REST = """WITH t AS (SELECT doc_id, lang, ['de', 'en', 'es', 'fr'] AS k FROM documents), u AS (SELECT doc_id, lang, unnest(k) AS c FROM t),
+z AS (SELECT c AS "class", coalesce(lang = c, false) AS y, floor(50 * (concat('0x', substr(sha256(doc_id || '::' || c), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616.0 + coalesce(lang = c, false)::INT * 0.5)) / 50 AS s FROM u),
+g AS (SELECT "class", s, count(*) FILTER (y) AS p, count(*) FILTER (NOT y) AS q FROM z GROUP BY 1, 2),
+c AS (SELECT *, sum(p) OVER w AS tp, sum(q) OVER w AS fp, sum(p) OVER v AS np, sum(q) OVER v AS nq FROM g WINDOW w AS (PARTITION BY "class" ORDER BY s DESC), v AS (PARTITION BY "class")),
+a AS (SELECT "class", sum(q * (2 * tp - p)) / (2.0::DOUBLE * nullif(max(np) * max(nq), 0)) AS auc, sum(CASE WHEN np > 0 THEN p / np * (tp / (tp + fp)) END) AS ap, CAST(max(np) AS BIGINT) AS positives, CAST(max(nq) AS BIGINT) AS others FROM c GROUP BY 1)"""
+
+
+def _language_scores(spark, sf_dir):
+    """A made score for each language of each document."""
+    df = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    s = lambda c: F.floor(50 * (hash_draw(F.concat(F.col("doc_id").cast("string"), F.lit(f"::{c}"))) + F.coalesce((F.col("lang") == c).cast("int"), F.lit(0)) * 0.5)) / 50
+    return df, {c: s(c) for c in ("de", "en", "es", "fr")}
+
+
+@query("ev_ovr", f"{_REST} SELECT \"class\", round(auc, 9) AS auc, round(ap, 9) AS average_precision, positives, others FROM a")
+def ev_ovr(spark, sf_dir):
+    """Each language against all others: areas under both curves."""
+    df, scores = _language_scores(spark, sf_dir)
+    return metrics.one_vs_rest(df, "lang", scores).withColumns({c: F.round(c, 9) for c in ("auc", "average_precision")})
+
+
+@query("ev_ovr_macro", f"{_REST} SELECT count(*) AS classes, round(CASE WHEN count(auc) = count(*) THEN avg(auc) END, 9) AS auc_macro, round(CASE WHEN count(ap) = count(*) THEN avg(ap) END, 9) AS average_precision_macro FROM a")
+def ev_ovr_macro(spark, sf_dir):
+    df, scores = _language_scores(spark, sf_dir)
+    return metrics.macro(metrics.one_vs_rest(df, "lang", scores)).withColumns({c: F.round(c, 9) for c in ("auc_macro", "average_precision_macro")})
+
+
 @query("ev_residuals", "SELECT o_orderkey, o_totalprice - 250000 AS residual FROM orders")
 def ev_residuals(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_totalprice") - 250000).alias("residual"))

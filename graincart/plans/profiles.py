@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graincart.operators import profile
+from graincart.operators.quantiles import quantiles
 from graincart.plans.registry import query, table
 from graincart.sources import readers
 
@@ -43,8 +44,9 @@ def agg_moments(spark, sf_dir):
 
 @query("agg_quant", "SELECT o_orderpriority, " + ", ".join(f"round(quantile_cont(o_totalprice, {q}), 6) AS q{round(q * 100)}" for q in profile.QUANTILES) + " FROM orders GROUP BY 1")
 def agg_quant(spark, sf_dir):
-    df = table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.percentile("o_totalprice", F.array(*map(F.lit, profile.QUANTILES))).alias("q"))
-    return df.select("o_orderpriority", *[F.round(F.get("q", F.lit(i)), 6).alias(f"q{round(q * 100)}") for i, q in enumerate(profile.QUANTILES)])
+    df = table(spark, sf_dir, "orders")
+    df = quantiles(df, {"o_totalprice": F.col("o_totalprice")}, profile.QUANTILES, by=["o_orderpriority"])
+    return df.select("o_orderpriority", *[F.round(F.get("values", F.lit(i)), 6).alias(f"q{round(q * 100)}") for i, q in enumerate(profile.QUANTILES)])
 
 
 @query("agg_freq", "SELECT c_mktsegment AS value, count(*) AS n FROM customer GROUP BY 1")

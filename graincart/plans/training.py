@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graincart.operators import checks, prep
+from graincart.operators.quantiles import quantiles
 from graincart.plans.registry import query, table
 
 _SPLIT = """WITH r AS (SELECT doc_id, {c} AS c, row_number() OVER (PARTITION BY {c} ORDER BY md5('42-' || doc_id), doc_id) AS k, count(*) OVER (PARTITION BY {c}) AS n FROM labels)
@@ -55,7 +56,8 @@ def pre_scale(spark, sf_dir):
 @query("pre_impute", f"WITH o AS ({_ORDERS}) SELECT quantile_cont(x, 0.5) AS median FROM o WHERE train")
 def pre_impute(spark, sf_dir):
     df = table(spark, sf_dir, "orders").where("o_orderkey % 5 <> 0")
-    return df.agg(F.percentile(F.when(F.col("o_orderkey") % 10 != 3, F.col("o_totalprice")), F.lit(0.5)).alias("median"))
+    median = quantiles(df, {"x": F.when(F.col("o_orderkey") % 10 != 3, F.col("o_totalprice"))}, [0.5])
+    return median.select(F.get("values", F.lit(0)).alias("median"))
 
 
 @query("pre_onehot", "SELECT c_custkey, CASE WHEN s = 'BUILDING' THEN 1.0::DOUBLE ELSE 0 END AS \"s=BUILDING\", CASE WHEN s = 'MACHINERY' THEN 1.0::DOUBLE ELSE 0 END AS \"s=MACHINERY\", CASE WHEN s IS NULL THEN 1.0::DOUBLE ELSE 0 END AS \"s=__missing__\" FROM (SELECT c_custkey, nullif(c_mktsegment, 'HOUSEHOLD') AS s FROM customer)")
@@ -108,3 +110,25 @@ def win_stump_by_value(spark, sf_dir):
 def chk_leakage(spark, sf_dir):
     out = checks.linear_leak(table(spark, sf_dir, "lineitem"), "l_extendedprice", "l_quantity")
     return out.select(F.round("score", 6).alias("score"), "warn")
+
+
+_FEATURES = {"l_quantity": "l_quantity", "l_tax": "l_tax", "half": "l_linenumber", "late": "l_shipdate"}
+_LEAKS = """WITH l AS (SELECT l_returnflag AS y, l_quantity::DOUBLE AS l_quantity, l_tax::DOUBLE AS l_tax, CASE WHEN l_linenumber > 1 THEN l_linenumber / 2 END::DOUBLE AS half, (epoch(l_shipdate::TIMESTAMP) / 86400)::DOUBLE AS late FROM lineitem),
+m AS (UNPIVOT l ON l_quantity, l_tax, half, late INTO NAME feature VALUE x), k AS (SELECT DISTINCT y AS c FROM l),
+g AS (SELECT feature, x, c, count(*) FILTER (y = c) AS n FROM m, k GROUP BY 1, 2, 3), r AS (SELECT feature, x, c, sum(n) OVER (PARTITION BY feature, c ORDER BY x) AS lft, sum(n) OVER (PARTITION BY feature, c) AS whole FROM g),
+b AS (SELECT feature, x, max(lft) + max(whole - lft) AS hits, max(whole) AS most, sum(whole) AS rows FROM r GROUP BY 1, 2)
+SELECT feature, CASE feature WHEN 'half' THEN 'l_linenumber' WHEN 'late' THEN 'l_shipdate' ELSE feature END AS "column", 'stump_accuracy' AS metric, greatest(max(hits), max(most)) / max(rows) AS score, greatest(max(hits), max(most)) / max(rows) >= 0.7 AS warn FROM b GROUP BY 1"""
+
+
+@query("chk_leak_list", _LEAKS)
+def chk_leak_list(spark, sf_dir):
+    """Every feature of the line items by its best threshold on the return flag, in one pass, under its source column."""
+    df = table(spark, sf_dir, "lineitem")
+    numbers = {"l_quantity": F.col("l_quantity"), "l_tax": F.col("l_tax"), "half": F.when(F.col("l_linenumber") > 1, F.col("l_linenumber") / 2), "late": F.unix_date(F.col("l_shipdate").cast("date"))}
+    return checks.leaks(df, {n: (_FEATURES[n], x) for n, x in numbers.items()}, "l_returnflag", "classification", 0.7)
+
+
+@query("chk_leak_list_reg", " UNION ALL ".join(f"SELECT '{c}' AS feature, '{c}' AS \"column\", 'r_squared' AS metric, round(coalesce(corr({c}, l_extendedprice) ^ 2, 0), 6) AS score, coalesce(corr({c}, l_extendedprice) ^ 2, 0) >= 0.8 AS warn FROM lineitem" for c in ("l_quantity", "l_tax", "l_discount")))
+def chk_leak_list_reg(spark, sf_dir):
+    out = checks.leaks(table(spark, sf_dir, "lineitem"), {c: (c, F.col(c)) for c in ("l_quantity", "l_tax", "l_discount")}, "l_extendedprice", "regression", 0.8)
+    return out.withColumn("score", F.round("score", 6))
