@@ -31,12 +31,17 @@ HELD = 400_000
 
 @dataclass(frozen=True)
 class Settings:
-    """About ``rows`` labelled texts of each class are examples, and ``terms`` terms the vocabulary."""
+    """About ``rows`` labelled texts of each class are examples, and ``terms`` terms the vocabulary.
+
+    A term must be ``least_ratio`` times as common in one class as in the other, or it tells little
+    but stands in most texts.
+    """
 
     rows: int = 4000
     terms: int = 6000
     least_texts: int = 4
     least_chi: float = 12.0
+    least_ratio: float = 3.0
     neighbours: int = 15
     block: int = 32
     shrink: float = 0.3
@@ -229,6 +234,8 @@ def learn(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     a, b = F.col("toxic").cast("double"), F.col("clean").cast("double")
     lacking = (n * (a * (n - ones - b) - b * (ones - a)) * (a * (n - ones - b) - b * (ones - a)), (a + b) * (n - a - b) * float(max(ones * (n - ones), 1)))
     terms = terms.withColumn("chi", F.when(lacking[1] > 0, lacking[0] / lacking[1]).otherwise(F.lit(0.0))).where(F.col("chi") >= settings.least_chi)
+    rates = (a + 1) / float(ones + 2), (b + 1) / float(n - ones + 2)
+    terms = terms.where(F.greatest(rates[0] / rates[1], rates[1] / rates[0]) >= settings.least_ratio)
     terms = sorted(terms.orderBy(F.desc("chi"), "term").limit(settings.terms).collect(), key=lambda r: r["term"])
     vocabulary = [r["term"] for r in terms]
     shared = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(vocabulary)})
