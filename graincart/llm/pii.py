@@ -113,7 +113,7 @@ def votes(text: str, start: int, end: int, kind: int) -> list[int]:
     if name == "card":
         check, known = 1, 1 if digits.startswith(ISSUERS) else -1
     elif name == "ip":
-        parts = [int(x) for x in value.split(".")]
+        parts = [int(x.lstrip("0") or 0) for x in value.split(".")]
         check, known = (1 if parts[0] not in (0, 127, 255) and all(len(x) < 4 for x in value.split(".")) else -1), (-1 if parts[:2] == [192, 168] or parts[0] in (0, 10, 127) else 0)
     elif name == "email":
         check, known = (1 if not value.startswith((".", "-")) and ".." not in value else -1), 1 if value.rsplit(".", 1)[1].lower() in DOMAINS else -1
