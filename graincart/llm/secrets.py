@@ -31,11 +31,11 @@ class Rule:
     any_case: bool = False
 
 
-#: A private key in PEM form: banner, headers of an encrypted key, and all up to the END line. Without
+#: A private key in PEM form or of PGP: banner, headers (up to four of PGP's), and all up to the END line. Without
 #: one it goes to the last long line of base64 (also quoted, indented or with breaks written \n), and
 #: a short line below that stands alone. No group repeats, so that Java needs no stack for long texts.
-_PEM_HEAD = r"""-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:[\x20\t\r\n\\>#"]*n?Proc-Type:[^-]*DEK-Info:[\x20A-Za-z0-9,-]*)?"""
-_PEM_END = r"[^-]*-----END [A-Z ]{0,20}PRIVATE KEY-----"
+_PEM_HEAD = r"""-----BEGIN [A-Z ]*PRIVATE KEY(?: BLOCK)?-----""" + 4 * r"(?:\s*(?:Version|Comment|MessageID|Hash|Charset):[^\r\n]*)?" + r"""(?:[\x20\t\r\n\\>#"]*n?Proc-Type:[^-]*DEK-Info:[\x20A-Za-z0-9,-]*)?"""
+_PEM_END = r"[^-]*-----END [A-Z ]*PRIVATE KEY(?: BLOCK)?-----"
 _PEM_OPEN = r"""(?:[A-Za-z0-9+/=\x20\t\r\n\\>#"]*[A-Za-z0-9+/=]{40,})?(?:(?:\r?\n|\\n)[\x20\t]*[A-Za-z0-9+/]+={0,2}(?:\r|(?m:$)))?"""
 
 #: The rules, in the order in which kinds are listed.
