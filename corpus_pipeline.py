@@ -63,10 +63,14 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with a mark in the place of each secret; n_chars follows a text that changed."""
-    size = docs.schema["n_chars"].dataType
-    out = redact_secrets(docs.select("*", F.length("text").alias("_chars_before_redaction")))
-    new = F.when(F.length("text") != F.col("_chars_before_redaction"), F.length("text").cast(size)).otherwise(F.col("n_chars"))
-    return out.withColumn("n_chars", new).select(*docs.columns)
+    size, stated = docs.schema["n_chars"].dataType, docs.columns.index("n_chars")
+
+    def work(d: DataFrame, rest: tuple[str, ...]) -> DataFrame:
+        n_chars = next(c for c in rest if c == f"_rest{stated}")
+        out = redact_secrets(d.withColumn("_before", F.length("text")))
+        return out.withColumn(n_chars, F.when(F.length("text") != F.col("_before"), F.length("text").cast(size)).otherwise(F.col(n_chars)))
+
+    return with_rest(docs, work)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

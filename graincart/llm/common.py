@@ -5,8 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 import weakref
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
@@ -143,6 +144,28 @@ def in_pandas(df: DataFrame, run: Callable, key: str, schema: str) -> DataFrame:
     return out.withColumn(key, F.col(key).cast(kind))
 
 
+_ARROW = {"string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+
+
+def beside(df: DataFrame, reads: tuple[str, ...], carry: tuple[str, ...], work: Callable, new: dict[str, str]) -> DataFrame:
+    """The columns of ``carry`` and new ones (name: type), which ``work`` makes from the lists of values of ``reads``, row for row.
+
+    Carried columns are handed on as Arrow has them, so that no value of theirs can change.
+    """
+    small_batches(df.sparkSession)
+    kept = df.select(*dict.fromkeys((*carry, *reads)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = dict(zip(batch.schema.names, batch.columns, strict=True))
+            made = work(*[held[c].to_pylist() for c in reads])
+            made = [pa.array(values, _ARROW[kind]) for values, kind in zip(made, new.values(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*[held[c] for c in carry], *made], names=[*carry, *new])
+
+    fields = [f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in carry] + [f"{c} {kind}" for c, kind in new.items()]
+    return kept.mapInArrow(run, ", ".join(fields))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graincart.llm.common import held_out, in_pandas, small_batches
+from graincart.llm.common import beside, held_out, small_batches
 
 UNKNOWN = "und"
 BUCKETS = 1 << 17
@@ -202,16 +202,10 @@ def identify(docs: DataFrame, model: Model, carry: tuple[str, ...] = ()) -> Data
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [predict(shared.value, t) for t in batch["text"]]
-            out = batch[["doc_id", *carry]].copy()
-            out["lang_pred"], out["score"], out["accepted"] = zip(*found, strict=True) if found else ((), (), ())
-            yield out
+    def work(texts: list[str | None]) -> list:
+        return list(zip(*[predict(shared.value, t) for t in texts], strict=True)) or [(), (), ()]
 
-    kept = docs.select("doc_id", "text", *[c for c in carry if c != "text"])
-    fields = "".join(f"`{c}` {kept.schema[c].dataType.simpleString()}, " for c in carry)
-    return in_pandas(kept, run, "doc_id", f"{fields}lang_pred string, score double, accepted boolean")
+    return beside(docs, ("text",), ("doc_id", *carry), work, {"lang_pred": "string", "score": "double", "accepted": "boolean"})
 
 
 def language_digests(docs: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graincart.llm.common import in_pandas
+from graincart.llm.common import beside, in_pandas
 from graincart.llm.jpeg import decode, pack, to_rgb, unpack
 
 UNIT = 192
@@ -29,21 +29,17 @@ def decode_images(df: DataFrame, column: str = "media", carry: tuple[str, ...] =
     table gives an empty result.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for data in batch[column]:
-                try:
-                    rgb = to_rgb(decode(bytes(data)))
-                    rows.append((rgb.shape[0], rgb.shape[1], rgb.tobytes()))
-                except (TypeError, ValueError, IndexError, KeyError, AttributeError):
-                    rows.append((None, None, None))
-            out = batch[list(carry)].copy()
-            out[["height", "width", "rgb"]] = pd.DataFrame(rows, columns=["height", "width", "rgb"], index=out.index, dtype=object)
-            yield out
-
-    fields = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in carry)
-    return df.select(*carry, column).mapInPandas(run, f"{fields}height int, width int, rgb binary")
+    def work(files: list[bytes | None]) -> list:
+        rows = []
+        for data in files:
+            try:
+                rgb = to_rgb(decode(bytes(data)))
+                rows.append((rgb.shape[0], rgb.shape[1], rgb.tobytes()))
+            except (TypeError, ValueError, IndexError, KeyError, AttributeError):
+                rows.append((None, None, None))
+        return list(zip(*rows, strict=True)) or [(), (), ()]
+
+    return beside(df, (column,), carry, work, {"height": "int", "width": "int", "rgb": "binary"})
 
 
 def store_media(docs: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graincart.llm.common import broadcast_if_small, discard, in_pandas, join_spread, materialize, small_batches
+from graincart.llm.common import beside, broadcast_if_small, discard, join_spread, materialize, small_batches
 from graincart.llm.components import components
 from graincart.llm.hashing import shingle_set, spaced_words
 
@@ -55,10 +55,8 @@ def _set(text: str | None) -> tuple[np.ndarray, str | None]:
     return found, xxhash.xxh3_128_hexdigest(found.tobytes()) if len(found) else None
 
 
-def _sketch(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        sets = ((len(found), name, found[:k].copy()) for found, name in map(_set, batch["text"]))
-        yield pd.concat([batch.drop(columns="text"), pd.DataFrame(sets, columns=["n_shingles", "name", "sketch"], index=batch.index)], axis=1)
+def _sketches(texts: list[str | None], k: int) -> list:
+    return list(zip(*[(len(found), name, found[:k].copy()) for found, name in map(_set, texts)], strict=True)) or [(), (), ()]
 
 
 def _sets(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
@@ -242,8 +240,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, carry: tuple[str, ...] =
     """
     small_batches(docs.sparkSession)
     named = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("id"), "text", *carry)
-    extra = "".join(f"`{c}` {named.schema[c].dataType.simpleString()}, " for c in carry)
-    rows = in_pandas(named, lambda batches: _sketch(batches, k), "doc_id", f"id long, {extra}n_shingles long, name string, sketch array<long>")
+    rows = beside(named, ("text",), ("doc_id", "id", *carry), lambda texts: _sketches(texts, k), {"n_shingles": "long", "name": "string", "sketch": "array<long>"})
     rows = materialize(rows)
     classes = _classes(rows)
     parts = _linked(named, classes, percent, k, k_again)

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graincart.llm.common import held_out, in_pandas, small_batches
+from graincart.llm.common import beside, held_out, small_batches
 
 BUCKETS = 1 << 14
 BINS = 16
@@ -154,16 +154,12 @@ def score_quality(docs: DataFrame, model: Model, carry: tuple[str, ...] = ()) ->
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            z = np.array([margin(shared.value, *features(t, n)) for t, n in zip(batch["text"], batch["n_chars"], strict=True)], dtype=float)
-            out = batch[["doc_id", *carry]].copy()
-            out["score"] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            yield out
+    def work(texts: list[str | None], sizes: list[float | None]) -> list:
+        z = np.array([margin(shared.value, *features(t, n)) for t, n in zip(texts, sizes, strict=True)], dtype=float)
+        return [1 / (1 + np.exp(-np.clip(z, -30, 30)))]
 
-    fields = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in carry)
-    rows = docs.select("doc_id", "text", F.col("n_chars").cast("double").alias("n_chars"), *[c for c in carry if c not in ("text", "n_chars")])
-    return in_pandas(rows, run, "doc_id", f"{fields}score double")
+    rows = docs.select("doc_id", "text", *[c for c in carry if c != "text"], F.col("n_chars").cast("double").alias("_stated"))
+    return beside(rows, ("text", "_stated"), ("doc_id", *carry), work, {"score": "double"})
 
 
 def quality_digests(docs: DataFrame, labels: DataFrame) -> DataFrame:
