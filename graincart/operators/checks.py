@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import json
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graincart import tables
 from graincart.operators.profile import correlation
 from graincart.operators.running import running_sums
 
@@ -92,7 +94,21 @@ def linear_leak(df: DataFrame, feature: str, target: str, least: float = LEAK) -
     return df.agg((r * r).alias("score")).select("score", F.coalesce(F.col("score") >= least, F.lit(False)).alias("warn"))
 
 
-def leaks(df: DataFrame, features: dict[str, tuple[str, Column]], target: str, task: str, least: float = LEAK) -> DataFrame:
+def _in_vectors(df: DataFrame, terms: dict[str, list[tuple[str, str]]], y: Column) -> DataFrame:
+    """(y, feature, column, x) of what is not 0 in vectors; ``terms`` gives the name and source of each place of a vector."""
+    parts = []
+    for c, told in terms.items():
+        pairs = F.transform(vector_to_array(F.col(c)), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
+        some = df.select(y.alias("y"), F.explode(F.filter(pairs, lambda p: p["x"] != 0)).alias("p"))
+        name = lambda at: F.element_at(F.lit([t[at] for t in told]), F.col("p.i") + 1)  # noqa: B023, E731
+        parts.append(some.select("y", name(0).alias("feature"), name(1).alias("column"), F.col("p.x").alias("x")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
+def leaks(df: DataFrame, features: dict[str, tuple[str, Column]], target: str, task: str, least: float = LEAK, terms: dict[str, list[tuple[str, str]]] | None = None) -> DataFrame:
     """(feature, column, metric, score, warn): how well each feature tells the target on its own.
 
     ``features`` gives for each name the column it comes from and its number. A class is told by
@@ -100,7 +116,8 @@ def leaks(df: DataFrame, features: dict[str, tuple[str, Column]], target: str, t
     (``r_squared``, 0 if either side does not vary). All features are measured in one pass: rows are
     summed by feature and value, and the sums run within each feature. Rows without target, or
     without the feature, do not count; a feature without any rows has no score. Above MOST_CLASSES
-    classes nothing is measured.
+    classes nothing is measured. ``terms`` gives vector columns with name and source of each of
+    their places; only what is not 0 in them is read, and the zeros follow from the counts.
     """
     known = df.where(F.col(target).isNotNull())
     if task == "regression":
@@ -109,13 +126,30 @@ def leaks(df: DataFrame, features: dict[str, tuple[str, Column]], target: str, t
         rows = told.select(F.explode(F.array(*[F.col(f"s{i}") for i in range(len(features))])).alias("s")).select("s.*")
         score = F.when(F.col("n") > 0, F.coalesce(F.nanvl(F.col("r") * F.col("r"), F.lit(0.0)), F.lit(0.0)))
         rows = rows.select("feature", "column", F.lit("r_squared").alias("metric"), score.alias("score"))
+        if terms:
+            whole = known.agg(F.count(y).alias("m"), F.sum(y).alias("sy"), F.sum(y * y).alias("syy"))
+            x = F.col("x")
+            sums = _in_vectors(known, terms, y).groupBy("feature", "column").agg(F.sum(x).alias("sx"), F.sum(x * x).alias("sxx"), F.sum(x * F.col("y")).alias("sxy"))
+            # one row
+            sums = sums.crossJoin(F.broadcast(whole))
+            both = F.expr("m * sxy - sx * sy")
+            r2 = F.coalesce(F.try_divide(both * both, F.expr("(m * sxx - sx * sx) * (m * syy - sy * sy)")), F.lit(0.0))
+            rows = rows.union(sums.select("feature", "column", F.lit("r_squared").alias("metric"), F.least(r2, F.lit(1.0)).alias("score")))
     else:
         classes = [r[0] for r in known.select(F.col(target).cast("string")).distinct().limit(MOST_CLASSES + 1).collect()]
         each = F.array(*[F.struct(F.lit(n).alias("feature"), F.lit(c).alias("column"), x.cast("double").alias("x")) for n, (c, x) in features.items()])
         if len(classes) > MOST_CLASSES:
             known, classes = known.limit(0), classes[:1]
         of = known.select(F.col(target).cast("string").alias("y"), F.explode(each).alias("f")).select("y", "f.*").where("x is not null")
-        counts = of.groupBy("feature", "column", "x").agg(*[F.count_if(F.col("y") == c).alias(f"at{i}") for i, c in enumerate(classes)], F.count_if(F.lit(False)).alias("none"))
+        at = [F.count_if(F.col("y") == c).alias(f"at{i}") for i, c in enumerate(classes)] + [F.count_if(F.lit(False)).alias("none")]
+        counts = of.groupBy("feature", "column", "x").agg(*at)
+        if terms and classes:
+            there = tables.written(_in_vectors(known, terms, F.col(target).cast("string")).groupBy("feature", "column", "x").agg(*at))
+            # one row of the classes' sizes
+            whole = known.select(F.col(target).cast("string").alias("y")).agg(*[c.alias(f"all{i}") for i, c in enumerate(at[:-1])])
+            zeros = there.groupBy("feature", "column").agg(*[F.sum(f"at{i}").alias(f"some{i}") for i in range(len(classes))]).crossJoin(F.broadcast(whole))
+            zeros = zeros.select("feature", "column", F.lit(0.0).alias("x"), *[(F.col(f"all{i}") - F.col(f"some{i}")).alias(f"at{i}") for i in range(len(classes))], F.lit(0).cast("long").alias("none"))
+            counts = counts.union(there).union(zeros)
         sums = {f"left{i}": f"at{i}" for i in range(len(classes))} or {"left": "none"}
         run = running_sums(counts, "x", sums, by=("feature", "column"), totals=True)
         most = lambda values: F.greatest(*values) if len(values) > 1 else values[0]

@@ -1,23 +1,28 @@
-"""Model registry on Spark ML, fits on the training split only, and k-nearest neighbours in blocks."""
+"""Model registry on Spark ML, and fits on the training split only."""
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graincart.operators import neighbours
+from graincart.operators.kernel import ERROR, RandomFourier, SupportVectorRegression
+from graincart.operators.neighbours import Neighbours
+from graincart.operators.network import Network, Options
 from graincart.operators.running import places
 
-LABEL, FEATURES, PREDICTION = "_label", "_features", "prediction"
+LABEL, FEATURES, MAPPED, PREDICTION = "_label", "_features", "_mapped", "prediction"
 
 
 @dataclass(frozen=True)
@@ -52,8 +57,18 @@ def _boosting(task: str, rows: int, o: dict):
 
 
 def _svm(task: str, rows: int, o: dict):
-    one = LinearSVC(featuresCol=FEATURES, labelCol=LABEL, maxIter=100, regParam=1.0 / max(rows, 1))
-    return one if o.get("classes", 2) == 2 else OneVsRest(classifier=one, featuresCol=FEATURES, labelCol=LABEL)
+    if o["kernel"] not in ("rbf", "linear"):
+        raise ValueError(f"svm has the kernels rbf and linear, not {o['kernel']!r}")
+    mapped = [RandomFourier(inputCol=FEATURES, outputCol=MAPPED, gamma=float(o["gamma"]), error=float(o["error"]), seed=o["seed"])] if o["kernel"] == "rbf" else []
+    read = MAPPED if mapped else FEATURES
+    if task == "regression":
+        return [*mapped, SupportVectorRegression(featuresCol=read, labelCol=LABEL, C=float(o["C"]), epsilon=float(o["epsilon"]))]
+    one = LinearSVC(featuresCol=read, labelCol=LABEL, maxIter=100, regParam=1.0 / (o["C"] * max(rows, 1)), standardization=False)
+    return [*mapped, one if o.get("classes", 2) == 2 else OneVsRest(classifier=one, featuresCol=read, labelCol=LABEL)]
+
+
+def _neighbours(task: str, rows: int, o: dict):
+    return Neighbours(featuresCol=FEATURES, labelCol=LABEL, classes=o.get("classes", 2) if task == "classification" else 0, k=o["k"])
 
 
 def _bayes(task: str, rows: int, o: dict):
@@ -61,7 +76,8 @@ def _bayes(task: str, rows: int, o: dict):
 
 
 def _network(task: str, rows: int, o: dict):
-    return MultilayerPerceptronClassifier(featuresCol=FEATURES, labelCol=LABEL, layers=[o["inputs"], *o["hidden"], o.get("classes", 2)], seed=o["seed"], maxIter=o["max_iter"])
+    given = {k: v for k, v in o.items() if k not in ("inputs", "classes")}
+    return Network(featuresCol=FEATURES, labelCol=LABEL, classes=o.get("classes", 2) if task == "classification" else 0, options=json.dumps(given))
 
 
 REGISTRY = {
@@ -69,11 +85,12 @@ REGISTRY = {
     for e in (
         Entry("logistic_regression", _logistic, ("classification",), {"max_iter": 1000, "C": 1.0}),
         Entry("linear_regression", _linear, ("regression",)),
-        Entry("svm", _svm, ("classification",), note="linear: there is no kernel form"),
+        Entry("svm", _svm, options={"kernel": "rbf", "C": 1.0, "gamma": 0.0, "epsilon": 0.1, "error": ERROR, "seed": 0}, note="the kernel by random features, with an error bound; no probabilities"),
+        Entry("knn", _neighbours, options={"k": 5}, note="exact, by pivots"),
         Entry("random_forest", _forest, options={"trees": 100, "depth": 12, "seed": 0}, note="depth is bounded"),
         Entry("gradient_boosting", _boosting, options={"rounds": 100, "seed": 0}),
         Entry("naive_bayes", _bayes, ("classification",)),
-        Entry("mlp", _network, ("classification",), {"hidden": [64, 32], "max_iter": 100, "seed": 0}, note="sigmoid layers"),
+        Entry("mlp", _network, options=asdict(Options()), note="Adam in every partition, averaged after each epoch"),
     )
 }
 
@@ -82,8 +99,11 @@ def pipeline(name: str, task: str, inputs: list[str], rows: int, **options) -> P
     entry = REGISTRY[name]
     if task not in entry.tasks:
         raise ValueError(f"{name} does not do {task}")
+    if unknown := set(options) - set(entry.options) - {"classes"}:
+        raise ValueError(f"{name} has no option {', '.join(sorted(unknown))}")
     o = entry.options | {"inputs": len(inputs)} | options
-    return Pipeline(stages=[VectorAssembler(inputCols=inputs, outputCol=FEATURES), entry.build(task, rows, o)])
+    built = entry.build(task, rows, o)
+    return Pipeline(stages=[VectorAssembler(inputCols=inputs, outputCol=FEATURES), *(built if isinstance(built, list) else [built])])
 
 
 def encoder(df: DataFrame, target: str):
@@ -116,12 +136,12 @@ def predict(model: PipelineModel, df: DataFrame, inputs: list[str]) -> DataFrame
             continue
         out = stage.transform(out)
     if codes is None:
-        return out.withColumnRenamed(PREDICTION, "predicted").drop(FEATURES)
+        return out.withColumnRenamed(PREDICTION, "predicted").drop(FEATURES, MAPPED)
     named = F.element_at(F.array(*map(F.lit, codes)), (F.col(PREDICTION) + 1).cast("int"))
     if "probability" in out.columns:
         chances = vector_to_array("probability")
         out = out.withColumns({f"probability_{c}": F.get(chances, F.lit(i)) for i, c in enumerate(codes)})
-    return out.withColumn("predicted", named).drop(FEATURES, PREDICTION, "probability", "rawPrediction")
+    return out.withColumn("predicted", named).drop(FEATURES, MAPPED, PREDICTION, "probability", "rawPrediction")
 
 
 def tune(df: DataFrame, name: str, task: str, inputs: list[str], grid: dict[str, list], evaluator, key: list[str], folds: int = 3, seed: int = 0):
@@ -158,20 +178,14 @@ def permutation_importance(df: DataFrame, score: Callable[[DataFrame], float], c
     return out
 
 
-def nearest_neighbours(train: DataFrame, queries: DataFrame, vector: str, key: str, k: int = 5, blocks: int = 16) -> DataFrame:
+def nearest_neighbours(train: DataFrame, queries: DataFrame, vector: str, key: str, k: int = 5) -> DataFrame:
     """(query, neighbour, distance): the ``k`` nearest rows of ``train`` for each query by Euclidean distance, ties by key.
 
-    Queries are a stated set that meets all rows in blocks: each block keeps its k best before
-    the blocks of a query are merged.
+    A row is no neighbour of the query of its own key. See ``neighbours``: exact, by pivots.
     """
-    t = train.select(F.col(key).alias("neighbour"), F.col(vector).alias("_v"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("_block"))
-    q = queries.select(F.col(key).alias("query"), F.col(vector).alias("_q")).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    gap = F.aggregate(F.zip_with("_q", "_v", lambda a, b: (a - b).cast("double") * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    pairs = q.join(t, "_block").where("query <> neighbour").select("query", "neighbour", "_block", F.sqrt(gap).alias("distance"))
-    for by in (["query", "_block"], ["query"]):
-        order = Window.partitionBy(*by).orderBy("distance", "neighbour")
-        pairs = pairs.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= k).drop("_rank")
-    return pairs.select("query", "neighbour", "distance")
+    index = neighbours.build(train, [key], vector)
+    found = neighbours.nearest(index, queries.select(F.col(key).alias("query"), F.col(vector).alias("v")), k, but=key)
+    return found.select("query", F.col("content")[key].alias("neighbour"), "distance")
 
 
 def gaussian_bayes(df: DataFrame, inputs: list[str], target: str) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graincart.functions.text import tokens
+from graincart import tables
+from graincart.functions.text import ngrams, tokens
 from graincart.operators.quantiles import medians
 
 
@@ -58,22 +59,34 @@ def epoch_seconds(column: Column) -> Column:
     return F.unix_micros(column.cast("timestamp")) / 1e6
 
 
-def tfidf(df: DataFrame, key: str, text: str, is_train: Column, terms: int = 2000, least: int = 1) -> DataFrame:
-    """(key, term, weight): term shares of all tokens of a row, times ln((1+N)/(1+df)) + 1 of the training rows, normed to 1.
+def grams(column: str, low: int, high: int) -> Column:
+    """The runs of ``low`` to ``high`` words of a text, in lower case; none of a null."""
+    return ngrams(tokens(F.coalesce(F.col(column).cast("string"), F.lit(""))), low, high)
 
-    The vocabulary holds the ``terms`` most frequent tokens by document frequency, ties by name.
+
+def vocabulary(df: DataFrame, column: str, terms: int = 2000, least: int = 1, low: int = 1, high: int = 1) -> DataFrame:
+    """(term, df): the ``terms`` terms that most rows have, of those that ``least`` rows have; ties by name."""
+    each = df.select(F.explode(F.array_distinct(grams(column, low, high))).alias("term"))
+    return each.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= least).orderBy(F.desc("df"), "term").limit(terms)
+
+
+def tfidf(df: DataFrame, key: str, text: str, is_train: Column, terms: int = 2000, least: int = 1, low: int = 1, high: int = 1) -> DataFrame:
+    """(key, term, weight): shares of terms in all terms of a row, times ln((1+N)/(1+df)) + 1 of the training rows, normed to 1.
+
+    Terms are runs of ``low`` to ``high`` words; see ``vocabulary``. A vocabulary of more rows than a
+    broadcast may have is joined by a shuffle.
     """
-    rows = df.select(F.col(key).alias("key"), is_train.alias("train"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("words"))
-    counts = rows.select("key", "train", F.size("words").alias("total"), F.explode("words").alias("term"))
-    counts = counts.groupBy("key", "train", "total", "term").agg(F.count("*").alias("n"))
-    seen = counts.where("train").groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= least)
-    vocabulary = seen.orderBy(F.desc("df"), "term").limit(terms)
-    total = rows.agg(F.count_if("train").alias("rows"))
-    weighed = counts.join(F.broadcast(vocabulary), "term").crossJoin(F.broadcast(total))
+    known = vocabulary(df.where(is_train), text, terms, least, low, high)
+    rows = df.select(F.col(key).alias("key"), grams(text, low, high).alias("terms"))
+    counts = rows.select("key", F.size("terms").alias("total"), F.explode("terms").alias("term"))
+    total = df.agg(F.count_if(is_train).alias("rows"))
+    found = counts.join(tables.small(known), "term").groupBy("key", "total", "term", "df").agg(F.count("*").alias("n"))
+    # one row
     raw = F.col("n") / F.col("total") * (F.ln((1 + F.col("rows")) / (1 + F.col("df"))) + 1)
-    weighed = weighed.select("key", "term", raw.alias("raw"))
-    norms = weighed.groupBy("key").agg(F.sqrt(F.sum(F.col("raw") ** 2)).alias("norm"))
-    return weighed.join(norms, "key").select("key", "term", (F.col("raw") / F.col("norm")).alias("weight"))
+    weighed = found.crossJoin(F.broadcast(total)).select("key", "term", raw.alias("raw"))
+    # at most as many rows as the vocabulary has
+    norm = F.sqrt(F.sum(F.col("raw") ** 2).over(Window.partitionBy("key")))
+    return weighed.select("key", "term", (F.col("raw") / norm).alias("weight"))
 
 
 def task_type(df: DataFrame, column: str, kind: str) -> DataFrame:

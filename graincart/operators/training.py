@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterable
 from dataclasses import asdict, dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,10 +20,12 @@ from graincart.operators.profile import kinds
 from graincart.operators.quantiles import medians
 from graincart.operators.schema import features
 
-FORMAT = 1
+FORMAT = 2
 MISSING = "__missing__"
 #: Categories that a column may have to be a feature.
 MOST_CATEGORIES = 1000
+#: Terms of a text column, and rows that must have one.
+TERMS, LEAST_ROWS = 2000, 1
 #: What ranks models, and whether more of it is better.
 RANKED_BY = {"classification": ("accuracy", True), "regression": ("rmse", False)}
 _RESULT = "model string, status string, error string, metrics map<string, double>"
@@ -78,7 +83,7 @@ def plan(s: Setup, names: Iterable[str]) -> dict[str, str | None]:
 
 @dataclass(frozen=True)
 class Feature:
-    """How a column becomes numbers: scaled numbers (of times, their seconds), 0 and 1, or one number for each category."""
+    """How a column becomes numbers: scaled numbers (of times, their seconds), 0 and 1, one number for each category, or weights of terms."""
 
     column: str
     kind: str
@@ -86,6 +91,17 @@ class Feature:
     mean: float = 0.0
     std: float = 1.0
     categories: tuple[str, ...] = ()
+    terms: tuple[str, ...] = ()
+    idf: tuple[float, ...] = ()
+    grams: tuple[int, int] = (1, 1)
+
+    def vectors(self, df: DataFrame, out: str) -> DataFrame:
+        """``df`` with ``out``: the weights of the terms of a text as a sparse vector of length 1, or of zeros."""
+        words, counts, weighed = f"{out}_words", f"{out}_counts", f"{out}_weighed"
+        df = df.withColumn(words, prep.grams(self.column, *self.grams))
+        df = CountVectorizerModel.from_vocabulary([*self.terms], inputCol=words, outputCol=counts).transform(df)
+        df = ElementwiseProduct(scalingVec=Vectors.dense(self.idf), inputCol=counts, outputCol=weighed).transform(df)
+        return Normalizer(p=2.0, inputCol=weighed, outputCol=out).transform(df).drop(words, counts, weighed)
 
 
 def _finite(feature: Feature) -> Column:
@@ -108,22 +124,39 @@ class Spec:
         """Readable name of each input, and the column it comes from."""
         out = []
         for f in self.features:
-            out += [(f"{f.column}={c}", f.column) for c in f.categories] if f.kind == "categorical" else [(f.column, f.column)]
+            if f.kind == "text":
+                out += [(f"tfidf:{f.column}={t}", f.column) for t in f.terms]
+            else:
+                out += [(f"{f.column}={c}", f.column) for c in f.categories] if f.kind == "categorical" else [(f.column, f.column)]
         return out
 
     @property
     def names(self) -> list[str]:
         return [name for name, _ in self.sources]
 
+    @property
+    def parts(self) -> list[tuple[str, list[tuple[str, str]]]]:
+        """Each column that ``encoded`` makes, with names and sources of what is in it: one number, or the terms of a text."""
+        out, sources = [], iter(self.sources)
+        for i, f in enumerate(self.features):
+            if f.kind == "text":
+                out.append((f"_text{i}", [next(sources) for _ in f.terms]))
+            else:
+                out += [(f"_x{i}_{j}", [next(sources)]) for j in range(len(f.categories) if f.kind == "categorical" else 1)]
+        return out
+
     @property
     def inputs(self) -> list[str]:
-        return [f"_x{i}" for i in range(len(self.sources))]
+        return [c for c, _ in self.parts]
 
     def encoded(self, df: DataFrame, keep: Iterable[str]) -> DataFrame:
-        """The columns of ``keep`` and the inputs; categories that training has not seen are 0 everywhere."""
+        """The columns of ``keep`` and the inputs; categories and terms that training has not seen are 0 everywhere."""
         out = []
-        for f in self.features:
-            if f.kind == "categorical":
+        for i, f in enumerate(self.features):
+            if f.kind == "text":
+                df = f.vectors(df, f"_text{i}")
+                out.append(F.col(f"_text{i}"))
+            elif f.kind == "categorical":
                 out += [(_category(f.column) == c).cast("double") for c in f.categories]
             elif f.kind == "bool":
                 out.append(F.coalesce(F.col(f.column).cast("boolean").cast("double"), F.lit(0.0)))
@@ -139,17 +172,19 @@ class Spec:
         told = json.loads(text)
         if told.get("format") != FORMAT:
             raise ValueError(f"features of format {told.get('format')}, not {FORMAT}")
-        return cls(tuple(Feature(**f | {"categories": tuple(f["categories"])}) for f in told["features"]))
+        lists = ("categories", "terms", "idf", "grams")
+        return cls(tuple(Feature(**f | {c: tuple(f[c]) for c in lists}) for f in told["features"]))
 
 
-def fit_spec(train: DataFrame, columns: dict[str, str]) -> tuple[Spec, dict[str, str]]:
+def fit_spec(train: DataFrame, columns: dict[str, str], terms: int = TERMS, least: int = LEAST_ROWS, grams: tuple[int, int] = (1, 1)) -> tuple[Spec, dict[str, str]]:
     """Features of ``columns`` (name: kind) as the training rows have them, and why a column gives none.
 
     Medians are selected exactly for all columns at once, means and deviations of the filled values from a aggregation;
-    categories are counted before they are read. Numbers that are not finite count as missing. Text
-    gives terms by ``prep.tfidf``, not here; columns with over MOST_CATEGORIES categories give none.
+    categories are counted before they are read. Numbers that are not finite count as missing. Of a
+    text the ``terms`` terms stand that most rows have, at least ``least`` of them, with their inverse
+    document frequencies; columns with over MOST_CATEGORIES categories, and texts without terms, give none.
     """
-    reasons = {c: "text" for c, kind in columns.items() if kind == "text"}
+    reasons: dict[str, str] = {}
     numbers = [Feature(c, k) for c, k in columns.items() if k in ("integer", "number", "datetime")]
     categories: dict[str, list[str]] = {c: [] for c, k in columns.items() if k == "categorical"}
     if numbers:
@@ -172,6 +207,15 @@ def fit_spec(train: DataFrame, columns: dict[str, str]) -> tuple[Spec, dict[str,
         else:
             reasons[c] = "too many categories"
     fitted |= {c: Feature(c, "bool") for c, k in columns.items() if k == "bool"}
+    texts = [c for c, k in columns.items() if k == "text"]
+    rows = train.count() if texts else 0
+    for c in texts:
+        # as many rows as ``terms`` asks for
+        found = sorted((r["term"], r["df"]) for r in prep.vocabulary(train, c, terms, least, *grams).collect())
+        if found:
+            fitted[c] = Feature(c, "text", terms=tuple(t for t, _ in found), idf=tuple(math.log((1 + rows) / (1 + n)) + 1 for _, n in found), grams=tuple(grams))
+        else:
+            reasons[c] = "no terms"
     return Spec(tuple(fitted[c] for c in columns if c in fitted)), reasons
 
 
@@ -180,7 +224,9 @@ def leak_list(s: Setup, spec: Spec | None = None, least: float = checks.LEAK) ->
     train = s.rows.where("split = 'train'")
     spec = spec or fit_spec(train, s.features)[0]
     rows = spec.encoded(train, [s.target])
-    return checks.leaks(rows, {name: (column, F.col(x)) for x, (name, column) in zip(spec.inputs, spec.sources, strict=True)}, s.target, s.task, least)
+    numbers = {told[0][0]: (told[0][1], F.col(x)) for x, told in spec.parts if not x.startswith("_text")}
+    terms = {x: told for x, told in spec.parts if x.startswith("_text")}
+    return checks.leaks(rows, numbers, s.target, s.task, least, terms)
 
 
 def findings(s: Setup, spec: Spec | None = None) -> DataFrame:

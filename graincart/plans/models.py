@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graincart.operators import metrics, models, training
+from graincart.operators import metrics, models, neighbours, training
 from graincart.plans.registry import query, table
 from graincart.plans.training import split_labels
 
@@ -58,6 +58,33 @@ def mdl_knn(spark, sf_dir):
     return out.select("query", "neighbour", F.round("distance", 4).alias("distance"))
 
 
+@query("mdl_knn_votes", _KNN.split("SELECT query, neighbour, round")[0] + """, v AS (SELECT query, label, count(*) AS n FROM r JOIN embeddings e ON e.vec_id = r.neighbour WHERE k <= 5 GROUP BY 1, 2)
+SELECT query, arg_min(label, (-n, label)) AS predicted, max(n) / sum(n) AS share FROM v GROUP BY 1""")
+def mdl_knn_votes(spark, sf_dir):
+    """The class that most of the five nearest rows have, of those that tie the first, and its share of the votes."""
+    df = table(spark, sf_dir, "embeddings")
+    index = neighbours.build(df, ["vec_id", "label"], "embedding")
+    found = neighbours.nearest(index, df.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("v")), 5, but="vec_id")
+    votes = found.groupBy("query", F.col("content.label").alias("label")).agg(F.sum("n").alias("n"))
+    return votes.groupBy("query").agg(F.min_by("label", F.struct(-F.col("n"), "label")).alias("predicted"), (F.max("n") / F.sum("n")).alias("share"))
+
+
+@query("mdl_mlp")
+def mdl_mlp(spark, sf_dir):
+    """Predictions of a small network for the held-out rows."""
+    rows = _rows(spark, sf_dir)
+    model = models.fit(rows, "mlp", "classification", INPUTS, "quality", hidden=[16], epochs=6, learning_rate=0.01)
+    return models.predict(model, rows.where("split = 'test'"), INPUTS).select("doc_id", "quality", "predicted", "probability_1")
+
+
+@query("mdl_svm")
+def mdl_svm(spark, sf_dir):
+    """Predictions of a kernel machine for the held-out rows."""
+    rows = _rows(spark, sf_dir)
+    model = models.fit(rows, "svm", "classification", INPUTS, "quality")
+    return models.predict(model, rows.where("split = 'test'"), INPUTS).select("doc_id", "quality", "predicted")
+
+
 @query("mdl_naive_bayes", "SELECT l_returnflag AS class, count(*) AS n, round(avg(l_quantity), 6) AS mean_l_quantity, round(var_pop(l_quantity), 6) AS var_l_quantity, round(avg(l_tax), 6) AS mean_l_tax, round(var_pop(l_tax), 6) AS var_l_tax FROM lineitem GROUP BY 1")
 def mdl_naive_bayes(spark, sf_dir):
     out = models.gaussian_bayes(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_tax"], "l_returnflag")

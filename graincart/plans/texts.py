@@ -24,11 +24,13 @@ def fn_tokenize(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(words).cast("long").alias("n"), F.md5(F.array_join(words, " ")).alias("digest"))
 
 
-@query("fn_ngrams", f"""WITH w AS (SELECT item_id, {_TOKENS} AS w FROM benchmark)
-SELECT item_id, array_to_string(list_concat(w, list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1])), '|') AS grams FROM w""")
+_GRAMS = "list_concat(w, list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1]))"
+
+
+@query("fn_ngrams", f"WITH w AS (SELECT doc_id, {_TOKENS} AS w FROM documents) SELECT doc_id, array_to_string({_GRAMS}, '|') AS grams FROM w")
 def fn_ngrams(spark, sf_dir):
-    words = table(spark, sf_dir, "benchmark").select("item_id", text.tokens(F.col("text")).alias("w"))
-    return words.select("item_id", F.array_join(text.ngrams(F.col("w"), 1, 2), "|").alias("grams"))
+    words = table(spark, sf_dir, "documents").select("doc_id", text.tokens(F.col("text")).alias("w"))
+    return words.select("doc_id", F.array_join(text.ngrams(F.col("w"), 1, 2), "|").alias("grams"))
 
 
 @query("agg_docfreq", f"SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({_TOKENS}) AS term FROM documents) GROUP BY 1")
@@ -42,12 +44,12 @@ def topk_vocab(spark, sf_dir):
     return agg_docfreq(spark, sf_dir).where("df >= 2").orderBy(F.desc("df"), "term").limit(2000)
 
 
-@query("pre_tfidf", f"""WITH w AS (SELECT item_id AS key, {_TOKENS} AS w FROM benchmark), t AS (SELECT key, len(w) AS total, unnest(w) AS term FROM w),
-c AS (SELECT key, total, term, count(*) AS n FROM t GROUP BY ALL), v AS (SELECT term, count(*) AS df FROM c WHERE key % 5 <> 0 GROUP BY 1 ORDER BY df DESC, term LIMIT 200),
+@query("pre_tfidf", f"""WITH w AS (SELECT doc_id AS key, {_TOKENS} AS w FROM documents), g AS (SELECT key, {_GRAMS} AS g FROM w), t AS (SELECT key, len(g) AS total, unnest(g) AS term FROM g),
+c AS (SELECT key, total, term, count(*) AS n FROM t GROUP BY ALL), v AS (SELECT term, count(*) AS df FROM c WHERE key % 5 <> 0 GROUP BY 1 ORDER BY df DESC, term LIMIT 2000),
 r AS (SELECT key, c.term, n / total * (ln((1 + (SELECT count(*) FROM w WHERE key % 5 <> 0)) / (1 + df)) + 1) AS raw FROM c JOIN v USING (term))
 SELECT key, term, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY key)), 6) AS weight FROM r""")
 def pre_tfidf(spark, sf_dir):
-    out = prep.tfidf(table(spark, sf_dir, "benchmark"), "item_id", "text", F.col("item_id") % 5 != 0, terms=200)
+    out = prep.tfidf(table(spark, sf_dir, "documents"), "doc_id", "text", F.col("doc_id") % 5 != 0, high=2)
     return out.select("key", "term", F.round("weight", 6).alias("weight"))
 
 

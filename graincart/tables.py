@@ -38,6 +38,11 @@ def written(df: DataFrame) -> DataFrame:
     return out
 
 
+def path_of(table: DataFrame) -> str:
+    """Where a table of ``written`` is; it is then not deleted by ``drop``."""
+    return _paths.pop(table)
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete tables of ``written`` once all that was read from them is done."""
     for t in tables:

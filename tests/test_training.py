@@ -35,16 +35,16 @@ def test_features_fill_scale_and_name(spark, monkeypatch):
     df = spark.createDataFrame([(1.0, "b", True, "t"), (None, None, None, "t"), (3.0, "a", False, "t"), (float("nan"), "b", True, "t"), (float("inf"), "b", True, "t")], "n double, c string, f boolean, t string")
     kinds = {"n": "number", "c": "categorical", "f": "bool", "t": "text"}
     spec, reasons = training.fit_spec(df, kinds)
-    assert reasons == {"t": "text"} and spec.names == ["n", "c=a", "c=b", "c=__missing__", "f"]
+    assert reasons == {} and spec.names == ["n", "c=a", "c=b", "c=__missing__", "f", "tfidf:t=t"]
     assert training.Spec.from_json(spec.to_json()) == spec
     with pytest.raises(ValueError, match="format"):
-        training.Spec.from_json(spec.to_json().replace('"format": 1', '"format": 9'))
+        training.Spec.from_json(spec.to_json().replace('"format": 2', '"format": 9'))
     n = spec.features[0]
     assert (n.median, n.mean) == (2.0, 2.0) and n.std == pytest.approx(0.4**0.5)
     other = spark.createDataFrame([(None, "new", None, "t")], df.schema)
-    assert tuple(spec.encoded(other, []).first()) == (0.0, 0.0, 0.0, 0.0, 0.0)
+    assert tuple(spec.encoded(other, []).first())[:5] == (0.0, 0.0, 0.0, 0.0, 0.0)
     monkeypatch.setattr(training, "MOST_CATEGORIES", 2)
-    assert training.fit_spec(df, kinds)[1] == {"t": "text", "c": "too many categories"}
+    assert training.fit_spec(df, kinds)[1] == {"c": "too many categories"}
 
 
 def test_run_isolates_failures_and_resumes(rows, tmp_path, monkeypatch):
