@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graincart import tables
 from graincart.functions import tests_of_fit
 from graincart.operators.profile import correlation
 from graincart.operators.running import running_sums
@@ -77,32 +78,90 @@ def distributions(df: DataFrame, numeric: list[str], categorical: list[str], is_
     return parts[0].union(parts[1]) if len(parts) == 2 else parts[0]
 
 
-#: What makes a report warn.
+def ks_of_all(df: DataFrame, columns: dict[str, Column], is_sample: Column, exact_up_to: int = tests_of_fit.EXACT) -> DataFrame:
+    """(column, statistic, p_value) of Kolmogorov and Smirnov's test for each of ``columns`` (name: number), in one pass.
+
+    Rows are summed by column and value before anything is ordered. A side without values has neither.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), x.cast("double").alias("x")) for c, x in columns.items()])).alias("p")
+    rows = df.select(is_sample.cast("long").alias("s"), each).select("s", "p.*").where("x is not null")
+    counts = rows.groupBy("column", "x").agg(F.sum("s").alias("a"), F.sum(1 - F.col("s")).alias("b"))
+    run = running_sums(counts, "x", {"ca": "a", "cb": "b"}, by=("column",), totals=True)
+    gap = F.abs(F.try_divide("ca", "total_ca") - F.try_divide("cb", "total_cb"))
+    one = run.groupBy("column").agg(F.max(gap).alias("statistic"), F.max("total_ca").alias("na"), F.max("total_cb").alias("nb"))
+    chance = F.udf(lambda d, n, m: tests_of_fit.kolmogorov_smirnov(d, n or 0, m or 0, exact_up_to), "double")  # a row for each column
+    return one.select("column", "statistic", chance("statistic", "na", "nb").alias("p_value"))
+
+
+def chi_square_of_all(df: DataFrame, columns: list[str], is_sample: Column) -> DataFrame:
+    """(column, statistic, dof, p_value): ``chi_square`` of each of ``columns`` in one pass."""
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.coalesce(F.col(c).cast("string"), F.lit("None")).alias("value")) for c in columns])).alias("p")
+    counts = df.select(is_sample.alias("s"), each).groupBy("p.column", "p.value").agg(F.count_if("s").alias("a"), F.count_if(~F.col("s")).alias("b"))
+    counts = tables.written(counts)
+    # a row for each column
+    whole = F.broadcast(counts.groupBy("column").agg(F.sum("a").alias("all_a"), F.sum("b").alias("all_b")))
+    counts = counts.join(whole, "column").withColumn("e", F.greatest(F.try_divide("a", "all_a") * F.col("all_b"), F.lit(0.5)))
+    counts = counts.join(F.broadcast(counts.groupBy("column").agg(F.sum("e").alias("all_e"))), "column").withColumn("e", F.col("e") * F.col("all_b") / F.col("all_e"))
+    one = counts.groupBy("column").agg(F.sum(F.try_divide((F.col("b") - F.col("e")) ** 2, F.col("e"))).alias("statistic"), (F.count("*") - 1).alias("dof"))
+    chance = F.udf(lambda x, dof: tests_of_fit.chi_square_tail(x, dof or 0), "double")  # a row for each column
+    return one.withColumn("p_value", chance("statistic", "dof"))
+
+
+#: P-values below, drifts and shares of dropped rows above which a report warns, and the share of the
+#: mean distance of neighbours within which rows are near copies.
 LOW_P, DRIFT, DROPPED, NEAR = 0.01, 0.2, 0.1, 0.05
+REPORT = "measure string, column string, value double, p_value double, bound double, warning string"
+
+
+def near_threshold(rows: int, numbers: int) -> float:
+    """Within which distance a row is a near copy: it falls with the density of ``rows`` in ``numbers`` dimensions, and is 0 without any."""
+    return NEAR * rows ** (-1.0 / numbers) if numbers and rows else 0.0
 
 
-def report(df: DataFrame, is_sample: Column, numeric: list[str], categorical: list[str], key: list[str], wanted: dict[str, dict[str, float]] | None = None, dropped: int = 0, asked: int | None = None, from_profile: bool = False) -> dict:
-    """How well the made rows of ``df`` stand for its sample: tests, drift, duplicates, near copies, balance and warnings."""
-    made, columns = df.where(~is_sample), [*numeric, *categorical]
-    n = made.count()
-    twice = n - made.select(*columns).distinct().count() if columns else 0
-    asked = n if asked is None else asked
-    near = near_copies(made, df.where(is_sample), key, numeric, categorical, NEAR).count() if columns else 0
-    out = {
-        "ks_tests": {c: ks_statistic(df, c, is_sample).first().asDict() for c in numeric},
-        "chi2_tests": {c: chi_square(df, c, is_sample).first().asDict() for c in categorical},
-        "correlation_drift": round(correlation_drift(df, numeric, is_sample).first()["drift"] or 0.0, 4),
-        "exact_duplicates": {"count": twice, "fraction": round(twice / max(n, 1), 4)},
-        "near_copies": {"count": near, "threshold": NEAR, "scanned": n},
-        "dropped_rows": dropped,
-        "dropped_ratio": round(dropped / max(asked, 1), 4),
-        "balance": {c: {r["value"]: {"requested": r["wanted"], "actual": r["actual"]} for r in balance(made, c, shares).collect()} for c, shares in (wanted or {}).items()},
-        "derived_profile": from_profile,
-        "made_rows": n,
-    }
-    moved = any((t["p_value"] if t["p_value"] is not None else 1.0) < LOW_P for t in [*out["ks_tests"].values(), *out["chi2_tests"].values()])
-    told = (("near_copies", near > 0), ("dropped_rows_high", out["dropped_ratio"] > DROPPED), ("derived_profile", from_profile), ("fidelity_drift", moved or out["correlation_drift"] > DRIFT))
-    return out | {"warnings": [name for name, holds in told if holds]}
+def report(df: DataFrame, is_sample: Column, numeric: list[str], categorical: list[str], key: list[str], wanted: dict[str, dict[str, float]] | None = None, dropped: int = 0, asked: int | None = None, from_profile: bool = False, near: float | None = None) -> DataFrame:
+    """How well the made rows of ``df`` stand for its sample, a row for each thing that was measured.
+
+    (measure, column, value, p_value, bound, warning): ks and chi2 for each column, correlation_drift,
+    duplicates (made rows beyond the first of their kind) and duplicates_share, near_copies (within
+    ``bound``, which ``near_threshold`` gives unless ``near`` does), dropped, dropped_share,
+    wanted:<value> and made:<value> for each share that was asked for, and derived_profile. ``warning``
+    is a code where the value is beyond its bound, else null. All rows of both sides are compared.
+    """
+    spark, columns = df.sparkSession, [*numeric, *categorical]
+    sizes = df.agg(F.count_if(is_sample).alias("sample"), F.count_if(~is_sample).alias("made")).first()
+    made, asked = df.where(~is_sample), sizes["made"] if asked is None else asked
+    null = F.lit(None).cast("double")
+    parts = []
+    if numeric:
+        tests = ks_of_all(df, {c: F.col(c) for c in numeric}, is_sample)
+        parts.append(tests.select(F.lit("ks").alias("measure"), "column", F.col("statistic").alias("value"), "p_value", F.lit(LOW_P).alias("bound")))
+    if categorical:
+        tests = chi_square_of_all(df, categorical, is_sample)
+        parts.append(tests.select(F.lit("chi2").alias("measure"), "column", F.col("statistic").alias("value"), "p_value", F.lit(LOW_P).alias("bound")))
+    parts = [p.withColumn("warning", F.when(F.col("p_value") < F.col("bound"), "fidelity_drift")) for p in parts]
+    if numeric:
+        drift = correlation_drift(df, numeric, is_sample).select(F.lit("correlation_drift").alias("measure"), F.lit(None).cast("string").alias("column"), F.coalesce("drift", F.lit(0.0)).alias("value"), null.alias("p_value"), F.lit(DRIFT).alias("bound"))
+        parts.append(drift.withColumn("warning", F.when(F.col("value") > F.col("bound"), "fidelity_drift")))
+    share = dropped / max(asked, 1)
+    facts = [("dropped", None, float(dropped), None, None, None), ("dropped_share", None, share, None, DROPPED, "dropped_rows_high" if share > DROPPED else None), ("derived_profile", None, float(from_profile), None, None, "derived_profile" if from_profile else None)]
+    if columns:
+        kinds = made.groupBy(*columns).agg(F.count("*").alias("n"))
+        twice = kinds.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n")).first()["n"]
+        bound = near_threshold(sizes["sample"], len(numeric)) if near is None else near
+        copies = near_copies(made, df.where(is_sample), key, numeric, categorical, bound).count() if sizes["sample"] and sizes["made"] else 0
+        facts += [("duplicates", None, float(twice), None, None, None), ("duplicates_share", None, twice / max(sizes["made"], 1), None, None, None), ("near_copies", None, float(copies), None, bound, "near_copies" if copies else None)]
+    for c, shares in (wanted or {}).items():
+        for r in balance(made, c, shares).collect():
+            facts += [(f"wanted:{r['value']}", c, float(r["wanted"]), None, None, None), (f"made:{r['value']}", c, float(r["actual"] or 0.0), None, None, None)]
+    out = spark.createDataFrame(facts, REPORT)
+    for p in parts:
+        out = out.union(p.select(*out.columns))
+    return out
+
+
+def report_warnings(told: DataFrame) -> list[str]:
+    """The codes that a report warns of, each once, by name."""
+    return [r["warning"] for r in told.where("warning is not null").select("warning").distinct().orderBy("warning").collect()]
 
 
 def correlation_drift(df: DataFrame, columns: list[str], is_sample: Column) -> DataFrame:
@@ -115,19 +174,16 @@ def correlation_drift(df: DataFrame, columns: list[str], is_sample: Column) -> D
     return df.agg((F.greatest(*gaps) if len(gaps) > 1 else gaps[0]).alias("drift"))
 
 
-def near_copies(made: DataFrame, sample: DataFrame, key: list[str], numeric: list[str], categorical: list[str], threshold: float, cap: int | None = None) -> DataFrame:
+def near_copies(made: DataFrame, sample: DataFrame, key: list[str], numeric: list[str], categorical: list[str], threshold: float) -> DataFrame:
     """The rows of ``made`` that lie within ``threshold`` of a row of ``sample``, with the least distance.
 
     The distance is the largest over the columns: numbers scaled by the sample's range, categories
-    0 or 1; both missing is 0, one missing is 1. With ``cap`` only the first rows of each side by
-    ``key`` count, as in the reference's report.
+    0 or 1; both missing is 0, one missing is 1.
 
     Equal rows of a side are compared once. Below a threshold of 1, rows meet by their categories,
     missing values and cells of the threshold's width on the first numbers; a cell with many rows is
     dealt over several keys.
     """
-    if cap is not None:
-        made, sample = made.orderBy(*key).limit(cap), sample.orderBy(*key).limit(cap)
     columns = [*numeric, *categorical]
     ends = sample.agg(F.lit(1).alias("one"), *[f for c in numeric for f in (F.min(c).cast("double").alias(f"m_{c}"), (F.max(c) - F.min(c)).cast("double").alias(f"r_{c}"))])
     row = F.struct(*columns).alias("row")

@@ -90,7 +90,7 @@ def set_union_cat(spark, sf_dir):
 
 
 _KEYS = ", ".join(KEY)
-_NEAR = f"""WITH g AS (SELECT * FROM lineitem WHERE l_returnflag = 'N' ORDER BY {_KEYS} LIMIT 200), s AS (SELECT * FROM lineitem WHERE l_returnflag = 'R' ORDER BY {_KEYS} LIMIT 200),
+_NEAR = f"""WITH g AS (SELECT * FROM lineitem WHERE l_returnflag = 'N' ORDER BY {_KEYS}), s AS (SELECT * FROM lineitem WHERE l_returnflag = 'R' ORDER BY {_KEYS}),
 r AS (SELECT max(l_quantity) - min(l_quantity) AS rq, max(l_discount) - min(l_discount) AS rd FROM s),
 d AS (SELECT g.l_orderkey, g.l_linenumber, g.l_partkey, g.l_suppkey, g.l_shipdate, g.l_extendedprice, min(greatest(abs(g.l_quantity - s.l_quantity) / rq, abs(g.l_discount - s.l_discount) / rd, CASE WHEN g.l_linestatus = s.l_linestatus THEN 0 ELSE 1 END)) AS distance FROM g, s, r GROUP BY ALL)
 SELECT {_KEYS}, round(distance, 6) AS distance FROM d WHERE distance <= 0.05"""
@@ -99,19 +99,45 @@ SELECT {_KEYS}, round(distance, 6) AS distance FROM d WHERE distance <= 0.05"""
 @query("fid_near", _NEAR)
 def fid_near(spark, sf_dir):
     df = table(spark, sf_dir, "lineitem")
-    out = fidelity.near_copies(df.where("l_returnflag = 'N'"), df.where("l_returnflag = 'R'"), KEY, ["l_quantity", "l_discount"], ["l_linestatus"], 0.05, cap=200)
+    out = fidelity.near_copies(df.where("l_returnflag = 'N'"), df.where("l_returnflag = 'R'"), KEY, ["l_quantity", "l_discount"], ["l_linestatus"], 0.05)
     return out.select(*KEY, F.round("distance", 6).alias("distance"))
 
 
-query("jn_near", _NEAR)(fid_near)
+query("fid_near_all", _NEAR)(fid_near)
 
+_CUSTOMERS = "WITH c AS (SELECT *, c_custkey % 2 = 0 AS s FROM customer), x AS (SELECT count(*) AS n, max(c_acctbal) - min(c_acctbal) AS w, max(c_nationkey) - min(c_nationkey) AS v FROM c WHERE s)"
+_CUSTOMERS_NEAR = "SELECT m.c_custkey, min(greatest(abs(m.c_acctbal - r.c_acctbal) / w, abs(m.c_nationkey - r.c_nationkey) / v, CASE WHEN m.c_mktsegment = r.c_mktsegment THEN 0 ELSE 1 END)) AS d FROM c m, c r, x WHERE NOT m.s AND r.s GROUP BY 1"
 
-@query("fid_near_all", _NEAR.replace(" LIMIT 200", ""))
-def fid_near_all(spark, sf_dir):
-    """``fid_near`` without the cap that its SQL has: all rows of both sides."""
-    df = table(spark, sf_dir, "lineitem")
-    out = fidelity.near_copies(df.where("l_returnflag = 'N'"), df.where("l_returnflag = 'R'"), KEY, ["l_quantity", "l_discount"], ["l_linestatus"], 0.05)
-    return out.select(*KEY, F.round("distance", 6).alias("distance"))
+
+@query("jn_near", f"{_CUSTOMERS} SELECT c_custkey, round(d, 6) AS distance FROM ({_CUSTOMERS_NEAR}) WHERE d <= 0.02")
+def jn_near(spark, sf_dir):
+    """Customers of odd keys within 0.02 of one of even key, in balance, nation and segment."""
+    df = table(spark, sf_dir, "customer")
+    out = fidelity.near_copies(df.where("c_custkey % 2 <> 0"), df.where("c_custkey % 2 = 0"), ["c_custkey"], ["c_acctbal", "c_nationkey"], ["c_mktsegment"], 0.02)
+    return out.select("c_custkey", F.round("distance", 6).alias("distance"))
+
+
+def _ks(c: str) -> str:
+    return f"""SELECT 'ks' AS measure, '{c}' AS "column", max(abs(ca / (SELECT count(*) FROM c WHERE s) - cb / (SELECT count(*) FROM c WHERE NOT s))) AS value FROM (SELECT sum(a) OVER (ORDER BY v) AS ca, sum(b) OVER (ORDER BY v) AS cb FROM (SELECT {c} AS v, count(*) FILTER (s) AS a, count(*) FILTER (NOT s) AS b FROM c GROUP BY 1))"""
+
+
+@query(
+    "fid_report",
+    f"""{_CUSTOMERS}, k AS (SELECT c_mktsegment AS v, count(*) FILTER (s) AS a, count(*) FILTER (NOT s) AS b FROM c GROUP BY 1), e AS (SELECT v, b, greatest(a / sum(a) OVER () * sum(b) OVER (), 0.5) AS e, sum(b) OVER () AS n FROM k),
+f AS (SELECT b, e * n / sum(e) OVER () AS e FROM e), g AS (SELECT count(*) AS n FROM c WHERE NOT s GROUP BY c_acctbal, c_nationkey, c_mktsegment), t AS (SELECT 0.05::DOUBLE * pow(n, -0.5) AS near FROM x)
+SELECT measure, "column", round(value, 6) AS value FROM ({_ks("c_acctbal")} UNION ALL {_ks("c_nationkey")} UNION ALL SELECT 'chi2', 'c_mktsegment', sum((b - e) ** 2 / e) FROM f
+UNION ALL SELECT 'correlation_drift', NULL, abs(corr(c_acctbal, c_nationkey) FILTER (s) - corr(c_acctbal, c_nationkey) FILTER (NOT s)) FROM c
+UNION ALL SELECT 'duplicates', NULL, sum(n - 1) FROM g UNION ALL SELECT 'duplicates_share', NULL, sum(n - 1) / sum(n) FROM g
+UNION ALL SELECT 'near_copies', NULL, count(*) FROM ({_CUSTOMERS_NEAR}), t WHERE d <= near
+UNION ALL SELECT 'dropped', NULL, 5 UNION ALL SELECT 'dropped_share', NULL, 5 / (SELECT count(*) + 5 FROM c WHERE NOT s) UNION ALL SELECT 'derived_profile', NULL, 0
+UNION ALL SELECT 'wanted:BUILDING', 'c_mktsegment', 0.5 UNION ALL SELECT 'made:BUILDING', 'c_mktsegment', avg(CASE WHEN c_mktsegment = 'BUILDING' THEN 1.0 ELSE 0.0 END) FROM c WHERE NOT s)""",
+)
+def fid_report(spark, sf_dir):
+    """The customers of odd keys as if they were made from those of even keys."""
+    df = table(spark, sf_dir, "customer").withColumn("s", F.col("c_custkey") % 2 == 0)
+    n = df.where("not s").count()
+    out = fidelity.report(df, F.col("s"), ["c_acctbal", "c_nationkey"], ["c_mktsegment"], ["c_custkey"], {"c_mktsegment": {"BUILDING": 0.5}}, dropped=5, asked=n + 5)
+    return out.select("measure", "column", F.round("value", 6).alias("value"))
 
 
 @query("agg_balance", "SELECT v AS value, w AS wanted, (SELECT avg(CASE WHEN l_returnflag = v THEN 1.0 ELSE 0.0 END) FROM lineitem) AS actual FROM (VALUES ('A', 0.25), ('N', 0.5), ('R', 0.25)) t(v, w)".replace("0.25)", "CAST(0.25 AS DOUBLE))").replace("0.5)", "CAST(0.5 AS DOUBLE))"))
