@@ -8,11 +8,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graincart.functions.text import hash_draw
+from graincart.functions.text import hash_draw, rendered_row
+from graincart.operators import pool
 
 PROVENANCE = "__provenance__"
 EXCLUDED = "__excluded__"
 ROW_ID = "__row_id__"
+#: Answers that are handed on together.
+EACH = 10
 ORIGIN_SCHEMA = "row_origin string, label_origins map<string, struct<origin: string, confidence: double, note: string>>"
 
 
@@ -105,56 +108,30 @@ def review_queue(df: DataFrame, found: dict[str, str], threshold: float, row_id:
     return df.select(F.col(row_id).alias("row"), F.explode(F.array(*rows)).alias("r")).select("row", "r.*").where("state is not null")
 
 
-def apply_review(df: DataFrame, decisions: DataFrame, family: str, row_id: str = ROW_ID) -> DataFrame:
-    """``df`` after decisions (row, action, value) on one binary family.
+def label_rows(df: DataFrame, ask: Callable[[str], dict], columns: list[str], schema: str, row_id: str = ROW_ID, retries: int = pool.RETRIES, workers: int = pool.WORKERS, wait: float = pool.WAIT, each: int = EACH) -> DataFrame:
+    """Answers of a Python evaluator ``ask`` for the rendered row of each row: (row id, answers..., failed, error, attempts).
 
-    ``accept`` marks the label as reviewed, ``override`` sets the answer with confidence 1, and
-    ``exclude`` only marks the row, which stays marked.
+    Calls run inside the tasks that hold the rows, ``workers`` at once and in the rows' order; see
+    ``pool`` for how they are repeated. A call that keeps failing gives nulls, ``failed`` and its
+    last error. Results are handed on ``each`` rows at a time as they come. Write the result and
+    join it to resume: only rows without an answer are asked again.
     """
-    given = decisions.select(F.col("row").alias(row_id), F.col("action").alias("_action"), F.col("value").alias("_value"))
-    out = df.join(given, row_id, "left")
-    over = F.coalesce(F.col("_action") == "override", F.lit(False))
-    kind = df.schema[family].dataType
-    was = F.col(EXCLUDED) if EXCLUDED in df.columns else F.lit(False)
-    parsed = origins(F.col(PROVENANCE)) if PROVENANCE in df.columns else origins(F.lit("{}"))
-    mark = F.create_map(F.lit(family), F.struct(F.lit("human_reviewed").alias("origin"), F.when(over, 1.0).otherwise(F.col(f"{family}__confidence")).alias("confidence"), F.lit(None).cast("string").alias("note")))
-    old = F.coalesce(parsed["label_origins"], F.create_map().cast("map<string, struct<origin: string, confidence: double, note: string>>"))
-    merged = F.map_concat(F.map_filter(old, lambda k, v: k != family), mark)
-    touched = F.coalesce(F.col("_action").isin("accept", "override"), F.lit(False))
-    new = F.to_json(F.struct(F.coalesce(parsed["row_origin"], F.lit("uploaded")).alias("row_origin"), merged.alias("label_origins")))
-    return out.withColumns({
-        family: F.when(over, F.col("_value").cast(kind)).otherwise(F.col(family)),
-        f"{family}__confidence": F.when(over, 1.0).otherwise(F.col(f"{family}__confidence")),
-        EXCLUDED: was | F.coalesce(F.col("_action") == "exclude", F.lit(False)),
-        PROVENANCE: F.when(touched, new).otherwise(F.col(PROVENANCE) if PROVENANCE in df.columns else F.lit(None)),
-    }).drop("_action", "_value")
-
-
-def label_rows(df: DataFrame, ask: Callable[[str], dict], columns: list[str], schema: str, row_id: str = ROW_ID, retries: int = 2) -> DataFrame:
-    """Answers of a Python evaluator ``ask`` for the rendered row of each row: (row id, answers..., failed).
-
-    Calls run inside the tasks that hold the rows; a call that keeps failing gives nulls and
-    ``failed``. Write the result and join it to resume: only rows without an answer are asked again.
-    """
-    from graincart.functions.text import rendered_row
-
     names = [x.split()[0] for x in schema.split(",")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for key, state in zip(batch[row_id], batch["_state"], strict=True):
-                answer = None
-                for _ in range(retries + 1):
-                    try:
-                        answer = ask(state)
-                        break
-                    except Exception:  # noqa: BLE001  an evaluator may fail in any way
-                        continue
-                rows.append((key, *[(answer or {}).get(n) for n in names], answer is None))
-            yield pd.DataFrame(rows, columns=[row_id, *names, "failed"])
-
-    return df.select(row_id, rendered_row(columns).alias("_state")).mapInPandas(run, f"{row_id} long, {schema}, failed boolean")
+        items = ((key, state) for batch in batches for key, state in zip(batch[row_id], batch["_state"], strict=True))
+        rows = []
+        told = lambda: pd.DataFrame(rows, columns=[row_id, *names, "failed", "error", "attempts"])
+        for o in pool.outcomes(lambda item: dict(ask(item[1])), items, workers, retries, wait):
+            rows.append((o.item[0], *[(o.value or {}).get(n) for n in names], o.error is not None, o.error, o.attempts))
+            if len(rows) >= each:
+                yield told()
+                rows.clear()
+        if rows:
+            yield told()
+
+    state = df.select(F.col(row_id).cast("long").alias(row_id), rendered_row(columns).alias("_state"))
+    return state.mapInPandas(run, f"{row_id} long, {schema}, failed boolean, error string, attempts int")
 
 
 def unanswered(df: DataFrame, answers: DataFrame, row_id: str = ROW_ID) -> DataFrame:

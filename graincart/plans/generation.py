@@ -72,5 +72,7 @@ def fe_progress(spark, sf_dir):
 
 @query("gen_rows")
 def gen_rows(spark, sf_dir):
-    specs = [ColumnSpec("age", "integer", 18, 89), ColumnSpec("plan", "categorical", categories=("basic", "pro")), ColumnSpec("active", "bool"), ColumnSpec("note", "text")]
-    return generate.generated(spark, specs, 200, generate.fake_generator)
+    """As many rows as ``customer`` has, by the ranges and categories of its columns."""
+    df = table(spark, sf_dir, "customer")
+    specs = generate.specs_of(df, ["c_nationkey", "c_acctbal", "c_mktsegment"])
+    return generate.generated(spark, specs, df.count(), generate.fake_generator).rows

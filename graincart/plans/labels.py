@@ -87,8 +87,8 @@ def rev_apply(spark, sf_dir):
     df = labeled(spark, sf_dir)
     rest = F.col("row") % 13
     decisions = df.select(F.col("__row_id__").alias("row")).where(rest < 3)
-    decisions = decisions.select("row", F.when(rest == 0, "accept").when(rest == 1, "override").otherwise("exclude").alias("action"), F.lit("true").alias("value"))
-    out = labeling.apply_review(df, decisions, "spam")
+    decisions = decisions.select("row", F.lit("spam").alias("family"), F.when(rest == 0, "accept").when(rest == 1, "override").otherwise("exclude").alias("action"), F.lit("true").alias("value"), F.lit(None).cast("string").alias("note"))
+    out = review.apply_decisions(df, decisions, {"spam": "binary"})
     return out.select(F.col("__row_id__").alias("row"), "spam", F.col("spam__confidence").alias("confidence"), F.col("__excluded__").alias("excluded"), labeling.origin_bucket(F.col("__provenance__")).alias("bucket"))
 
 

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import csv
+import io
+from collections.abc import Iterator
+
+import pandas as pd
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,24 +26,75 @@ class MalformedFile(ValueError):
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV (with a header), Parquet or JSON Lines file or folder, by its suffix in either case."""
+    """A CSV (with a header), Parquet or JSON Lines file or folder, by its suffix in either case.
+
+    MalformedFile comes at once, not when rows are read: for a file that is empty or cannot be parsed, a
+    CSV row of more fields than the header, and a line that is no JSON object. CSV rows of fewer fields
+    end in nulls, and quoted fields may hold line breaks. Columns stand in the order of the file, those of
+    JSON Lines in the order in which they first appear.
+    """
     suffix = path.rstrip("/").rsplit(".", 1)[-1].lower() if "." in path else ""
+    if suffix not in _READERS:
+        raise UnsupportedFormat(f"cannot read .{suffix} files")
     try:
-        if suffix == "csv":
-            df = typed(spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("mode", "FAILFAST").csv(path))
-        elif suffix == "parquet":
-            df = spark.read.parquet(path)
-        elif suffix in ("jsonl", "ndjson"):
-            df = spark.read.option("mode", "FAILFAST").json(path)
-        else:
-            raise UnsupportedFormat(f"cannot read .{suffix} files")
-    except AnalysisException as e:
-        raise MalformedFile(str(e)) from e
+        df = _READERS[suffix](spark, path)
+    except (PySparkException, Py4JJavaError) as e:
+        raise MalformedFile(str(e)[:2000]) from e
     if not df.columns:
         raise MalformedFile("the file has no columns")
     return df
 
 
+def _read_csv(spark: SparkSession, path: str) -> DataFrame:
+    options = {"header": True, "multiLine": True, "escape": '"', "mode": "PERMISSIVE"}
+    names = spark.read.options(**options).csv(path).columns
+    if not names:
+        raise MalformedFile("the file has no columns")
+    bad = _free("_bad", names)
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in (*names, bad)])
+    df = spark.read.options(**options, columnNameOfCorruptRecord=bad).schema(schema).csv(path)
+
+    def too_long(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sizes = [max((len(x) for x in csv.reader(io.StringIO(raw))), default=0) for raw in batch["raw"]]
+            yield batch[[n > len(names) for n in sizes]]
+
+    # rows whose number of fields is not that of the header; of these, only longer ones are wrong
+    odd = df.where(F.col(f"`{bad}`").isNotNull()).select(F.col(f"`{bad}`").alias("raw"), F.col(f"`{names[0]}`").alias("first"))
+    wrong = odd.mapInPandas(too_long, "raw string, first string").limit(1).collect()
+    if wrong:
+        raise MalformedFile(f"a row has more fields than the header: {wrong[0]['raw'][:200]}")
+    return typed(df.drop(bad))
+
+
+def _read_json(spark: SparkSession, path: str) -> DataFrame:
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = lines.where(F.trim("value") != "")
+    keys = lines.select(F.posexplode(F.json_object_keys("value")).alias("at", "key"), "file", "block", "line")
+    # as many rows as there are columns
+    order = [r["key"] for r in keys.groupBy("key").agg(F.min(F.struct("file", "block", "line", "at")).alias("first")).orderBy("first").collect()]
+    if not order:
+        if lines.limit(1).count():
+            raise MalformedFile("no line is a JSON object")
+        raise MalformedFile("the file is empty")
+    bad = _free("_bad", order)
+    df = spark.read.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", bad).json(path)
+    # all lines were looked at to find the columns, so that a bad one has shown
+    if bad in df.columns:
+        wrong = lines.where(F.json_object_keys("value").isNull()).limit(1).collect()
+        raise MalformedFile(f"a line is no JSON object: {wrong[0]['value'][:200] if wrong else ''}")
+    return df.select(*[F.col(f"`{c}`") for c in order if c in df.columns])
+
+
+def _free(name: str, taken: list[str]) -> str:
+    while name in taken:
+        name += "_"
+    return name
+
+
+_READERS = {"csv": _read_csv, "parquet": lambda spark, path: spark.read.parquet(path), "jsonl": _read_json, "ndjson": _read_json}
+
+
 def typed(df: DataFrame) -> DataFrame:
     """String columns as long, double or boolean where all their values are that; one aggregation for all."""
     names = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]

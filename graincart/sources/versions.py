@@ -1,7 +1,7 @@
 """Immutable table versions in a folder that all machines share, with parents, numbers and provenance.
 
 A version is a Parquet folder that is written once. The list of versions is a small Parquet
-table: one row for each version, appended and never changed.
+table: one file for each version, added and never changed.
 """
 
 from __future__ import annotations
@@ -9,7 +9,9 @@ from __future__ import annotations
 import json
 import uuid
 from dataclasses import dataclass
+from urllib.parse import quote
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,7 +33,7 @@ class Store:
     def versions(self, project: str | None = None) -> DataFrame:
         """All versions by project and number."""
         try:
-            found = self.spark.read.schema(_SCHEMA).parquet(f"{self.root}/versions")
+            found = self.spark.read.schema(_SCHEMA).option("recursiveFileLookup", True).parquet(f"{self.root}/versions")
         except AnalysisException:
             found = self.spark.createDataFrame([], _SCHEMA)
         found = found.join(self._deleted(), "version_id", "left_anti").select(*found.columns)
@@ -57,18 +59,43 @@ class Store:
             where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
         return len(gone)
 
-    def create(self, project: str, df: DataFrame, parent_id: str | None = None, origin: str = "uploaded", seed: int | None = None, meta: dict | None = None) -> str:
+    def entry(self, version_id: str) -> dict:
+        """The entry of a version; ValueError if there is none."""
+        found = self.versions().where(F.col("version_id") == version_id).limit(1).collect()
+        if not found:
+            raise ValueError(f"no version {version_id}")
+        return found[0].asDict()
+
+    def _claim(self, project: str) -> int:
+        """The next number of a project, claimed by a file that only one writer can make; a number is never given twice.
+
+        A file system must not make a file that is there already (HDFS does not, nor do local ones);
+        an object store whose writes overwrite cannot tell two writers apart.
+        """
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        folder = f"{self.root}/numbers/{quote(project, safe='')}"
+        where = jvm.org.apache.hadoop.fs.Path(folder)
+        fs = where.getFileSystem(conf)
+        fs.mkdirs(where)
+        taken = [int(s.getPath().getName()) for s in fs.listStatus(where) if s.getPath().getName().isdigit()]
+        number = max([*taken, self.versions(project).agg(F.max("number")).first()[0] or 0]) + 1
+        while not _made(jvm, fs, where, number):
+            number += 1
+        return number
+
+    def create(self, project: str, df: DataFrame, parent_id: str | None = None, origin: str = "uploaded", seed: int | None = None, meta: dict | None = None, own_rows: bool = False) -> str:
         """Write ``df`` as the next version of ``project`` and return its id.
 
         Rows without provenance get the origin of the version; with a parent, provenance is that
-        of the parent's row of the same id, overlaid by that of ``df``.
+        of the parent's row of the same id, overlaid by that of ``df``, unless ``own_rows`` says that
+        the ids are not those of the parent's rows.
         """
         if parent_id is not None and not self.versions(project).where(F.col("version_id") == parent_id).limit(1).count():
             raise ValueError(f"{project} has no version {parent_id}")
         version_id = uuid.uuid4().hex
         own = F.col(PROVENANCE) if PROVENANCE in df.columns else F.lit(None).cast("string")
         rows = df.withColumn(PROVENANCE, own)
-        if parent_id is not None and ROW_ID in df.columns:
+        if parent_id is not None and ROW_ID in df.columns and not own_rows:
             before = self.load(parent_id, provenance=True)
             if ROW_ID in before.columns:
                 rows = rows.join(before.select(ROW_ID, F.col(PROVENANCE).alias("_before")), ROW_ID, "left")
@@ -80,10 +107,11 @@ class Store:
         columns = [c for c in stored.columns if c not in (PROVENANCE, ROW_ID)]
         told = {r["column"]: r["kind"] for r in kinds(stored, columns).collect()} if columns else {}
         buckets = {r["bucket"]: r["n"] for r in breakdown(stored).collect()}
-        number = (self.versions(project).agg(F.max("number")).first()[0] or 0) + 1
+        number = self._claim(project)
         row = (version_id, project, number, parent_id, origin, sum(buckets.values()), json.dumps(told), json.dumps(buckets), seed, json.dumps(meta or {}))
         entry = self.spark.createDataFrame([row], _SCHEMA.rsplit(",", 1)[0]).withColumn("created", F.current_timestamp())
-        entry.write.mode("append").parquet(f"{self.root}/versions")
+        # a folder of its own: two jobs that append to one folder clear away each other's files
+        entry.write.mode("errorifexists").parquet(f"{self.root}/versions/{version_id}")
         return version_id
 
     def load(self, version_id: str, provenance: bool = False) -> DataFrame:
@@ -101,6 +129,19 @@ class Store:
         return chain
 
 
+def _made(jvm, fs, folder, number: int) -> bool:
+    """Whether the file ``number`` was made just now, and not there before."""
+    if fs.getScheme() == "file":
+        return jvm.java.io.File(f"{folder.toUri().getPath()}/{number}").createNewFile()
+    try:
+        fs.create(jvm.org.apache.hadoop.fs.Path(folder, str(number)), False).close()
+        return True
+    except Py4JJavaError as e:
+        if "AlreadyExists" in str(e.java_exception):
+            return False
+        raise
+
+
 def merged_provenance(old, new):
     """The origins of ``new`` over those of ``old``; the row's origin stays that of ``old``."""
     from graincart.operators.labeling import origins

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graincart.functions import pii, text
-from graincart.operators import cards, checks, fidelity, labeling, metrics, prep, profile, synth
+from graincart.operators import cards, checks, fidelity, labeling, metrics, prep, profile, review, synth
 from graincart.operators import pii as scans
 from graincart.sources import readers
 from graincart.sources.versions import Store
@@ -134,10 +134,10 @@ def test_review_and_provenance(spark):
     assert labeling.families(df.columns) == {"ok": "binary"}
     queue = {r["row"]: r["state"] for r in labeling.review_queue(df, {"ok": "binary"}, 0.5).collect()}
     assert queue == {1: "unlabeled", 2: "queued"}
-    decided = spark.createDataFrame([(0, "accept", None), (2, "override", "true")], "row long, action string, value string")
-    out = {r["__row_id__"]: r for r in labeling.apply_review(df, decided, "ok").collect()}
+    decided = spark.createDataFrame([(0, "ok", "accept", None, None), (2, "ok", "override", "true", None)], "row long, family string, action string, value string, note string")
+    out = {r["__row_id__"]: r for r in review.apply_decisions(df, decided, {"ok": "binary"}).collect()}
     assert out[2]["ok"] is True and out[2]["ok__confidence"] == 1.0 and out[1]["__provenance__"] is None
-    counts = {r["bucket"]: r["n"] for r in labeling.breakdown(labeling.apply_review(df, decided, "ok")).collect()}
+    counts = {r["bucket"]: r["n"] for r in labeling.breakdown(review.apply_decisions(df, decided, {"ok": "binary"})).collect()}
     assert counts == {"uploaded": 1, "synthetic": 0, "evaluator": 0, "human_reviewed": 2}
 
 
