@@ -1,13 +1,18 @@
 """Main text of web pages by the maximum-scoring contiguous region.
 
 A page is a row of pieces: tags, and stretches of text between them. A piece has a score, a tag
-mostly below zero and a stretch of text its number of words times the weight of the place where it
-stands (plain text, a link, a heading; within an article, or outside where a page has one; within
-navigation, an advert, comments and the like, by name). The weights are the log odds of being main
-text, counted on labelled pages. One scan over the pieces finds the contiguous region with the
-largest sum. What stands in the same element beside it and scores above zero belongs to it too, and
-text of the region in a place that scores below zero, as adverts, forms and comments do, is left
-out.
+mostly below zero and a stretch of text its number of words times the weight of its class: a long or
+short block, a link or a heading, within an article or beside it. The weights are the log odds of
+being main text, counted on labelled pages.
+
+An element whose tag or name tells of a group (navigation, adverts, comments, notices, forms and so on)
+scores its own words by the weights of that group, which differ for long blocks, short ones and
+links, and with an article around the element or within it. Below zero it is left out as a whole;
+else it is a wrapper like any other, whose words belong to the element around it. So no name decides by
+itself: a menu of paragraphs may be a recipe, and comments stay comments.
+
+One scan over the pieces finds the contiguous region with the largest sum, an element that is left
+out counting as a tag. What stands in the same element beside it and scores above zero belongs to it.
 """
 
 from __future__ import annotations
@@ -17,6 +22,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from html import unescape
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -25,26 +31,30 @@ from graincart.llm.common import in_pandas
 
 # Elements by what they do.
 RAW = {"script", "style", "noscript", "template", "svg", "iframe", "object", "math", "canvas", "audio", "video", "title", "head"}
-ASIDE = {"nav", "footer", "aside", "form", "button", "select", "textarea", "dialog", "menu"}
 MAIN = {"article", "main"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-ASIDE_NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "footer", "gdpr", "header", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "overlay", "pager", "pagination", "popup", "promo", "promotion", "related", "replies", "respond", "search", "share", "sharing", "sidebar", "skip", "social", "sponsor", "sponsored", "subscribe", "teaser", "toolbar", "topbar", "widget", "widgets", "complementary", "contentinfo", "alert", "alertdialog"}
-#: Names of what is no main text however much of it there is; the others may be those of a wrapper.
-NEVER_MAIN = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "comment", "comments", "complementary", "consent", "contentinfo", "cookie", "cookies", "disqus", "footer", "gdpr", "popup", "promo", "promotion", "related", "replies", "respond", "sponsor", "sponsored", "teaser"}
-#: What a class says about the page rather than about its element, and what may stand behind a name.
+#: The groups that elements may belong to, by their tags and by words in their class, id or role.
+TAGS = {"nav": "nav", "menu": "nav", "footer": "foot", "header": "top", "aside": "side", "form": "form", "button": "control", "select": "control", "textarea": "control", "dialog": "notice", "head": "head", "title": "head"}
+GROUPS = {
+    "comments": ("comment", "comments", "disqus", "replies", "reply", "respond"),
+    "advert": ("ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "promo", "promotion", "sponsor", "sponsored", "teaser"),
+    "nav": ("breadcrumb", "breadcrumbs", "menu", "nav", "navbar", "navigation", "pager", "pagination", "skip", "toolbar", "topbar"),
+    "share": ("share", "sharing", "social"),
+    "related": ("related",),
+    "notice": ("alert", "alertdialog", "consent", "cookie", "cookies", "gdpr", "modal", "notice", "overlay", "popup"),
+    "side": ("complementary", "sidebar", "widget", "widgets"),
+    "top": ("header", "masthead"),
+    "foot": ("contentinfo", "footer"),
+    "signup": ("newsletter", "search", "subscribe"),
+}
+GROUP_OF = {word: group for group, words in GROUPS.items() for word in words}
+#: What a class says about the page rather than about its element, and what may stand behind or before a name.
 ABOUT_PAGE = {"has", "hide", "is", "no", "not", "show", "with", "without"}
-BEHIND = {"area", "bar", "block", "body", "bottom", "box", "buttons", "container", "form", "inner", "item", "items", "left", "link", "links", "list", "post", "posts", "primary", "right", "secondary", "section", "slot", "top", "wrap", "wrapper"}
-#: Words of a text container that may be the main one.
-LARGE = 40
-ASIDE_NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "footer", "gdpr", "header", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "overlay", "pager", "pagination", "popup", "promo", "promotion", "related", "replies", "respond", "search", "share", "sharing", "sidebar", "skip", "social", "sponsor", "sponsored", "subscribe", "teaser", "toolbar", "topbar", "widget", "widgets", "complementary", "contentinfo", "alert", "alertdialog"}
-#: Names of what is no main text however much of it there is; the others may be those of a wrapper.
-NEVER_MAIN = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "comment", "comments", "complementary", "consent", "contentinfo", "cookie", "cookies", "disqus", "footer", "gdpr", "popup", "promo", "promotion", "related", "replies", "respond", "sponsor", "sponsored", "teaser"}
-#: What a class says about the page rather than about its element, and what may stand behind a name.
-ABOUT_PAGE = {"has", "hide", "is", "no", "not", "show", "with", "without"}
-BEHIND = {"area", "bar", "block", "body", "bottom", "box", "buttons", "container", "form", "inner", "item", "items", "left", "link", "links", "list", "post", "posts", "primary", "right", "secondary", "section", "slot", "top", "wrap", "wrapper"}
-#: Words of a text container that may be the main one.
-LARGE = 40
+BEHIND = {"area", "bar", "block", "body", "bottom", "box", "buttons", "container", "form", "inner", "item", "items", "left", "link", "links", "list", "main", "post", "posts", "primary", "right", "secondary", "section", "slot", "thread", "top", "wrap", "wrapper"}
+BEFORE = {"blog", "global", "main", "page", "post", "primary", "site", "top"}
+#: Words outside links from which a block is a long one.
+LONG = 12
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
 _STOP = re.compile("[\"'>]")
@@ -52,7 +62,24 @@ _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|
 _WORD = re.compile(r"[a-z0-9]+")
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.IGNORECASE)
 
-Piece = tuple[str, int, str, int, int]
+
+class Piece(NamedTuple):
+    """A tag, or text: its kind, words, text, block, the element whose text it is and the group element it stands in (-1: none)."""
+
+    kind: str
+    words: int
+    text: str
+    block: int
+    element: int
+    group: int = -1
+
+
+class Group(NamedTuple):
+    """An element of a group: which, the group element around it (-1: none), and whether it stands in an article."""
+
+    name: str
+    around: int
+    inside: bool
 
 
 def _tag_end(html: str, at: int) -> int:
@@ -66,65 +93,61 @@ def _tag_end(html: str, at: int) -> int:
     return stop.start() if stop else html.find(">", at)
 
 
-def aside_names(attributes: str) -> set[str]:
-    """The ASIDE_NAMES that a whole class, id or role is, that it ends in, or that it begins with before a word of BEHIND."""
+def _known(word: str) -> str | None:
+    """The group of a word, or of the name that it is joined from, as commentlist or siteheader."""
+    if word in GROUP_OF:
+        return GROUP_OF[word]
+    for name, group in GROUP_OF.items():
+        if len(name) > 3 and (word.startswith(name) and word[len(name) :] in BEHIND or word.endswith(name) and word[: -len(name)] in BEFORE):
+            return group
+    return None
+
+
+def groups_of(attributes: str) -> set[str]:
+    """The groups that a whole class, id or role names, that it ends in, or that it begins with before a word of BEHIND."""
     out = set()
     for m in _NAMES.finditer(attributes):
         for name in (m.group(1) or m.group(2) or m.group(3) or "").lower().split():
             parts = [x for x in _WORD.findall(name) if not x.isdigit()]
             if not parts or parts[0] in ABOUT_PAGE:
                 continue
-            if parts[-1] in ASIDE_NAMES or any(x in ASIDE_NAMES and y in BEHIND for x, y in zip(parts, parts[1:], strict=False)):
-                out.update(parts)
-    return out & ASIDE_NAMES
-
-
-def pieces(html: str) -> list[Piece]:
-    """(class, words, text, block, element) of the tags and texts of a page; a tag has no words and no text.
-
-    A form, an element that is an aside by a name a wrapper may have, or one whose tag is not always
-    closed, is none if no article or main stands outside and it holds more than half of the page's
-    words: they count half. An article or main within it ends its effect.
-    """
-    found, wrappers = _pieces(html, frozenset())
-    return _pieces(html, wrappers)[0] if wrappers else found
+            found = [_known(x) for x in parts]
+            if found[-1]:
+                out.add(found[-1])
+            out.update(g for g, behind in zip(found, parts[1:], strict=False) if g and behind in BEHIND)
+    return out
 
 
-def _pieces(html: str, wrappers: frozenset[int]) -> tuple[list[Piece], frozenset[int]]:
-    """The pieces if the elements that begin at ``wrappers`` are no asides, and which elements should be."""
+def pieces(html: str) -> tuple[list[Piece], list[Group], bool]:
+    """The tags and texts of a page, its group elements in the order in which they open, and whether an article stands in none of them."""
     out: list[Piece] = []
-    stack: list[tuple[str, int, int, int]] = []
-    places: list[tuple[str, int]] = [("", -1)]
-    halves = free_mains = all_words = 0
-    # of each open aside where it begins, or -1 if it is never main; words and articles of those that may be main
-    open_at: list[int] = []
-    held, inner_mains = Counter(), set()
+    groups: list[Group] = []
+    # name, group element or -1, whether an article; and the element whose text stands there
+    stack: list[tuple[str, int, bool]] = []
+    places: list[int] = [-1]
     block, at, size = 0, 0, len(html)
-    asides = mains = links = heads = 0
+    links = heads = 0
+    free = False
     lower = html.lower()
     one_main = bool(re.search(r"<(?:article|main)[\s>]", lower))
-    loose = {x for x in (*ASIDE, "header") if len(re.findall(rf"<{x}[\s>]", lower)) > lower.count(f"</{x}")}
+
+    def group_now() -> int:
+        return next((g for _, g, _ in reversed(stack) if g >= 0), -1)
 
     def text(raw: str) -> None:
-        nonlocal all_words
         if not raw or raw.isspace():
-            if raw and out and out[-1][3] == block and out[-1][2]:
-                out.append(("space", 0, " ", block, -1))
+            if raw and out and out[-1].block == block and out[-1].text:
+                out.append(Piece("space", 0, " ", block, -1, out[-1].group))
             return
         raw = unescape(raw)
-        n = len(raw.split())
-        if not links and -1 not in open_at:
-            all_words += n
-            for i in open_at:
-                held[i] += n
-        if halves and not mains:
-            n = max(n // 2, 1)
-        if asides:
-            # what is left out anyway counts as one tag, or it would cut a region in two
-            place, n = f"aside:{next(x for x, _ in reversed(places) if x)}", 0
-        else:
-            place = ("link" if links else "head" if heads else "text") + ("-main" if mains else "-beside" if one_main else "")
-        out.append((place, n, raw, block, places[-1][1]))
+        place = "link" if links else "head" if heads else "text"
+        where = "main" if any(m for *_, m in stack) else "beside" if one_main else ""
+        out.append(Piece(f"{place}-{where}" if where else place, len(raw.split()), raw, block, places[-1], group_now()))
+
+    def close() -> str:
+        name, *_ = stack.pop()
+        places.pop()
+        return name
 
     while at < size:
         start = html.find("<", at)
@@ -158,91 +181,150 @@ def _pieces(html: str, wrappers: frozenset[int]) -> tuple[list[Piece], frozenset
         if name not in INLINE:
             block += 1
         kind = f"/{name}" if closes else name
-        out.append((f"<{kind}" if name not in INLINE else "<inline", 0, "", block, -1))
+        out.append(Piece(f"<{kind}" if name not in INLINE else "<inline", 0, "", block, -1, group_now()))
         if name in VOID:
             if name == "br":
-                out.append(("space", 0, " ", block, -1))
+                out.append(Piece("space", 0, " ", block, -1, group_now()))
             continue
         if closes:
             if any(x[0] == name for x in stack):
                 while stack:
-                    gone = stack.pop()
-                    places.pop()
-                    asides, mains, halves = asides - gone[1], mains - gone[2], halves - gone[3]
-                    if gone[1] > 0:
-                        open_at.pop()
-                    if gone[0] == name:
+                    gone = close()
+                    links -= gone == "a"
+                    heads -= _heading(gone)
+                    if gone == name:
                         break
-                    links -= gone[0] == "a"
-                    heads -= len(gone[0]) == 2 and gone[0][0] == "h" and gone[0][1].isdigit()
-                links -= name == "a"
-                heads -= len(name) == 2 and name[0] == "h" and name[1].isdigit()
             continue
         if name == "p" and stack and stack[-1][0] == "p":
-            gone = stack.pop()
-            places.pop()
-            asides, mains, halves = asides - gone[1], mains - gone[2], halves - gone[3]
-            if gone[1] > 0:
-                open_at.pop()
+            close()
         if rest.endswith("/"):
             continue
-        may, half, words = name == "form" or name in loose, False, set()
-        aside = name in ASIDE or name in ("head", "title") or (name == "header" and not mains)
-        if rest and not aside and name not in ("body", "html") and name not in MAIN:
-            words, hidden = aside_names(rest), bool(_HIDDEN.search(rest))
-            aside = bool(words) and not (mains and words <= {"header"}) or hidden
-            may = not hidden and not words & NEVER_MAIN
-        if may and _HIDDEN.search(rest):
-            may = False
-        if aside and may and start in wrappers:
-            aside, half = False, True
+        inside = any(m for *_, m in stack)
+        named = groups_of(rest) if rest and name not in ("body", "html", "main") else set()
+        if name in MAIN:
+            named &= {"comments", "advert", "related"}
+        if inside:
+            # an article's own header is part of it
+            named -= {"top"}
+        if rest and _HIDDEN.search(rest):
+            named = {"hidden"}
+        if not named and name in TAGS and not (name == "header" and inside):
+            named = {TAGS[name]}
         # what may stay open must not swallow the rest of the page
-        if name in INLINE and name != "a" or name == "p" and not aside:
-            if not aside:
-                continue
+        if (name in INLINE and name != "a" or name == "p") and not named:
+            continue
         if name == "a":
             if links:
                 continue
             links += 1
-        if len(name) == 2 and name[0] == "h" and name[1].isdigit():
-            heads += 1
-        main = name in MAIN
-        if main and -1 not in open_at and not aside_names(rest):
-            free_mains += not open_at
-            inner_mains.update(open_at)
-        if aside:
-            open_at.append(start if may else -1)
-        stack.append((name, int(aside), int(main), int(half)))
-        outer = places[-1][1]
-        inner = name in INLINE or len(name) == 2 and name[0] == "h" and name[1].isdigit()
-        places.append((min(words) if aside and words else name if aside else "", outer if inner else -1 if name in ("html", "body") else start))
-        asides, mains, halves = asides + aside, mains + main, halves + half
-    if wrappers or free_mains:
-        return out, wrappers
-    large = {i for i, n in held.items() if n >= LARGE and 2 * n > all_words}
-    return out, frozenset(inner_mains or large)
+        heads += _heading(name)
+        group = -1
+        for g in sorted(named):
+            groups.append(Group(g, group if group >= 0 else group_now(), inside))
+            group = len(groups) - 1
+        free = free or name in MAIN and not named and group_now() < 0
+        stack.append((name, group, name in MAIN and "comments" not in named))
+        inner = name in INLINE or _heading(name)
+        places.append(places[-1] if inner else -1 if name in ("html", "body") else start)
+    return out, groups, free
+
+
+def _heading(name: str) -> bool:
+    return len(name) == 2 and name[0] == "h" and name[1].isdigit()
+
+
+def _kinds(found: list[Piece]) -> list[str]:
+    """The class of each piece: plain texts and links are of long or of short blocks, by the words beside links."""
+    words = Counter()
+    for p in found:
+        if p.kind.startswith("text"):
+            words[p.block] += p.words
+    long_ = {b for b, n in words.items() if n >= LONG}
+    out = []
+    for p in found:
+        name, mark, where = p.kind.partition("-")
+        if name == "text":
+            name = "long" if p.block in long_ else "short"
+        elif name == "link" and p.block in long_:
+            name = "inlink"
+        out.append(f"{name}{mark}{where}")
+    return out
+
+
+def _in_group(group: Group, kind: str, free: bool) -> str:
+    """The class of words in a group: with an article around the element, within it or neither, and with a free article elsewhere or none."""
+    name, _, where = kind.partition("-")
+    place = "in" if group.inside else "out" if where == "main" else ""
+    return f"{group.name}/{place if group.inside or not free else f'{place}beside'}/{name}"
+
+
+def left_out(found: list[Piece], groups: list[Group], free: bool, kinds: list[str], weights: dict[str, float]) -> list[bool]:
+    """Which group elements score below zero, or stand in one that does; the words of the others count for the element around them."""
+    words: list[Counter] = [Counter() for _ in groups]
+    for p, kind in zip(found, kinds, strict=True):
+        if p.group >= 0 and p.words:
+            words[p.group][kind] += p.words
+    out = [False] * len(groups)
+    for i in reversed(range(len(groups))):
+        score = sum(n * _group_weight(weights, _in_group(groups[i], kind, free)) for kind, n in words[i].items())
+        out[i] = score <= 0
+        if not out[i] and groups[i].around >= 0:
+            words[groups[i].around].update(words[i])
+    for i, g in enumerate(groups):
+        out[i] = out[i] or g.around >= 0 and out[g.around]
+    return out
+
+
+def _group_weight(weights: dict[str, float], kind: str) -> float:
+    name, _, place = kind.split("/")
+    return weights.get(kind, weights.get(f"{name}//{place}", -1.0))
+
+
+def _scored(html: str, weights: dict[str, float]) -> list[Piece]:
+    """The pieces of a page with their classes; what is left out is of the class of its group and has no words."""
+    found, groups, free = pieces(html)
+    kinds = _kinds(found)
+    out = left_out(found, groups, free, kinds, weights)
+    scored = []
+    for p, kind in zip(found, kinds, strict=True):
+        gone = p.group >= 0 and out[p.group]
+        scored.append(p._replace(kind=f"aside:{groups[p.group].name}" if gone and p.text.strip() else kind, words=0 if gone else p.words))
+    return scored
 
 
 def weights_from(labelled: Iterable[str]) -> dict[str, float]:
     """Log odds of each class of pieces to be main text, from labelled pages.
 
-    Words of the main text are written ``main`` there and all others ``other``. A text counts by
-    its words; a tag counts as main text if main text stands on both sides of it.
+    Words of the main text are written ``main`` there and all others ``other``. The weights of groups
+    come first: a group's words by their class. With these it is known what is left out, and the other
+    classes are counted: a text by its words; a tag, or what is left out, as main text if main text
+    stands on both sides of it.
     """
+    pages = list(labelled)
     inside, outside = Counter(), Counter()
-    for html in labelled:
-        found = pieces(html)
-        mains = [i for i, x in enumerate(found) if "main" in x[2]]
-        for i, (kind, words, raw, _, _) in enumerate(found):
-            is_main = "main" in raw if raw.strip() else bool(mains) and mains[0] < i < mains[-1]
-            (inside if is_main else outside)[kind] += words or 1
-            if kind.startswith("aside:"):
+    for html in pages:
+        found, groups, free = pieces(html)
+        for p, kind in zip(found, _kinds(found), strict=True):
+            if p.group >= 0 and p.words:
+                (inside if "main" in p.text else outside)[_in_group(groups[p.group], kind, free)] += p.words
+    out = _log_odds(inside, outside)
+    inside, outside = Counter(), Counter()
+    for html in pages:
+        found = _scored(html, out)
+        mains = [i for i, p in enumerate(found) if p.words and "main" in p.text]
+        for i, p in enumerate(found):
+            within = bool(mains) and mains[0] < i < mains[-1]
+            is_main = "main" in p.text if p.words else within
+            (inside if is_main else outside)[p.kind] += p.words or 1
+            if p.kind.startswith("aside:"):
                 (inside if is_main else outside)["aside"] += 1
-    total_in, total_out = sum(inside.values()), sum(outside.values())
-    weigh = lambda k: math.log((inside[k] + 0.5) / (total_in + 1)) - math.log((outside[k] + 0.5) / (total_out + 1))
-    found = {k: weigh(k) for k in inside.keys() | outside.keys()}
     # tags mark a border of the region: the larger part of their weight would be that of the words near them
-    return {k: (min(w, -0.1) / 2 if k[0] == "<" else w) for k, w in found.items() if k != "space"}
+    return out | {k: (min(w, -0.1) / 2 if k[0] == "<" else min(w, -0.1) if k.startswith("aside") else w) for k, w in _log_odds(inside, outside).items() if k != "space"}
+
+
+def _log_odds(inside: Counter, outside: Counter) -> dict[str, float]:
+    total_in, total_out = sum(inside.values()), sum(outside.values())
+    return {k: math.log((inside[k] + 0.5) / (total_in + 1)) - math.log((outside[k] + 0.5) / (total_out + 1)) for k in inside.keys() | outside.keys()}
 
 
 def labelled_pages() -> list[str]:
@@ -274,12 +356,65 @@ def labelled_pages() -> list[str]:
     ]
     wraps = [("<article>", "</article>"), ("<main>", "</main>"), ("<div>", "</div>"), ("<div class='content has-sidebar'><div>", "</div></div>")]
     out = []
+    page = lambda inner: f"<html><head><title>{other(6)}</title><script>x</script></head><body>{inner}</body></html>"
     for i, body in enumerate(bodies):
         for j, (head, end) in enumerate((h, e) for h in heads for e in ends):
             left, right = wraps[(i + j + j // 4) % len(wraps)]
-            page = f"{head}{left}{body}{right}{end}"
-            page = f"<form id='page'>{page}</form>" if (i + j) % 11 == 5 else page
-            out.append(f"<html><head><title>{other(6)}</title><script>x</script></head><body>{page}</body></html>")
+            inner = f"{head}{left}{body}{right}{end}"
+            out.append(page(f"<form id='page'>{inner}</form>" if (i + j) % 11 == 5 else inner))
+    # elements that are named as asides and hold the article, around an <article> or without one, or a long part of it
+    wrappers = ["class='social'", "id='share'", "class='share-box'", "class='menu'", "class='sidebar'", "class='widget'", "class='header'", "class='toolbar'", "role='complementary'"]
+    for i, name in enumerate(wrappers):
+        body, head, end = bodies[i % 3], heads[i % 4], ends[(i + 1) % 4]
+        out.append(page(f"{head}<div {name}>{body}</div>{end}"))
+        out.append(page(f"{head}<div {name}><article>{body}</article></div>{end}"))
+        out.append(page(f"{head}<article><div {name}>{body}</div></article>{end}"))
+        out.append(page(f"{head}<article>{body}<section {name}><p>{line(34)}</p><p>{line(21)}</p></section><p>{line(15)}</p></article>{end}"))
+    for tag in ("nav", "aside", "form"):
+        out.append(page(f"<{tag}><div>{bodies[1]}</div></{tag}><div id='footer'><p>{other(11)}</p></div>"))
+    # the same names beside an article: teasers, some of them articles of their own
+    for i, name in enumerate([*wrappers, "class='related-posts'", "id='ad-slot'", "class='widget-area'", "class='site-footer'", "class='popup'", "class='comment-list'"]):
+        body, head, end = bodies[i % 3], heads[i % 4], ends[(i + 2) % 4]
+        for left, right in (("<article>", "</article>"), ("<main>", "</main>")):
+            out.append(page(f"{head}{left}{body}{right}<div {name}><article><h3>{other(4)}</h3><p>{other(24)}</p></article></div>{end}"))
+            out.append(page(f"{head}{left}{body}{right}<div {name}><p>{other(19)}</p><p>{other(31)}</p></div>{end}"))
+            out.append(page(f"<div {name}><p>{other(16)}</p></div>{left}{body}{right}{end}"))
+    for tag in ("nav", "aside", "form", "dialog", "footer"):
+        out.append(page(f"<{tag}><article>{bodies[1]}</article></{tag}>{ends[0]}"))
+    # pages that are a form to fill in, and articles with one below
+    fields = lambda n: "".join(f"<div><label>{other(1 + i % 4)}</label><input></div><p>{other(2 + i % 5)}</p>" for i in range(n))
+    for i in range(12):
+        out.append(page(f"{heads[i % 4]}<form>{fields(4 + i)}<button>{other(1)}</button></form>{ends[i % 4]}"))
+        out.append(page(f"{heads[i % 4]}{wraps[i % 4][0]}{bodies[1 + i % 3]}{wraps[i % 4][1]}<form>{fields(3 + i)}</form>{ends[i % 4]}"))
+    # rows of buttons, by every name and place
+    for i in range(24):
+        name = ["class='share'", "class='social-links'", "id='sharing'", "class='toolbar'", "class='widget'", "class='menu'"][i % 6]
+        row = f"<div {name}>{other(1 + i % 3)} " + " ".join(f"<a href='/{k}'>{other(1)}</a>" for k in range(2 + i % 5)) + "</div>"
+        left, right = wraps[i % 4]
+        inner = f"{left}{row}{bodies[i % 3]}{row}{right}" if i % 2 else f"{row}{left}{bodies[i % 3]}{right}{row}"
+        out.append(page(f"{heads[i % 4]}{inner}{ends[i % 4]}"))
+    # asides with long texts: comments however they are marked, notices, adverts, teasers, sign-ups, footers, hidden parts
+    talk = [
+        f"<ol id='commentlist'><li><p>{other(40)}</p></li><li><p>{other(9)}</p><p>{other(55)}</p></li></ol>",
+        f"<section class='comments'><article class='comment'><header>{other(3)}</header><p>{other(33)}</p></article><article class='comment'><p>{other(48)}</p></article></section>",
+        f"<div id='disqus_thread'><p>{other(28)}</p></div><div id='respond'><form><p>{other(14)}</p><textarea></textarea></form></div>",
+    ]
+    asides = [
+        f"<div class='cookie-consent'><p>{other(38)}</p><button>{other(2)}</button></div>", f"<div id='gdpr'><p>{other(60)}</p></div>", f"<div class='alert'><p>{other(16)}</p></div>", f"<div class='modal'><h2>{other(3)}</h2><p>{other(22)}</p></div>",
+        f"<div class='advert'><p>{other(30)}</p></div>", f"<aside class='promo'><h4>{other(4)}</h4><p>{other(24)}</p></aside>", f"<div class='sponsored'><p>{other(45)}</p></div>",
+        f"<div class='related'><h3>{other(2)}</h3><div><a href='/a'>{other(6)}</a><p>{other(18)}</p></div><div><a href='/b'>{other(7)}</a><p>{other(20)}</p></div></div>",
+        f"<form class='newsletter'><p>{other(20)}</p><input></form>", f"<div class='subscribe'><p>{other(26)}</p></div>", f"<div class='search'><p>{other(13)}</p></div>",
+        f"<div hidden><p>{other(30)}</p></div>", f"<div style='display:none'><p>{other(44)}</p></div>",
+        f"<form><p>{other(5)}</p><label>{other(2)}</label><select><option>{other(3)}</option></select></form>", f"<div class='share'>{other(2)} <a href='/s'>{other(1)}</a> <a href='/t'>{other(1)}</a></div>",
+        f"<nav><a href='/p'>{other(3)}</a> {other(1)} <a href='/n'>{other(3)}</a></nav>", f"<div class='sidebar'><h3>{other(2)}</h3><p>{other(8)}</p></div>", f"<dialog><p>{other(6)}</p><button>{other(1)}</button></dialog>",
+    ]
+    for i, (aside, body) in enumerate((a, b) for a in talk * 3 + asides for b in (bodies[1], bodies[2])):
+        head, long_end = heads[i % 4], f"<footer><p>{other(40)}</p><p>{other(17)}</p></footer>"
+        left, right = wraps[i % len(wraps)]
+        out.append(page(f"{head}{left}{body}{aside}{right}{long_end}"))
+        out.append(page(f"{head}{left}{body}{right}{aside}{long_end}"))
+        half = body.rindex("<p>")
+        out.append(page(f"{head}{left}{body[:half]}{aside}{body[half:]}{right}{long_end}"))
     return out
 
 
@@ -287,33 +422,36 @@ def _weight(weights: dict[str, float], kind: str) -> float:
     return weights.get(kind, weights.get("aside", -1.0) if kind.startswith("aside:") else -0.1 if kind[0] == "<" else 0.0)
 
 
-def best_region(found: list[Piece], weights: dict[str, float]) -> tuple[int, int]:
-    """Where the contiguous pieces with the largest sum begin and end; of equal sums the first region. (0, 0) if none is above zero."""
+def best_region(scores: list[float]) -> tuple[int, int]:
+    """Where the contiguous scores with the largest sum begin and end; of equal sums the first region. (0, 0) if none is above zero."""
     best, span, total, start = 0.0, (0, 0), 0.0, 0
-    for i, (kind, words, *_) in enumerate(found):
-        total += _weight(weights, kind) * (words if words else 1)
+    for i, score in enumerate(scores):
+        total += score
         if total <= 0:
             total, start = 0.0, i + 1
         elif total > best:
             best, span = total, (start, i + 1)
-    # the element that holds most words of the region may hold more text, as behind a long list of links
+    return span
+
+
+def _with_home(found: list[Piece], scores: list[float], span: tuple[int, int]) -> tuple[int, int]:
+    """The region, grown to all texts above zero of the element that holds most of its words, as behind a long list of links."""
     held = Counter()
-    for _, words, _, _, element in found[slice(*span)]:
-        held[element] += words
+    for p in found[slice(*span)]:
+        held[p.element] += p.words
     home = max(held, key=held.get, default=-1)
-    if home >= 0:
-        more = [i for i, x in enumerate(found) if x[4] == home and x[1] and _weight(weights, x[0]) > 0]
-        span = (min(span[0], *more), max(span[1], more[-1] + 1)) if more else span
-    return span
+    more = [i for i, p in enumerate(found) if p.element == home and p.words and scores[i] > 0] if home >= 0 else []
+    return (min(span[0], *more), max(span[1], more[-1] + 1)) if more else span
 
 
 def main_text(html: str | None, weights: dict[str, float]) -> str:
     """The blocks of the best region, joined by newlines; empty if no region has a positive score."""
-    found = pieces(html) if html else []
+    found = _scored(html, weights) if html else []
+    scores = [_weight(weights, p.kind) * (p.words or 1) for p in found]
     blocks: dict[int, list[str]] = {}
-    for kind, _, raw, block, _ in found[slice(*best_region(found, weights))]:
-        if raw and not (kind.startswith("aside:") and _weight(weights, kind) < 0):
-            blocks.setdefault(block, []).append(raw)
+    for p in found[slice(*_with_home(found, scores, best_region(scores)))]:
+        if p.text and not p.kind.startswith("aside:"):
+            blocks.setdefault(p.block, []).append(p.text)
     lines = [" ".join("".join(x).split()) for x in blocks.values()]
     return "\n".join(x for x in lines if x)
 

@@ -423,7 +423,7 @@ def test_pipeline_and_queries(spark):
     import corpus_pipeline
 
     names = [n for n in __spark_entry__.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     folder = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     docs = docs.withColumn("_id", F.lit(1)).withColumn("score", F.lit("x"))
