@@ -180,3 +180,16 @@ def gaps(groups: DataFrame, metrics: list[str], threshold: float = 0.1) -> DataF
     )
     gap = F.when(F.col("measured") > 1, F.col("gap"))
     return out.select("metric", gap.alias("gap"), "lowest", "highest", F.coalesce(gap > threshold, F.lit(False)).alias("exceeds"))
+
+
+def widest_first(found: DataFrame) -> DataFrame:
+    """``gaps`` with ``place``: the widest first, those that tie by name, and unmeasured ones last. A row for each metric."""
+    order = Window.partitionBy(F.lit(0)).orderBy(F.desc_nulls_last("gap"), "metric")
+    return found.withColumn("place", F.row_number().over(order).cast("long"))
+
+
+def rankable(board: DataFrame, names: list[str]) -> DataFrame:
+    """(metric, n): the metrics that any model has, and how many models have them."""
+    counts = board.agg(*[F.count(c).alias(c) for c in names])
+    rows = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("n")) for c in names])
+    return counts.select(F.explode(rows).alias("r")).select("r.*").where("n > 0")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from graincart.functions.text import option_slug
 from graincart.operators.labeling import EXCLUDED, PROVENANCE, ROW_ID
+from graincart.operators.prep import split
 
 ACTIONS = ("accept", "override", "exclude")
 _ENTRY = "struct<origin: string, confidence: double, evaluator_confidence: double, note: string>"
@@ -120,12 +121,22 @@ def seed_of(settings: dict) -> int:
     return zlib.crc32(json.dumps(settings, sort_keys=True, default=str).encode()) & 0x7FFFFFFF
 
 
-def validation_rows(train: DataFrame, target: str, share: float, row_id: str = ROW_ID) -> DataFrame:
-    """``train`` with ``validation``: about ``share`` of each class, by a hash of the row's id, and nothing of a class of one row."""
-    sizes = train.groupBy(F.col(target).alias("_class")).agg(F.count("*").alias("_rows"))
-    draw = F.crc32(F.concat(F.lit("validation-"), F.col(row_id).cast("string"))) / 2.0**32
-    out = train.join(F.broadcast(sizes) if sizes.limit(1001).count() <= 1000 else sizes, F.col(target).eqNullSafe(F.col("_class")), "left")
-    return out.withColumn("validation", (F.col("_rows") > 1) & (draw < share)).drop("_class", "_rows")
+def validation_rows(train: DataFrame, target: str, share: float, seed: int = 0, row_id: str = ROW_ID) -> DataFrame:
+    """``train`` with ``validation``: of each class the rounded ``share``, one row at least and one fewer than all at most, and nothing of a class of one row."""
+    out = split(train, [row_id], share, seed, target)
+    return out.withColumn("validation", F.col("split") == "test").drop("split")
+
+
+def override_problem(kind: Column, value: Column, options: list[str], levels: tuple[float, float]) -> Column:
+    """Why a new answer cannot be one to a question of this kind (binary, choice, score), or null."""
+    said = F.trim(value)
+    number = said.try_cast("double")
+    return (
+        F.when(F.coalesce(said, F.lit("")) == "", "no answer")
+        .when((kind == "binary") & ~F.lower(said).isin("true", "false"), "not true or false")
+        .when((kind == "choice") & ~said.isin(*options), "no option")
+        .when((kind == "score") & ~F.coalesce(number.between(*levels), F.lit(False)), "no level")
+    )
 
 
 def positive_class(df: DataFrame, target: str) -> DataFrame:

@@ -126,7 +126,6 @@ def fr_gap(spark, sf_dir):
     return metrics.gaps(agg_fair_cls(spark, sf_dir), ["accuracy", "selection_rate", "tpr", "fpr"])
 
 
-query("win_gaps")(fr_gap)
 
 
 @query("fr_report", f"{_GROUPS.replace('FROM z', 'FROM z WHERE doc_id % 25 = 0')}, d AS (SELECT lang AS l, count(*) AS rows FROM documents GROUP BY 1), r AS (SELECT l, rows, coalesce(n, 0) AS n, accuracy, tpr FROM d LEFT JOIN g ON l IS NOT DISTINCT FROM \"group\") SELECT l AS \"group\", rows, n, CASE WHEN n = 0 THEN 'no held-out rows' WHEN n < 10 THEN 'fewer than 10 held-out rows' END AS reason, CASE WHEN n >= 10 THEN accuracy END AS accuracy, CASE WHEN n >= 10 THEN tpr END AS tpr FROM r")

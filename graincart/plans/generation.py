@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from graincart.functions import shown
 from graincart.operators import cards, generate, labeling
 from graincart.operators.schema import ColumnSpec
 from graincart.operators.validation import validated
@@ -62,12 +63,12 @@ def fn_redact_secret(spark, sf_dir):
 @query("fe_interpret", "SELECT o_orderkey, CASE WHEN x < 0.01 THEN 'strong' WHEN x < 0.05 THEN 'some' ELSE 'none' END AS evidence FROM (SELECT o_orderkey, o_orderkey % 100 / 1000.0 AS x FROM orders)")
 def fe_interpret(spark, sf_dir):
     x = F.col("o_orderkey") % 100 / 1000.0
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.when(x < 0.01, "strong").when(x < 0.05, "some").otherwise("none").alias("evidence"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", shown.evidence(x).alias("evidence"))
 
 
 @query("fe_progress", "SELECT o_orderkey, least(100, round(100.0 * o_orderkey / 10007))::BIGINT AS percent FROM orders")
 def fe_progress(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.least(F.lit(100), F.round(100.0 * F.col("o_orderkey") / 10007)).cast("long").alias("percent"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", shown.percent_done(F.col("o_orderkey"), F.lit(10007)).alias("percent"))
 
 
 @query("gen_rows")

@@ -205,12 +205,6 @@ def lab_apply(spark, sf_dir):
     return out.select(F.col("__row_id__").alias("row"), "spam", F.col("spam__confidence").alias("confidence"), labeling.origin_bucket(F.col("__provenance__")).alias("bucket"))
 
 
-@query("smp_val")
-def smp_val(spark, sf_dir):
-    df = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("__row_id__"), "lang")
-    return review.validation_rows(df, "lang", 0.2).groupBy("lang", "validation").agg(F.count("*").alias("n"))
-
-
 @query("fr_positive", "SELECT max(lang) AS positive FROM documents")
 def fr_positive(spark, sf_dir):
     return review.positive_class(table(spark, sf_dir, "documents"), "lang")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from graincart import tables
 from graincart.operators import profile
 from graincart.operators.quantiles import quantiles
 from graincart.plans.registry import query, table
@@ -148,3 +151,27 @@ def fn_epoch(spark, sf_dir):
     from graincart.operators.prep import epoch_seconds
 
     return table(spark, sf_dir, "events").select("event_id", epoch_seconds(F.col("ts")).alias("seconds"))
+
+
+def _through_file(df, form):
+    """``df`` written in a format and read back."""
+    path = f"{tables.shared_folder(df.sparkSession)}/graincart-{uuid.uuid4().hex}.{form}"
+    if form == "csv":
+        readers.export(df, path, "csv")
+    else:
+        df.write.json(path)
+    return readers.read_table(df.sparkSession, path)
+
+
+@query("src_csv", "SELECT * FROM customer")
+def src_csv(spark, sf_dir):
+    return _through_file(table(spark, sf_dir, "customer"), "csv").withColumn("c_nationkey", F.col("c_nationkey").cast("int"))
+
+
+@query("src_jsonl", "SELECT c_nationkey, c_name, c_custkey, c_acctbal FROM customer")
+def src_jsonl(spark, sf_dir):
+    """Columns come back in the order of the file, not in that of their names."""
+    back = _through_file(table(spark, sf_dir, "customer").select("c_nationkey", "c_name", "c_custkey", "c_acctbal"), "jsonl")
+    if back.columns != ["c_nationkey", "c_name", "c_custkey", "c_acctbal"]:
+        raise ValueError(f"columns are {back.columns}")
+    return back.withColumn("c_nationkey", F.col("c_nationkey").cast("int"))
