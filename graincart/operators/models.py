@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import math
+import random
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
@@ -16,6 +18,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graincart import tables
 from graincart.operators import neighbours
 from graincart.operators.kernel import ERROR, RandomFourier, SupportVectorRegression
 from graincart.operators.neighbours import Neighbours
@@ -165,6 +168,42 @@ def tune(df: DataFrame, name: str, task: str, inputs: list[str], grid: dict[str,
     return found
 
 
+def search(df: DataFrame, name: str, task: str, inputs: list[str], target: str, grid: dict[str, list], score: Callable[[DataFrame], float], key: list[str], folds: int = 3, most: int | None = None, seed: int = 0, fixed: dict | None = None) -> tuple[dict, list[tuple[dict, float]]]:
+    """The options of ``grid`` with the best mean ``score`` (more is better) over folds, and the score of each setting tried.
+
+    Any model of the registry may be searched. Each class is dealt evenly to the folds, and every fold
+    is predicted by a model of the others. With ``most`` only so many settings are tried, drawn by
+    ``seed``. Ties go to the setting that comes first in the grid. Raises ValueError if there are fewer
+    than two rows for each fold, or if no setting gives a finite score.
+    """
+    rows = df.count()
+    if rows < 2 * folds:
+        raise ValueError(f"{rows} rows are too few for {folds} folds")
+    settings = [dict(zip(grid, values, strict=True)) for values in itertools.product(*grid.values())]
+    if most is not None and most < len(settings):
+        settings = [settings[i] for i in sorted(random.Random(seed).sample(range(len(settings)), most))]
+    dealt = places(df, f"fold-{seed}", key, [target] if task == "classification" else None)
+    dealt = tables.written(dealt.withColumn("_fold", (F.col("_at") % folds).cast("int")).drop("_at"))
+    told = []
+    try:
+        for o in settings:
+            found = []
+            for fold in range(folds):
+                parted = dealt.withColumn("_split", F.when(F.col("_fold") == fold, "test").otherwise("train"))
+                try:
+                    model = fit(parted, name, task, inputs, target, "_split", **((fixed or {}) | o))
+                    found.append(float(score(predict(model, parted.where("_split = 'test'"), inputs))))
+                except Exception:  # noqa: BLE001  a setting that cannot be fitted is none of the best
+                    found.append(math.nan)
+            told.append((o, sum(found) / len(found)))
+    finally:
+        tables.drop(dealt)
+    finite = [(o, x) for o, x in told if math.isfinite(x)]
+    if not finite:
+        raise ValueError("no setting has a finite score")
+    return max(finite, key=lambda t: t[1])[0], told
+
+
 def permutation_importance(df: DataFrame, score: Callable[[DataFrame], float], columns: list[str], key: str, repeats: int = 3) -> dict[str, float]:
     """The mean loss of ``score`` when one column's values move to other rows, by a join of two orders of the rows."""
     base, out = score(df), {}

@@ -14,6 +14,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graincart import tables
 from graincart.operators import checks, metrics, models, prep
 from graincart.operators.cards import without_secret_values
 from graincart.operators.profile import kinds
@@ -28,7 +29,7 @@ MOST_CATEGORIES = 1000
 TERMS, LEAST_ROWS = 2000, 1
 #: What ranks models, and whether more of it is better.
 RANKED_BY = {"classification": ("accuracy", True), "regression": ("rmse", False)}
-_RESULT = "model string, status string, error string, metrics map<string, double>"
+_RESULT = "model string, status string, error string, metrics map<string, double>, options string"
 
 
 class NotTrainable(ValueError):
@@ -254,34 +255,56 @@ def findings(s: Setup, spec: Spec | None = None) -> DataFrame:
     return spark.createDataFrame(out, checks.FINDINGS)
 
 
-def run(s: Setup, names: Iterable[str], path: str | None = None, options: dict[str, dict] | None = None) -> DataFrame:
-    """(model, status, error, metrics, rank, standing): models of a setup, ranked by the held-out rows.
+def run(s: Setup, names: Iterable[str], path: str | None = None, options: dict[str, dict] | None = None, grids: dict[str, dict[str, list]] | None = None, folds: int = 3, most: int | None = None, seed: int = 0) -> DataFrame:
+    """(model, status, error, metrics, options, rank, standing): models of a setup, ranked by the held-out rows.
 
-    A model that fails is told with its error and the others go on. With ``path`` each result is
-    written as it comes, and a run that starts again only does what has no result that is ok.
+    A model with a grid of options is tuned on the training rows first (``models.search``), and what it
+    was fitted with is told in ``options`` as JSON. Models with probabilities are also measured by
+    auc_macro and average_precision_macro. A model that fails is told with its error and the others
+    go on. With ``path`` the split's digest, the fitted features and each result are written as they
+    come; a run that starts again reads them, only does what has no result that is ok, and raises
+    NotTrainable if its rows are split otherwise.
     """
     spark = s.rows.sparkSession
-    spec, _ = fit_spec(s.rows.where("split = 'train'"), s.features)
+    spec = _kept_spec(s, path)
     if not spec.features:
         raise NotTrainable("no features that a model takes")
-    found = [tuple(r) for r in _results(spark, path).where("status = 'ok'").collect()] if path else []
+    found = [tuple(r) for r in _results(spark, f"{path}/results").where("status = 'ok'").collect()] if path else []
     done = {r[0] for r in found}
-    rows = spec.encoded(s.rows, [*s.key, s.target, "split"]).persist()
+    rows = tables.written(spec.encoded(s.rows, [*s.key, s.target, "split"]))
     try:
         for name, problem in plan(s, names).items():
             if name in done:
                 continue
-            row = (name, "failed", problem, None) if problem else _one(s, spec, rows, name, (options or {}).get(name, {}))
+            row = (name, "failed", problem, None, None) if problem else _one(s, spec, rows, name, (options or {}).get(name, {}), (grids or {}).get(name), folds, most, seed)
             found.append(row)
             if path:
-                spark.createDataFrame([row], _RESULT).write.mode("append").parquet(path)
+                spark.createDataFrame([row], _RESULT).write.mode("append").parquet(f"{path}/results")
     finally:
-        rows.unpersist()
+        tables.drop(rows)
     by, more = RANKED_BY[s.task]
     told = spark.createDataFrame(found, _RESULT).withColumn(by, F.col("metrics")[by])
     return metrics.leaderboard(told, by, more).drop(by)
 
 
+def _kept_spec(s: Setup, path: str | None) -> Spec:
+    """The features fitted on the training rows; with a path those of its first run, whose split must be the same."""
+    spark, train = s.rows.sparkSession, s.rows.where("split = 'train'")
+    if not path:
+        return fit_spec(train, s.features)[0]
+    try:
+        told = spark.read.parquet(f"{path}/split")
+        features = spark.read.parquet(f"{path}/features").first()["features"]
+    except AnalysisException:
+        spec = fit_spec(train, s.features)[0]
+        spark.createDataFrame([(spec.to_json(),)], "features string").write.mode("overwrite").parquet(f"{path}/features")
+        split_digest(s.rows, s.key).write.mode("overwrite").parquet(f"{path}/split")
+        return spec
+    if not same_split(s.rows, told, s.key):
+        raise NotTrainable("the results at this path are of rows that were split otherwise")
+    return Spec.from_json(features)
+
+
 def _results(spark: SparkSession, path: str) -> DataFrame:
     try:
         return spark.read.schema(_RESULT).parquet(path)
@@ -289,18 +312,34 @@ def _results(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], _RESULT)
 
 
-def _one(s: Setup, spec: Spec, rows: DataFrame, name: str, options: dict) -> tuple:
+def _one(s: Setup, spec: Spec, rows: DataFrame, name: str, options: dict, grid: dict[str, list] | None, folds: int, most: int | None, seed: int) -> tuple:
     try:
+        if grid:
+            by, more = RANKED_BY[s.task]
+            score = lambda scored: held_out_metrics(s, scored)[by] * (1 if more else -1)
+            best, _ = models.search(rows.where("split = 'train'").drop("split"), name, s.task, spec.inputs, s.target, grid, score, [*s.key], folds, most, seed, options)
+            options = options | best
         model = models.fit(rows, name, s.task, spec.inputs, s.target, **options)
-        scored = models.predict(model, rows.where("split = 'test'"), spec.inputs)
-        if s.task == "classification":
-            scored = metrics.classification(scored.withColumn(s.target, F.col(s.target).cast("string")), s.target, "predicted")
-        else:
-            scored = metrics.regression(scored, s.target, "predicted")
-        values = scored.first().asDict()
+        values = held_out_metrics(s, models.predict(model, rows.where("split = 'test'"), spec.inputs))
     except Exception as e:  # whatever a model's library raises must not end the run
-        return name, "failed", f"{type(e).__name__}: {e}"[:2000], None
-    return name, "ok", None, {k: float(v) for k, v in values.items() if v is not None and not isinstance(v, str)}
+        return name, "failed", f"{type(e).__name__}: {e}"[:2000], None, json.dumps(options, sort_keys=True)
+    return name, "ok", None, values, json.dumps(options, sort_keys=True)
+
+
+def held_out_metrics(s: Setup, scored: DataFrame) -> dict[str, float]:
+    """The metrics of predicted rows that have a value, those of ranking too if there are probabilities."""
+    if s.task == "regression":
+        values = metrics.regression(scored, s.target, "predicted").first().asDict()
+    else:
+        scored = scored.withColumn(s.target, F.col(s.target).cast("string"))
+        values = metrics.classification(scored, s.target, "predicted").first().asDict()
+        chances = {c.removeprefix("probability_"): F.col(f"`{c}`") for c in scored.columns if c.startswith("probability_")}
+        if chances:
+            # of two classes the last is the positive one
+            chances = dict([[*chances.items()][-1]]) if len(chances) == 2 else chances
+            told = metrics.macro(metrics.one_vs_rest(scored, s.target, chances)).first().asDict()
+            values |= {c: told[c] for c in ("auc_macro", "average_precision_macro")}
+    return {k: float(v) for k, v in values.items() if v is not None and not isinstance(v, str)}
 
 
 def split_digest(rows: DataFrame, key: Iterable[str]) -> DataFrame:
