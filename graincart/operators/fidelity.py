@@ -174,6 +174,20 @@ def correlation_drift(df: DataFrame, columns: list[str], is_sample: Column) -> D
     return df.agg((F.greatest(*gaps) if len(gaps) > 1 else gaps[0]).alias("drift"))
 
 
+def correlation_matrices(df: DataFrame, columns: list[str], is_sample: Column) -> DataFrame:
+    """(a, b, sample, made): each pair's correlation on both sides, from one aggregation; null where a side does not vary."""
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    cell = lambda a, b, side: correlation(F.when(side, F.col(a)), F.when(side, F.col(b)))
+    rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), cell(a, b, is_sample).alias("sample"), cell(a, b, ~is_sample).alias("made")) for a, b in pairs])
+    return df.agg(rows.alias("r")).select(F.explode("r").alias("r")).select("r.*")
+
+
+def cumulative_shares(df: DataFrame, column: str) -> DataFrame:
+    """(value, share): the share of rows with this value or a smaller one; nulls are left out."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    return running_sums(counts, "value", {"upto": "n"}, totals=True).select("value", (F.col("upto") / F.col("total_upto")).alias("share"))
+
+
 def near_copies(made: DataFrame, sample: DataFrame, key: list[str], numeric: list[str], categorical: list[str], threshold: float) -> DataFrame:
     """The rows of ``made`` that lie within ``threshold`` of a row of ``sample``, with the least distance.
 

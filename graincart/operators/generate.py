@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -21,7 +22,7 @@ from graincart import tables
 from graincart.operators import pool, synth
 from graincart.operators.profile import kinds
 from graincart.operators.running import running_sums
-from graincart.operators.schema import ColumnSpec
+from graincart.operators.schema import KINDS, ColumnSpec, Question
 from graincart.operators.validation import validated
 
 #: Rows of a request, texts of one, and how often a reply that cannot be used is asked for again.
@@ -74,17 +75,80 @@ def specs_of(df: DataFrame, columns: list[str], most: int = 100) -> list[ColumnS
     return out
 
 
-def prompt_for(specs: list[ColumnSpec], n: int, batch: int, trouble: str = "") -> str:
+_TYPES = {"integer": "integer", "number": "number", "bool": "boolean"}
+
+
+def reply_schema(specs: list[ColumnSpec], n: int) -> dict:
+    """The JSON schema of a reply: ``rows``, at most ``n`` objects with all columns, each of its type, range or categories."""
+    columns = {}
+    for s in specs:
+        told: dict = {"type": _TYPES.get(s.kind, "string")}
+        told |= {"minimum": s.low} if s.low is not None else {}
+        told |= {"maximum": s.high} if s.high is not None else {}
+        told |= {"enum": [*s.categories]} if s.kind == "categorical" else {"format": "date-time"} if s.kind == "datetime" else {}
+        columns[s.name] = told
+    row = {"type": "object", "properties": columns, "required": [s.name for s in specs], "additionalProperties": False}
+    return {"type": "object", "properties": {"rows": {"type": "array", "maxItems": n, "items": row}}, "required": ["rows"]}
+
+
+def prompt_for(specs: list[ColumnSpec], n: int, batch: int, trouble: str = "", description: str = "", shares: dict[str, dict[str, float]] | None = None) -> str:
+    """What the generator is asked for: columns, the schema of the reply, and where they are wanted the shares of values."""
     columns = [{"name": s.name, "type": s.kind, "min": s.low, "max": s.high, "categories": list(s.categories)} for s in specs]
-    ask = f"Write {n} rows as a JSON list of objects with these columns: {json.dumps(columns)}. Batch {batch}."
+    ask = f"Write {n} rows as a JSON list of objects with these columns: {json.dumps(columns)}. Batch {batch}. They must fit this schema: {json.dumps(reply_schema(specs, n))}."
+    if description:
+        ask += f" The rows are about: {description}."
+    for column, wanted in (shares or {}).items():
+        ask += f" Of the values of {column}, " + ", ".join(f"{share:.0%} should be {value}" for value, share in wanted.items()) + "."
     return f"{ask} The last reply could not be used: {trouble}" if trouble else ask
 
 
+def suggest_specs(generator: Callable[[str], str], description: str, most: int = 20, retries: int = RETRIES) -> list[ColumnSpec]:
+    """Columns that a generator suggests for a description. What cannot be a column is left out; ValueError if nothing is left."""
+    kinds_ = ", ".join(KINDS)
+    ask = f"Suggest up to {most} columns of a table about: {description}. Reply as a JSON list of objects with name, type (one of {kinds_}), and where they make sense min, max and categories."
+
+    def one(prompt: str) -> list[ColumnSpec]:
+        out: dict[str, ColumnSpec] = {}
+        for told in (rows_of(parse_reply(generator(prompt))) or [])[:most]:
+            name = re.sub(r"[^a-z0-9]+", "_", str(told.get("name") or "").lower()).strip("_")
+            try:
+                low, high = (float(told[c]) if told.get(c) is not None else None for c in ("min", "max"))
+                spec = ColumnSpec(name, str(told.get("type")), low, high, tuple(str(c) for c in told.get("categories") or ()))
+            except (TypeError, ValueError):
+                continue
+            if name and name not in out:
+                out[name] = spec
+        if not out:
+            raise ValueError("no columns")
+        return [*out.values()]
+
+    found = pool.called(one, ask, retries)
+    if found.error:
+        raise ValueError(f"the generator suggests no columns: {found.error}")
+    return found.value
+
+
+def draft_question(generator: Callable[[str], str], description: str, retries: int = RETRIES) -> tuple[Question, str]:
+    """A question for the evaluator, and its wording, that a generator drafts from a description; ValueError if no draft is one."""
+    ask = f"Draft one question about a row for: {description}. Reply as a JSON object with name (snake case), kind (binary, choice or score), text, and for a choice or score options."
+
+    def one(prompt: str) -> tuple[Question, str]:
+        told = parse_reply(generator(prompt))
+        if not isinstance(told, dict):
+            raise ValueError("no object")
+        return Question(str(told.get("name")), str(told.get("kind")), tuple(str(o) for o in told.get("options") or ())), str(told.get("text") or "")
+
+    found = pool.called(one, ask, retries)
+    if found.error:
+        raise ValueError(f"the generator drafts no question: {found.error}")
+    return found.value
+
+
 def fake_generator(prompt: str) -> str:
     """A stand-in that draws values from a hash of the prompt."""
     head = prompt.split(" The last reply", 1)[0]
     n = int(head.split(" ", 2)[1])
-    columns = json.loads(head[head.index("[{") : head.rindex("]") + 1])
+    columns = json.JSONDecoder().raw_decode(head, head.index("[{"))[0]
     draw = lambda *key: int.from_bytes(hashlib.sha256("::".join(map(str, (head, *key))).encode()).digest()[:8], "big") / 2**64
 
     def value(c: dict, i: int):

@@ -65,6 +65,17 @@ def regression(df: DataFrame, truth: str, pred: str) -> DataFrame:
     return out.join(F.broadcast(middle), F.lit(True), "left").select("mae", "rmse", "median_ae", "explained_variance", "max_error", "r2", "residual_mean")
 
 
+def residuals(df: DataFrame, truth: str, pred: Column) -> DataFrame:
+    """``df`` with ``residual``, truth less prediction; null where either is missing."""
+    return df.withColumn("residual", F.col(truth).cast("double") - pred.cast("double"))
+
+
+def residual_facts(df: DataFrame, truth: str, pred: Column) -> DataFrame:
+    """One row: n, mean, deviation and mean size of the residuals, and their least and largest."""
+    r = F.col("residual")
+    return residuals(df, truth, pred).agg(F.count(r).alias("n"), F.avg(r).alias("mean"), F.stddev_pop(r).alias("std"), F.avg(F.abs(r)).alias("mae"), F.min(r).alias("least"), F.max(r).alias("largest"))
+
+
 def _cumulated(df: DataFrame, truth: Column, score: str, by: tuple[str, ...] = ()) -> DataFrame:
     """A row for each score of a group, from high to low: positives and others there (p, q), up to there (tp, fp) and in all (np, nq)."""
     each = df.groupBy(*by, F.col(score).alias("score")).agg(F.count_if(truth).alias("p"), F.count_if(~truth).alias("q"))

@@ -114,6 +114,16 @@ def encoder(df: DataFrame, target: str):
     return StringIndexer(inputCol=target, outputCol=LABEL, stringOrderType="alphabetAsc", handleInvalid="error").fit(df)
 
 
+def numeric_target(df: DataFrame, target: str) -> DataFrame:
+    """``df`` with the target as a number under LABEL; a value that is none, or not finite, is a ValueError that tells how many there are."""
+    x = F.col(target).try_cast("double")
+    bad = F.col(target).isNotNull() & (x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    n = df.where(bad).count()
+    if n:
+        raise ValueError(f"{n} values of {target} are no numbers")
+    return df.withColumn(LABEL, x)
+
+
 def fit(df: DataFrame, name: str, task: str, inputs: list[str], target: str, split: str = "split", **options) -> PipelineModel:
     """A model of the training rows only; the target of a classification is encoded by ``encoder``."""
     train = df.where(F.col(split) == "train")
@@ -122,7 +132,7 @@ def fit(df: DataFrame, name: str, task: str, inputs: list[str], target: str, spl
         train = codes.transform(train.withColumn(target, F.col(target).cast("string")))
         options = {"classes": len(codes.labels)} | options
         return PipelineModel([codes, *pipeline(name, task, inputs, train.count(), **options).fit(train).stages])
-    train = train.withColumn(LABEL, F.col(target).cast("double"))
+    train = numeric_target(train, target)
     return pipeline(name, task, inputs, train.count(), **options).fit(train)
 
 

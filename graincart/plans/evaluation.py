@@ -93,7 +93,13 @@ def ev_ovr_macro(spark, sf_dir):
 
 @query("ev_residuals", "SELECT o_orderkey, o_totalprice - 250000 AS residual FROM orders")
 def ev_residuals(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_totalprice") - 250000).alias("residual"))
+    return metrics.residuals(table(spark, sf_dir, "orders"), "o_totalprice", F.lit(250000)).select("o_orderkey", "residual")
+
+
+@query("ev_residual_facts", "WITH r AS (SELECT o_totalprice - 250000 AS r FROM orders) SELECT count(*) AS n, round(avg(r), 4) AS mean, round(stddev_pop(r), 4) AS std, round(avg(abs(r)), 4) AS mae, round(min(r), 4) AS least, round(max(r), 4) AS largest FROM r")
+def ev_residual_facts(spark, sf_dir):
+    out = metrics.residual_facts(table(spark, sf_dir, "orders"), "o_totalprice", F.lit(250000))
+    return out.select("n", *[F.round(c, 4).alias(c) for c in out.columns if c != "n"])
 
 
 _BOARD = "SELECT c_custkey AS model, CASE WHEN c_custkey % 17 = 0 THEN 'failed' ELSE 'ok' END AS status, CASE WHEN c_custkey % 5 <> 1 THEN floor(c_acctbal / 100) END AS score FROM customer"

@@ -69,10 +69,8 @@ def fid_drift(spark, sf_dir):
 
 @query("fid_matrices", " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}) FILTER (l_returnflag = 'R'), 4) AS sample, round(corr({a}, {b}) FILTER (l_returnflag = 'N'), 4) AS made FROM lineitem" for a, b in _PAIRS))
 def fid_matrices(spark, sf_dir):
-    df, s = _sides(spark, sf_dir), _is_sample()
-    cell = lambda a, b, side: F.round(F.corr(F.when(side, F.col(a)), F.when(side, F.col(b))), 4)
-    rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), cell(a, b, s).alias("sample"), cell(a, b, ~s).alias("made")) for a, b in _PAIRS])
-    return df.agg(rows.alias("r")).select(F.explode("r").alias("r")).select("r.*")
+    out = fidelity.correlation_matrices(_sides(spark, sf_dir), ["l_quantity", "l_extendedprice", "l_discount"], _is_sample())
+    return out.select("a", "b", F.round("sample", 4).alias("sample"), F.round("made", 4).alias("made"))
 
 
 @query("jn_align", "WITH s AS (SELECT o_orderpriority AS value, count(*) AS sample FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority <> '1-URGENT' GROUP BY 1), g AS (SELECT o_orderpriority AS value, count(*) AS made FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority <> '5-LOW' GROUP BY 1) SELECT value, coalesce(sample, 0) AS sample, coalesce(made, 0) AS made FROM s FULL JOIN g USING (value)")
@@ -152,11 +150,7 @@ def win_midrank(spark, sf_dir):
 
 @query("win_cumfreq", "SELECT v AS value, sum(n) OVER (ORDER BY v) / sum(n) OVER () AS share FROM (SELECT c_mktsegment AS v, count(*) AS n FROM customer GROUP BY 1)")
 def win_cumfreq(spark, sf_dir):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(F.lit(0))
-    counts = table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("value")).agg(F.count("*").alias("n"))
-    return counts.select("value", (F.sum("n").over(w.orderBy("value")) / F.sum("n").over(w)).alias("share"))
+    return fidelity.cumulative_shares(table(spark, sf_dir, "customer"), "c_mktsegment")
 
 
 @query("gen_sample")

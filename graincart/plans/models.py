@@ -44,7 +44,7 @@ def mdl_encode(spark, sf_dir):
 
 @query("mdl_encode_reg", "SELECT c_custkey, TRY_CAST(c_acctbal AS DOUBLE) AS y FROM customer")
 def mdl_encode_reg(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").try_cast("double").alias("y"))
+    return models.numeric_target(table(spark, sf_dir, "customer"), "c_acctbal").select("c_custkey", F.col(models.LABEL).alias("y"))
 
 
 _KNN = """WITH q AS (SELECT vec_id, embedding AS v FROM embeddings WHERE vec_id % 100 = 0), p AS (SELECT q.vec_id AS query, e.vec_id AS neighbour, sqrt(list_sum(list_transform(list_zip(q.v, e.embedding), lambda z: (z[1] - z[2])::DOUBLE * (z[1] - z[2])))) AS distance FROM q, embeddings e WHERE q.vec_id <> e.vec_id),

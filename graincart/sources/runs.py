@@ -17,6 +17,8 @@ from graincart.sources.versions import Store
 
 #: Rows above which a generation, and calls above which a labelling, warns.
 GENERATED_ROWS, LABELED_ROWS = 5_000, 5_000
+#: Rows that a generator gives in the place of a sample.
+SEED_ROWS = 50
 
 
 @dataclass(frozen=True)
@@ -45,7 +47,8 @@ def generation_run(
     ``mode`` is that of ``generate.make_rows``; generated rows come in rounds under ``path``, which a run
     that starts again goes on from. With ``balance`` (shares by column and value) statistical rows are
     drawn thrice over and kept by their quotas. With a sample the version is its child and is held
-    against it; without one the report says so.
+    against it. Without one a statistical or hybrid run is fitted on SEED_ROWS rows that the
+    generator gives first, and the findings say that no real row stands behind it.
     """
     spark, facts, found = store.spark, {"mode": mode, "asked": n, "seed": seed}, []
     sample = store.load(sample_id).drop(ROW_ID) if sample_id else None
@@ -55,7 +58,8 @@ def generation_run(
         rows, dropped = made.rows, made.dropped
         facts |= {"calls": made.calls, "rounds": made.rounds, "stopped": made.stopped}
     else:
-        rows = generate.make_rows(spark, mode, 3 * n if balance else n, sample, generator=generator, texts=texts, seed=seed)
+        fitted = sample if sample is not None else generate.generated(spark, list(specs), SEED_ROWS, generator, path=path).rows.drop(ROW_ID)
+        rows = generate.make_rows(spark, mode, 3 * n if balance else n, fitted, generator=generator, texts=texts, seed=seed)
         for column, shares in (balance or {}).items():
             rows = generate.synth.balanced(rows, column, shares, n)
     if n > soft_limit:

@@ -181,3 +181,41 @@ def test_labels_and_reviews_become_versions(spark, tmp_path):
     assert out[0]["spam"] is False and out[1]["__excluded__"] and json.loads(out[5]["__provenance__"])["label_origins"]["spam"]["origin"] == "human_reviewed"
     assert seen.facts["waiting_rows"] == 4 and seen.facts["reviewed_rows"] == 2 and seen.findings.first()["raised"]
     assert store.lineage(seen.version_id)[-1] == first and [r["number"] for r in store.versions("p").collect()] == [1, 2, 3, 4]
+
+
+def test_prompts_have_a_schema_and_shares():
+    told = generate.prompt_for(SPECS, 5, 2, "bad", "shops", {"c": {"a": 0.75, "b": 0.25}})
+    assert "75% should be a, 25% should be b" in told and "about: shops" in told and told.endswith("could not be used: bad")
+    rows = generate.reply_schema(SPECS, 5)["properties"]["rows"]
+    assert rows["maxItems"] == 5 and rows["items"]["properties"] == {"n": {"type": "integer", "minimum": 0, "maximum": 100}, "c": {"type": "string", "enum": ["a", "b"]}}
+    assert all(set(r) == {"n", "c"} and 0 <= r["n"] <= 100 for r in json.loads(generate.fake_generator(told)))
+
+
+def test_suggestions_and_drafts():
+    replies = iter(["nothing", json.dumps([{"name": "Unit Price", "type": "number", "min": 1, "max": "9"}, {"name": "size", "type": "shape"}, {"name": "kind", "type": "categorical", "categories": ["a", 2]}, {"name": "unit-price", "type": "text"}])])
+    found = generate.suggest_specs(lambda p: next(replies), "a shop")
+    assert found == [ColumnSpec("unit_price", "number", 1.0, 9.0), ColumnSpec("kind", "categorical", categories=("a", "2"))]
+    with pytest.raises(ValueError, match="no columns"):
+        generate.suggest_specs(lambda p: "[]", "a shop", retries=0)
+    replies = iter(['{"name": "Bad Name", "kind": "binary"}', '{"name": "tone", "kind": "choice", "text": "How does it sound?", "options": ["kind", "rude"]}'])
+    question, wording = generate.draft_question(lambda p: next(replies), "tone")
+    assert question.columns() == ["tone", "tone__confidence", "tone__p_kind", "tone__p_rude"] and wording == "How does it sound?"
+    with pytest.raises(ValueError, match="drafts no question"):
+        generate.draft_question(lambda p: "no", "x", retries=0)
+
+
+def test_a_run_without_a_sample_asks_for_seed_rows(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s")
+    done = runs.generation_run(store, "p", "statistical", 120, specs=SPECS, generator=generate.fake_generator, path=f"file://{tmp_path}/seed")
+    made = store.load(done.version_id)
+    assert made.count() == 120 and made.where("n < 0 or n > 100 or c not in ('a', 'b')").count() == 0
+    assert spark.read.parquet(f"file://{tmp_path}/seed").count() == runs.SEED_ROWS and [r["kind"] for r in done.findings.collect()] == ["derived_profile"]
+
+
+def test_targets_that_are_no_numbers(spark):
+    from graincart.operators import models
+
+    df = spark.createDataFrame([("1.5",), (None,), ("x",), ("NaN",)], "y string")
+    with pytest.raises(ValueError, match="2 values of y"):
+        models.numeric_target(df, "y")
+    assert [r[0] for r in models.numeric_target(df.limit(2), "y").select(models.LABEL).collect()] == [1.5, None]
