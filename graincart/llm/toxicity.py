@@ -34,7 +34,8 @@ class Settings:
     """About ``rows`` labelled texts of each class are examples, and ``terms`` terms the vocabulary.
 
     A term must be ``least_ratio`` times as common in one class as in the other, or it tells little
-    but stands in most texts.
+    but stands in most texts. Of ``shrinks``, by which votes of distant neighbours are drawn to the
+    prior, the one stands whose curve tells the examples best, each without itself.
     """
 
     rows: int = 4000
@@ -44,7 +45,7 @@ class Settings:
     least_ratio: float = 3.0
     neighbours: int = 15
     block: int = 32
-    shrink: float = 0.3
+    shrinks: tuple[float, ...] = (0.1, 0.3, 1.0, 3.0)
 
 
 @dataclass(frozen=True)
@@ -61,6 +62,7 @@ class Index:
     toxic: np.ndarray = field(repr=False)
     block: int
     prior: float
+    shrink: float = 1.0
     slope: float = 0.0
     offset: float = 0.0
 
@@ -136,9 +138,9 @@ def nearest(index: Index, terms: np.ndarray, weights: np.ndarray, k: int, but: i
     return best, cosines
 
 
-def vote(index: Index, places: np.ndarray, cosines: np.ndarray, shrink: float) -> float:
+def vote(index: Index, places: np.ndarray, cosines: np.ndarray, shrink: float | None = None) -> float:
     """The share of toxic neighbours, weighted by their cosines squared and drawn to the prior by ``shrink``."""
-    w = cosines**2
+    w, shrink = cosines**2, index.shrink if shrink is None else shrink
     return float((w @ index.toxic[places] + shrink * index.prior) / (w.sum() + shrink))
 
 
@@ -172,17 +174,24 @@ def fit(vocabulary: list[str], texts: np.ndarray, rows: list[tuple[int, int, dic
     index = build(vocabulary, idf, vectors, (counts[1] + 0.5) / (total + 1), settings.block)
     if not rows:
         return index
-    votes = [vote(index, *nearest(index, t, w, settings.neighbours, place), settings.shrink) for place, (_, _, t, w) in enumerate(vectors)]
+    near = [nearest(index, t, w, settings.neighbours, place) for place, (_, _, t, w) in enumerate(vectors)]
     held = np.bincount(index.toxic, minlength=2)
     weights = np.where(index.toxic == 1, counts[1] / max(held[1], 1), counts[0] / max(held[0], 1)) * len(rows) / total
-    slope, offset = _curve(np.array(votes), index.toxic, weights)
-    return Index(**{**index.__dict__, "slope": slope, "offset": offset})
+    best = None
+    for shrink in settings.shrinks:
+        votes = np.array([vote(index, *n, shrink) for n in near])
+        slope, offset = _curve(votes, index.toxic, weights)
+        p = 1 / (1 + np.exp(-np.clip(slope * votes + offset, -30, 30)))
+        loss = -(weights * np.log(np.where(index.toxic == 1, p, 1 - p) + 1e-12)).sum()
+        if best is None or loss < best[0]:
+            best = loss, {"shrink": shrink, "slope": slope, "offset": offset}
+    return Index(**{**index.__dict__, **best[1]})
 
 
 def score_text(index: Index, text: str | None, settings: Settings) -> tuple[float, np.ndarray, np.ndarray]:
     """Score, places of the neighbours and their cosines."""
     places, cosines = nearest(index, *vector(index, text), settings.neighbours)
-    z = index.slope * vote(index, places, cosines, settings.shrink) + index.offset
+    z = index.slope * vote(index, places, cosines) + index.offset
     return float(1 / (1 + np.exp(-np.clip(z, -30, 30)))), places, cosines
 
 
