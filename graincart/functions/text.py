@@ -21,12 +21,15 @@ def tokens(text: Column) -> Column:
 def ngrams(words: Column, low: int, high: int) -> Column:
     """Runs of ``low`` to ``high`` words, joined by a space; an array of words gives an array of strings."""
 
-    def of(n: int) -> Column:
-        at = F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1)))
-        runs = F.transform(at, lambda i: F.array_join(F.slice(words, i, n), " "))
-        return F.when(F.size(words) >= n, runs).otherwise(F.array().cast("array<string>"))
-
-    return F.concat(*[of(n) for n in range(low, high + 1)])
+    def of(found: Column, n: int) -> Column:
+        if n == 1:
+            return found
+        at = F.sequence(F.lit(1), F.greatest(F.size(found) - n + 1, F.lit(1)))
+        runs = F.transform(at, lambda i: F.array_join(F.slice(found, i, n), " "))
+        return F.when(F.size(found) >= n, runs).otherwise(F.array().cast("array<string>"))
+
+    # as a lambda's variable the words are made once, and not again for each run
+    return F.get(F.transform(F.array(words), lambda found: F.concat(*[of(found, n) for n in range(low, high + 1)])), F.lit(0))
 
 
 def option_slug(option: Column) -> Column:

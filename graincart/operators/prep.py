@@ -76,8 +76,9 @@ def tfidf(df: DataFrame, key: str, text: str, is_train: Column, terms: int = 200
     Terms are runs of ``low`` to ``high`` words; see ``vocabulary``. A vocabulary of more rows than a
     broadcast may have is joined by a shuffle.
     """
-    known = vocabulary(df.where(is_train), text, terms, least, low, high)
-    rows = df.select(F.col(key).alias("key"), grams(text, low, high).alias("terms"))
+    known = tables.written(vocabulary(df.where(is_train), text, terms, least, low, high))
+    # behind an explode of one element the terms are made once for both their number and their rows
+    rows = df.select(F.col(key).alias("key"), F.explode(F.array(grams(text, low, high))).alias("terms"))
     counts = rows.select("key", F.size("terms").alias("total"), F.explode("terms").alias("term"))
     total = df.agg(F.count_if(is_train).alias("rows"))
     found = counts.join(tables.small(known), "term").groupBy("key", "total", "term", "df").agg(F.count("*").alias("n"))
