@@ -1,9 +1,10 @@
 """Exact quantiles by distributed selection.
 
-A number becomes a whole number that keeps its order: the bits of its magnitude, with its sign. Rows
-are counted by the first bits of it, the counts tell which bins hold the wanted places, and only
-these bins are counted again by further bits, until each holds one value. What is aggregated is the
-count of a bin, whatever the number of values; after at most four passes all bits were seen.
+Rows are counted in bins that keep the order of numbers: of one sign and a 256th of a power of two at
+first. The counts tell which bins hold the wanted places, and only their rows are counted again, in
+4,096 bins between their least and largest value, until few enough rows are left that their values are
+counted one by one. What is aggregated is a count for each bin, or for each value of at most
+EXACT_ROWS rows, whatever the number of values; a double's 52 digits end it after six passes at most.
 """
 
 from __future__ import annotations
@@ -15,22 +16,18 @@ from pyspark.sql import functions as F
 
 from graincart import tables
 
-#: Bits that are not looked at in each pass.
-PASSES = (44, 28, 12, 0)
+#: Bins of a power of two, and of a bin that is counted again; rows whose values are counted one by one.
+STEPS, BINS, EXACT_ROWS = 256, 4096, 2_000_000
 
 
-def ordered_bits(x: Column) -> Column:
-    """A long that orders doubles as numbers: equal for 0.0 and -0.0, beyond infinity for NaN, null for null."""
-    size = F.abs(x)
-    guess = F.floor(F.log2(size)).cast("int")
-    # a logarithm next to a power of two may be off by one
-    scaled = size / F.pow(F.lit(2.0), guess)
-    exponent = F.when(scaled >= 2, guess + 1).when(scaled < 1, guess - 1).otherwise(guess)
-    small = F.when(size > 0, size * 2.0**537 * 2.0**537).otherwise(F.lit(0.0)).cast("long")
-    normal = F.shiftleft((exponent + 1023).cast("long"), 52) + ((size / F.pow(F.lit(2.0), exponent) - 1) * 2.0**52).cast("long")
-    top = F.lit(2047 << 52)
-    bits = F.when(F.isnan(x), top + 1).when(size == float("inf"), top).when(size < 2.0**-1022, small).otherwise(normal)
-    return F.when(x < 0, -bits).when(x.isNotNull(), bits)
+def ordered_bin(x: Column) -> Column:
+    """A long that never falls as doubles rise, NaN above all: equal for 0.0 and -0.0, null for null."""
+    far = 1 << 20
+    size = lambda y: F.floor(F.log2(y) * STEPS) + far  # noqa: E731  a logarithm never falls as its number rises
+    return (
+        F.when(F.isnan(x), F.lit(1 << 30)).when(x == float("inf"), F.lit(1 << 29)).when(x == float("-inf"), F.lit(-(1 << 29)))
+        .when(x > 0, size(x)).when(x < 0, -size(-x)).when(x == 0, F.lit(0))
+    ).cast("long")
 
 
 def quantiles(df: DataFrame, columns: dict[str, Column], shares: Iterable[float], by: Iterable[str] = ()) -> DataFrame:
@@ -41,36 +38,39 @@ def quantiles(df: DataFrame, columns: dict[str, Column], shares: Iterable[float]
     """
     by, shares = list(by), list(shares)
     pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("_c"), x.cast("double").alias("_x")) for i, x in enumerate(columns.values())]))
-    group = F.struct(*by) if by else F.struct(F.lit(0).alias("_all"))
+    group = F.struct(*by) if by else F.lit(0)
     rows = df.select(group.alias("_g"), pairs.alias("_p")).select("_g", "_p._c", "_p._x").where("_x is not null")
-    rows = rows.withColumn("_k", ordered_bits(F.col("_x")))
+    rows = rows.withColumn("_b", ordered_bin(F.col("_x")))
     of = ["_g", "_c"]
 
-    def counted(some: DataFrame, bits: int, more: list[str]) -> DataFrame:
+    def counted(some: DataFrame, within: list[str], key: Column) -> DataFrame:
         """Each bin's count, ends, and number of rows before it in its group, column and former bin."""
-        each = some.groupBy(*of, *more, F.shiftright("_k", bits).alias("_bin")).agg(F.count("*").alias("_n"), F.min("_x").alias("_low"), F.max("_x").alias("_high"))
-        before = Window.partitionBy(*of, *more).orderBy("_bin")
-        return each.withColumn("_before", F.sum("_n").over(before) - F.col("_n"))
+        each = some.groupBy(*within, key.alias("_bin")).agg(F.count("*").alias("_n"), F.min("_x").alias("_low"), F.max("_x").alias("_high"))
+        return each.withColumn("_before", F.sum("_n").over(Window.partitionBy(*within).orderBy("_bin")) - F.col("_n"))
 
-    first = tables.written(counted(rows, PASSES[0], []))
+    first = tables.written(counted(rows, of, F.col("_b")))
     sizes = first.groupBy(*of).agg(F.sum("_n").alias("_rows"))
     # the two neighbours of each share, as places from 0
     at = F.explode(F.array(*[F.struct(F.lit(i).alias("_q"), ((F.col("_rows") - 1) * s).alias("_at")) for i, s in enumerate(shares)]))
     wanted = sizes.select(*of, "_rows", at.alias("w")).select(*of, "_rows", "w._q", "w._at")
     wanted = wanted.select("*", F.explode(F.array(F.floor("_at"), F.ceil("_at"))).alias("_place")).distinct()
     found = first.join(wanted, of).where((F.col("_place") >= F.col("_before")) & (F.col("_place") < F.col("_before") + F.col("_n")))
-    found = tables.written(found.select(*of, "_rows", "_q", "_at", "_place", "_bin", (F.col("_place") - F.col("_before")).alias("_rest"), "_low", "_high"))
+    kept = [*of, "_rows", "_q", "_at", "_place", "_b", "_n", "_low", "_high"]
+    found = tables.written(found.withColumnRenamed("_bin", "_b").select(*kept, (F.col("_place") - F.col("_before")).alias("_rest")))
     tables.drop(first)
     done = [found]
-    for last, bits in zip(PASSES, PASSES[1:], strict=False):
-        open_ = found.where("_low < _high")
-        if not open_.limit(1).count():
+    while True:
+        bins = found.where("_low < _high").select(*of, "_b", F.col("_low").alias("_from"), F.col("_high").alias("_to"), "_n").distinct()
+        left = bins.agg(F.sum("_n")).first()[0]
+        if not left:
             break
-        bins = tables.small(open_.select(*of, F.col("_bin").alias("_of")).distinct())
-        some = rows.withColumn("_of", F.shiftright("_k", last)).join(bins, [*of, "_of"])
-        sought = open_.select(*of, F.col("_bin").alias("_of"), "_rows", "_q", "_at", "_place", "_rest")
-        inner = counted(some, bits, ["_of"]).join(sought, [*of, "_of"]).where((F.col("_rest") >= F.col("_before")) & (F.col("_rest") < F.col("_before") + F.col("_n")))
-        found = tables.written(inner.select(*of, "_rows", "_q", "_at", "_place", "_bin", (F.col("_rest") - F.col("_before")).alias("_rest"), "_low", "_high"))
+        bins = tables.small(bins.drop("_n"))
+        some = rows.join(bins, [*of, "_b"]).where((F.col("_x") >= F.col("_from")) & (F.col("_x") <= F.col("_to")))
+        key = F.col("_x") if left <= EXACT_ROWS else F.floor((F.col("_x") - F.col("_from")) / (F.col("_to") - F.col("_from")) * BINS).cast("double")
+        within = [*of, "_b", "_from"]
+        sought = found.where("_low < _high").select(*of, "_b", F.col("_low").alias("_from"), "_rows", "_q", "_at", "_place", "_rest")
+        inner = counted(some, within, key).join(sought, within).where((F.col("_rest") >= F.col("_before")) & (F.col("_rest") < F.col("_before") + F.col("_n")))
+        found = tables.written(inner.select(*kept, (F.col("_rest") - F.col("_before")).alias("_rest")))
         done.append(found)
     told = done[0].where("not _low < _high")
     for t in done[1:]:
