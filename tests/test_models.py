@@ -152,3 +152,20 @@ def test_support_vector_regression(spark):
     assert np.median(np.abs(told - np.sin(x))) < 0.08
     falls = model.stages[-1].getOrDefault("objectives")
     assert all(b <= a * (1 + 1e-9) for a, b in zip(falls, falls[1:], strict=False)) and len(falls) > 3
+
+
+def test_neighbours_meet_in_groups(spark, monkeypatch):
+    """A query goes to groups of cells, not to each cell: what is shuffled does not grow with queries times cells."""
+    monkeypatch.setattr(neighbours, "CELL_ROWS", 10)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(600, 24))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i long, v array<double>")
+    met = []
+    real = neighbours._met
+    monkeypatch.setattr(neighbours, "_met", lambda search, asked: met.append(asked.count()) or real(search, asked))
+    out = models.nearest_neighbours(df, df.where("i % 30 = 0"), "v", "i", 5).collect()
+    # 60 cells, of which none is excluded in 24 dimensions, are one group
+    assert sum(met) <= 2 * 20
+    for q in range(0, 600, 30):
+        gaps = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        assert sorted((round(r["distance"], 9), r["neighbour"]) for r in out if r["query"] == q) == sorted((round(g, 9), i) for i, g in enumerate(gaps) if i != q)[:5]
