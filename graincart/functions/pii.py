@@ -15,21 +15,28 @@ MARK = "[REDACTED]"
 
 @dataclass(frozen=True)
 class Detector:
-    """A pattern; if ``digits`` is given, a span needs so many digits and their check digit."""
+    """A pattern; if ``digits`` is given, a span needs so many digits and their check digit.
+
+    ``needs`` is a character that every span has; ``numeric`` tells that a span begins at most one
+    character before its first digit, ends with a digit and has at most two other characters
+    between two digits.
+    """
 
     name: str
     pattern: str
     digits: tuple[int, int] | None = None
+    needs: str | None = None
+    numeric: bool = False
 
 
 _BYTE = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: The detectors in the order in which they are applied. Guards keep versions and longer numbers out.
 DETECTORS = (
-    Detector("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"),
-    Detector("phone", r"(?<![\d.])(?:\+1[\s.-]?|1[ -])?(?:\(?[2-9]\d{2}\)?[\s.-]\d{3}[\s.-]\d{4}|[2-9]\d{9})(?![\d.])"),
-    Detector("ssn", r"(?<!\d)(?!000|666|9\d\d)\d{3}-\d{2}-\d{4}(?!\d)"),
-    Detector("credit_card", r"(?<![\d.])(?:\d[ -]?){12,18}\d(?![\d.])", (13, 19)),
-    Detector("ip", rf"(?<![\d.]){_BYTE}\.{_BYTE}\.{_BYTE}\.{_BYTE}(?![\d.])"),
+    Detector("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+", needs="@"),
+    Detector("phone", r"(?<![\d.])(?:\+1[\s.-]?|1[ -])?(?:\(?[2-9]\d{2}\)?[\s.-]\d{3}[\s.-]\d{4}|[2-9]\d{9})(?![\d.])", numeric=True),
+    Detector("ssn", r"(?<!\d)(?!000|666|9\d\d)\d{3}-\d{2}-\d{4}(?!\d)", numeric=True),
+    Detector("credit_card", r"(?<![\d.])(?:\d[ -]?){12,18}\d(?![\d.])", (13, 19), numeric=True),
+    Detector("ip", rf"(?<![\d.]){_BYTE}\.{_BYTE}\.{_BYTE}\.{_BYTE}(?![\d.])", numeric=True),
 )
 BY_NAME = {d.name: d for d in DETECTORS}
 
@@ -57,6 +64,17 @@ def matches(text: Column, detector: Detector) -> Column:
     return F.filter(found, lambda x: _confirmed(x, detector)) if detector.digits else found
 
 
+def near_digits(text: Column) -> Column:
+    """``text`` with long runs between digits cut short: numeric detectors find the same spans in it, as no span and no guard reaches into what is cut."""
+    return F.regexp_replace(text, r"([^0-9]{2})[^0-9]{2,}([^0-9]{2})", "$1~$2")
+
+
+def span_count(text: Column, near: Column, detector: Detector) -> Column:
+    """How many spans the detector confirms in ``text``, of which ``near`` is what ``near_digits`` leaves; none in a null."""
+    n = F.size(matches(near if detector.numeric else text, detector)).cast("long")
+    return F.when(F.contains(text, F.lit(detector.needs)), n).otherwise(F.lit(0).cast("long")) if detector.needs else n
+
+
 def _rewritten(text: Column, detector: Detector, new) -> Column:
     """``text`` with ``new(span)`` for each confirmed span."""
     pieces = F.split(text, detector.pattern, -1)

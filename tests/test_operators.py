@@ -207,3 +207,27 @@ def test_readers(spark, tmp_path):
         readers.read_table(spark, "x.xlsx")
     with pytest.raises(readers.MalformedFile):
         readers.read_table(spark, f"file://{tmp_path}/none.csv")
+
+
+def test_findings_seek_the_patterns_once(spark, tmp_path):
+    """The patterns meet each text once, whatever detectors find; numeric ones see the same spans in what is left of a text."""
+    rng = np.random.default_rng(5)
+    bits = ["212-555-0187", "+1 (212) 555-0187", "1-212.555.0187", "4111 1111 1111 1111", "123-45-6789", "10.0.0.255", "1.2.3.4.5", ".", "+", "(", "\n", " ", "-", "é\U0001d7d8", "longer words between ", "x", "7", "a.b@c.org", "2125550187"]
+    rows = [(i % 40 if i else None, "".join(rng.choice(bits, 12))) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, t string")
+    read = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    out = {r["detector"]: r for r in scans.findings(df.mapInPandas(passed, "id long, t string"), "id", ["t"]).collect()}
+    # once for the patterns, once for the cells of the first rows
+    assert read.value <= 2 * len(rows)
+    for d in pii.DETECTORS:
+        hit = df.where(F.size(pii.matches(F.col("t"), d)) > 0)
+        told = hit.agg(F.sum(F.size(pii.matches(F.col("t"), d))).alias("spans"), F.count("*").alias("rows")).first()
+        first = hit.select("id", pii.with_masked_spans(F.col("t"), d).alias("cell")).orderBy("id", "cell").limit(5).collect()
+        found = out[d.name]
+        assert (found["spans"], found["rows_with"], found["row_examples"], found["example_cells"]) == (told["spans"], told["rows"], [r["id"] for r in first], [r["cell"] for r in first][:3])
