@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from graincart import tables
 
 ERROR, CHANCE = 0.15, 0.01
-#: Partial sums that one task adds.
-TOGETHER = 16
+#: Partial sums that one task adds, and rows whose features a task makes or sums at once.
+TOGETHER, AT_ONCE = 16, 256
 
 
 def pairs_for(error: float = ERROR, chance: float = CHANCE) -> int:
@@ -43,6 +43,14 @@ def fourier(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return np.concatenate([np.cos(z), np.sin(z)], axis=1) / math.sqrt(w.shape[1])
 
 
+def features(batches: Iterator[pd.Series], pairs: int, gamma: float, seed: int) -> Iterator[pd.Series]:
+    """The features of rows, handed on few rows at a time: they are far wider than the inputs, of which a batch may have many rows."""
+    for x in batches:
+        for i in range(0, len(x), AT_ONCE):
+            rows = np.stack(x.iloc[i : i + AT_ONCE].to_numpy())
+            yield pd.Series(list(fourier(rows, projections(rows.shape[1], pairs, gamma, seed))))
+
+
 class RandomFourierModel(Model, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
     gamma = Param(Params._dummy(), "gamma", "width of the kernel exp(-gamma |x - y|^2)", TypeConverters.toFloat)
     pairs = Param(Params._dummy(), "pairs", "number of projections", TypeConverters.toInt)
@@ -51,11 +59,8 @@ class RandomFourierModel(Model, HasInputCol, HasOutputCol, DefaultParamsReadable
     def _transform(self, dataset: DataFrame) -> DataFrame:
         gamma, pairs, seed = (self.getOrDefault(p) for p in (self.gamma, self.pairs, self.seed))
 
-        def run(x: pd.Series) -> pd.Series:
-            if not len(x):
-                return pd.Series([], dtype=object)
-            rows = np.stack(x.to_numpy())
-            return pd.Series(list(fourier(rows, projections(rows.shape[1], pairs, gamma, seed))))
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            return features(batches, pairs, gamma, seed)
 
         mapped = F.pandas_udf(run, "array<double>")(vector_to_array(F.col(self.getInputCol())))
         return dataset.withColumn(self.getOutputCol(), array_to_vector(mapped))
@@ -95,8 +100,9 @@ def summed(rows: DataFrame, of, size: int) -> np.ndarray:
 
         total = np.zeros(size)
         for batch in batches:
-            if len(batch):
-                total += of(np.stack(batch["x"].to_numpy()), batch["y"].to_numpy(float))
+            for i in range(0, len(batch), AT_ONCE):
+                some = batch.iloc[i : i + AT_ONCE]
+                total += of(np.stack(some["x"].to_numpy()), some["y"].to_numpy(float))
         yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "sums": [total.tobytes()]})
 
     def both(key: tuple, found: pd.DataFrame) -> pd.DataFrame:

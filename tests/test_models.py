@@ -3,8 +3,10 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml import PipelineModel
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from graincart.operators import kernel, models, neighbours, network
@@ -169,3 +171,16 @@ def test_neighbours_meet_in_groups(spark, monkeypatch):
     for q in range(0, 600, 30):
         gaps = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
         assert sorted((round(r["distance"], 9), r["neighbour"]) for r in out if r["query"] == q) == sorted((round(g, 9), i) for i, g in enumerate(gaps) if i != q)[:5]
+
+
+def test_kernel_features_are_made_few_rows_at_a_time(spark):
+    """The memory of a task does not follow its batch of inputs."""
+    x = np.random.default_rng(0).normal(size=(3000, 2))
+    wanted = kernel.fourier(x, kernel.projections(2, 20, 0.5, 1))
+    made = list(kernel.features(iter([pd.Series(list(x[:2900])), pd.Series([], dtype=object), pd.Series(list(x[2900:]))]), 20, 0.5, 1))
+    assert max(map(len, made)) <= kernel.AT_ONCE and np.allclose(np.concatenate([np.stack(m) for m in made]), wanted)
+    model = kernel.RandomFourierModel()
+    model._set(gamma=0.5, pairs=20, seed=1, inputCol="x", outputCol="z")
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i long, x array<double>").coalesce(1).select("i", array_to_vector("x").alias("x"))
+    out = model.transform(df).select("i", vector_to_array("z").alias("z")).collect()
+    assert np.allclose(np.array([r["z"] for r in sorted(out, key=lambda r: r["i"])]), wanted)
