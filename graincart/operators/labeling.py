@@ -113,25 +113,27 @@ def label_rows(df: DataFrame, ask: Callable[[str], dict], columns: list[str], sc
 
     Calls run inside the tasks that hold the rows, ``workers`` at once and in the rows' order; see
     ``pool`` for how they are repeated. A call that keeps failing gives nulls, ``failed`` and its
-    last error. Results are handed on ``each`` rows at a time as they come. Write the result and
-    join it to resume: only rows without an answer are asked again.
+    last error. Results are handed on as they come: ``each`` rows at a time if the evaluator is slow,
+    more if answers come fast (``pool.Held``). The rows are dealt out
+    over all tasks first. Write the result and join it to resume: only rows without an answer
+    are asked again.
     """
     names = [x.split()[0] for x in schema.split(",")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         items = ((key, state) for batch in batches for key, state in zip(batch[row_id], batch["_state"], strict=True))
-        rows = []
+        rows, held = [], pool.Held(each)
         told = lambda: pd.DataFrame(rows, columns=[row_id, *names, "failed", "error", "attempts"])
         for o in pool.outcomes(lambda item: dict(ask(item[1])), items, workers, retries, wait):
             rows.append((o.item[0], *[(o.value or {}).get(n) for n in names], o.error is not None, o.error, o.attempts))
-            if len(rows) >= each:
+            if held.enough(len(rows)):
                 yield told()
                 rows.clear()
         if rows:
             yield told()
 
     state = df.select(F.col(row_id).cast("long").alias(row_id), rendered_row(columns).alias("_state"))
-    return state.mapInPandas(run, f"{row_id} long, {schema}, failed boolean, error string, attempts int")
+    return pool.dealt(state).mapInPandas(run, f"{row_id} long, {schema}, failed boolean, error string, attempts int")
 
 
 def unanswered(df: DataFrame, answers: DataFrame, row_id: str = ROW_ID) -> DataFrame:

@@ -9,7 +9,11 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Any
 
+from pyspark.sql import DataFrame
+
 WORKERS, RETRIES, WAIT = 4, 2, 0.2
+#: Rows that are handed on together however fast they come, and seconds after which fewer are.
+MOST, HELD = 1000, 0.5
 
 
 @dataclass(frozen=True)
@@ -22,6 +26,12 @@ class Outcome:
     attempts: int
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` over as many partitions as the cluster runs tasks at least, as few files would keep few tasks busy; streams stay as they are."""
+    spark = df.sparkSession
+    return df if df.isStreaming else df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def called(ask: Callable[[Any], Any], item: Any, retries: int = RETRIES, wait: float = WAIT, sleep: Callable[[float], None] = time.sleep) -> Outcome:
     """One call, repeated ``retries`` times at most; before repetition i it waits ``wait * 2**i`` seconds."""
     error = None
@@ -55,3 +65,16 @@ def outcomes(ask: Callable[[Any], Any], items: Iterable[Any], workers: int = WOR
         finally:
             for call in waiting:
                 call.cancel()
+
+
+class Held:
+    """Counts rows that wait to be handed on: enough are ``least`` of them if the last went out long ago, else MOST."""
+
+    def __init__(self, least: int, clock: Callable[[], float] = time.monotonic) -> None:
+        self.least, self.clock, self.last = least, clock, clock()
+
+    def enough(self, rows: int) -> bool:
+        if rows < self.least or (rows < MOST and self.clock() - self.last < HELD):
+            return False
+        self.last = self.clock()
+        return True
