@@ -183,10 +183,17 @@ def _asked(numbers: DataFrame, specs: list[ColumnSpec], generator: Callable[[str
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         items = ((int(n), int(s)) for frame in frames for n, s in zip(frame["batch"], frame["size"], strict=True))
+        rows, held = [], pool.Held(1)
+        told = lambda: pd.DataFrame(rows, columns=["batch", "place", "calls", "trouble", *names], dtype=object)
         for o in pool.outcomes(one, items, workers, retries=0):
             found, calls, trouble = o.value if o.error is None else ([], retries + 1, o.error)
-            rows = [(o.item[0], i, calls, None, *[None if r.get(c) is None else str(r[c]) for c in names]) for i, r in enumerate(found)]
-            yield pd.DataFrame(rows or [(o.item[0], None, calls, trouble[:500], *[None] * len(names))], columns=["batch", "place", "calls", "trouble", *names], dtype=object)
+            made = [(o.item[0], i, calls, None, *[None if r.get(c) is None else str(r[c]) for c in names]) for i, r in enumerate(found)]
+            rows += made or [(o.item[0], None, calls, trouble[:500], *[None] * len(names))]
+            if held.enough(len(rows)):
+                yield told()
+                rows.clear()
+        if rows:
+            yield told()
 
     schema = "batch bigint, place bigint, calls int, trouble string, " + ", ".join(f"`{c}` string" for c in names)
     return numbers.mapInPandas(run, schema)
@@ -226,7 +233,7 @@ def generated(spark: SparkSession, specs: list[ColumnSpec], n: int, generator: C
             told = spark.createDataFrame([], schema)
         checked = validated(told, specs)
         valid = (F.size("errors") == 0) & F.col("place").isNotNull()
-        made = told.groupBy("batch").agg(F.max("calls").alias("calls")).agg(F.coalesce(F.sum("calls"), F.lit(0)).alias("calls"), F.coalesce(F.max("batch"), F.lit(-1)).alias("last")).first()
+        made = told.groupBy("batch").agg(F.max("calls").alias("calls")).agg(F.coalesce(F.sum("calls"), F.lit(0)).alias("calls"), F.coalesce(F.max("batch"), F.lit(-1)).alias("last"), F.count("*").alias("batches")).first()
         seen = checked.agg(F.count_if(valid).alias("valid"), F.count_if(F.col("place").isNotNull()).alias("rows")).first()
         if seen["valid"] >= n:
             break
@@ -241,7 +248,12 @@ def generated(spark: SparkSession, specs: list[ColumnSpec], n: int, generator: C
         # numbers without a result: those that an interrupted round left out, then new ones
         wanted = -(-(n - seen["valid"]) // batch)
         wanted = wanted if left is None else min(wanted, max(left // (retries + 1), 1))
-        numbers = spark.range(made["last"] + 1 + wanted).select(F.col("id").alias("batch")).join(told.select("batch").distinct(), "batch", "left_anti").orderBy("batch").limit(wanted)
+        end = made["last"] + 1
+        over = min(end - made["batches"], wanted)
+        numbers = spark.range(end, end + wanted - over).select(F.col("id").alias("batch"))
+        if over:
+            left_out = spark.range(end).select(F.col("id").alias("batch")).join(told.select("batch").distinct(), "batch", "left_anti")
+            numbers = numbers.union(left_out.orderBy("batch").limit(over).repartition(spark.sparkContext.defaultParallelism))
         sized = numbers.withColumn("size", F.lit(min(batch, n)).cast("int"))
         _asked(sized, specs, generator, retries, workers).write.mode("append").parquet(path)
         before, rounds = seen["valid"], rounds + 1
