@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graincart.operators.quantiles import quantiles
 
+#: Rows of whose values a task holds the distinct ones.
+EACH = 200_000
 QUANTILES = (0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0)
 
 
@@ -105,34 +109,56 @@ def duplicates(df: DataFrame, columns: list[str]) -> DataFrame:
     return kinds.agg(F.sum(F.col("c") - 1).alias("duplicates"), (F.sum(F.col("c") - 1) / F.sum("c")).alias("fraction"))
 
 
+def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, distinct_values): exact numbers of distinct values that are not null, without a task that holds many of them.
+
+    Rows are dealt out over parts of EACH rows, in each of which copies go, and then by value; nothing is
+    kept for a row but its value.
+    """
+    parts = df.count() // EACH + 1
+    found = []
+    for c in columns:
+        x = F.col(f"`{c}`")
+        values = df.select(x.alias("x")).where("x is not null")
+        if parts > 1:
+            values = values.withColumn("_at", F.pmod(F.monotonically_increasing_id(), F.lit(parts))).repartition(parts, "_at").groupBy("_at", "x").agg(F.lit(0)).select("x").repartition(parts, "x")
+        found.append(values.distinct().agg(F.count("*").alias("distinct_values")).select(F.lit(c).alias("column"), "distinct_values"))
+    return reduce(DataFrame.union, found)
+
+
 def kind_facts(df: DataFrame, columns: list[str]) -> DataFrame:
     """What kinds are told by: counts, distinct values, mean length, and how many values are numbers or whole."""
     aggs = []
     for c in columns:
-        text = F.col(c).cast("string")
+        text = F.col(f"`{c}`").cast("string")
         number = F.try_cast(text, "double") if hasattr(F, "try_cast") else text.try_cast("double")
         aggs += [
-            F.count(c).alias(f"{c}.n"),
-            F.count_distinct(c).alias(f"{c}.distinct_values"),
+            F.count(F.col(f"`{c}`")).alias(f"{c}.n"),
             F.avg(F.length(text)).alias(f"{c}.mean_length"),
             F.count_if(number.isNotNull()).alias(f"{c}.numbers"),
             F.count_if(number.isNotNull() & (number == F.floor(number))).alias(f"{c}.whole"),
         ]
-    return _long_form(df, df.agg(*aggs), columns, ["n", "distinct_values", "mean_length", "numbers", "whole"])
+    facts = _long_form(df, df.agg(*aggs), columns, ["n", "mean_length", "numbers", "whole"])
+    # a row for each column
+    out = facts.join(F.broadcast(distinct_counts(df, columns)), "column")
+    return out.select("column", "n", "distinct_values", "mean_length", "numbers", "whole")
 
 
 def kinds(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, kind): bool, datetime, integer, number, categorical or text."""
     types = {f.name: f.dataType.typeName() for f in df.schema}
-    facts = kind_facts(df, columns)
     typed = {"boolean": "bool", "timestamp": "datetime", "timestamp_ntz": "datetime", "date": "datetime", "byte": "integer", "short": "integer", "integer": "integer", "long": "integer", "float": "number", "double": "number"}
-    known = F.create_map(*[x for c in columns for x in (F.lit(c), F.lit(typed.get(types[c], "")))])
+    # what a type tells needs no pass over the rows
+    open_ = [c for c in columns if types[c] not in typed]
+    sure = df.sparkSession.createDataFrame([(c, typed[types[c]]) for c in columns if c not in open_], "column string, kind string")
+    if not open_:
+        return sure
+    facts = kind_facts(df, open_)
     few = (F.col("distinct_values") <= 20) | ((F.col("distinct_values") / F.col("n") <= 0.5) & (F.col("mean_length") <= 64))
     told = (
-        F.when(F.element_at(known, F.col("column")) != "", F.element_at(known, F.col("column")))
-        .when(F.col("n") == 0, "text")
+        F.when(F.col("n") == 0, "text")
         .when(F.col("numbers") == F.col("n"), F.when(F.col("whole") == F.col("n"), "integer").otherwise("number"))
         .when(few, "categorical")
         .otherwise("text")
     )
-    return facts.select("column", told.alias("kind"))
+    return sure.union(facts.select("column", told.alias("kind")))
