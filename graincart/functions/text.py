@@ -24,9 +24,9 @@ def ngrams(words: Column, low: int, high: int) -> Column:
     def of(found: Column, n: int) -> Column:
         if n == 1:
             return found
-        at = F.sequence(F.lit(1), F.greatest(F.size(found) - n + 1, F.lit(1)))
-        runs = F.transform(at, lambda i: F.array_join(F.slice(found, i, n), " "))
-        return F.when(F.size(found) >= n, runs).otherwise(F.array().cast("array<string>"))
+        # the runs of one word less, each with the word behind it
+        several = F.greatest(F.size(found) - n + 1, F.lit(0))
+        return F.zip_with(F.slice(of(found, n - 1), F.lit(1), several), F.slice(found, F.lit(n), several), lambda run, word: F.concat(run, F.lit(" "), word))
 
     # as a lambda's variable the words are made once, and not again for each run
     return F.get(F.transform(F.array(words), lambda found: F.concat(*[of(found, n) for n in range(low, high + 1)])), F.lit(0))

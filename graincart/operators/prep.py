@@ -64,10 +64,32 @@ def grams(column: str, low: int, high: int) -> Column:
     return ngrams(tokens(F.coalesce(F.col(column).cast("string"), F.lit(""))), low, high)
 
 
+def _rows_with(found: DataFrame) -> DataFrame:
+    return found.groupBy("term").agg(F.count("*").alias("df"))
+
+
 def vocabulary(df: DataFrame, column: str, terms: int = 2000, least: int = 1, low: int = 1, high: int = 1) -> DataFrame:
-    """(term, df): the ``terms`` terms that most rows have, of those that ``least`` rows have; ties by name."""
-    each = df.select(F.explode(F.array_distinct(grams(column, low, high))).alias("term"))
-    return each.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= least).orderBy(F.desc("df"), "term").limit(terms)
+    """(term, df): the ``terms`` terms that most rows have, of those that ``least`` rows have; ties by name.
+
+    A run is in no more rows than the shorter runs in it. So the shortest runs are counted first, and
+    longer ones only where the first and last of theirs are in as many rows as the last of the ``terms``
+    that most rows have: nearly all longer runs are rare, and are not counted.
+    """
+    each = lambda a, b: df.select(F.explode(F.array_distinct(grams(column, a, b))).alias("term"))
+    first = lambda counted: counted.where(F.col("df") >= least).orderBy(F.desc("df"), "term").limit(terms)
+    if low == high:
+        return first(_rows_with(each(low, low)))
+    short = tables.written(_rows_with(each(low, low)).where(F.col("df") >= least))
+    last = first(short).agg(F.count("*").alias("n"), F.min("df").alias("df")).first()
+    # ties of the last one too: a run of such may come before it by name
+    common = tables.written(short.where(F.col("df") >= (last["df"] if last["n"] == terms else least)))
+    tables.drop(short)
+    longer, known = each(low + 1, high), common.select(F.col("term").alias("_part"))
+    # if it is more than a broadcast may have, they tie with a few rows each and would leave little out
+    if common.limit(tables.BROADCAST_ROWS + 1).count() <= tables.BROADCAST_ROWS:
+        for at in (low, -low):
+            longer = longer.withColumn("_part", F.substring_index("term", " ", at)).join(F.broadcast(known), "_part", "left_semi").drop("_part")
+    return first(common.unionByName(_rows_with(longer)))
 
 
 def tfidf(df: DataFrame, key: str, text: str, is_train: Column, terms: int = 2000, least: int = 1, low: int = 1, high: int = 1) -> DataFrame:
@@ -77,9 +99,15 @@ def tfidf(df: DataFrame, key: str, text: str, is_train: Column, terms: int = 200
     broadcast may have is joined by a shuffle.
     """
     known = tables.written(vocabulary(df.where(is_train), text, terms, least, low, high))
-    # behind an explode of one element the terms are made once for both their number and their rows
-    rows = df.select(F.col(key).alias("key"), F.explode(F.array(grams(text, low, high))).alias("terms"))
-    counts = rows.select("key", F.size("terms").alias("total"), F.explode("terms").alias("term"))
+    # texts are shuffled once, by key, and their terms are then counted and normed where they are;
+    # behind an explode of one element the words are made once for both their number and their rows
+    texts = df.select(F.col(key).alias("key"), F.col(text).alias("text")).repartition("key")
+    rows = texts.select("key", F.explode(F.array(grams("text", 1, 1))).alias("words"))
+    number = sum((F.greatest(F.size("words") - n + 1, F.lit(0)) for n in range(low, high + 1)), F.lit(0))
+    # a run past the end is null and meets no term
+    run = lambda n: F.concat_ws(" ", *[F.get("words", F.col("at") + i) for i in range(n)])
+    runs = F.array(*[F.when(F.col("at") + n <= F.size("words"), run(n)) for n in range(low, high + 1)])
+    counts = rows.select("key", "words", number.alias("total"), F.posexplode("words").alias("at", "word")).select("key", "total", F.explode(runs).alias("term"))
     total = df.agg(F.count_if(is_train).alias("rows"))
     found = counts.join(tables.small(known), "term").groupBy("key", "total", "term", "df").agg(F.count("*").alias("n"))
     # one row

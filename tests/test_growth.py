@@ -1,8 +1,15 @@
 """Work that must spread over tasks and hold little, whatever the files of a table are."""
 
+import math
+import random
+from collections import Counter
+
+import pytest
 from pyspark.sql import functions as F
 
-from graincart.operators import generate, labeling, pool, profile
+from graincart import tables
+from graincart.functions import text
+from graincart.operators import generate, labeling, pool, prep, profile
 from graincart.operators.schema import ColumnSpec
 
 
@@ -38,3 +45,43 @@ def test_kinds_hold_few_values_of_a_task(spark, monkeypatch):
     assert facts == {"name": (1000, 1000, 0, 0), "few": (1000, 3, 1000, 1000)}
     # 1000 rows are 21 parts
     assert profile.distinct_counts(df, ["name"])._jdf.queryExecution().toString().count("REPARTITION_BY_NUM") >= 2
+
+
+def _runs(body, low, high):
+    words = (body or "").split()
+    return [" ".join(words[i : i + n]) for n in range(low, high + 1) for i in range(len(words) - n + 1)]
+
+
+def test_rare_runs_are_not_counted(spark, monkeypatch):
+    # each row has 20 words and 20 runs of its own beside one run that all have
+    df = spark.createDataFrame([(i, "all of " + " ".join(f"w{i}x{j}" for j in range(20))) for i in range(50)], "id long, body string")
+    counted, real = [], type(df).groupBy
+    monkeypatch.setattr(type(df), "groupBy", lambda self, *by: (counted.append(self.where("term LIKE '% %'").count()) if by == ("term",) else None) or real(self, *by))
+    found = prep.vocabulary(df, "body", terms=2, high=2)
+    assert [tuple(r) for r in found.collect()] == [("all", 50), ("all of", 50)] and sum(counted) == 50
+
+
+@pytest.mark.parametrize(("terms", "least", "low", "high", "broadcast"), [(5, 1, 1, 2, 200_000), (12, 1, 1, 3, 200_000), (12, 1, 1, 3, 3), (40, 1, 2, 3, 200_000), (7, 3, 1, 2, 200_000), (10_000, 2, 1, 3, 200_000), (3, 99, 1, 2, 200_000)])
+def test_runs_are_counted_as_by_hand(spark, monkeypatch, terms, least, low, high, broadcast):
+    monkeypatch.setattr(tables, "BROADCAST_ROWS", broadcast)
+    draw = random.Random(terms + high)
+    bodies = [None, "", "a", "a a a", "b a"] + [" ".join(draw.choices("abcdefghij", [9, 9, 5, 5, 3, 2, 2, 1, 1, 1], k=draw.randrange(1, 9))) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(bodies)), "id long, body string")
+    train = [b for i, b in enumerate(bodies) if i % 5]
+    rows = Counter(t for b in train for t in set(_runs(b, low, high)))
+    best = sorted(((t, n) for t, n in rows.items() if n >= least), key=lambda x: (-x[1], x[0]))[:terms]
+    is_train = F.col("id") % 5 != 0
+    assert [tuple(r) for r in prep.vocabulary(df.where(is_train), "body", terms, least, low, high).collect()] == best
+    wanted = {}
+    for i, b in enumerate(bodies):
+        runs = _runs(b, low, high)
+        raw = {t: runs.count(t) / len(runs) * (math.log((1 + len(train)) / (1 + n)) + 1) for t, n in best if t in runs}
+        wanted |= {(i, t): x / math.sqrt(sum(y * y for y in raw.values())) for t, x in raw.items()}
+    out = {(r["key"], r["term"]): r["weight"] for r in prep.tfidf(df, "id", "body", is_train, terms, least, low, high).collect()}
+    assert out == pytest.approx(wanted)
+
+
+def test_short_texts_have_no_runs(spark):
+    df = spark.createDataFrame([(["a", "b", "c", "d"],), (["a", "b"],), (["a"],), ([],), (None,)], "w array<string>")
+    assert [r[0] for r in df.select(text.ngrams(F.col("w"), 1, 3)).collect()] == [["a", "b", "c", "d", "a b", "b c", "c d", "a b c", "b c d"], ["a", "b", "a b"], ["a"], [], None]
+    assert [r[0] for r in df.select(text.ngrams(F.col("w"), 3, 3)).collect()] == [["a b c", "b c d"], [], [], [], None]
