@@ -211,6 +211,12 @@ class Generated:
     rounds: int
     stopped: str | None
 
+    def __getattr__(self, name: str):
+        """What is no fact of the run is asked of its rows, as of a table."""
+        if name == "rows" or name.startswith("_"):
+            raise AttributeError(name)
+        return getattr(self.rows, name)
+
 
 def generated(spark: SparkSession, specs: list[ColumnSpec], n: int, generator: Callable[[str], str], batch: int = BATCH, retries: int = RETRIES, path: str | None = None, most_calls: int | None = None, idle_rounds: int = 3, workers: int = pool.WORKERS) -> Generated:
     """``n`` valid rows from ``generator``, in rounds: what the rows so far lack is asked for in new batches.
@@ -268,13 +274,16 @@ def fill_text(df: DataFrame, column: str, generator: Callable[[str], str], row_i
     """``df`` with a text for each row, written in view of the row's other columns; null where the generator keeps failing or gives nothing.
 
     Rows are asked for in requests of TEXTS rows; a request whose reply has not as many texts as rows
-    is asked again.
+    is asked again. Where a reply has no JSON at all, the request's rows are asked for one by one, and
+    a reply is the text.
     """
     seen = F.to_json(F.struct(*[c for c in df.columns if c not in (row_id, column)]))
 
     def one(items: list[tuple]) -> list[str]:
         listed = "\n".join(f"{i + 1}. {row}" for i, (_, row) in enumerate(items))
         found = parse_reply(generator(f"Write a {column} for each of these {len(items)} rows as a JSON list of texts:\n{listed}"))
+        if found is None:
+            found = [generator(f"Write a {column} for this row, and nothing else:\n{row}") for _, row in items]
         if not isinstance(found, list) or len(found) != len(items):
             raise ValueError(f"not {len(items)} texts")
         return [None if t is None or not str(t).strip() else str(t) for t in found]
