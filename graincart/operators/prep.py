@@ -98,10 +98,10 @@ def tfidf(df: DataFrame, key: str, text: str, is_train: Column, terms: int = 200
     Terms are runs of ``low`` to ``high`` words; see ``vocabulary``. A vocabulary of more rows than a
     broadcast may have is joined by a shuffle.
     """
-    known = tables.written(vocabulary(df.where(is_train), text, terms, least, low, high))
-    # texts are shuffled once, by key, and their terms are then counted and normed where they are;
+    # texts are dealt out by key, however few parts their file has, and what a text has is counted and normed where it is
+    texts = df.select(F.col(key).alias("key"), F.col(text).alias("text"), is_train.alias("train")).repartition("key")
+    known = tables.written(vocabulary(texts.where("train"), "text", terms, least, low, high))
     # behind an explode of one element the words are made once for both their number and their rows
-    texts = df.select(F.col(key).alias("key"), F.col(text).alias("text")).repartition("key")
     rows = texts.select("key", F.explode(F.array(grams("text", 1, 1))).alias("words"))
     number = sum((F.greatest(F.size("words") - n + 1, F.lit(0)) for n in range(low, high + 1)), F.lit(0))
     # a run past the end is null and meets no term

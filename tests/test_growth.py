@@ -61,6 +61,12 @@ def test_rare_runs_are_not_counted(spark, monkeypatch):
     assert [tuple(r) for r in found.collect()] == [("all", 50), ("all of", 50)] and sum(counted) == 50
 
 
+def test_texts_are_dealt_out(spark, monkeypatch):
+    df, seen, real = spark.range(200).coalesce(1).select("id", F.lit("a b a").alias("body")), [], prep.vocabulary
+    monkeypatch.setattr(prep, "vocabulary", lambda train, *a: seen.append(train._jdf.queryExecution().toString()) or real(train, *a))
+    assert prep.tfidf(df, "id", "body", F.col("id") % 5 != 0, high=2).count() == 800 and "REPARTITION_BY_COL" in seen[0]
+
+
 @pytest.mark.parametrize(("terms", "least", "low", "high", "broadcast"), [(5, 1, 1, 2, 200_000), (12, 1, 1, 3, 200_000), (12, 1, 1, 3, 3), (40, 1, 2, 3, 200_000), (7, 3, 1, 2, 200_000), (10_000, 2, 1, 3, 200_000), (3, 99, 1, 2, 200_000)])
 def test_runs_are_counted_as_by_hand(spark, monkeypatch, terms, least, low, high, broadcast):
     monkeypatch.setattr(tables, "BROADCAST_ROWS", broadcast)
